@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import cut
+from factloom.llm.shared import dropped, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -16,11 +16,11 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node of an edge its least reachable node.
 
-    Loops, nulls and repeated edges are let go; an empty table has no components. Every round cuts
-    the lineage in the shared folder. A node's edges are never gathered, only their least end.
+    Loops, nulls and repeated edges are let go; an empty table has no components. Every round is
+    a table in the shared folder that replaces the one before. A node's edges are never gathered, only their least end.
     """
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    known = cut(ends.distinct())
+    known = written(ends.distinct(), "edges")
     before = _mark(known)
     while before[0]:
         both = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,7 +28,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(own, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        known = cut(small.unionByName(own.select("u", F.col("m").alias("v"))).distinct())
+        last, known = known, written(small.unionByName(own.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(last)
         after = _mark(known)
         if after == before:
             break

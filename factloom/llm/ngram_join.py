@@ -3,8 +3,10 @@
 1. Every text becomes the set of its distinct 5-word shingles, as 64-bit hashes. Equal sets
    are one set from here on. A fixed-size sketch counts the shingles of all texts.
 2. Two sets of similarity t or more share one of each set's n - ceil(t * n) + 1 rarest shingles,
-   for any common order; the sketch gives the order. Sets that share such a shingle, directly
-   or through others, form a search group; sets in no group link with nothing.
+   for any common order; the sketch gives the order. The inverted lists of these shingles are
+   built; short ones are merged by counting each pair's occurrences, and pairs whose count
+   and places can still reach the overlap they need, or that share a long list, are joined. Sets
+   joined directly or through others form a search group; the rest link with nothing.
 3. In a group, inverted lists are searched with DivideSkip: of a set's lists the longest are put
    aside, the others are merged as sorted runs, sets with enough occurrences are
    kept, and the long lists are probed for these by binary search.
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
-from factloom.llm.shared import cut, written
+from factloom.llm.shared import written
 from factloom.llm.words import mix, shingle_sets
 
 WIDTH = 5
@@ -33,10 +35,13 @@ WIDTH = 5
 PERCENT = 80
 #: Shingles in a block of a search group, about.
 GROUP_SHINGLES = 1_000_000
+#: Longest posting list of which pairs are counted.
+SHORT_LIST = 16
 _CELL_BITS = 22
 _CHUNKS = 16
 #: Posting lists held in a task before they are passed on.
 _FLUSH = 1_000_000
+_MEET = 200_000
 #: Weight of a probe against a step of the merge, in DivideSkip's choice of the long lists.
 _MU = 0.02
 
@@ -106,62 +111,127 @@ def prefix(own: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.nd
     return own[np.lexsort((own, level))[:size]]
 
 
-def _stars(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For sorted postings: each token with its first node, and (node, first node) for the others."""
-    head = np.ones(len(token), bool)
-    head[1:] = token[1:] != token[:-1]
-    first = node[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    other = first != node
-    return token[head], node[head], node[other], first[other]
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run of equal values."""
+    heads = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return heads, np.diff(np.append(heads, len(values)))
+
+
+def _sorted_postings(token: np.ndarray, node: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings by token and node, each node once in a list."""
+    order = np.lexsort((node, token))
+    token, node, held = token[order], node[order], held[order]
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+    return token[fresh], node[fresh], held[fresh]
+
+
+def _long_stars(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place in its list and length of its list, for each posting; distinct (node, first node) pairs of long lists."""
+    heads, sizes = _runs(token)
+    length, first = np.repeat(sizes, sizes), np.repeat(node[heads], sizes)
+    place = np.arange(len(token)) - np.repeat(heads, sizes)
+    some = (length > SHORT_LIST) & (place > 0)
+    pairs = np.unique(np.stack([node[some], first[some]]), axis=1) if some.any() else np.zeros((2, 0), np.int64)
+    return place, length, pairs[0], pairs[1]
 
 
 def search_edges(documents: DataFrame, levels: np.ndarray, text: str, width: int, percent: int) -> DataFrame:
-    """(a, b): fingerprints of sets that share a shingle of their prefixes, each list as a star."""
-    shared = documents.sparkSession.sparkContext.broadcast(levels)
+    """(a, b): fingerprints of sets that may link, or that a chain of such pairs joins.
 
-    def emit(tokens: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
-        token = np.concatenate(tokens)
-        node = np.repeat(np.array(nodes, np.int64), [len(t) for t in tokens])
-        order = np.lexsort((node, token))
-        token, first, a, b = _stars(token[order], node[order])
-        yield pa.record_batch({"token": token.astype(np.int64), "a": first, "b": pa.nulls(len(token), pa.int64())})
+    A list of up to ``SHORT_LIST`` sets gives its pairs of fitting sizes and places, and the
+    occurrences of each pair are counted over all short lists; pairs whose count and last places
+    can't reach the overlap they need are let go. A longer list gives a star.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(levels)
+    names = ["token", "a", "held", "b"]
+
+    def emit(tokens: list[np.ndarray], nodes: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+        lengths = [len(t) for t in tokens]
+        place = np.concatenate([np.arange(k) for k in lengths])
+        held = np.repeat(np.array(sizes, np.int64) << 32, lengths) | place
+        token, node, held = _sorted_postings(np.concatenate(tokens).view(np.int64), np.repeat(np.array(nodes, np.int64), lengths), held)
+        place, _, a, b = _long_stars(token, node)
+        keep = place <= SHORT_LIST
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, held)] + [pa.nulls(int(keep.sum()), pa.int64())], names=names)
         if len(a):
-            a, b = np.unique(np.stack([a, b]), axis=1)
-            yield pa.record_batch({"token": mix(a.view(np.uint64)).view(np.int64), "a": a, "b": b})
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mix(a.view(np.uint64)).view(np.int64), a, np.zeros(len(a), np.int64), b)], names=names)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, nodes, size = [], [], 0
+        tokens, nodes, sizes, size = [], [], [], 0
         for batch in batches:
             for _, own in shingle_sets(batch.column(0), width):
                 if len(own):
                     tokens.append(prefix(own, shared.value, percent))
                     nodes.append(_prints(own)[0])
+                    sizes.append(len(own))
                     size += len(tokens[-1])
             if size > _FLUSH:
-                yield from emit(tokens, nodes)
-                tokens, nodes, size = [], [], 0
+                yield from emit(tokens, nodes, sizes)
+                tokens, nodes, sizes, size = [], [], [], 0
         if tokens:
-            yield from emit(tokens, nodes)
+            yield from emit(tokens, nodes, sizes)
+
+    def pairs_of(token: np.ndarray, node: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
+        token, node, held = _sorted_postings(token, node, held)
+        _, length, a, b = _long_stars(token, node)
+        found = [np.stack([a, b, *np.zeros((5, len(a)), np.int64)])]
+        short = (length > 1) & (length <= SHORT_LIST)
+        token, node, n, i = token[short], node[short], held[short] >> 32, held[short] & 0xFFFFFFFF
+        for lag in range(1, SHORT_LIST):
+            x = np.flatnonzero(token[lag:] == token[:-lag])
+            if not len(x):
+                break
+            y = x + lag
+            need = -(-percent * (n[x] + n[y]) // (100 + percent))
+            fits = np.minimum(n[x], n[y]) >= need
+            x, y = x[fits], y[fits]
+            found.append(np.stack([node[x], node[y], np.ones(len(x), np.int64), i[x], i[y], n[x], n[y]]))
+        rows = np.concatenate(found, axis=1)
+        if not rows.shape[1]:
+            return
+        rows = rows[:, np.lexsort((rows[1], rows[0]))]
+        head = np.ones(rows.shape[1], bool)
+        head[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(0)
+        at = np.flatnonzero(head)
+        sure = np.minimum.reduceat(rows[2], at) == 0
+        counted = [rows[0, at], rows[1, at], np.where(sure, -1, np.add.reduceat(rows[2], at)), *(np.maximum.reduceat(rows[k], at) for k in (3, 4, 5, 6))]
+        yield pa.record_batch(dict(zip(("a", "b", "c", "i", "j", "n", "m"), counted, strict=True)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None
+        rest = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            edge = batch.column(2).is_valid()
+            edge = batch.column(3).is_valid()
             if edge.true_count:
                 ready = batch.filter(edge)
-                yield pa.record_batch({"a": ready.column(1), "b": ready.column(2)})
+                zero = np.zeros(len(ready), np.int64)
+                yield pa.record_batch({"a": ready.column(1), "b": ready.column(3), "c": zero - 1, "i": zero, "j": zero, "n": zero, "m": zero})
                 batch = batch.filter(pc.invert(edge))
-            token, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if last is not None:
-                token, node = np.append(last[0], token), np.append(last[1], node)
-            heads, firsts, a, b = _stars(token, node)
-            last = (heads[-1], firsts[-1]) if len(heads) else last
-            if len(a):
-                a, b = np.unique(np.stack([a, b]), axis=1)
-                yield pa.record_batch({"a": a, "b": b})
-
-    posted = documents.select(text).mapInArrow(post, "token long, a long, b long")
-    return posted.repartition("token").sortWithinPartitions("token", "a").mapInArrow(meet, "a long, b long")
+            rest = [np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate(rest)]
+            if len(rest[0]) < _MEET:
+                continue
+            last = int(np.searchsorted(rest[0], rest[0][-1]))
+            whole, rest = [x[:last] for x in rest], [x[last:] for x in rest]
+            if last:
+                yield from pairs_of(*whole)
+            if len(rest[0]) > _MEET:
+                first = rest[1][0]
+                others = np.unique(rest[1][rest[1] != first])
+                if len(others) > SHORT_LIST:
+                    zero = np.zeros(len(others), np.int64)
+                    yield pa.record_batch({"a": others, "b": np.full(len(others), first), "c": zero - 1, "i": zero, "j": zero, "n": zero, "m": zero})
+                    keep = np.isin(rest[1], [first, *others[:SHORT_LIST]])
+                    rest = list(_sorted_postings(*(x[keep] for x in rest)))
+        if len(rest[0]):
+            yield from pairs_of(*rest)
+
+    posted = documents.select(text).mapInArrow(post, "token long, a long, held long, b long")
+    met = posted.repartition("token").sortWithinPartitions("token", "a").mapInArrow(meet, "a long, b long, c long, i long, j long, n long, m long")
+    pairs = met.groupBy("a", "b").agg(F.min("c").alias("least"), F.sum("c").alias("c"), *(F.max(x).alias(x) for x in ("i", "j", "n", "m")))
+    need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
+    suffix = lambda x: F.ceil(percent * F.col(x) / 100) - 1
+    most = F.col("c") + F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j"), F.greatest(suffix("n"), suffix("m")))
+    return pairs.where((F.col("least") < 0) | (most >= need)).select("a", "b")
 
 
 class _Forest:
@@ -245,7 +315,7 @@ def similar(documents: DataFrame, key: str = "doc_id", text: str = "text", width
     levels = rarity(prints)
     joined = components(search_edges(documents.where(F.col(key).isNotNull()), levels, text, width, percent))
     groups = joined.select(F.col("node").alias("f"), F.col("component").alias("group"))
-    kinds = cut(sets.groupBy("f", "g", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    kinds = written(sets.groupBy("f", "g", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "kinds")
     placed = kinds.join(groups, "f")
     loads = placed.groupBy("group").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).alias("blocks"))
     placed = placed.join(loads, "group")
@@ -285,7 +355,7 @@ def similar(documents: DataFrame, key: str = "doc_id", text: str = "text", width
         roots = [names[forest.root(k)][0] for k in range(len(names))]
         return pa.table({"rep": pa.array([x[0] for x in names], table.schema.field("rep").type), "root": pa.array(roots, table.schema.field("rep").type), "size": pa.array([x[1] // 8 for x in names], pa.int32()), "links": links})
 
-    found = cut(dealt.groupBy("group", "i", "j").applyInArrow(search, f"rep {id_type}, root {id_type}, size int, links long"))
+    found = written(dealt.groupBy("group", "i", "j").applyInArrow(search, f"rep {id_type}, root {id_type}, size int, links long"), "links")
     reached = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep", F.col("size").alias("n")).agg(F.sum("links").alias("links"))
     kinds = kinds.join(links, ["rep", "n"], "left").join(reached.withColumnRenamed("node", "rep"), "rep", "left")

@@ -36,11 +36,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back."""
+    """``df`` as a Parquet table in the shared folder, read back; this cuts the lineage."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/factloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the table of a ``written`` DataFrame of which nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
