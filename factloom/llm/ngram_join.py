@@ -83,23 +83,27 @@ def shingle_prints(documents: DataFrame, key: str, text: str, width: int) -> Dat
 def rarity(prints: DataFrame) -> np.ndarray:
     """For each cell of the sketch a level that rises with the number of texts that hold a shingle of it."""
     rows = prints.where("chunk IS NOT NULL").select("chunk", "counts")
+    typed, cells = "chunk int, counts binary", (1 << _CELL_BITS) // _CHUNKS
 
-    def added(kind: type) -> object:
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((_CHUNKS, (1 << _CELL_BITS) // _CHUNKS), np.int64)
-            for batch in batches:
-                for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    total[chunk] += np.frombuffer(counts.as_buffer(), kind)
-            yield pa.record_batch({"chunk": pa.array(range(_CHUNKS), pa.int32()), "counts": pa.array([x.tobytes() for x in total], pa.binary())})
-
-        return add
-
-    tasks = max(1, rows.count() // _CHUNKS // 64)
-    partial = rows.repartition(tasks).mapInArrow(added(np.uint8), "chunk int, counts binary")
-    if tasks > 1:
-        partial = partial.coalesce(1).mapInArrow(added(np.int64), "chunk int, counts binary")
-    total = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in partial.orderBy("chunk").collect()] or [np.zeros(1 << _CELL_BITS, np.int64)])
-    return np.round(np.log2(1 + total) * 512).astype(np.uint16)
+    def added(batches: Iterator[pa.RecordBatch], kind: type) -> np.ndarray:
+        total = np.zeros((_CHUNKS, cells), np.int64)
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[chunk] += np.frombuffer(counts.as_buffer(), kind)
+        return total
+
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({"chunk": pa.array(range(_CHUNKS), pa.int32()), "counts": pa.array([x.tobytes() for x in total], pa.binary())})
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield packed(added(batches, np.uint8))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield packed(np.round(np.log2(1.0 + added(batches, np.int64)) * 512).astype(np.uint16))
+
+    parts = rows.repartition(max(1, rows.count() // _CHUNKS // 64)).mapInArrow(part, typed)
+    found = parts.repartition(1).mapInArrow(whole, typed).collect()
+    return np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in sorted(found, key=lambda r: r["chunk"])])
 
 
 def prefix(own: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndarray:

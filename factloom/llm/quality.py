@@ -157,13 +157,13 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = [x.astype(np.float32) for x in term_counts(batch.column(2))]
-            found = np.concatenate(blocks) if blocks else np.zeros((0, TERMS), np.float32)
+            blocks = [np.minimum(x, 65535).astype(np.uint16) for x in term_counts(batch.column(2))]
+            found = np.concatenate(blocks) if blocks else np.zeros((0, TERMS), np.uint16)
             yield pa.record_batch({"k": batch.column(0).cast(pa.string()), "y": batch.column(1), "x": pa.array([r.tobytes() for r in found], pa.binary())})
 
     found = rows.mapInArrow(count, "k string, y double, x binary").toPandas().sort_values(["k", "x"])
     frequency, documents_n = document_frequency(documents, text)
-    counts = np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, TERMS)[:max_labelled]
+    counts = np.frombuffer(b"".join(found["x"]), np.uint16).reshape(-1, TERMS)[:max_labelled]
     return model_of(counts, found["y"].to_numpy(float)[:max_labelled], frequency, documents_n)
 
 
