@@ -42,6 +42,8 @@ _CHUNKS = 16
 #: Posting lists held in a task before they are passed on.
 _FLUSH = 1_000_000
 _MEET = 200_000
+#: Chunks of the sketch that one task sums in the first of two rounds.
+_SUMMED = 256
 #: Weight of a probe against a step of the merge, in DivideSkip's choice of the long lists.
 _MU = 0.02
 
@@ -85,24 +87,29 @@ def rarity(prints: DataFrame) -> np.ndarray:
     rows = prints.where("chunk IS NOT NULL").select("chunk", "counts")
     typed, cells = "chunk int, counts binary", (1 << _CELL_BITS) // _CHUNKS
 
-    def added(batches: Iterator[pa.RecordBatch], kind: type) -> np.ndarray:
-        total = np.zeros((_CHUNKS, cells), np.int64)
+    def added(batches: Iterator[pa.RecordBatch], kind: type) -> tuple[np.ndarray, set[int]]:
+        total, seen = np.zeros((_CHUNKS, cells), np.int64), set()
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 total[chunk] += np.frombuffer(counts.as_buffer(), kind)
-        return total
+                seen.add(chunk)
+        return total, seen
 
-    def packed(total: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch({"chunk": pa.array(range(_CHUNKS), pa.int32()), "counts": pa.array([x.tobytes() for x in total], pa.binary())})
+    def chunks(total: np.ndarray, seen: set[int], kind: type) -> Iterator[pa.RecordBatch]:
+        own = sorted(seen)
+        yield pa.record_batch({"chunk": pa.array(own, pa.int32()), "counts": pa.array([np.minimum(total[c], np.iinfo(kind).max).astype(kind).tobytes() for c in own], pa.binary())})
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield packed(added(batches, np.uint8))
+        yield from chunks(*added(batches, np.uint8), np.uint32)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield packed(np.round(np.log2(1.0 + added(batches, np.int64)) * 512).astype(np.uint16))
+        total, seen = added(batches, np.uint32)
+        yield from chunks(np.round(np.log2(1.0 + total) * 512), seen, np.uint16)
 
-    parts = rows.repartition(max(1, rows.count() // _CHUNKS // 64)).mapInArrow(part, typed)
-    found = parts.repartition(1).mapInArrow(whole, typed).collect()
+    parts = rows.repartition(rows.count() // _SUMMED + 1).mapInArrow(part, typed)
+    found = parts.repartition(_CHUNKS, "chunk").mapInArrow(whole, typed).collect()
+    if not found:
+        return np.zeros(1 << _CELL_BITS, np.uint16)
     return np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in sorted(found, key=lambda r: r["chunk"])])
 
 
