@@ -29,12 +29,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back; this cuts the lineage."""
     spark = df.sparkSession
