@@ -90,3 +90,17 @@ def near_incidents(rows: DataFrame, incidents: DataFrame, span: int, keep: int =
     near = left.join(right, ["actor", "_b"]).where(gap <= span).select("incident_id", "event_id", gap.alias("gap_us"))
     order = Window.partitionBy("incident_id").orderBy("gap_us", "event_id")
     return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n")
+
+
+def transitions(rows: DataFrame, least_seconds: int) -> DataFrame:
+    """(event_id, place, before, verdict) of each move of an actor between hosts: two places at once, or too fast, are violations."""
+    own = Window.partitionBy("actor").orderBy("us", "event_id")
+    rows = rows.withColumns({"before": F.lag("host").over(own), "_then": F.lag("us").over(own)})
+    verdict = (
+        F.when(F.col("before").isNull(), "introduced")
+        .when(F.col("before") == F.col("host"), "stays")
+        .when(F.col("us") == F.col("_then"), "bilocation")
+        .when(F.col("us") - F.col("_then") < least_seconds * 1_000_000, "teleport")
+        .otherwise("moves")
+    )
+    return rows.select("event_id", F.col("host").alias("place"), "before", verdict.alias("verdict"))

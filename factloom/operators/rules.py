@@ -6,7 +6,7 @@ its head one projection. Rules run once, over the stored facts, not over each ot
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -20,33 +20,64 @@ STABILITY = {"stable": 1.0, "semi_stable": 0.7, "volatile": 0.3}
 
 @dataclass(frozen=True)
 class Rule:
-    """Patterns are (subject, predicate, object); a term that begins with ``?`` is a variable."""
+    """Patterns are (subject, predicate, object); a term that begins with ``?`` is a variable.
+
+    A predicate variable stands for the predicates of a class (``classes``); ``guards`` lists
+    the types that the value of a variable may have.
+    """
 
     name: str
     body: tuple[tuple[str, str, str], ...]
     head: tuple[str, str, str]
     unless: tuple[tuple[str, str, str], ...] = ()
     confidence: str | float = "min"
+    classes: dict[str, str] = field(default_factory=dict)
+    guards: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+
+# Predicates that a rule may name by their class.
+CLASSES = {"capability": ("develops", "produces", "manufactures", "operates", "publishes"), "activity": ("uses", "provides", "enables", "works_by")}
 
+# The base rules.
+BASE_RULES = (
+    Rule("capability_inheritance_v1", (("?a", "owned_by", "?b"), ("?b", "?p", "?c")), ("?a", "?p", "?c"), (("?a", "subsidiary_of", "?b"),), classes={"?p": "capability"}, guards={"?a": ("organization", "service"), "?b": ("organization",)}),
+    Rule("ownership_transitivity_v1", (("?a", "owned_by", "?b"), ("?b", "owned_by", "?c")), ("?a", "owned_by", "?c")),
+    Rule("founder_shared_v1", (("?a", "founded_by", "?x"), ("?b", "founded_by", "?x")), ("?a", "share_founder", "?b"), guards={"?x": ("person",)}),
+    Rule("leader_shared_v1", (("?a", "led_by", "?x"), ("?b", "led_by", "?x")), ("?a", "share_leader", "?b"), guards={"?x": ("person",)}),
+    Rule("classification_chain_v1", (("?a", "is_a", "?b"), ("?b", "is_a", "?c")), ("?a", "is_a", "?c")),
+    Rule("activity_inheritance_v1", (("?a", "is_a", "?b"), ("?b", "?p", "?c")), ("?a", "?p", "?c"), classes={"?p": "activity"}),
+    Rule("causal_chain_v1", (("?a", "enables", "?b"), ("?b", "requires", "?c")), ("?a", "indirectly_requires", "?c")),
+    Rule("expertise_inheritance_v1", (("?a", "founded_by", "?b"), ("?b", "known_for", "?c")), ("?a", "associated_with_expertise", "?c"), guards={"?b": ("person",)}),
+    Rule("competitor_detection_v1", (("?a", "?p", "?c"), ("?b", "?q", "?c")), ("?a", "competes_with", "?b"), (("?a", "same_as", "?b"), ("?b", "same_as", "?a")), classes={"?p": "capability", "?q": "capability"}, guards={"?a": ("organization",), "?b": ("organization",)}),
+)
 
-def _rows(facts: DataFrame, pattern: tuple[str, str, str], n: int) -> DataFrame:
+
+def _rows(facts: DataFrame, pattern: tuple[str, str, str], n: int, classes: dict[str, str]) -> DataFrame:
     s, p, o = pattern
-    rows = facts.where(F.col("predicate") == p)
+    rows = facts.where(F.col("predicate").isin(*CLASSES[classes[p]]) if p in classes else F.col("predicate") == p)
     for term, name in ((s, "subject"), (o, "object")):
         if not term.startswith("?"):
             rows = rows.where(rule_key(F.col(name)) == rule_key(F.lit(term)))
-    names = {t: c for t, c in ((s, "subject"), (o, "object")) if t.startswith("?")}
+    names = {t: c for t, c in ((s, "subject"), (p, "predicate"), (o, "object")) if t.startswith("?")}
     score = reduce(lambda w, kv: w.when(F.col("stability") == kv[0], kv[1]), STABILITY.items(), F.when(F.lit(False), 0.0)).otherwise(0.5)
     rows = rows.where(F.col("subject") == F.col("object")) if s == o and s.startswith("?") else rows
     return rows.select(*(F.col(c).alias(t) for t, c in names.items()), score.alias(f"_score{n}"))
 
 
-def infer(facts: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct (subject, predicate, object, rule, confidence) that a rule gives; reflexive ones go."""
-    parts = [_rows(facts, pattern, n) for n, pattern in enumerate(rule.body)]
+def infer(facts: DataFrame, rule: Rule, types: DataFrame | None = None) -> DataFrame:
+    """Distinct (subject, predicate, object, rule, confidence) that a rule gives; reflexive ones go.
+
+    ``types`` is (entity, type), for the guards; an entity without a type passes none.
+    """
+    parts = [_rows(facts, pattern, n, rule.classes) for n, pattern in enumerate(rule.body)]
+    for variable, allowed in rule.guards.items():
+        if types is None:
+            raise ValueError(f"{rule.name} needs the types of entities")
+        good = types.where(F.col("type").isin(*allowed)).select(rule_key(F.col("entity")).alias("_e")).distinct()
+        parts = [p.join(good, rule_key(F.col(f"`{variable}`")) == F.col("_e"), "left_semi") if variable in p.columns else p for p in parts]
     joined = reduce(lambda a, b: a.join(b, [c for c in b.columns if c.startswith("?") and c in a.columns]), parts)
     for n, pattern in enumerate(rule.unless):
-        other = _rows(facts, pattern, 100 + n).drop(f"_score{100 + n}").distinct()
+        other = _rows(facts, pattern, 100 + n, rule.classes).drop(f"_score{100 + n}").distinct()
         joined = joined.join(other, [c for c in other.columns if c in joined.columns], "left_anti")
     scores = [F.col(f"_score{n}") for n in range(len(rule.body))]
     if isinstance(rule.confidence, float):
@@ -54,11 +85,29 @@ def infer(facts: DataFrame, rule: Rule) -> DataFrame:
     else:
         score = scores[0] if len(scores) == 1 else {"min": F.least, "max": F.greatest}[rule.confidence](*scores)
     term = lambda t: F.col(f"`{t}`") if t.startswith("?") else F.lit(t)
-    out = joined.select(term(rule.head[0]).alias("subject"), F.lit(rule.head[1]).alias("predicate"), term(rule.head[2]).alias("object"), score.alias("confidence"))
+    out = joined.select(term(rule.head[0]).alias("subject"), term(rule.head[1]).alias("predicate"), term(rule.head[2]).alias("object"), score.alias("confidence"))
     out = out.where(rule_key(F.col("subject")) != rule_key(F.col("object")))
     return out.groupBy("subject", "predicate", "object").agg(F.max("confidence").alias("confidence")).withColumn("rule", F.lit(rule.name))
 
 
+def infer_all(facts: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, types: DataFrame | None = None) -> DataFrame:
+    """The inferences of several rules, each over the stored facts alone."""
+    return reduce(DataFrame.unionByName, [infer(facts, rule, types) for rule in rules])
+
+
+def cooccurrences(facts: DataFrame, classes: DataFrame, min_support: int = 2, min_confidence: float = 0.5) -> DataFrame:
+    """(predicate, class, implied, support, population, confidence): who has the first predicate with an object of the class has the other one.
+
+    ``classes`` has distinct (object, class). Support and population count subjects.
+    """
+    own = facts.select("subject", F.col("predicate").alias("implied")).distinct()
+    members = facts.select("subject", "predicate", "object").distinct().join(classes, "object").select("predicate", "class", "subject").distinct()
+    size = members.groupBy("predicate", "class").agg(F.count("*").alias("population"))
+    both = members.join(own, "subject").where("implied != predicate").groupBy("predicate", "class", "implied").agg(F.count("*").alias("support"))
+    out = both.where(F.col("support") >= min_support).join(size, ["predicate", "class"]).withColumn("confidence", F.round(F.col("support") / F.col("population"), 6))
+    return out.where(F.col("confidence") >= min_confidence).select("predicate", "class", "implied", "support", "population", "confidence")
+
+
 def class_implications(members: DataFrame, facts: DataFrame, min_support: int = 2, min_confidence: float = 0.5) -> DataFrame:
     """(class, predicate, object, support, population, confidence): what members of a class share.
 

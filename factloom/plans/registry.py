@@ -2,47 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.policy import answerable, hop_reason, hop_safe
 from factloom.operators import algebra, events, graph, measures, rules, text
-from factloom.sources.facts import facts, facts_sql, supplies
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-_REASON = """CASE WHEN temporal_class IN ('snapshot', 'aggregate') AND as_of = '' THEN 'snapshot_missing_as_of:' || predicate
- WHEN stability = 'volatile' THEN 'volatile_relation:' || predicate WHEN risk = 'high' THEN 'high_risk_relation:' || predicate
- WHEN predicate IN ('leader_of', 'valued_at') AND NOT (temporal_class = 'snapshot' AND as_of != '') THEN 'current_sensitive:' || predicate END"""
-
-
-def _view(*predicates: str) -> str:
-    body = facts_sql(*predicates).replace("AS STRING", "AS VARCHAR")
-    return f"WITH facts AS ({body}), safe AS (SELECT * FROM facts WHERE ({_REASON}) IS NULL) "
-
-
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        _QUERIES[query.__name__] = query
-        if sql:
-            _SQL[query.__name__] = sql
-        return query
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from factloom.plans import derived  # noqa: F401 - registers its queries
+from factloom.plans.shared import ALERTS, PLAIN, QUERIES, REASON, SQL, TOKENS, Query, query, table, view
+from factloom.sources.facts import facts, supplies
 
 # --- algebra ---
 
 
-@_query(_view("located_in", "part_of") + "SELECT b.object AS region, count(*) AS n FROM safe a JOIN safe b ON a.object = b.subject WHERE a.predicate = 'located_in' AND b.predicate = 'part_of' GROUP BY b.object")
+@query(view("located_in", "part_of") + "SELECT b.object AS region, count(*) AS n FROM safe a JOIN safe b ON a.object = b.subject WHERE a.predicate = 'located_in' AND b.predicate = 'part_of' GROUP BY b.object")
 def traverse_two_hop(spark, sf_dir):
     chains = algebra.traverse(facts(spark, sf_dir, "located_in", "part_of"), "located_in", "part_of")
     return chains.groupBy(F.col("object").alias("region")).agg(F.count("*").alias("n"))
@@ -51,30 +22,30 @@ def traverse_two_hop(spark, sf_dir):
 FLAGSHIP = traverse_two_hop
 
 
-@_query(_view("owned_by") + "SELECT subject, predicate, object, as_of FROM safe WHERE lower(object) = 'customer#000000001'")
+@query(view("owned_by") + "SELECT subject, predicate, object, as_of FROM safe WHERE lower(object) = 'customer#000000001'")
 def find_subject(spark, sf_dir):
     return algebra.find(facts(spark, sf_dir, "owned_by"), predicate="owned_by", object="Customer#000000001").select("subject", "predicate", "object", "as_of")
 
 
-@_query(_view() + "SELECT subject, predicate, object FROM safe WHERE lower(subject) IN ('part 1')")
+@query(view() + "SELECT subject, predicate, object FROM safe WHERE lower(subject) IN ('part 1')")
 def find_object(spark, sf_dir):
     return algebra.find(facts(spark, sf_dir), subject="the Part 1").select("subject", "predicate", "object")
 
 
-@_query(_view("owned_by") + "SELECT subject, object, as_of FROM safe WHERE stability = 'semi_stable' AND temporal_class = 'snapshot'")
+@query(view("owned_by") + "SELECT subject, object, as_of FROM safe WHERE stability = 'semi_stable' AND temporal_class = 'snapshot'")
 def filter_metadata(spark, sf_dir):
     found = algebra.find(facts(spark, sf_dir, "owned_by"), predicate="owned_by")
     return algebra.filter_metadata(found, "semi_stable", "snapshot").select("subject", "object", "as_of")
 
 
-@_query(_view("owned_by", "located_in") + "SELECT a.subject, a.object, string_agg(DISTINCT b.object, ',' ORDER BY b.object) AS places FROM safe a JOIN safe b ON lower(a.object) = lower(b.subject) WHERE a.predicate = 'owned_by' AND b.predicate = 'located_in' AND b.object = 'NATION_3' GROUP BY a.subject, a.object")
+@query(view("owned_by", "located_in") + "SELECT a.subject, a.object, string_agg(DISTINCT b.object, ',' ORDER BY b.object) AS places FROM safe a JOIN safe b ON lower(a.object) = lower(b.subject) WHERE a.predicate = 'owned_by' AND b.predicate = 'located_in' AND b.object = 'NATION_3' GROUP BY a.subject, a.object")
 def filter_secondary_relation(spark, sf_dir):
     own = facts(spark, sf_dir, "owned_by", "located_in")
     out = algebra.filter_secondary(algebra.find(own, predicate="owned_by"), own, "located_in", "nation_3")
     return out.select("subject", "object", F.array_join("secondary_objects", ",").alias("places"))
 
 
-@_query(_view("published_by") + "SELECT object AS brand, count(*) AS n, count(DISTINCT object) AS n_objects, arg_min(subject, ord) AS earliest, arg_max(subject, ord) AS latest FROM safe GROUP BY object")
+@query(view("published_by") + "SELECT object AS brand, count(*) AS n, count(DISTINCT object) AS n_objects, arg_min(subject, ord) AS earliest, arg_max(subject, ord) AS latest FROM safe GROUP BY object")
 def aggregate_first_last(spark, sf_dir):
     found = algebra.find(facts(spark, sf_dir, "published_by"), predicate="published_by").withColumn("brand", F.col("object"))
     return found.groupBy("brand").agg(F.count("*").alias("n"), F.count_distinct("object").alias("n_objects"), F.min_by("subject", "ord").alias("earliest"), F.max_by("subject", "ord").alias("latest"))
@@ -83,51 +54,51 @@ def aggregate_first_last(spark, sf_dir):
 _LINES = "WITH s AS (SELECT DISTINCT l_suppkey AS subject, l_partkey AS object FROM lineitem WHERE l_quantity >= 49) "
 
 
-@_query(_LINES + "SELECT object FROM s WHERE subject = 1 AND object IN (SELECT object FROM s WHERE subject = 2)")
+@query(_LINES + "SELECT object FROM s WHERE subject = 1 AND object IN (SELECT object FROM s WHERE subject = 2)")
 def compare_intersection(spark, sf_dir):
     own = supplies(spark, sf_dir).withColumn("predicate", F.lit("produces"))
     return algebra.compare(own.where("subject = 1"), own.where("subject = 2"), "intersection").select("object")
 
 
-@_query(_LINES + "SELECT object FROM s WHERE subject = 1 AND object NOT IN (SELECT object FROM s WHERE subject = 2)")
+@query(_LINES + "SELECT object FROM s WHERE subject = 1 AND object NOT IN (SELECT object FROM s WHERE subject = 2)")
 def compare_difference(spark, sf_dir):
     own = supplies(spark, sf_dir).withColumn("predicate", F.lit("produces"))
     return algebra.compare(own.where("subject = 1"), own.where("subject = 2"), "difference").select("object")
 
 
-@_query(_LINES + "SELECT *, CASE WHEN count_a > count_b THEN 'a' WHEN count_a < count_b THEN 'b' ELSE 'equal' END AS larger FROM (SELECT count(*) FILTER (subject = 1) AS count_a, count(*) FILTER (subject = 2) AS count_b FROM s)")
+@query(_LINES + "SELECT *, CASE WHEN count_a > count_b THEN 'a' WHEN count_a < count_b THEN 'b' ELSE 'equal' END AS larger FROM (SELECT count(*) FILTER (subject = 1) AS count_a, count(*) FILTER (subject = 2) AS count_b FROM s)")
 def compare_size(spark, sf_dir):
     own = supplies(spark, sf_dir)
     return algebra.compare_size(own.where("subject = 1"), own.where("subject = 2"))
 
 
-@_query(_view() + f"SELECT predicate, coalesce({_REASON}, 'safe') AS reason, count(*) AS n FROM facts GROUP BY ALL")
+@query(view() + f"SELECT predicate, coalesce({REASON}, 'safe') AS reason, count(*) AS n FROM facts GROUP BY ALL")
 def hop_safety_reasons(spark, sf_dir):
     return facts(spark, sf_dir).groupBy("predicate", F.coalesce(hop_reason(), F.lit("safe")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@_query(_view() + "SELECT predicate, count(*) FILTER (stability IN ('stable', 'semi_stable') AND predicate NOT IN ('leader_of', 'valued_at') AND lower(risk) != 'high') AS n_answerable, count(*) AS n FROM facts GROUP BY predicate")
+@query(view() + "SELECT predicate, count(*) FILTER (stability IN ('stable', 'semi_stable') AND predicate NOT IN ('leader_of', 'valued_at') AND lower(risk) != 'high') AS n_answerable, count(*) AS n FROM facts GROUP BY predicate")
 def answerable_relations(spark, sf_dir):
     return facts(spark, sf_dir).groupBy("predicate").agg(F.sum(answerable().cast("long")).alias("n_answerable"), F.count("*").alias("n"))
 
 
-@_query(_view("is_a", "published_by") + "SELECT subject, count(DISTINCT predicate) AS n_present, CASE WHEN max(CASE WHEN predicate = 'published_by' THEN 1 ELSE 0 END) = 0 THEN 'published_by' WHEN max(CASE WHEN predicate = 'is_a' THEN 1 ELSE 0 END) = 0 THEN 'is_a' ELSE '' END AS missing FROM safe GROUP BY subject")
+@query(view("is_a", "published_by") + "SELECT subject, count(DISTINCT predicate) AS n_present, CASE WHEN max(CASE WHEN predicate = 'published_by' THEN 1 ELSE 0 END) = 0 THEN 'published_by' WHEN max(CASE WHEN predicate = 'is_a' THEN 1 ELSE 0 END) = 0 THEN 'is_a' ELSE '' END AS missing FROM safe GROUP BY subject")
 def and_query(spark, sf_dir):
     return algebra.has_all(facts(spark, sf_dir, "is_a", "published_by"), ["is_a", "published_by"])
 
 
-@_query(_view("owned_by", "located_in") + "SELECT b.object AS nation, count(*) AS n FROM safe a JOIN safe b ON a.object = b.subject WHERE a.predicate = 'owned_by' AND b.predicate = 'located_in' GROUP BY b.object")
+@query(view("owned_by", "located_in") + "SELECT b.object AS nation, count(*) AS n FROM safe a JOIN safe b ON a.object = b.subject WHERE a.predicate = 'owned_by' AND b.predicate = 'located_in' GROUP BY b.object")
 def chain_query(spark, sf_dir):
     chains = algebra.traverse(facts(spark, sf_dir, "owned_by", "located_in"), "owned_by", "located_in")
     return chains.groupBy(F.col("object").alias("nation")).agg(F.count("*").alias("n"))
 
 
-@_query(_LINES + "SELECT a.subject AS a, b.subject AS b, count(*) AS shared FROM s a JOIN s b ON a.object = b.object AND a.subject < b.subject GROUP BY ALL HAVING count(*) >= 2")
+@query(_LINES + "SELECT a.subject AS a, b.subject AS b, count(*) AS shared FROM s a JOIN s b ON a.object = b.object AND a.subject < b.subject GROUP BY ALL HAVING count(*) >= 2")
 def co_attribution_pairs(spark, sf_dir):
     return algebra.co_attribution(supplies(spark, sf_dir), 2)
 
 
-@_query(_view() + "SELECT predicate, count(*) AS subjects, round(avg(k), 6) AS avg_objects, max(k) AS max_objects FROM (SELECT predicate, subject, count(DISTINCT object) AS k FROM facts GROUP BY ALL) GROUP BY predicate")
+@query(view() + "SELECT predicate, count(*) AS subjects, round(avg(k), 6) AS avg_objects, max(k) AS max_objects FROM (SELECT predicate, subject, count(DISTINCT object) AS k FROM facts GROUP BY ALL) GROUP BY predicate")
 def relation_functionality(spark, sf_dir):
     return algebra.functionality(facts(spark, sf_dir))
 
@@ -135,22 +106,22 @@ def relation_functionality(spark, sf_dir):
 _CLAIMS = "(SELECT 'part ' || l_partkey AS subject, 'returned_as' AS predicate, l_returnflag || l_linestatus AS object FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.1)"
 
 
-@_query(f"WITH c AS {_CLAIMS}, k AS (SELECT predicate, subject, count(DISTINCT object) AS k FROM c GROUP BY ALL), m AS (SELECT predicate FROM k GROUP BY predicate HAVING count(*) >= 3 AND round(avg(k), 6) <= 1.34 AND max(k) < 3) SELECT subject, predicate, min(object) AS first_object, max(object) AS second_object FROM c WHERE predicate IN (FROM m) GROUP BY ALL HAVING min(object) != max(object)")
+@query(f"WITH c AS {_CLAIMS}, k AS (SELECT predicate, subject, count(DISTINCT object) AS k FROM c GROUP BY ALL), m AS (SELECT predicate FROM k GROUP BY predicate HAVING count(*) >= 3 AND round(avg(k), 6) <= 1.34 AND max(k) < 3) SELECT subject, predicate, min(object) AS first_object, max(object) AS second_object FROM c WHERE predicate IN (FROM m) GROUP BY ALL HAVING min(object) != max(object)")
 def conflict_pairs(spark, sf_dir):
-    claims = spark.sql(f"SELECT * FROM {_CLAIMS.replace('FROM lineitem', 'FROM {lines}')}", lines=_table(spark, sf_dir, "lineitem"))
+    claims = spark.sql(f"SELECT * FROM {_CLAIMS.replace('FROM lineitem', 'FROM {lines}')}", lines=table(spark, sf_dir, "lineitem"))
     return algebra.conflicts(claims)
 
 
 # --- graph and rules ---
 
 
-@_query(_view("is_a", "part_of", "located_in") + ", e AS (SELECT DISTINCT subject, object FROM safe), w AS (WITH RECURSIVE w(subject, object, hops) AS (SELECT subject, object, 1 FROM e UNION ALL SELECT w.subject, e.object, hops + 1 FROM w JOIN e ON w.object = e.subject WHERE hops < 6) SELECT subject, object, min(hops) AS hops FROM w WHERE subject != object GROUP BY ALL) SELECT object, hops, count(*) AS n FROM w GROUP BY ALL")
+@query(view("is_a", "part_of", "located_in") + ", e AS (SELECT DISTINCT subject, object FROM safe), w AS (WITH RECURSIVE w(subject, object, hops) AS (SELECT subject, object, 1 FROM e UNION ALL SELECT w.subject, e.object, hops + 1 FROM w JOIN e ON w.object = e.subject WHERE hops < 6) SELECT subject, object, min(hops) AS hops FROM w WHERE subject != object GROUP BY ALL) SELECT object, hops, count(*) AS n FROM w GROUP BY ALL")
 def isa_closure(spark, sf_dir):
     edges = facts(spark, sf_dir, "is_a", "part_of", "located_in").where(hop_safe()).select("subject", "object").distinct()
     return graph.closure(edges).groupBy("object", F.col("hops").cast("long").alias("hops")).agg(F.count("*").alias("n"))
 
 
-@_query(_view("part_of", "located_in") + """, e AS (SELECT subject AS a, object AS b FROM safe UNION SELECT object, subject FROM safe),
+@query(view("part_of", "located_in") + """, e AS (SELECT subject AS a, object AS b FROM safe UNION SELECT object, subject FROM safe),
  w AS (WITH RECURSIVE w(start, node, hops) AS (SELECT DISTINCT subject, subject, 0 FROM safe WHERE predicate = 'part_of' UNION SELECT start, e.b, hops + 1 FROM w JOIN e ON w.node = e.a WHERE hops < 3) SELECT start, node, min(hops) AS hops FROM w GROUP BY ALL)
  SELECT start, hops::BIGINT AS hops, count(*) AS n FROM w GROUP BY ALL""")
 def shortest_path_bounded(spark, sf_dir):
@@ -166,12 +137,12 @@ ORIGIN = rules.Rule("order_origin", (("?a", "owned_by", "?b"), ("?b", "located_i
 _SCORE = "CASE {0}.stability WHEN 'stable' THEN 1.0 WHEN 'semi_stable' THEN 0.7 WHEN 'volatile' THEN 0.3 ELSE 0.5 END::DOUBLE"
 
 
-@_query(_view("is_a") + f"SELECT a.subject, 'is_a' AS predicate, b.object, max(least({_SCORE.format('a')}, {_SCORE.format('b')})) AS confidence, 'classification_chain' AS rule FROM facts a JOIN facts b ON a.object = b.subject WHERE a.subject != b.object GROUP BY a.subject, b.object")
+@query(view("is_a") + f"SELECT a.subject, 'is_a' AS predicate, b.object, max(least({_SCORE.format('a')}, {_SCORE.format('b')})) AS confidence, 'classification_chain' AS rule FROM facts a JOIN facts b ON a.object = b.subject WHERE a.subject != b.object GROUP BY a.subject, b.object")
 def rule_classification_chain(spark, sf_dir):
     return rules.infer(facts(spark, sf_dir, "is_a"), CHAIN)
 
 
-@_query(_view("owned_by", "located_in") + f"SELECT b.object, 'originates_in' AS predicate, least({_SCORE.format('a')}, {_SCORE.format('b')}) AS confidence, count(DISTINCT a.subject) AS n FROM facts a JOIN facts b ON a.object = b.subject WHERE a.predicate = 'owned_by' AND b.predicate = 'located_in' GROUP BY ALL")
+@query(view("owned_by", "located_in") + f"SELECT b.object, 'originates_in' AS predicate, least({_SCORE.format('a')}, {_SCORE.format('b')}) AS confidence, count(DISTINCT a.subject) AS n FROM facts a JOIN facts b ON a.object = b.subject WHERE a.predicate = 'owned_by' AND b.predicate = 'located_in' GROUP BY ALL")
 def rule_order_origin(spark, sf_dir):
     found = rules.infer(facts(spark, sf_dir, "owned_by", "located_in"), ORIGIN)
     return found.groupBy("object", "predicate", "confidence").agg(F.count("*").alias("n"))
@@ -181,23 +152,23 @@ _BIG = "WITH s AS (SELECT DISTINCT 's' || l_suppkey AS subject, 'p' || l_partkey
 
 
 def _producers(spark, sf_dir):
-    lines = _table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.09")
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.09")
     own = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("subject"), F.concat(F.lit("p"), "l_partkey").alias("object")).distinct()
     return own.select("subject", F.lit("produces").alias("predicate"), "object", F.lit("stable").alias("stability"))
 
 
-@_query(_BIG + "SELECT a.subject, 'competes_with' AS predicate, b.subject AS object, 1.0::DOUBLE AS confidence, 'competitor_detection' AS rule FROM s a JOIN s b ON a.object = b.object AND a.subject != b.subject GROUP BY a.subject, b.subject")
+@query(_BIG + "SELECT a.subject, 'competes_with' AS predicate, b.subject AS object, 1.0::DOUBLE AS confidence, 'competitor_detection' AS rule FROM s a JOIN s b ON a.object = b.object AND a.subject != b.subject GROUP BY a.subject, b.subject")
 def rule_competitor(spark, sf_dir):
     return rules.infer(_producers(spark, sf_dir), COMPETITORS)
 
 
-@_query(_BIG + ", gone AS (SELECT * FROM s WHERE object LIKE '%7'), rest AS (SELECT * FROM s EXCEPT SELECT * FROM gone), x AS (SELECT DISTINCT a.subject, b.subject AS object FROM s a JOIN s b ON a.object = b.object AND a.subject != b.subject), y AS (SELECT DISTINCT a.subject, b.subject AS object FROM rest a JOIN rest b ON a.object = b.object AND a.subject != b.subject) SELECT * FROM x EXCEPT SELECT * FROM y")
+@query(_BIG + ", gone AS (SELECT * FROM s WHERE object LIKE '%7'), rest AS (SELECT * FROM s EXCEPT SELECT * FROM gone), x AS (SELECT DISTINCT a.subject, b.subject AS object FROM s a JOIN s b ON a.object = b.object AND a.subject != b.subject), y AS (SELECT DISTINCT a.subject, b.subject AS object FROM rest a JOIN rest b ON a.object = b.object AND a.subject != b.subject) SELECT * FROM x EXCEPT SELECT * FROM y")
 def counterfactual_lost_inferences(spark, sf_dir):
     own = _producers(spark, sf_dir)
     return rules.lost_without(own, COMPETITORS, own.where("object LIKE '%7'")).select("subject", "object")
 
 
-@_query(_view("is_a", "published_by") + ", m AS (SELECT DISTINCT subject, object AS class FROM facts WHERE predicate = 'is_a' AND subject LIKE 'part %'), z AS (SELECT class, count(*) AS population FROM m GROUP BY class) SELECT class, predicate, object, count(*) AS support, population, round(count(*) / population, 6) AS confidence FROM m JOIN (SELECT DISTINCT subject, predicate, object FROM facts WHERE predicate = 'published_by') USING (subject) JOIN z USING (class) GROUP BY class, predicate, object, population HAVING count(*) >= 2 AND round(count(*) / population, 6) >= 0.04")
+@query(view("is_a", "published_by") + ", m AS (SELECT DISTINCT subject, object AS class FROM facts WHERE predicate = 'is_a' AND subject LIKE 'part %'), z AS (SELECT class, count(*) AS population FROM m GROUP BY class) SELECT class, predicate, object, count(*) AS support, population, round(count(*) / population, 6) AS confidence FROM m JOIN (SELECT DISTINCT subject, predicate, object FROM facts WHERE predicate = 'published_by') USING (subject) JOIN z USING (class) GROUP BY class, predicate, object, population HAVING count(*) >= 2 AND round(count(*) / population, 6) >= 0.04")
 def pattern_class_implication(spark, sf_dir):
     own = facts(spark, sf_dir, "is_a", "published_by")
     members = own.where("predicate = 'is_a' AND subject LIKE 'part %'").select("subject", F.col("object").alias("class")).distinct()
@@ -207,58 +178,57 @@ def pattern_class_implication(spark, sf_dir):
 # --- measures ---
 
 
-@_query("SELECT l_suppkey, l_partkey, count(*) AS support, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS sources, (count(DISTINCT l_returnflag) > 1)::INT AS corroborated FROM lineitem GROUP BY ALL")
+@query("SELECT l_suppkey, l_partkey, count(*) AS support, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS sources, (count(DISTINCT l_returnflag) > 1)::INT AS corroborated FROM lineitem GROUP BY ALL")
 def evidence_edge_merge(spark, sf_dir):
-    return measures.merged_evidence(_table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey"], "l_returnflag")
+    return measures.merged_evidence(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey"], "l_returnflag")
 
 
-@_query("SELECT CASE WHEN k < 3 THEN k::VARCHAR WHEN k < 5 THEN '3-4' WHEN k < 10 THEN '5-9' ELSE '10+' END AS bucket, count(*) AS n_groups FROM (SELECT o_orderkey, count(l_orderkey) AS k FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey) GROUP BY bucket")
+@query("SELECT CASE WHEN k < 3 THEN k::VARCHAR WHEN k < 5 THEN '3-4' WHEN k < 10 THEN '5-9' ELSE '10+' END AS bucket, count(*) AS n_groups FROM (SELECT o_orderkey, count(l_orderkey) AS k FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey) GROUP BY bucket")
 def density_histogram(spark, sf_dir):
-    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return measures.density(_table(spark, sf_dir, "orders"), lines, "o_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return measures.density(table(spark, sf_dir, "orders"), lines, "o_orderkey")
 
 
-@_query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def eval_percentiles(spark, sf_dir):
-    return measures.percentiles(_table(spark, sf_dir, "events"), "event_type", "value")
+    return measures.percentiles(table(spark, sf_dir, "events"), "event_type", "value")
 
 
 _FIELDS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-@_query("SELECT field, n_rows, n_missing, round(n_missing / greatest(n_rows, 1), 6) AS missing_share FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS n_rows, count(*) FILTER (coalesce(trim({c}::VARCHAR), '') = '') AS n_missing FROM documents" for c in _FIELDS) + ")")
+@query("SELECT field, n_rows, n_missing, round(n_missing / greatest(n_rows, 1), 6) AS missing_share FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS n_rows, count(*) FILTER (coalesce(trim({c}::VARCHAR), '') = '') AS n_missing FROM documents" for c in _FIELDS) + ")")
 def field_completeness(spark, sf_dir):
-    return measures.completeness(_table(spark, sf_dir, "documents"), list(_FIELDS))
+    return measures.completeness(table(spark, sf_dir, "documents"), list(_FIELDS))
 
 
-@_query("SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ALL")
+@query("SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ALL")
 def source_breakdown(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@_query("SELECT title, sum(weight)::BIGINT AS weight, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM (SELECT n_name AS title, 'customer' AS source, 1 AS weight FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_name, 'supplier', 5 FROM supplier JOIN nation ON s_nationkey = n_nationkey) GROUP BY title")
+@query("SELECT title, sum(weight)::BIGINT AS weight, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM (SELECT n_name AS title, 'customer' AS source, 1 AS weight FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_name, 'supplier', 5 FROM supplier JOIN nation ON s_nationkey = n_nationkey) GROUP BY title")
 def frontier_merge(spark, sf_dir):
     own = facts(spark, sf_dir, "located_in").select(F.col("object").alias("title"), F.when(F.col("ord") < 1_000_000_000, "customer").otherwise("supplier").alias("source"))
     return measures.merged_frontier([own.withColumn("weight", F.when(F.col("source") == "customer", 1).otherwise(5).cast("long"))])
 
 
-@_query("SELECT o_orderkey, o_orderstatus, age_days, ratio, rank() OVER (PARTITION BY o_orderstatus ORDER BY ratio DESC) AS rank FROM (SELECT o_orderkey, o_orderstatus, date_diff('day', o_orderdate::DATE, DATE '2002-01-01') AS age_days, round(date_diff('day', o_orderdate::DATE, DATE '2002-01-01') / CASE o_orderstatus WHEN 'F' THEN 365 WHEN 'O' THEN 30 ELSE 90 END, 6) AS ratio FROM orders)")
+@query("SELECT o_orderkey, o_orderstatus, age_days, ratio, rank() OVER (PARTITION BY o_orderstatus ORDER BY ratio DESC) AS rank FROM (SELECT o_orderkey, o_orderstatus, date_diff('day', o_orderdate::DATE, DATE '2002-01-01') AS age_days, round(date_diff('day', o_orderdate::DATE, DATE '2002-01-01') / CASE o_orderstatus WHEN 'F' THEN 365 WHEN 'O' THEN 30 ELSE 90 END, 6) AS ratio FROM orders)")
 def staleness_ranking(spark, sf_dir):
-    return measures.staleness(_table(spark, sf_dir, "orders"), "o_orderkey", "o_orderdate", "2002-01-01", {"F": 365, "O": 30, "P": 90}, "o_orderstatus")
+    return measures.staleness(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderdate", "2002-01-01", {"F": 365, "O": 30, "P": 90}, "o_orderstatus")
 
 
 # --- event stream ---
 
-_ALERTS = "WITH a AS (SELECT event_id, epoch_us(ts) AS us, ts, user_id AS actor, json_extract_string(props, '$.k')::BIGINT % 5 AS host, event_type AS technique FROM events) "
 _BEFORE = "count(*) OVER (PARTITION BY {0} ORDER BY us RANGE BETWEEN {1} PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY {0}, us) + row_number() OVER (PARTITION BY {0}, us ORDER BY event_id) - 1"
 _DAY, _WEEK, _QUARTER = 24 * events.HOUR, 168 * events.HOUR, events.HOUR // 4
 
 
 def _alerts(spark, sf_dir):
-    return events.alerts(_table(spark, sf_dir, "events"))
+    return events.alerts(table(spark, sf_dir, "events"))
 
 
-@_query(_ALERTS + f"SELECT event_id, {_BEFORE.format('actor, host, technique', _DAY)} AS freq_24h, {_BEFORE.format('actor, technique', _WEEK)} AS freq_7d FROM a")
+@query(ALERTS + f"SELECT event_id, {_BEFORE.format('actor, host, technique', _DAY)} AS freq_24h, {_BEFORE.format('actor, technique', _WEEK)} AS freq_7d FROM a")
 def event_frequencies(spark, sf_dir):
     return events.frequencies(_alerts(spark, sf_dir)).select("event_id", "freq_24h", "freq_7d")
 
@@ -266,33 +236,33 @@ def event_frequencies(spark, sf_dir):
 _FIRST = "(row_number() OVER (PARTITION BY {0} ORDER BY us, event_id) = 1)::INT"
 
 
-@_query(_ALERTS + f"SELECT event_id, {_FIRST.format('actor')} AS novel_actor, {_FIRST.format('actor, host')} AS novel_host_for_actor, {_FIRST.format('actor, host, technique')} AS novel_actor_host_technique FROM a")
+@query(ALERTS + f"SELECT event_id, {_FIRST.format('actor')} AS novel_actor, {_FIRST.format('actor, host')} AS novel_host_for_actor, {_FIRST.format('actor, host, technique')} AS novel_actor_host_technique FROM a")
 def novelty_flags(spark, sf_dir):
     return events.novelty(_alerts(spark, sf_dir)).select("event_id", "novel_actor", "novel_host_for_actor", "novel_actor_host_technique")
 
 
-@_query(_ALERTS + ", b AS (SELECT *, hour(ts) // 6 + CASE WHEN dayofweek(ts) IN (0, 6) THEN 4 ELSE 0 END AS band FROM a), c AS (SELECT *, count(*) OVER (PARTITION BY actor, band ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same, count(*) OVER (PARTITION BY actor ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS total FROM b) SELECT event_id, band::BIGINT AS band, round((same + 1) / (total + 8), 6) AS typicality, (same = 0)::INT AS never_active FROM c")
+@query(ALERTS + ", b AS (SELECT *, hour(ts) // 6 + CASE WHEN dayofweek(ts) IN (0, 6) THEN 4 ELSE 0 END AS band FROM a), c AS (SELECT *, count(*) OVER (PARTITION BY actor, band ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same, count(*) OVER (PARTITION BY actor ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS total FROM b) SELECT event_id, band::BIGINT AS band, round((same + 1) / (total + 8), 6) AS typicality, (same = 0)::INT AS never_active FROM c")
 def time_typicality(spark, sf_dir):
     return events.time_typicality(_alerts(spark, sf_dir)).select("event_id", "band", "typicality", "never_active")
 
 
-@_query(_ALERTS + f"SELECT x.event_id, count(DISTINCT y.technique) AS diversity FROM a x JOIN a y ON x.actor = y.actor AND y.us BETWEEN x.us - {_QUARTER} AND x.us AND (y.us < x.us OR y.event_id <= x.event_id) GROUP BY x.event_id")
+@query(ALERTS + f"SELECT x.event_id, count(DISTINCT y.technique) AS diversity FROM a x JOIN a y ON x.actor = y.actor AND y.us BETWEEN x.us - {_QUARTER} AND x.us AND (y.us < x.us OR y.event_id <= x.event_id) GROUP BY x.event_id")
 def tactic_diversity_15m(spark, sf_dir):
     return events.diversity(_alerts(spark, sf_dir)).select("event_id", "diversity")
 
 
-@_query(_ALERTS + f"SELECT event_id, coalesce(technique IN ('purchase', 'error') AND us - max(CASE WHEN technique = 'view' THEN us END) OVER (PARTITION BY actor ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {_QUARTER}, false)::INT AS escalation FROM a")
+@query(ALERTS + f"SELECT event_id, coalesce(technique IN ('purchase', 'error') AND us - max(CASE WHEN technique = 'view' THEN us END) OVER (PARTITION BY actor ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {_QUARTER}, false)::INT AS escalation FROM a")
 def escalation_chain(spark, sf_dir):
     return events.escalation(_alerts(spark, sf_dir), "view", ("purchase", "error")).select("event_id", "escalation")
 
 
-@_query("WITH d AS (SELECT list_sort(list(DISTINCT ts::DATE)) AS d FROM events) SELECT CASE WHEN ts::DATE < d[floor(len(d) * 0.7)::INT + 1] THEN 'train' ELSE 'test' END AS part, event_type, count(*) AS n FROM events, d GROUP BY ALL")
+@query("WITH d AS (SELECT list_sort(list(DISTINCT ts::DATE)) AS d FROM events) SELECT CASE WHEN ts::DATE < d[floor(len(d) * 0.7)::INT + 1] THEN 'train' ELSE 'test' END AS part, event_type, count(*) AS n FROM events, d GROUP BY ALL")
 def chronological_split(spark, sf_dir):
-    split = events.chronological_split(_table(spark, sf_dir, "events"))
+    split = events.chronological_split(table(spark, sf_dir, "events"))
     return split.groupBy("part", "event_type").agg(F.count("*").alias("n"))
 
 
-@_query(_ALERTS + "SELECT incident_id, event_id, gap_us FROM (SELECT x.event_id AS incident_id, y.event_id, abs(x.us - y.us) AS gap_us, row_number() OVER (PARTITION BY x.event_id ORDER BY abs(x.us - y.us), y.event_id) AS n FROM a x JOIN a y ON x.actor = y.actor AND abs(x.us - y.us) <= 3600000000 WHERE x.technique = 'signup') WHERE n <= 10")
+@query(ALERTS + "SELECT incident_id, event_id, gap_us FROM (SELECT x.event_id AS incident_id, y.event_id, abs(x.us - y.us) AS gap_us, row_number() OVER (PARTITION BY x.event_id ORDER BY abs(x.us - y.us), y.event_id) AS n FROM a x JOIN a y ON x.actor = y.actor AND abs(x.us - y.us) <= 3600000000 WHERE x.technique = 'signup') WHERE n <= 10")
 def incident_interval_join(spark, sf_dir):
     own = _alerts(spark, sf_dir)
     return events.near_incidents(own, own.where("technique = 'signup'").withColumnRenamed("event_id", "incident_id"), events.HOUR)
@@ -300,66 +270,64 @@ def incident_interval_join(spark, sf_dir):
 
 # --- text ---
 
-_PLAIN = "trim(regexp_replace(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
-_TOKENS = f"list_filter(string_split({_PLAIN}, ' '), lambda t: t != '')"
 _GRAMS = "list_transform(range(1, greatest(len(w) - {0} + 2, 1)), lambda k: array_to_string(list_slice(w, k, k + {0} - 1), ' '))"
 
 
-@_query(f"WITH h AS (SELECT doc_id, substr(sha256({_PLAIN.format('text')}), 1, 16) AS hash FROM documents) SELECT doc_id, hash, min(doc_id) OVER (PARTITION BY hash) AS first_doc, (doc_id != min(doc_id) OVER (PARTITION BY hash))::INT AS is_duplicate FROM h")
+@query(f"WITH h AS (SELECT doc_id, substr(sha256({PLAIN.format('text')}), 1, 16) AS hash FROM documents) SELECT doc_id, hash, min(doc_id) OVER (PARTITION BY hash) AS first_doc, (doc_id != min(doc_id) OVER (PARTITION BY hash))::INT AS is_duplicate FROM h")
 def dedupe_content_hash(spark, sf_dir):
-    return text.duplicates(_table(spark, sf_dir, "documents"))
+    return text.duplicates(table(spark, sf_dir, "documents"))
 
 
-_GATE = f"SELECT doc_id, CASE WHEN coalesce(trim(text), '') IN ('', '[deleted]', '[removed]') THEN 'deleted_or_empty' WHEN length(text) < 40 THEN 'too_short' WHEN contains(text, '!! ') THEN 'shouting' WHEN len(list_distinct({_TOKENS.format('text')})) * 4 < len({_TOKENS.format('text')}) THEN 'repetitive' ELSE 'accept' END AS verdict FROM documents"
+_GATE = f"SELECT doc_id, CASE WHEN coalesce(trim(text), '') IN ('', '[deleted]', '[removed]') THEN 'deleted_or_empty' WHEN length(text) < 40 THEN 'too_short' WHEN contains(text, '!! ') THEN 'shouting' WHEN len(list_distinct({TOKENS.format('text')})) * 4 < len({TOKENS.format('text')}) THEN 'repetitive' ELSE 'accept' END AS verdict FROM documents"
 
 
-@_query(_GATE)
+@query(_GATE)
 def community_gate(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", text.gate(F.col("text")).alias("verdict"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.gate(F.col("text")).alias("verdict"))
 
 
-@_query(f"WITH g AS ({_GATE}), c AS (SELECT count(*) FILTER (quality = 0 AND verdict != 'accept') AS tp, count(*) FILTER (quality != 0 AND verdict != 'accept') AS fp, count(*) FILTER (quality = 0 AND verdict = 'accept') AS fn, count(*) FILTER (quality != 0 AND verdict = 'accept') AS tn FROM g JOIN labels USING (doc_id)) SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c")
+@query(f"WITH g AS ({_GATE}), c AS (SELECT count(*) FILTER (quality = 0 AND verdict != 'accept') AS tp, count(*) FILTER (quality != 0 AND verdict != 'accept') AS fp, count(*) FILTER (quality = 0 AND verdict = 'accept') AS fn, count(*) FILTER (quality != 0 AND verdict = 'accept') AS tn FROM g JOIN labels USING (doc_id)) SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c")
 def gate_metrics(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id")
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return measures.classification(rows, F.col("quality") == 0, text.gate(F.col("text")) != "accept")
 
 
-@_query(f"WITH t AS (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents), g AS (SELECT doc_id, unnest({_GRAMS.format(2)}) AS ngram FROM t) SELECT ngram, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_documents FROM g GROUP BY ngram HAVING count(*) >= 2")
+@query(f"WITH t AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents), g AS (SELECT doc_id, unnest({_GRAMS.format(2)}) AS ngram FROM t) SELECT ngram, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_documents FROM g GROUP BY ngram HAVING count(*) >= 2")
 def ngram_counts(spark, sf_dir):
-    return text.ngram_counts(_table(spark, sf_dir, "documents"), 2)
+    return text.ngram_counts(table(spark, sf_dir, "documents"), 2)
 
 
-@_query(f"WITH l AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), t AS (SELECT {_TOKENS.format('line')} AS w FROM l), p AS (SELECT w, k, unnest([1, 2, 3, 4]) AS lag FROM (SELECT w, unnest(range(1, len(w) + 1)) AS k FROM t)), q AS (SELECT least(w[k], w[k + lag]) AS a, greatest(w[k], w[k + lag]) AS b FROM p WHERE k + lag <= len(w) AND w[k] != w[k + lag]) SELECT a, b, count(*) AS weight FROM q GROUP BY a, b HAVING count(*) >= 5")
+@query(f"WITH l AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), t AS (SELECT {TOKENS.format('line')} AS w FROM l), p AS (SELECT w, k, unnest([1, 2, 3, 4]) AS lag FROM (SELECT w, unnest(range(1, len(w) + 1)) AS k FROM t)), q AS (SELECT least(w[k], w[k + lag]) AS a, greatest(w[k], w[k + lag]) AS b FROM p WHERE k + lag <= len(w) AND w[k] != w[k + lag]) SELECT a, b, count(*) AS weight FROM q GROUP BY a, b HAVING count(*) >= 5")
 def cooccurrence_edges(spark, sf_dir):
-    return text.cooccurrence(_table(spark, sf_dir, "documents"))
+    return text.cooccurrence(table(spark, sf_dir, "documents"))
 
 
-@_query(f"WITH t AS (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents), g AS (SELECT DISTINCT doc_id, unnest({_GRAMS.format(4)}) AS gram FROM t), k AS (SELECT DISTINCT unnest({_GRAMS.format(4)}) AS gram FROM (SELECT {_TOKENS.format('text')} AS w FROM benchmark)) SELECT doc_id, count(*) AS n_shared FROM g JOIN k USING (gram) GROUP BY doc_id")
+@query(f"WITH t AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents), g AS (SELECT DISTINCT doc_id, unnest({_GRAMS.format(4)}) AS gram FROM t), k AS (SELECT DISTINCT unnest({_GRAMS.format(4)}) AS gram FROM (SELECT {TOKENS.format('text')} AS w FROM benchmark)) SELECT doc_id, count(*) AS n_shared FROM g JOIN k USING (gram) GROUP BY doc_id")
 def novelty_guard(spark, sf_dir):
-    return text.overlap(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return text.overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_LONG = f"unnest(list_distinct(list_filter({_TOKENS.format('text')}, lambda t: length(t) >= 9)))"
+_LONG = f"unnest(list_distinct(list_filter({TOKENS.format('text')}, lambda t: length(t) >= 9)))"
 
 
-@_query(f"WITH d AS (SELECT doc_id, {_LONG} AS word FROM documents), b AS (SELECT item_id, {_LONG} AS word FROM benchmark), h AS (SELECT item_id, doc_id, count(*) AS matched FROM d JOIN b USING (word) GROUP BY ALL HAVING count(*) >= 2) SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY matched DESC, doc_id) AS rank, doc_id, matched FROM h) WHERE rank <= 3")
+@query(f"WITH d AS (SELECT doc_id, {_LONG} AS word FROM documents), b AS (SELECT item_id, {_LONG} AS word FROM benchmark), h AS (SELECT item_id, doc_id, count(*) AS matched FROM d JOIN b USING (word) GROUP BY ALL HAVING count(*) >= 2) SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY matched DESC, doc_id) AS rank, doc_id, matched FROM h) WHERE rank <= 3")
 def lexical_search(spark, sf_dir):
-    return text.lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return text.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@_query("WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), r AS (" + " UNION ".join(f"SELECT doc_id, '{name}' AS predicate, regexp_extract(line, '{pattern}', 1) AS object FROM l" for name, pattern in text.PATTERNS) + ") SELECT * FROM r WHERE object != ''")
+@query("WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), r AS (" + " UNION ".join(f"SELECT doc_id, '{name}' AS predicate, regexp_extract(line, '{pattern}', 1) AS object FROM l" for name, pattern in text.PATTERNS) + ") SELECT * FROM r WHERE object != ''")
 def relation_extraction(spark, sf_dir):
-    return text.extracted_relations(_table(spark, sf_dir, "documents"))
+    return text.extracted_relations(table(spark, sf_dir, "documents"))
 
 
-@_query(f"WITH t AS (SELECT role, unnest({_TOKENS.format('text')}) AS term FROM conversations), c AS (SELECT role, term, count(*) AS n FROM t GROUP BY ALL) SELECT * FROM (SELECT role, row_number() OVER (PARTITION BY role ORDER BY n DESC, term) AS rank, term, n FROM c) WHERE rank <= 50")
+@query(f"WITH t AS (SELECT role, unnest({TOKENS.format('text')}) AS term FROM conversations), c AS (SELECT role, term, count(*) AS n FROM t GROUP BY ALL) SELECT * FROM (SELECT role, row_number() OVER (PARTITION BY role ORDER BY n DESC, term) AS rank, term, n FROM c) WHERE rank <= 50")
 def speaking_profile(spark, sf_dir):
-    return text.top_terms(_table(spark, sf_dir, "conversations"))
+    return text.top_terms(table(spark, sf_dir, "conversations"))
 
 
-@_query("SELECT conv_id, turn, count(*) OVER w AS turn_counter, (count(*) FILTER (role = 'assistant') OVER w)::BIGINT AS confirmed_counter FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)")
+@query("SELECT conv_id, turn, count(*) OVER w AS turn_counter, (count(*) FILTER (role = 'assistant') OVER w)::BIGINT AS confirmed_counter FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)")
 def dialogue_counters(spark, sf_dir):
-    return text.turn_counters(_table(spark, sf_dir, "conversations"))
+    return text.turn_counters(table(spark, sf_dir, "conversations"))
 
 
 # --- vectors ---
@@ -367,21 +335,21 @@ def dialogue_counters(spark, sf_dir):
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0), m AS (SELECT label, dim, avg(v[dim + 1]) AS m FROM u, (SELECT unnest(range(64)) AS dim) GROUP BY ALL), c AS (SELECT label, dim, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS value FROM m)"
 
 
-@_query(f"WITH {_UNIT} SELECT label, dim::INT AS dim, round(value, 6) AS value FROM c")
+@query(f"WITH {_UNIT} SELECT label, dim::INT AS dim, round(value, 6) AS value FROM c")
 def centroid_build(spark, sf_dir):
-    return measures.centroids(_table(spark, sf_dir, "embeddings")).withColumn("value", F.round("value", 6))
+    return measures.centroids(table(spark, sf_dir, "embeddings")).withColumn("value", F.round("value", 6))
 
 
-@_query(f"WITH {_UNIT}, k AS (SELECT label, list(value ORDER BY dim) AS c FROM c GROUP BY label), s AS (SELECT vec_id, k.label, round(list_dot_product(v, c), 6) AS score FROM u, k), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS n FROM s) SELECT a.label AS best_label, CASE WHEN a.score >= 0.5 AND a.score - b.score >= 0.1 THEN 'match' ELSE 'abstain' END AS decision, count(*) AS n FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.n = 1 AND b.n = 2 GROUP BY ALL")
+@query(f"WITH {_UNIT}, k AS (SELECT label, list(value ORDER BY dim) AS c FROM c GROUP BY label), s AS (SELECT vec_id, k.label, round(list_dot_product(v, c), 6) AS score FROM u, k), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS n FROM s) SELECT a.label AS best_label, CASE WHEN a.score >= 0.5 AND a.score - b.score >= 0.1 THEN 'match' ELSE 'abstain' END AS decision, count(*) AS n FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.n = 1 AND b.n = 2 GROUP BY ALL")
 def centroid_margin_classify(spark, sf_dir):
-    own = _table(spark, sf_dir, "embeddings")
+    own = table(spark, sf_dir, "embeddings")
     found = measures.nearest_centroid(own, measures.centroids(own), 0.5, 0.1)
     return found.groupBy("best_label", "decision").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
