@@ -104,3 +104,14 @@ def transitions(rows: DataFrame, least_seconds: int) -> DataFrame:
         .otherwise("moves")
     )
     return rows.select("event_id", F.col("host").alias("place"), "before", verdict.alias("verdict"))
+
+
+def multi_technique(rows: DataFrame) -> DataFrame:
+    """(event_id, n_techniques, freq_7d, novel): least trailing count and any novelty over a row's techniques.
+
+    ``rows`` has (event_id, us, actor, techniques); equal techniques of a row count once, rows without any have no row.
+    """
+    each = rows.select("event_id", "us", "actor", F.explode(F.array_distinct("techniques")).alias("technique"))
+    keys = ["actor", "technique"]
+    each = each.withColumns({"_f": strictly_before(keys, 168 * HOUR), "_n": first_of(*keys)})
+    return each.groupBy("event_id").agg(F.count("*").alias("n_techniques"), F.min("_f").alias("freq_7d"), F.max("_n").alias("novel"))

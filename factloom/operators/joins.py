@@ -154,3 +154,52 @@ def top_rows(rows: DataFrame, by: list[str], order: list[Column], keep: int) ->
     """The first ``keep`` rows of each group, with their ``rank``; a report of the best, not a filter of the data."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return rows.withColumn("rank", place).where(F.col("rank") <= keep)
+
+
+def definitions(entities: DataFrame, known: DataFrame) -> DataFrame:
+    """(entity_id, definition, score): the best definition of each entity.
+
+    ``entities`` is (entity_id, label, aliases, page), ``known`` (ord, subject, definition, page).
+    A subject that is the label or page gives 100, the first definition of the entity's page 80
+    (later ones give less and never win), an alias 10. Ties go to the least ord; entities without any have no row.
+    """
+    rows = known.select("ord", "definition", lookup_key(F.col("subject")).alias("key"), lookup_key(F.col("page")).alias("_page"))
+    first = rows.groupBy("key").agg(F.min_by(F.struct("ord", "definition"), "ord").alias("d"))
+    paged = rows.where("_page != ''").groupBy(F.col("_page").alias("key")).agg(F.min_by(F.struct("ord", "definition"), "ord").alias("d"))
+    name = lambda c, points: F.struct(lookup_key(c).alias("key"), F.lit(points).alias("score"))
+    aliases = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: name(a, 10))
+    asked = entities.select("entity_id", F.explode(F.concat(F.array(name(F.col("label"), 100), name(F.col("page"), 100)), aliases)).alias("n"))
+    direct = asked.select("entity_id", "n.key", "n.score").where("key != ''").join(first, "key").select("entity_id", "score", "d")
+    near = entities.select("entity_id", lookup_key(F.col("page")).alias("key")).where("key != ''").join(paged, "key").select("entity_id", F.lit(80).alias("score"), "d")
+    best = direct.unionByName(near).groupBy("entity_id").agg(F.max_by(F.struct("d", "score"), F.struct("score", -F.col("d.ord"))).alias("b"))
+    return best.select("entity_id", "b.d.definition", F.col("b.score").cast("long").alias("score"))
+
+
+def membership(asked: DataFrame, reach: DataFrame, direct: DataFrame, groups: DataFrame) -> DataFrame:
+    """(subject, class, verdict): ``yes`` by a path, ``no`` where a class of the subject is of another group, else ``audit``.
+
+    ``reach`` and ``direct`` are (subject, object), ``groups`` (class, group) with one group a class.
+    """
+    asked = asked.select("subject", "class").distinct()
+    yes = reach.select("subject", F.col("object").alias("class")).distinct().withColumn("_yes", F.lit(True))
+    own = direct.join(groups, F.col("object") == F.col("class")).select("subject", F.col("group").alias("_own")).distinct()
+    other = asked.join(groups, "class").join(own, "subject").where("group != _own").select("subject", "class").distinct().withColumn("_no", F.lit(True))
+    out = asked.join(yes, ["subject", "class"], "left").join(other, ["subject", "class"], "left")
+    return out.select("subject", "class", F.when(F.col("_yes"), "yes").when(F.col("_no"), "no").otherwise("audit").alias("verdict"))
+
+
+def one_to_one(cases: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """(key, status): ``matched`` once on each side, ``repeated``, ``missing`` without a result, ``extra`` without a case."""
+    count = lambda rows, name: rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(name))
+    both = count(cases, "_a").join(count(results, "_b"), key, "full")
+    status = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "extra").when((F.col("_a") > 1) | (F.col("_b") > 1), "repeated").otherwise("matched")
+    return both.select(key, status.alias("status"))
+
+
+def weighted_pick(options: DataFrame, seed: str) -> DataFrame:
+    """(src, dst): one option of each source, drawn by weight from a hash of seed and source, the same in every run."""
+    order = Window.partitionBy("src").orderBy(F.desc("weight"), "dst").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = F.conv(F.substring(F.sha2(F.encode(F.concat(F.lit(f"{seed}:"), "src"), "UTF-8"), 256), 1, 12), 16, 10).cast("long")
+    rows = options.where("weight > 0").withColumn("_to", F.sum("weight").over(order)).withColumn("_all", F.sum("weight").over(Window.partitionBy("src")))
+    pick = drawn % F.col("_all")
+    return rows.where((pick < F.col("_to")) & (pick >= F.col("_to") - F.col("weight"))).select("src", "dst")
