@@ -117,3 +117,16 @@ def entities_in_window(turns: DataFrame, n: int = 3, least: int = 12) -> DataFra
     seen = rows.groupBy("conv_id", "word").agg(F.max(F.struct("turn", -F.col("at"))).alias("s"))
     in_order = F.array_sort(F.collect_list(F.struct(F.col("s.turn").alias("turn"), (-F.col("s.col2")).alias("at"), "word")))
     return seen.groupBy("conv_id").agg(F.array_join(F.transform(in_order, lambda s: s["word"]), " ").alias("entities"))
+
+
+def cached(questions: DataFrame, cache: DataFrame, now: str, hours: int = 168, least: int = 5, longest: int = 3) -> DataFrame:
+    """(columns, key): the longest live key of the cache among each question's words, ties to the smaller; null without one.
+
+    ``cache`` is (key, fetched), plain words; a key lives for some hours and has ``least`` letters or more.
+    ``questions`` has (question_id, text).
+    """
+    live = cache.where((F.col("fetched") + F.expr(f"INTERVAL {int(hours)} HOURS") > F.lit(now).cast("timestamp")) & (F.length("key") >= least)).select("key").distinct()
+    grams = F.concat(*(ngrams(F.col("text"), n) for n in range(1, longest + 1)))
+    hits = questions.select("question_id", F.explode(F.array_distinct(grams)).alias("key")).join(live, "key")
+    best = hits.groupBy("question_id").agg(F.min_by("key", F.struct(-F.length("key"), F.col("key"))).alias("key"))
+    return questions.select("question_id").distinct().join(best, "question_id", "left")

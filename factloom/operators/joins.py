@@ -203,3 +203,20 @@ def weighted_pick(options: DataFrame, seed: str) -> DataFrame:
     rows = options.where("weight > 0").withColumn("_to", F.sum("weight").over(order)).withColumn("_all", F.sum("weight").over(Window.partitionBy("src")))
     pick = drawn % F.col("_all")
     return rows.where((pick < F.col("_to")) & (pick >= F.col("_to") - F.col("weight"))).select("src", "dst")
+
+
+def cohort(rows: DataFrame, key: str, predicate: str, title: str, wanted: list[str]) -> DataFrame:
+    """(title, key): keys that hold all wanted predicates; of equal titles the key whose SHA-256 is least stays."""
+    has = [F.max((F.col(predicate) == p).cast("int")).alias(f"_{n}") for n, p in enumerate(wanted)]
+    whole = rows.where(F.col(title).isNotNull()).groupBy(title, key).agg(*has).where(" AND ".join(f"_{n} = 1" for n in range(len(wanted))))
+    return whole.groupBy(title).agg(F.min_by(key, F.sha2(F.col(key).cast("string").cast("binary"), 256)).alias(key))
+
+
+def capped_evidence(facts: DataFrame, by: list[str], keep: int) -> DataFrame:
+    """(by, support, evidence): the number of facts of each group and its first ``keep`` subjects in order, ``|`` between them.
+
+    Subjects are ranked before they are collected, so no group is collected whole.
+    """
+    few = top_rows(facts.select(*by, "subject").distinct(), by, [F.col("subject")], keep)
+    few = few.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "subject"))), lambda s: s["subject"]), "|").alias("evidence"))
+    return facts.groupBy(*by).agg(F.count("*").alias("support")).join(few, by)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import dialogue, events, graph, joins, routing
+from factloom.operators import corpus, dialogue, events, graph, joins, routing
 from factloom.operators.text import PATTERNS, extracted_relations, ngrams, tokens
 from factloom.plans.shared import ALERTS, TOKENS, query, table, view
 from factloom.sources import records
@@ -132,3 +132,26 @@ def pattern_consolidation(spark, sf_dir):
     per = found.groupBy("predicate", "object", "source").agg(F.count_distinct("doc_id").alias("k"))
     out = per.groupBy("predicate", "object").agg(F.sum("k").alias("support"), F.count("source").alias("sources"))
     return out.withColumn("confidence", F.expr(_CONFIDENCE))
+
+
+@query("WITH k AS (SELECT c_mktsegment || ' ' || c_nationkey AS title, c_custkey FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL HAVING count(*) FILTER (o_orderstatus = 'F') > 0 AND count(*) FILTER (o_orderstatus = 'O') > 0) SELECT title, arg_min(c_custkey, sha256(c_custkey::VARCHAR)) AS c_custkey FROM k GROUP BY title")
+def density_cohort(spark, sf_dir):
+    own = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" ", "c_mktsegment", "c_nationkey").alias("title"))
+    rows = own.join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    return joins.cohort(rows, "c_custkey", "o_orderstatus", "title", ["F", "O"])
+
+
+@query(view("is_a", "located_in") + ", r AS (SELECT DISTINCT predicate, object, subject FROM facts), k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY predicate, object ORDER BY subject) <= 5), e AS (SELECT predicate, object, string_agg(subject, '|' ORDER BY subject) AS evidence FROM k GROUP BY ALL) SELECT predicate, object, n AS support, evidence FROM (SELECT predicate, object, count(*) AS n FROM facts GROUP BY ALL) JOIN e USING (predicate, object)")
+def capped_evidence(spark, sf_dir):
+    return joins.capped_evidence(facts(spark, sf_dir, "is_a", "located_in"), ["predicate", "object"], 5)
+
+
+_KEYS = f"SELECT w[1] AS key, TIMESTAMP '2024-01-01' + (item_id % 14) * INTERVAL 1 DAY AS fetched FROM (SELECT item_id, {TOKENS.format('text')} AS w FROM benchmark) WHERE len(w) > 0"
+
+
+@query(f"WITH k AS (SELECT DISTINCT key FROM ({_KEYS}) WHERE fetched + INTERVAL 168 HOUR > TIMESTAMP '2024-01-14' AND length(key) >= 5), g AS (SELECT conv_id * 1000 + turn AS question_id, unnest({TOKENS.format('text')}) AS key FROM conversations), b AS (SELECT question_id, key FROM g JOIN k USING (key) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY length(key) DESC, key) = 1) SELECT DISTINCT conv_id * 1000 + turn AS question_id, key FROM conversations LEFT JOIN b ON b.question_id = conv_id * 1000 + turn")
+def cache_lookup(spark, sf_dir):
+    own = table(spark, sf_dir, "benchmark").select("item_id", F.try_element_at(tokens(F.col("text")), F.lit(1)).alias("key")).where("key IS NOT NULL")
+    known = own.select("key", F.expr("TIMESTAMP '2024-01-01' + make_dt_interval(item_id % 14)").alias("fetched"))
+    asked = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
+    return corpus.cached(asked, known, "2024-01-14")

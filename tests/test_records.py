@@ -71,3 +71,20 @@ def test_multi_technique_takes_least_count_and_any_novelty(spark):
     rows = [(1, 0, "u", ["a", "a"]), (2, 5, "u", ["a", "b"]), (3, 9, "u", ["a"]), (4, 9, "v", None)]
     got = {tuple(r) for r in events.multi_technique(spark.createDataFrame(rows, "event_id long, us long, actor string, techniques array<string>")).collect()}
     assert got == {(1, 1, 0, 1), (2, 2, 0, 1), (3, 1, 2, 0)}
+
+
+def test_cohort_skips_repeated_titles(spark):
+    rows = [(1, "p", "t"), (1, "q", "t"), (2, "p", "t"), (2, "q", "t"), (3, "p", "u"), (4, "p", None), (4, "q", None)]
+    got = [tuple(r) for r in joins.cohort(spark.createDataFrame(rows, "id long, predicate string, title string"), "id", "predicate", "title", ["p", "q"]).collect()]
+    assert got == [("t", min((1, 2), key=lambda k: sha256(str(k).encode()).hexdigest()))]
+
+
+def test_cache_takes_the_longest_live_key(spark):
+    import datetime
+
+    from factloom.operators import corpus
+
+    day = lambda d: datetime.datetime(2024, 1, d)
+    cache = spark.createDataFrame([("alpha", day(10)), ("alpha beta", day(10)), ("gamma", day(1)), ("tiny", day(10)), (None, day(10))], "key string, fetched timestamp")
+    asked = spark.createDataFrame([(1, "Alpha, beta gamma"), (2, "gamma tiny"), (3, None)], "question_id long, text string")
+    assert {tuple(r) for r in corpus.cached(asked, cache, "2024-01-12").collect()} == {(1, "alpha beta"), (2, None), (3, None)}
