@@ -16,11 +16,14 @@ def spans(documents: DataFrame, surfaces: DataFrame, longest: int = 3) -> DataFr
     text, fewer than its words, are chosen in order.
     """
 
+    none = F.array().cast("array<struct<place:int,n:int,surface:string>>")
+
     def placed(n: int) -> Column:
-        return F.transform(ngrams(F.col("text"), n), lambda g, i: F.struct(i.alias("place"), F.lit(n).alias("n"), g.alias("surface")))
+        gram = lambda k: F.struct(k.alias("place"), F.lit(n).alias("n"), F.array_join(F.slice("w", k + 1, F.lit(n)), " ").alias("surface"))
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), gram)).otherwise(none)
 
-    own = [placed(n) for n in range(1, longest + 1)]
-    rows = documents.select("doc_id", F.explode(F.concat(*own)).alias("g")).select("doc_id", "g.*")
+    rows = documents.select("doc_id", tokens(F.col("text")).alias("w"))
+    rows = rows.select("doc_id", F.explode(F.concat(*(placed(n) for n in range(1, longest + 1)))).alias("g")).select("doc_id", "g.*")
     hits = rows.join(surfaces.where("surface IS NOT NULL").select("surface").distinct(), "surface").groupBy("doc_id", "place").agg(F.max_by(F.struct("n", "surface"), "n").alias("b"))
     in_order = F.array_sort(F.collect_list(F.struct("place", "b.n", "b.surface")))
     chosen = F.aggregate(
