@@ -5,6 +5,9 @@ letters and digits, and sentences that are known are replaced by their identifie
 identifiers of a text, in order, are then matched against an ordered list of rules; a
 rule that matches takes its identifiers away from the later, less specific rules. Only
 DataFrame functions are used, row by row, so the scan needs no shuffle.
+
+``with_licenses`` cuts at every line end and has its SQL. ``with_wrapped_licenses`` knows
+more sentences and finds them across the line ends of a paragraph, too.
 """
 
 from __future__ import annotations
@@ -88,6 +91,52 @@ RULES = (
     ("MIT", ("MitTitle",)),
 )
 
+_CC_NAMES = {"by": "attribution", "by sa": "attribution sharealike", "by nc": "attribution noncommercial", "by nd": "attribution noderivatives", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
+_CC_KINDS = {"4 0": "international", "3 0": "unported"}
+_GRANTS = ("licensed under", "released under", "available under", "distributed under", "this work is licensed under", "this project is licensed under")
+
+
+def _cc_sentences() -> dict[str, str]:
+    out = {}
+    for code, name in _CC_NAMES.items():
+        for version, kind in _CC_KINDS.items():
+            full = f"creative commons {name} {version}"
+            names = [f"cc {code} {version}", *(f"{the}{full}{tail}" for the in ("", "a ", "the ") for tail in ("", f" {kind}", " license", f" {kind} license"))]
+            if "noncommercial" in full or "noderivatives" in full:
+                names += [n.replace("noncommercial", "non commercial").replace("noderivatives", "no derivatives") for n in names[1:]]
+            ref = "Cc" + code.title().replace(" ", "") + version.split()[0] + "Ref"
+            out |= {f"{grant} {n}": ref for grant in _GRANTS for n in names}
+    zero = ("cc0", "cc0 1 0", "cc0 1 0 universal", "the cc0 1 0 universal license", "creative commons zero v1 0 universal", "the creative commons zero license")
+    return out | {f"{grant} {n}": "Cc0Ref" for grant in (*_GRANTS, "dedicated to the public domain under") for n in zero}
+
+
+def _gnu_sentences() -> dict[str, str]:
+    """Notices that put a comma, or nothing, before the version, which makes one sentence of two."""
+    out = {}
+    for name, code, versions in (("general", "Gpl", "23"), ("lesser general", "Lgpl", "23"), ("affero general", "Agpl", "3")):
+        terms = f"you can redistribute it and or modify it under the terms of the gnu {name} public license as published by the free software foundation"
+        out[terms] = f"{code}Terms"
+        for v in versions:
+            full = "2 1" if code == "Lgpl" and v == "2" else v
+            out[f"{terms} either version {full} of the license or at your option any later version"] = f"{code}{v}PlusTerms"
+            out[f"{terms} version {full} of the license"] = out[f"{terms} version {full}"] = f"{code}{v}OnlyTerms"
+    return out | {"either version 2 1 of the license or at your option any later version": "Version21Plus"}
+
+
+#: What ``with_wrapped_licenses`` knows besides; "/" stands for a cut within a sentence.
+WRAPPED_SENTENCES = SENTENCES | {s: i for s, i in (_cc_sentences() | _gnu_sentences()).items() if s not in SENTENCES} | {
+    "this source code form is subject to the terms of the mozilla public license v/2 0": "Mpl2Ref",
+}
+
+WRAPPED_RULES = (
+    *((f"{name}-{version}-or-later", ("FreeSoftware", f"{code}{v}PlusTerms", *hope)) for hope in (("GplHope",), ()) for name, code, v, version in (("GPL", "Gpl", "3", "3.0"), ("GPL", "Gpl", "2", "2.0"), ("LGPL", "Lgpl", "3", "3.0"), ("LGPL", "Lgpl", "2", "2.1"), ("AGPL", "Agpl", "3", "3.0"))),
+    *((f"{name}-{version}-or-later", ("FreeSoftware", f"{code}Terms", plus)) for name, code, plus, version in (("LGPL", "Lgpl", "Version3Plus", "3.0"), ("LGPL", "Lgpl", "Version21Plus", "2.1"), ("AGPL", "Agpl", "Version3Plus", "3.0"))),
+    *((f"{name}-{version}-only", ("FreeSoftware", f"{code}{v}OnlyTerms")) for name, code, v, version in (("GPL", "Gpl", "3", "3.0"), ("GPL", "Gpl", "2", "2.0"), ("LGPL", "Lgpl", "3", "3.0"), ("LGPL", "Lgpl", "2", "2.1"), ("AGPL", "Agpl", "3", "3.0"))),
+    *RULES,
+    *((f"CC-{code.upper().replace(' ', '-')}-{version.replace(' ', '.')}", ("Cc" + code.title().replace(" ", "") + version[0] + "Ref",)) for code in _CC_NAMES for version in _CC_KINDS if (code, version) not in (("by", "4 0"), ("by sa", "4 0"))),
+    ("CC0-1.0", ("Cc0Ref",)),
+)
+
 
 def _tag(ids: tuple[str, ...]) -> str:
     return "".join(f"<{i}>" for i in ids)
@@ -134,6 +183,39 @@ def with_licenses(documents: DataFrame, text: str = "text", known: dict[str, str
     return out.withColumn("licenses", F.when(F.size("sentence_ids") > 0, matched_rules(F.col("sentence_ids"), rules)).otherwise(none))
 
 
+def _marked(text: Column) -> Column:
+    """Words of a text with one mark between lines (``|``), sentences (``/``) and paragraphs (``#``), else a space."""
+    plain = F.translate(text, _UPPER + "|/#", _LOWER + "   ")
+    cut = F.regexp_replace(F.regexp_replace(plain, r"[.;:!?]+(?=\s)", "/"), r"\r?\n", "|")
+    clean = F.regexp_replace(cut, "[^a-z0-9|/]+", " ")
+    ends = F.regexp_replace(F.regexp_replace(clean, r" ?\|(?: ?\|)+ ?", "#"), " ?/[ /|]*", "/")
+    return F.regexp_replace(ends, r" ?([|#/]) ?", "$1")
+
+
+def _pattern(known: dict[str, str]) -> str:
+    """Known sentences by first word, the longest first, whole between marks; a line may end at any of their spaces."""
+    rest: dict[str, list[str]] = {}
+    for s in sorted(known, key=lambda s: (-len(s), s)):
+        word, *more = s.split(" ", 1)
+        rest.setdefault(word, []).append("".join(f" {m}" for m in more).replace(" ", "[ |]"))
+    one = "|".join(f"{word}(?:{'|'.join(own)})" for word, own in rest.items())
+    return f"(?<![a-z0-9 ])(?:{one})(?![a-z0-9 ])"
+
+
+def wrapped_license_ids(text: Column, known: dict[str, str] = WRAPPED_SENTENCES) -> Column:
+    """Identifiers of the known sentences of a text, in order, wrapped or on a line of their own."""
+    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    found = F.regexp_extract_all(F.trim(_marked(F.coalesce(text, F.lit("")))), F.lit(_pattern(known)), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(table, F.translate(s, "|", " ")))
+
+
+def with_wrapped_licenses(documents: DataFrame, text: str = "text") -> DataFrame:
+    """``with_licenses`` with the larger vocabulary and sentences that run over line ends of a paragraph."""
+    out = documents.withColumn("sentence_ids", wrapped_license_ids(F.col(text)))
+    none = F.array().cast("array<string>")
+    return out.withColumn("licenses", F.when(F.size("sentence_ids") > 0, matched_rules(F.col("sentence_ids"), WRAPPED_RULES)).otherwise(none))
+
+
 def oracle(known: dict[str, str] = SENTENCES, rules=RULES) -> str:
     """DuckDB SQL for doc_id, sentence_ids, licenses (comma-joined) and n_sentences of ``documents``."""
     table = "MAP {" + ", ".join(f"'{s}': '{i}'" for s, i in known.items()) + "}"

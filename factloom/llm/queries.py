@@ -74,6 +74,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", ids.alias("sentence_ids"), names.alias("licenses"), F.size("sentence_ids").cast("long").alias("n_sentences"))
 
 
+def op10_licenses_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License sentences of a larger vocabulary, wrapped or not, and licenses of every document."""
+    out = licenses.with_wrapped_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids, names = F.array_join("sentence_ids", ","), F.array_join("licenses", ",")
+    return out.select("doc_id", ids.alias("sentence_ids"), names.alias("licenses"), F.size("sentence_ids").cast("long").alias("n_sentences"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of the corpus pipeline, applied to documents."""
     import corpus_pipeline
@@ -82,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_join, op2_url_filter, op3_decontamination, op4_html_extraction, op5_quality, op6_packing, op7_secrets, op8_line_dedup, op9_ann, op10_licenses, pipeline)
+    found = (op1_ngram_join, op2_url_filter, op3_decontamination, op4_html_extraction, op5_quality, op6_packing, op7_secrets, op8_line_dedup, op9_ann, op10_licenses, op10_licenses_wrapped, pipeline)
     return {f.__name__: f for f in found}
 
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -362,3 +363,36 @@ def test_licenses(spark):
     assert out[0] == out[5] == (1, ["MitRef"], ["MIT"]) and out[1:3] == [(2, [], []), (3, [], [])] and out[4] == (5, [], [])
     assert out[3] == (4, ["MitTitle", "MitGrant", "MitNotice", "Apache2Ref"], ["MIT", "Apache-2.0"])
     assert licenses.with_licenses(docs.limit(0)).count() == 0
+
+
+def test_wrapped_licenses(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + textwrap.fill(licenses_text("MitGrant"), 70) + ":\n\n" + textwrap.fill(licenses_text("MitNotice"), 72) + ".\n\n" + textwrap.fill(licenses_text("AsIsMit"), 75) + "."
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * This program is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla\r\nPublic License, v. 2.0. If a copy"
+    apache = "Copyright 2020 Someone\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except\nin compliance with the License."
+    texts = [mit, gpl, mpl, apache, "x y\nLicensed under CC BY-NC 4.0.\nz", "Released under the MIT License.", "the mit\n\nlicense", "not the mit license here", "Released under CC0 1.0", None, ""]
+    out = [tuple(r) for r in licenses.with_wrapped_licenses(spark.createDataFrame(list(enumerate(texts)), DOCS).coalesce(1)).select("sentence_ids", "licenses").collect()]
+    assert out == [
+        (["MitTitle", "MitGrant", "MitNotice", "AsIsMit"], ["MIT"]),
+        (["FreeSoftware", "Gpl3PlusTerms", "GplHope"], ["GPL-3.0-or-later"]),
+        (["Mpl2Ref"], ["MPL-2.0"]),
+        (["Apache2Ref", "ApacheComply"], ["Apache-2.0"]),
+        (["CcByNc4Ref"], ["CC-BY-NC-4.0"]),
+        (["MitRef"], ["MIT"]),
+        ([], []),
+        ([], []),
+        (["Cc0Ref"], ["CC0-1.0"]),
+        ([], []),
+        ([], []),
+    ]
+
+
+def licenses_text(identifier):
+    return next(s for s, i in licenses.SENTENCES.items() if i == identifier)
+
+
+def test_wrapped_licenses_keep_what_single_lines_give(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    one = {r.doc_id: set(r.licenses) for r in licenses.with_licenses(docs).collect()}
+    more = {r.doc_id: set(r.licenses) for r in licenses.with_wrapped_licenses(docs).collect()}
+    assert all(own <= more[k] for k, own in one.items())
