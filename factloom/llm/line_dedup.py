@@ -4,7 +4,9 @@ Documents are ordered by key. A line that several documents hold leads each of t
 the first of these, so a line in n documents makes n - 1 pairs, never all of them. Every
 pair is aligned by a patience diff over its line hashes: lines that are unique in both
 anchor the alignment, the gaps between anchors are aligned in the same way. Aligned runs
-of lines with enough words are deleted from the later document.
+of lines with enough words are deleted from the later document. Runs that no unique line
+anchors, and further occurrences of a run, are found by a suffix automaton of the earlier
+document, so every run of enough words that both hold goes.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,8 +71,59 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def longest_matches(later: Sequence, earlier: Sequence) -> list[int]:
+    """For each place of ``later``, lines of the longest run ending there that ``earlier`` holds."""
+    steps: list[dict] = [{}]
+    link, size, last = [-1], [0], 0
+    for line in earlier:
+        new = len(steps)
+        steps.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        at = last
+        while at >= 0 and line not in steps[at]:
+            steps[at][line] = new
+            at = link[at]
+        if at >= 0:
+            to = steps[at][line]
+            if size[to] == size[at] + 1:
+                link[new] = to
+            else:
+                copy = len(steps)
+                steps.append(dict(steps[to]))
+                link.append(link[to])
+                size.append(size[at] + 1)
+                link[to] = link[new] = copy
+                while at >= 0 and steps[at].get(line) == to:
+                    steps[at][line] = copy
+                    at = link[at]
+        last = new
+    out, at, run = [], 0, 0
+    for line in later:
+        while at and line not in steps[at]:
+            at = link[at]
+            run = size[at]
+        if line in steps[at]:
+            at, run = steps[at][line], run + 1
+        out.append(run)
+    return out
+
+
+def _may_hold_more(later: Sequence, earlier: Sequence, words: Sequence[int], gone: set[int], block_words: int) -> bool:
+    """Whether lines that ``earlier`` holds make a run of enough words that isn't gone already."""
+    there, total, fresh = set(earlier), 0, False
+    for k, line in enumerate(later):
+        if line in there:
+            total, fresh = total + words[k], fresh or k not in gone
+            if fresh and total >= block_words:
+                return True
+        else:
+            total, fresh = 0, False
+    return False
+
+
 def common_lines(later: Sequence, earlier: Sequence, words: Sequence[int], block_words: int = BLOCK_WORDS) -> list[int]:
-    """Places in ``later`` of the lines in aligned blocks of at least ``block_words`` words."""
+    """Places in ``later`` of the lines in blocks of at least ``block_words`` words that ``earlier`` holds too."""
     out: list[int] = []
     run: list[int] = []
     last = (-2, -2)
@@ -80,7 +134,15 @@ def common_lines(later: Sequence, earlier: Sequence, words: Sequence[int], block
             run = []
         run.append(pair[0])
         last = pair
-    return out
+    if not _may_hold_more(later, earlier, words, set(out), block_words):
+        return out
+    found, begins = set(out), [0, *accumulate(words)]
+    longest, done = longest_matches(later, earlier), 0
+    for end, n in enumerate(longest, 1):
+        if n and begins[end] - begins[end - n] >= block_words:
+            found.update(range(max(end - n, done), end))
+            done = end
+    return sorted(found)
 
 
 def _lines(text: Column) -> Column:

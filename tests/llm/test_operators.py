@@ -396,3 +396,25 @@ def test_wrapped_licenses_keep_what_single_lines_give(spark, sf_dir):
     one = {r.doc_id: set(r.licenses) for r in licenses.with_licenses(docs).collect()}
     more = {r.doc_id: set(r.licenses) for r in licenses.with_wrapped_licenses(docs).collect()}
     assert all(own <= more[k] for k, own in one.items())
+
+
+def runs_in_both(later, earlier, words):
+    """Places of every run of enough words, by comparing all pairs of places."""
+    gone = set()
+    for i, j in itertools.product(range(len(later)), range(len(earlier))):
+        n = 0
+        while i + n < len(later) and j + n < len(earlier) and later[i + n] == earlier[j + n]:
+            n += 1
+        if sum(words[i : i + n]) >= line_dedup.BLOCK_WORDS:
+            gone.update(range(i, i + n))
+    return sorted(gone)
+
+
+def test_line_dedup_finds_runs_without_unique_lines():
+    assert line_dedup.common_lines("xPyPz", "uPv", [1, 60, 1, 60, 1]) == [1, 3]
+    assert line_dedup.common_lines("xPQyPQz", "uPQvPQw", [1, 6, 6, 1, 6, 6, 1]) == [1, 2, 4, 5]
+    rng = random.Random(10)
+    for _ in range(300):
+        later, earlier = ([rng.randrange(5) for _ in range(rng.randrange(14))] for _ in range(2))
+        words = [1 + 3 * k for k in later]
+        assert line_dedup.common_lines(later, earlier, words) == runs_in_both(later, earlier, words)
