@@ -27,7 +27,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines they share with earlier ones; those that lose all they had go."""
     small_batches(spark)
-    out = line_dedup.without_common_lines(docs)
+    out = line_dedup.without_common_lines(docs, runs=True)
     emptied = (F.col("n_deleted") > 0) & (F.trim("text") == "")
     kept = out.where(~F.coalesce(emptied, F.lit(False)))
     changed = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))

@@ -1,7 +1,10 @@
 """Line dedup by pairwise alignment: common blocks go from the later of two documents.
 
 Documents are ordered by key. A line that several documents hold leads each of them to
-the first of these, so a line in n documents makes n - 1 pairs, never all of them. Every
+the first of these, so a line in n documents makes n - 1 pairs, never all of them. With
+``runs`` so does every shortest run of lines, from a line on or up to a line, that reaches the words of a
+block: each line of a common block is within such a run, and the run's first holder holds
+it, so what goes is what an alignment with every earlier document would take. Every
 pair is aligned by a patience diff over its line hashes: lines that are unique in both
 anchor the alignment, the gaps between anchors are aligned in the same way. Aligned runs
 of lines with enough words are deleted from the later document. Runs that no unique line
@@ -16,14 +19,18 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.words import mix
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words a line needs to lead to a pair, and a block to be deleted.
 SEED_WORDS = 4
 BLOCK_WORDS = 10
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _increasing(places: Sequence[int]) -> list[int]:
@@ -145,26 +152,57 @@ def common_lines(later: Sequence, earlier: Sequence, words: Sequence[int], block
     return sorted(found)
 
 
+def run_seeds(hashes: Sequence[np.ndarray], words: Sequence[np.ndarray], seed_words: int, block_words: int | None) -> list[np.ndarray]:
+    """Distinct hashes of each document's lines of ``seed_words`` words and, if given, shortest runs of ``block_words``; a run of one line has its hash."""
+    counts = np.array([len(h) for h in hashes], np.int64)
+    if not counts.sum():
+        return [np.zeros(0, np.int64) for _ in hashes]
+    line, n = np.concatenate(hashes).astype(np.int64).view(np.uint64), np.concatenate(words).astype(np.int64)
+    doc, bounds = np.repeat(np.arange(len(counts)), counts), np.concatenate([[0], np.cumsum(counts)])
+    single = n >= (seed_words if block_words is None else min(seed_words, block_words))
+    owner, seed = doc[single], line[single]
+    if block_words is not None:
+        total, at = np.concatenate([[0], np.cumsum(n)]), np.arange(len(line))
+        ends = np.searchsorted(total, total[:-1] + block_words, "left")
+        begins = np.searchsorted(total, total[1:] - block_words, "right") - 1
+        down, up = ends <= bounds[doc + 1], begins >= bounds[doc]
+        first, size = np.concatenate([at[down], begins[up]]), np.concatenate([ends[down] - at[down], at[up] + 1 - begins[up]])
+        first, size, holder = first[size > 1], size[size > 1], np.concatenate([doc[down], doc[up]])[size > 1]
+        run = size.astype(np.uint64)
+        for k in range(int(size.max(initial=0))):
+            more = size > k
+            run[more] = mix(run[more] * _FACTOR + line[first[more] + k])
+        owner, seed = np.concatenate([owner, holder]), np.concatenate([seed, run])
+    order = np.lexsort((seed, owner))
+    owner, seed = owner[order], seed[order]
+    fresh = np.ones(len(seed), bool)
+    fresh[1:] = (seed[1:] != seed[:-1]) | (owner[1:] != owner[:-1])
+    return np.split(seed[fresh].view(np.int64), np.searchsorted(owner[fresh], np.arange(1, len(counts))))
+
+
 def _lines(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: F.trim(F.translate(s, _UPPER, _LOWER)))
 
 
-def deleted_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def deleted_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS, runs: bool = False) -> DataFrame:
     """(key, tag, places): which lines of a document go, by place from 0; only documents that lose some.
 
-    ``tag`` is a hash of the text, which tells documents of one key apart.
+    ``tag`` is a hash of the text, which tells documents of one key apart. With ``runs`` a
+    block goes if any earlier document holds it, else if the first holder of one of its lines does.
     """
     lines = _lines(F.col(text))
-    rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
-        F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("tag")).alias("doc"),
-        F.transform(lines, lambda s: F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit(1), s).alias("b"), F.size(F.split(s, r"[ \t\n\x0B\f\r]+")).alias("n"))).alias("lines"),
-    )
-    seeds = rows.select("doc", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda s: s["n"] >= seed_words), lambda s: s["a"]))).alias("line"))
+    rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("tag")).alias("doc"), lines.alias("lines"))
+    hashes, words = F.transform("lines", lambda s: F.xxhash64(F.lit(1), s)), F.transform("lines", lambda s: F.size(F.split(s, r"[ \t\n\x0B\f\r]+")))
+
+    @F.pandas_udf("array<long>")
+    def seeds_of(own: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series(run_seeds(own.tolist(), counts.tolist(), seed_words, block_words if runs else None), dtype=object)
+
+    seeds = rows.select("doc", F.explode(seeds_of(F.transform("lines", lambda s: F.xxhash64(s)), words)).alias("line"))
     first = seeds.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner != last").drop("last")
     pairs = seeds.join(first, "line").where("doc != owner").select("doc", "owner").distinct()
-    known = rows.select("doc", F.col("lines.b").alias("hashes"), F.col("lines.n").alias("words"))
-    both = pairs.join(known.select(F.col("doc").alias("owner"), F.col("hashes").alias("earlier")), "owner")
-    both = both.join(known.select("doc", F.col("hashes").alias("later"), "words"), "doc").select("doc", "later", "words", "earlier")
+    both = pairs.join(rows.select(F.col("doc").alias("owner"), hashes.alias("earlier")), "owner")
+    both = both.join(rows.select("doc", hashes.alias("later"), words.alias("words")), "doc").select("doc", "later", "words", "earlier")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -177,7 +215,7 @@ def deleted_lines(documents: DataFrame, key: str = "doc_id", text: str = "text",
     return found.select(F.col("doc.id").alias(key), F.col("doc.tag").alias("tag"), "places")
 
 
-def without_common_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def without_common_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS, runs: bool = False) -> DataFrame:
     """All rows, with the common lines deleted from ``text``; adds n_lines and n_deleted (long).
 
     A document that loses nothing keeps its text to the letter; one whose lines are all
@@ -185,7 +223,7 @@ def without_common_lines(documents: DataFrame, key: str = "doc_id", text: str =
     and null texts pass unchanged. Equal rows, and rows of one key and text, are one
     document. Other columns pass through; columns of the two names are replaced.
     """
-    gone = deleted_lines(documents, key, text, seed_words, block_words).select(F.col(key).alias("_key"), F.col("tag").alias("_tag"), F.col("places").alias("_places"))
+    gone = deleted_lines(documents, key, text, seed_words, block_words, runs).select(F.col(key).alias("_key"), F.col("tag").alias("_tag"), F.col("places").alias("_places"))
     rest = documents.drop("n_lines", "n_deleted")
     out = rest.withColumn("_hash", F.xxhash64(text)).join(gone, (F.col(key) == F.col("_key")) & (F.col("_hash") == F.col("_tag")), "left")
     split = F.split(F.col(text), "\n")

@@ -57,7 +57,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without the lines it shares with earlier documents."""
-    out = line_dedup.without_common_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.without_common_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), runs=True)
     return out.select("doc_id", "n_lines", "n_deleted", "text")
 
 

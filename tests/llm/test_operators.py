@@ -418,3 +418,18 @@ def test_line_dedup_finds_runs_without_unique_lines():
         later, earlier = ([rng.randrange(5) for _ in range(rng.randrange(14))] for _ in range(2))
         words = [1 + 3 * k for k in later]
         assert line_dedup.common_lines(later, earlier, words) == runs_in_both(later, earlier, words)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_against_every_earlier_document(spark, seed):
+    rng = random.Random(seed)
+    lines = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 9, 12]))) for _ in range(14)]
+    rows = [(1, "a b c d e f g h i\nx1"), (2, "x2\nk l m n o"), (3, "y\na b c d e f g h i\nk l m n o\nz"), (4, "a b c d e f g h i\nk l m n o\nq")]
+    rows += [(k, "\n".join(rng.choice(lines) if rng.random() < 0.8 else f"own {k} {n}" for n in range(rng.randrange(1, 9)))) for k in range(5, 90)]
+    want = {}
+    for n, (k, text) in enumerate(rows):
+        own = text.split("\n")
+        gone = {p for _, other in rows[:n] for p in runs_in_both(own, other.split("\n"), [len(x.split()) for x in own])}
+        want |= {k: sorted(gone)} if gone else {}
+    found = {r.doc_id: sorted(r.places) for r in line_dedup.deleted_lines(spark.createDataFrame(rows, DOCS).repartition(3), runs=True).collect()}
+    assert found == want and found[4] == [0, 1]
