@@ -24,6 +24,8 @@ from factloom.llm.words import mix
 
 Q = 10
 WINDOW = 160
+#: Characters of a window for excerpts, and from one to the next: an unchanged excerpt of 79 characters holds one whole.
+EXCERPT, EXCERPT_STEP = 64, 16
 #: Shortest text, normalised, that is looked for.
 LEAST = 32
 #: Edits allowed for each character of a window.
@@ -79,21 +81,24 @@ class Index:
     window: np.ndarray
     place: np.ndarray
     slots: np.ndarray
+    excerpt: np.ndarray
 
 
-def index_of(items: list[tuple[object, str]]) -> Index:
+def index_of(items: list[tuple[object, str]], excerpts: bool = False) -> Index:
     """The index of (item key, text) pairs; texts shorter than ``LEAST`` hold no window."""
     codes, bounds, _ = normalised([t or "" for _, t in items])
     owner: list[int] = []
     parts: list[np.ndarray] = []
+    short: list[bool] = []
     for k in range(len(items)):
         own = codes[bounds[k] : bounds[k + 1]]
         if len(own) < LEAST:
             continue
-        starts = sorted({*range(0, max(1, len(own) - WINDOW + 1), WINDOW // 2), max(0, len(own) - WINDOW)})
-        for s in starts:
-            owner.append(k)
-            parts.append(own[s : s + WINDOW])
+        for size, step in ((WINDOW, WINDOW // 2), *([(EXCERPT, EXCERPT_STEP)] if excerpts and len(own) > EXCERPT else [])):
+            for s in sorted({*range(0, max(1, len(own) - size + 1), step), max(0, len(own) - size)}):
+                owner.append(k)
+                parts.append(own[s : s + size])
+                short.append(size == EXCERPT)
     grams = [_grams(p) for p in parts]
     flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
     window = np.repeat(np.arange(len(parts)), [len(g) for g in grams])
@@ -101,7 +106,7 @@ def index_of(items: list[tuple[object, str]]) -> Index:
     order = np.argsort(flat, kind="stable")
     slots = np.zeros(1 << _SLOTS, bool)
     slots[(flat >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
-    return Index([k for k, _ in items], np.array(owner, np.int64), parts, flat[order], window[order], place[order], slots)
+    return Index([k for k, _ in items], np.array(owner, np.int64), parts, flat[order], window[order], place[order], slots, np.array(short, bool))
 
 
 def banded_distance(window: np.ndarray, region: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int]:
@@ -174,13 +179,14 @@ def matches(texts: list[str], index: Index, edits: float = EDITS) -> list[tuple[
     shared = np.diff(np.append(starts, rows.shape[1]))
     bands = rows[:3, starts]
     enough = shared >= np.maximum(sizes - Q + 1 - Q * budget, 1)[bands[1]]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    best: dict[tuple[int, int], tuple[bool, int, int, int]] = {}
     for t, w, b in bands[:, enough].T.tolist():
         own, allowed = index.codes[w], int(budget[w])
         low = b * (2 * allowed + 1)
         high = low + 2 * (2 * allowed + 1) - 1
         held = (t, int(index.owner[w]))
-        if held in best and best[held][0] == 0:
+        kind = bool(index.excerpt[w])
+        if held in best and (best[held][1] == 0 or kind > best[held][0]):
             continue
         region = codes[bounds[t] : bounds[t + 1]]
         start = max(low, 0)
@@ -190,10 +196,10 @@ def matches(texts: list[str], index: Index, edits: float = EDITS) -> list[tuple[
             found = (0, start + at // 4, start + at // 4 + len(own))
         else:
             found = banded_distance(own, region, low, high, allowed)
-        if found[0] <= allowed and found[2] > found[1] and (held not in best or found < best[held]):
-            best[held] = found
+        if found[0] <= allowed and found[2] > found[1] and (held not in best or (kind, *found) < best[held]):
+            best[held] = (kind, *found)
     place_of = lambda t, k: int(source[bounds[t] + k])
-    return [(t, k, place_of(t, max(a, 0)), place_of(t, b - 1) + 1, d) for (t, k), (d, a, b) in sorted(best.items())]
+    return [(t, k, place_of(t, max(a, 0)), place_of(t, b - 1) + 1, d) for (t, k), (_, d, a, b) in sorted(best.items())]
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> list[Index]:
@@ -202,7 +208,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> list[Index]:
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     dealt = items.withColumn("b", F.pmod(F.xxhash64("k", "t"), F.lit(blocks)))
-    return [index_of([(r["k"], r["t"]) for r in dealt.where(F.col("b") == b).orderBy("k", "t").toLocalIterator()]) for b in range(blocks)]
+    return [index_of([(r["k"], r["t"]) for r in dealt.where(F.col("b") == b).orderBy("k", "t").toLocalIterator()], excerpts=True) for b in range(blocks)]
 
 
 def _scan(texts: pd.Series, index: Index, edits: float) -> Iterator[tuple[int, int, int, int, int]]:

@@ -433,3 +433,15 @@ def test_line_dedup_against_every_earlier_document(spark, seed):
         want |= {k: sorted(gone)} if gone else {}
     found = {r.doc_id: sorted(r.places) for r in line_dedup.deleted_lines(spark.createDataFrame(rows, DOCS).repartition(3), runs=True).collect()}
     assert found == want and found[4] == [0, 1]
+
+
+def test_decontamination_finds_excerpts_at_every_offset():
+    rng = random.Random(11)
+    items = [(k, "".join(rng.choice("abcdefghij ") for _ in range(n)).replace("  ", "xy").strip()) for k, n in enumerate((100, 233, 390))]
+    index = decontaminate.index_of(items, excerpts=True)
+    least = decontaminate.EXCERPT + decontaminate.EXCERPT_STEP - 1
+    for k, item in items:
+        texts = [f"1 2 3 4 5 {item[s : s + least + 2]} 6 7 8 9" for s in range(len(item) - least - 1)]
+        assert {t for t, found, *_ in decontaminate.matches(texts, index) if found == k} == set(range(len(texts)))
+    whole = [item for _, item in items]
+    assert decontaminate.matches(whole, index) == decontaminate.matches(whole, decontaminate.index_of(items))
