@@ -1,15 +1,18 @@
 """Line dedup by pairwise alignment: common blocks go from the later of two documents.
 
-Documents are ordered by key. A line that several documents hold leads each of them to
-the first of these, so a line in n documents makes n - 1 pairs, never all of them. With
-``runs`` so does every shortest run of lines, from a line on or up to a line, that reaches the words of a
-block: each line of a common block is within such a run, and the run's first holder holds
-it, so what goes is what an alignment with every earlier document would take. Every
-pair is aligned by a patience diff over its line hashes: lines that are unique in both
-anchor the alignment, the gaps between anchors are aligned in the same way. Aligned runs
-of lines with enough words are deleted from the later document. Runs that no unique line
-anchors, and further occurrences of a run, are found by a suffix automaton of the earlier
-document, so every run of enough words that both hold goes.
+Documents are ordered by key. A line is its words, A-Z in lower case; a blank line has none.
+Every line that has the words of a block, and every shortest run of lines, from a line on or
+up to a line, that reaches them, leads each of its holders to the first of these, so a run in n
+documents makes n - 1 pairs, never all of them. Each line of a common block is within such a
+run, and the run's first holder holds it, so what goes is what an alignment with every earlier
+document would take. Every pair is aligned by a patience diff over its line hashes: lines that
+are unique in both anchor the alignment, the gaps between anchors are aligned in the same way.
+Aligned runs of lines with enough words are deleted from the later document. Runs that no
+unique line anchors, and further occurrences of a run, are found by a suffix automaton of the
+earlier document, so every run of enough words that both hold goes.
+
+Texts are cut into lines once; the table of line hashes stays in the shared folder and is read by
+the search for pairs and by the alignment.
 """
 
 from __future__ import annotations
@@ -20,17 +23,17 @@ from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.words import mix
+from factloom.llm.shared import written
+from factloom.llm.words import line_hashes, mix
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words a line needs to lead to a pair, and a block to be deleted.
-SEED_WORDS = 4
+#: Words a block of lines needs to be deleted.
 BLOCK_WORDS = 10
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def _increasing(places: Sequence[int]) -> list[int]:
@@ -152,83 +155,95 @@ def common_lines(later: Sequence, earlier: Sequence, words: Sequence[int], block
     return sorted(found)
 
 
-def run_seeds(hashes: Sequence[np.ndarray], words: Sequence[np.ndarray], seed_words: int, block_words: int | None) -> list[np.ndarray]:
-    """Distinct hashes of each document's lines of ``seed_words`` words and, if given, shortest runs of ``block_words``; a run of one line has its hash."""
-    counts = np.array([len(h) for h in hashes], np.int64)
-    if not counts.sum():
-        return [np.zeros(0, np.int64) for _ in hashes]
-    line, n = np.concatenate(hashes).astype(np.int64).view(np.uint64), np.concatenate(words).astype(np.int64)
-    doc, bounds = np.repeat(np.arange(len(counts)), counts), np.concatenate([[0], np.cumsum(counts)])
-    single = n >= (seed_words if block_words is None else min(seed_words, block_words))
-    owner, seed = doc[single], line[single]
-    if block_words is not None:
-        total, at = np.concatenate([[0], np.cumsum(n)]), np.arange(len(line))
-        ends = np.searchsorted(total, total[:-1] + block_words, "left")
-        begins = np.searchsorted(total, total[1:] - block_words, "right") - 1
-        down, up = ends <= bounds[doc + 1], begins >= bounds[doc]
-        first, size = np.concatenate([at[down], begins[up]]), np.concatenate([ends[down] - at[down], at[up] + 1 - begins[up]])
-        first, size, holder = first[size > 1], size[size > 1], np.concatenate([doc[down], doc[up]])[size > 1]
-        run = size.astype(np.uint64)
-        for k in range(int(size.max(initial=0))):
-            more = size > k
-            run[more] = mix(run[more] * _FACTOR + line[first[more] + k])
-        owner, seed = np.concatenate([owner, holder]), np.concatenate([seed, run])
+def run_seeds(line: np.ndarray, n: np.ndarray, bounds: np.ndarray, block_words: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of each document's distinct shortest runs of ``block_words``; document d has lines ``bounds[d]`` to ``bounds[d + 1]``."""
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    total, at = np.concatenate([[0], np.cumsum(n)]), np.arange(len(line))
+    ends = np.searchsorted(total, total[:-1] + block_words, "left")
+    begins = np.searchsorted(total, total[1:] - block_words, "right") - 1
+    down, up = ends <= bounds[doc + 1], begins >= bounds[doc]
+    first, size = np.concatenate([at[down], begins[up]]), np.concatenate([ends[down] - at[down], at[up] + 1 - begins[up]])
+    owner = np.concatenate([doc[down], doc[up]])
+    powers, inverse = (np.multiply.accumulate(np.append(np.uint64(1), np.full(len(line), x, np.uint64))) for x in (_FACTOR, _INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(line * inverse[:-1], dtype=np.uint64)])
+    seed = mix((sums[first + size] - sums[first]) * powers[first] + mix(size))
     order = np.lexsort((seed, owner))
     owner, seed = owner[order], seed[order]
     fresh = np.ones(len(seed), bool)
     fresh[1:] = (seed[1:] != seed[:-1]) | (owner[1:] != owner[:-1])
-    return np.split(seed[fresh].view(np.int64), np.searchsorted(owner[fresh], np.arange(1, len(counts))))
+    return owner[fresh], seed[fresh].view(np.int64)
 
 
-def _lines(text: Column) -> Column:
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: F.trim(F.translate(s, _UPPER, _LOWER)))
+def line_table(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, tag, lines, words): hash of each text, hashes of its lines and their numbers of words; without null keys and texts."""
+    kind = documents.schema[key].dataType.simpleString()
+    rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(text).alias("tag"), F.col(text).alias("_text"))
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for bounds, line, n in line_hashes(batch.column(2)):
+                size, ends = len(bounds) - 1, pa.array(bounds, pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(line.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(n, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, size), batch.column(1).slice(done, size), *lists], names=["id", "tag", "lines", "words"])
+                done += size
 
-def deleted_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS, runs: bool = False) -> DataFrame:
-    """(key, tag, places): which lines of a document go, by place from 0; only documents that lose some.
+    return rows.mapInArrow(cut, f"id {kind}, tag long, lines array<long>, words array<int>")
 
-    ``tag`` is a hash of the text, which tells documents of one key apart. With ``runs`` a
-    block goes if any earlier document holds it, else if the first holder of one of its lines does.
-    """
-    lines = _lines(F.col(text))
-    rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("tag")).alias("doc"), lines.alias("lines"))
-    hashes, words = F.transform("lines", lambda s: F.xxhash64(F.lit(1), s)), F.transform("lines", lambda s: F.size(F.split(s, r"[ \t\n\x0B\f\r]+")))
 
-    @F.pandas_udf("array<long>")
-    def seeds_of(own: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series(run_seeds(own.tolist(), counts.tolist(), seed_words, block_words if runs else None), dtype=object)
+def _seeds(lines: DataFrame, block_words: int) -> DataFrame:
+    kind = lines.schema["id"].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, n = batch.column(2), batch.column(3)
+            line, bounds = own.flatten().to_numpy().view(np.uint64), own.offsets.to_numpy().astype(np.int64)
+            at, seed = run_seeds(line, n.flatten().to_numpy().astype(np.int64), bounds - bounds[0], block_words)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(seed)], names=["id", "tag", "seed"])
 
-    seeds = rows.select("doc", F.explode(seeds_of(F.transform("lines", lambda s: F.xxhash64(s)), words)).alias("line"))
-    first = seeds.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner != last").drop("last")
-    pairs = seeds.join(first, "line").where("doc != owner").select("doc", "owner").distinct()
-    both = pairs.join(rows.select(F.col("doc").alias("owner"), hashes.alias("earlier")), "owner")
-    both = both.join(rows.select("doc", hashes.alias("later"), words.alias("words")), "doc").select("doc", "later", "words", "earlier")
+    return lines.mapInArrow(find, f"id {kind}, tag long, seed long").select(F.struct("id", "tag").alias("doc"), "seed")
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def deleted_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(key, tag, places): which lines of a document go, by place from 0; only documents that lose some.
+
+    ``tag`` is a hash of the text, which tells documents of one key apart.
+    """
+    lines = written(line_table(documents, key, text), "lines")
+    seeds = _seeds(lines, block_words)
+    first = seeds.groupBy("seed").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner != last").drop("last")
+    pairs = seeds.join(first, "seed").where("doc != owner").select("doc", "owner").distinct()
+    doc = F.struct("id", "tag")
+    both = pairs.join(lines.select(doc.alias("owner"), F.col("lines").alias("earlier")), "owner")
+    both = both.join(lines.select(doc.alias("doc"), F.col("lines").alias("later"), "words"), "doc").select("doc.id", "doc.tag", "later", "words", "earlier")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = [common_lines(x.tolist(), y.tolist(), w, block_words) for x, y, w in zip(batch["later"], batch["earlier"], batch["words"], strict=True)]
-            yield pd.DataFrame({"doc": batch["doc"], "places": places})[[len(p) > 0 for p in places]]
+            places = [common_lines(x.as_py(), y.as_py(), w.as_py(), block_words) for x, w, y in zip(*(batch.column(k) for k in (2, 3, 4)), strict=True)]
+            some = pa.array([k for k, p in enumerate(places) if p], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array([p for p in places if p], pa.list_(pa.int32()))], names=["id", "tag", "places"])
 
-    doc = both.schema["doc"].dataType.simpleString()
-    found = both.mapInPandas(align, f"doc {doc}, places array<int>")
-    found = found.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    return found.select(F.col("doc.id").alias(key), F.col("doc.tag").alias("tag"), "places")
+    kind = lines.schema["id"].dataType.simpleString()
+    found = both.mapInArrow(align, f"id {kind}, tag long, places array<int>")
+    found = found.groupBy("id", "tag").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"))
+    return found.select(F.col("id").alias(key), "tag", "places")
 
 
-def without_common_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS, runs: bool = False) -> DataFrame:
+def without_common_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """All rows, with the common lines deleted from ``text``; adds n_lines and n_deleted (long).
 
     A document that loses nothing keeps its text to the letter; one whose lines are all
-    common has an empty text. Lines are compared in lower case (A-Z) and trimmed. Null keys
-    and null texts pass unchanged. Equal rows, and rows of one key and text, are one
-    document. Other columns pass through; columns of the two names are replaced.
+    common has an empty text. Lines are compared by their words, A-Z in lower case; a
+    blank line counts no word and goes with a block that it stands in or next to in both. Null keys and null texts pass unchanged. Equal
+    rows, and rows of one key and text, are one document; rows of one key with different
+    texts are ordered by a hash of the text. Empty tables give empty results. Other columns
+    pass through; columns of the two names are replaced.
     """
-    gone = deleted_lines(documents, key, text, seed_words, block_words, runs).select(F.col(key).alias("_key"), F.col("tag").alias("_tag"), F.col("places").alias("_places"))
+    gone = deleted_lines(documents, key, text, block_words).select(F.col(key).alias("_key"), F.col("tag").alias("_tag"), F.col("places").alias("_places"))
     rest = documents.drop("n_lines", "n_deleted")
     out = rest.withColumn("_hash", F.xxhash64(text)).join(gone, (F.col(key) == F.col("_key")) & (F.col("_hash") == F.col("_tag")), "left")
-    split = F.split(F.col(text), "\n")
-    kept = F.filter(split, lambda _, k: ~F.array_contains("_places", k))
-    count = F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long")
+    kept = F.filter(F.split(F.col(text), "\n"), lambda _, k: ~F.array_contains("_places", k))
+    count = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"))) + 1).cast("long")
     new = {text: F.when(F.col("_places").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")), "n_lines": count}
     new["n_deleted"] = F.when(F.col("_places").isNull(), 0).otherwise(F.size("_places")).cast("long")
     return out.withColumns(new).select(*rest.columns, "n_lines", "n_deleted")

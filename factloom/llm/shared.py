@@ -7,14 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of text handed to Python at once; long texts then stay within a worker's memory.
+#: Rows and bytes of text handed to Python at once, so that long texts stay within a worker's memory.
 TEXT_ROWS = 1000
+TEXT_BYTES = 16 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in local tests, a temporary folder is made and set.
+    Only in local mode, as in tests, an unset one is made: a temporary folder. On a cluster
+    such a folder would not be shared, so there the setting is required.
     """
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,16 +26,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(there)
         return there
     if current is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-checkpoint-"))
         current = sc.getCheckpointDir()
     return current
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back; this cuts the lineage."""
+    """``df`` as a Parquet table in the shared folder, read back; this cuts the lineage.
+
+    The table goes with the driver, or sooner by ``dropped``.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/factloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
@@ -46,6 +55,7 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Hand at most ``rows`` rows at once to Python."""
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS, size: int = TEXT_BYTES) -> None:
+    """Hand at most ``rows`` rows, and about ``size`` bytes, at once to Python; the session keeps the setting, as results are lazy."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

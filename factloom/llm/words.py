@@ -50,6 +50,16 @@ def row_chunks(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int,
         first = last
 
 
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of the first bytes of all words; a row's first byte begins a word if it is within one."""
+    inside = ~_SPACE[data]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begin[heads] = inside[heads]
+    return np.flatnonzero(begin)
+
+
 def hash_words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and for each row the index of its first word (with the end)."""
     global _POWERS
@@ -72,6 +82,29 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER)
     return mix(np.add.reduceat(terms, first) + sizes.astype(np.uint64)), bounds
 
 
+def line_hashes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bounds of rows in lines, hashes of lines by their words, and words of lines, for one part of ``column`` after the other."""
+    powers = _POWERS
+    data, offsets = byte_rows(column)
+    for first, last in row_chunks(offsets):
+        own = offsets[first : last + 1] - offsets[first]
+        text, rows = data[offsets[first] : offsets[last]], np.arange(last - first)
+        words, bounds = hash_words(text, own)
+        before = np.concatenate([[0], np.cumsum(text == 10)])
+        line = np.repeat(rows, np.diff(bounds)) + before[word_starts(text, own)]
+        ends = np.append(rows, last - first) + before[own]
+        counts = np.bincount(line, minlength=int(ends[-1]))
+        head = np.cumsum(counts) - counts
+        if counts.max(initial=0) > len(powers):
+            powers = np.multiply.accumulate(np.full(int(counts.max()) * 2, _BASE, np.uint64))
+        terms = words * powers[np.arange(len(words)) - head[line]]
+        out = counts.astype(np.uint64)
+        some = np.flatnonzero(counts)
+        if len(some):
+            out[some] += np.add.reduceat(terms, head[some])
+        yield ends, mix(out), counts
+
+
 def windows(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every ``width`` consecutive words of a row; fewer words count as one window."""
     counts = np.diff(bounds)

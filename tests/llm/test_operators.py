@@ -230,17 +230,14 @@ def test_best_fit_against_brute_force():
 
 
 def brute_deleted(rows):
-    """Every document against the first holder of each of its seed lines."""
-    clean = [(k, [x.strip(" ").lower() for x in t.split("\n")]) for k, t in rows if k is not None and t is not None]
+    """Every document against every earlier one: all runs of enough words that both hold."""
+    clean = [(k, [" ".join(re.findall(r"[^\x20\x09-\x0D]+", x)).lower() for x in t.split("\n")]) for k, t in rows if k is not None and t is not None]
     out = {}
     for n, (k, own) in enumerate(clean):
-        first = set()
-        for line in own:
-            if len(line.split()) >= line_dedup.SEED_WORDS:
-                first.add(next(m for m, (_, other) in enumerate(clean) if line in other))
-        gone = set()
-        for m in first - {n}:
-            gone.update(line_dedup.common_lines(own, clean[m][1], [len(x.split()) or 1 for x in own]))
+        gone, words = set(), [len(x.split()) for x in own]
+        for _, other in clean[:n]:
+            if not {x for x in own if x}.isdisjoint(other):
+                gone.update(runs_in_both(own, other, words))
         out[k] = sorted(gone)
     return out
 
@@ -423,18 +420,22 @@ def test_line_dedup_finds_runs_without_unique_lines():
 @pytest.mark.parametrize("seed", range(3))
 def test_line_dedup_against_every_earlier_document(spark, seed):
     rng = random.Random(seed)
-    lines = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 9, 12]))) for _ in range(14)]
+    lines = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice([0, 0, 1, 2, 3, 4, 5, 6, 9, 12]))) for _ in range(14)]
     rows = [(1, "a b c d e f g h i\nx1"), (2, "x2\nk l m n o"), (3, "y\na b c d e f g h i\nk l m n o\nz"), (4, "a b c d e f g h i\nk l m n o\nq")]
     rows += [(k, "\n".join(rng.choice(lines) if rng.random() < 0.8 else f"own {k} {n}" for n in range(rng.randrange(1, 9)))) for k in range(5, 90)]
-    want = {}
-    for n, (k, text) in enumerate(rows):
-        own = text.split("\n")
-        gone = {p for _, other in rows[:n] for p in runs_in_both(own, other.split("\n"), [len(x.split()) for x in own])}
-        want |= {k: sorted(gone)} if gone else {}
-    found = {r.doc_id: sorted(r.places) for r in line_dedup.deleted_lines(spark.createDataFrame(rows, DOCS).repartition(3), runs=True).collect()}
+    want = {k: gone for k, gone in brute_deleted(rows).items() if gone}
+    found = {r.doc_id: sorted(r.places) for r in line_dedup.deleted_lines(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
     assert found == want and found[4] == [0, 1]
 
 
+def test_line_dedup_partners_beyond_the_first_holder_and_blank_lines(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    verse = "rose red\nsky blue\n\nsea deep\nsand white\nsun high"
+    rows = [(1, f"{a}\nx"), (2, f"{b}\ny"), (3, f"z\n{a}\n{b}"), (4, f"{a}\n{b}\nq"), (5, f"{a}\n\n\n\n\nown"), (6, f"{a}\n\n\n\n\nmine"), (7, verse), (8, f"head\n{verse}"), (9, "One  two\tthree four FIVE six\r\n" + b)]
+    found = {r.doc_id: sorted(r.places) for r in line_dedup.deleted_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == {4: [0, 1], 8: [1, 2, 3, 4, 5, 6], 9: [0, 1]}
+
+
 def test_decontamination_finds_excerpts_at_every_offset():
     rng = random.Random(11)
     items = [(k, "".join(rng.choice("abcdefghij ") for _ in range(n)).replace("  ", "xy").strip()) for k, n in enumerate((100, 233, 390))]
