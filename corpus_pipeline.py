@@ -1,7 +1,12 @@
 """Corpus pipeline: quality, line dedup, near-duplicate join, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
-again as the next one's ``docs``. All but the last return the columns of documents.
+again as the next one's ``docs``. All but the last return the columns of documents; other
+columns of ``docs`` don't pass, whatever their names. Empty tables give empty results.
+Rows that repeat stay repeated, but for near copies, where rows of one doc_id are one document.
+A null text and an empty one are scored as the share of good labels, lose no lines, have no copies and
+hold no benchmark item, so they stay or go by the first stage alone, and are packed as pieces without
+words. A null doc_id is judged by its text, loses no lines and has no copies.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from factloom.llm.shared import small_batches, written
+from factloom.llm.shared import dropped, small_batches, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: SQL can't express the votes, the alignment or the packing; the stages are tested against brute force.
@@ -27,7 +32,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines they share with earlier ones; those that lose all they had go."""
     small_batches(spark)
-    out = line_dedup.without_common_lines(docs, runs=True)
+    out = line_dedup.without_common_lines(docs)
     emptied = (F.col("n_deleted") > 0) & (F.trim("text") == "")
     kept = out.where(~F.coalesce(emptied, F.lit(False)))
     changed = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -66,6 +71,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages one after the other over documents; each result is a Parquet table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for n, (name, stage) in enumerate(STAGES[:-1]):
+        last, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if n:
+            dropped(last)
     return STAGES[-1][1](spark, docs, sf_dir)
