@@ -1,13 +1,17 @@
 """Main text of HTML pages by composite text density.
 
 A page becomes a tree of elements. Elements that are never article text (menus, forms,
-scripts, adverts, notices, reader comments) are taken out by tag, role and class words.
+scripts, adverts, notices, reader comments) are taken out by tag, role and class words; an
+element that only a class word speaks against stays if nearly all text of the page is in it.
 For every other element the composite text density is its characters per tag, scaled by
 the share of characters and tags that are not in links (Sun, Song and Liao, 2011). The
 element whose children's densities have the largest sum is the core. The least density
 on the path from the core to the body is the threshold; every element of that density or
-more gives its largest-sum subtree, and the text of all of these, widened to an enclosing
-article, is the main text.
+more gives its largest-sum subtree. A parent of several of these parts below the body is one text with
+them; a parent of one adds its headings, paragraphs, lists and tables beside it, as titles
+and short paragraphs have little density of their own. Lists of links are left out.
+
+Parsing takes time in proportion to a page's length, whatever its markup.
 """
 
 from __future__ import annotations
@@ -20,8 +24,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# an attribute's quote opens after "=" only, and one that is never closed ends with the tag
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+|=)*+)(?:>|\Z)", re.S
+)
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -34,10 +42,11 @@ _DROPPED = frozenset(
 )
 _ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar".split())
 _WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs consent cookie cookies "
     "footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted promotion "
-    "recommended related reply replies respond share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription tagcloud toolbar widget widgets".split()
+    "recommended related share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription tagcloud toolbar widget widgets".split()
 )
+_COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 _CLOSES = {
     **dict.fromkeys("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split(), ("p",)),
     "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "option": ("option",), "tr": ("tr", "td", "th", "p"),
@@ -45,51 +54,78 @@ _CLOSES = {
 }
 _SCOPE = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("table",)), "th": frozenset(("table",)), "tbody": frozenset(("table",))}
 _FENCE = frozenset("article aside body div footer header html main nav section table td th ul ol dl form blockquote".split())
+_FLOW = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote figure ul ol dl table".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Text in an element that a class word speaks against, over the text elsewhere, from which it stays.
+_OUTWEIGHS = 10
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("tag", "parent", "parts", "dropped", "suspect", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "pick")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool, suspect: bool = False):
+        self.tag, self.parent, self.dropped, self.suspect = tag, parent, dropped, suspect
         self.parts: list[_Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.best = self
+        self.pick = 0
 
 
-def _unwanted(tag: str, attributes: str, parent: _Node) -> bool:
-    if tag in _DROPPED or (tag == "header" and not _within_article(parent)):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+def _attributes(attributes: str) -> tuple[bool, bool]:
+    """Whether an element goes for sure, and whether a class word speaks against it."""
+    suspect = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not _WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
+        if name in ("class", "id"):
+            words = set(re.split(r"[^a-z0-9]+", value))
+            if not _COMMENTS.isdisjoint(words):
+                return True, False
+            suspect = suspect or not _WORDS.isdisjoint(words)
         if (name == "role" and value in _ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, False
+    return False, suspect
 
 
-def _within_article(node: _Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+class _Open:
+    """The open elements from the root on; the depths of each tag's open elements are at hand, so no search walks up."""
+
+    def __init__(self, root: _Node):
+        self.nodes = [root]
+        self.depths: dict[str, list[int]] = {}
+        self.fences: list[int] = []
+
+    def push(self, node: _Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in _FENCE:
+            self.fences.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, depth: int) -> None:
+        """Close the element of this depth and all in it."""
+        while len(self.nodes) > depth:
+            tag = self.nodes.pop().tag
+            self.depths[tag].pop()
+            if tag in _FENCE:
+                self.fences.pop()
+
+    def last(self, tag: str) -> int:
+        """Depth of the innermost open element of a tag, 0 if there is none."""
+        own = self.depths.get(tag)
+        return own[-1] if own else 0
 
 
 def parse(page: str) -> _Node:
     """The element tree of a page; unclosed and stray tags are mended as browsers do."""
-    root = here = _Node("html", None, False)
+    root = _Node("html", None, False)
+    open_ = _Open(root)
     at, size = 0, len(page)
 
     def add(text: str) -> None:
-        if text and not here.dropped:
-            here.parts.append(text)
+        if text and not open_.nodes[-1].dropped:
+            open_.nodes[-1].parts.append(text)
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -104,35 +140,66 @@ def parse(page: str) -> _Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                if tag not in _FENCE and node.tag in _FENCE:
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            depth = open_.last(tag)
+            if depth and (tag in _FENCE or not open_.fences or open_.fences[-1] < depth):
+                open_.close(depth)
             continue
+        here = open_.nodes[-1]
         if tag == "html" or (tag == "body" and here.tag == "body"):
             continue
         if tag in _BLOCK and here.tag == "head":
-            here = here.parent
+            open_.close(len(open_.nodes) - 1)
         for closed in _CLOSES.get(tag, ()):
-            node, fence = here, _SCOPE.get(tag, _FENCE)
-            while node is not root and node.tag != closed and node.tag not in fence and (closed == "p" or node.tag not in _SCOPE.get(closed, ())):
-                node = node.parent
-            if node is not root and node.tag == closed:
-                here = node.parent
-        node = _Node(tag, here, here.dropped or _unwanted(tag, m[3], here))
+            depth, fence = open_.last(closed), _SCOPE.get(tag, _FENCE)
+            if closed != "p":
+                fence = fence | _SCOPE.get(closed, frozenset())
+            if depth and all(open_.last(f) <= depth for f in fence):
+                open_.close(depth)
+        here = open_.nodes[-1]
+        in_article = bool(open_.last("article") or open_.last("main"))
+        dropped, suspect = tag in _DROPPED or (tag == "header" and not in_article), False
+        if here.tag == "header" and tag not in _HEADINGS:
+            dropped = dropped or tag not in ("div", "section")
+        if m[3] and not dropped and tag not in ("html", "body", "article", "main"):
+            dropped, suspect = _attributes(m[3])
+        node = _Node(tag, here, here.dropped or dropped, suspect)
         here.parts.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = size if end is None else (page.find(">", end.start()) + 1 or size)
         elif tag not in _VOID and not m[3].rstrip().endswith("/"):
-            here = node
+            open_.push(node)
     return root
 
 
+def _settle(root: _Node) -> None:
+    """Drop the outermost suspects, but for those that outweigh all other text of the page."""
+    suspects: list[_Node] = []
+    rest, stack = 0, [(root, -1)]
+    sums: list[int] = []
+    while stack:
+        node, own = stack.pop()
+        if node.suspect and own < 0:
+            own = len(suspects)
+            suspects.append(node)
+            sums.append(0)
+        for part in node.parts:
+            if not isinstance(part, str):
+                if not part.dropped and not (own >= 0 and part.suspect):
+                    stack.append((part, own))
+            elif own < 0:
+                rest += len(part.strip())
+            else:
+                sums[own] += len(part.strip())
+    for node, chars in zip(suspects, sums, strict=True):
+        node.dropped = chars <= _OUTWEIGHS * (rest + sum(sums) - chars)
+    inner = [p for n in suspects if not n.dropped for p in n.parts if not isinstance(p, str)]
+    while inner:
+        node = inner.pop()
+        node.dropped = node.dropped or node.suspect
+        inner += [p for p in node.parts if not isinstance(p, str)] if not node.dropped else []
+
+
 def _post_order(root: _Node) -> list[_Node]:
     order, stack = [], [root]
     while stack:
@@ -172,8 +239,13 @@ def densities(root: _Node) -> list[_Node]:
     return order
 
 
+def _is_link_list(node: _Node) -> bool:
+    return node.tag in ("ul", "ol", "dl", "div", "section", "table") and node.link_tags >= 3 and 5 * node.link_chars >= 4 * node.chars
+
+
 def main_nodes(root: _Node) -> list[_Node]:
     """Elements whose text is the main text, in page order, none inside another."""
+    _settle(root)
     order = densities(root)
     body = next((n for n in order if n.tag == "body"), root)
     core = body.best if body.best.chars else body
@@ -182,28 +254,33 @@ def main_nodes(root: _Node) -> list[_Node]:
         node = node.parent
         if node is not None:
             least = min(least, node.density)
-    chosen = {id(core): core}
+    core.pick = 2
     stack = [body]
     while stack:
         node = stack.pop()
         if node.density >= least and node.chars:
-            chosen[id(node.best)] = node.best
+            node.best.pick = 2
             stack += [p for p in node.parts if not isinstance(p, str) and not p.dropped]
-    wide: dict[int, _Node] = {}
-    for node in chosen.values():
-        up, top = node, node
-        while up is not None:
-            if up.tag in ("article", "main"):
-                top = up
-            up = up.parent
-        wide[id(top)] = top
+    for node in order:
+        if node.pick == 2:
+            continue
+        inner = [p for p in node.parts if not isinstance(p, str) and not p.dropped]
+        picked = sum(p.pick == 2 for p in inner)
+        if picked > 1 and node is not body and node is not root:
+            node.pick = 2
+        elif picked or any(p.pick for p in inner):
+            node.pick = 1
+            beside = _HEADINGS if node is body or node is root else _FLOW
+            for p in inner:
+                if p.tag in beside or (p.tag == "header" and p.chars):
+                    p.pick = 2
     out = []
-    stack = [body]
+    stack = [root]
     while stack:
         node = stack.pop()
-        if id(node) in wide:
+        if node.pick == 2:
             out.append(node)
-        else:
+        elif node.pick:
             stack += [p for p in reversed(node.parts) if not isinstance(p, str) and not p.dropped]
     return out
 
@@ -228,7 +305,7 @@ def blocks(node: _Node) -> list[str]:
             run.append(part)
         elif part.tag == "br":
             run.append(" ")
-        elif not part.dropped:
+        elif not part.dropped and not _is_link_list(part):
             if part.tag in _BLOCK:
                 close()
                 stack.append(None)
@@ -247,8 +324,8 @@ def main_text(page: str | None) -> str:
 def with_main_text(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
     """One row for each page: the key columns, text and n_chars (code points).
 
-    Pages are read whole. A null page has an empty text; null keys pass through; repeated
-    rows give repeated results; other columns are not read.
+    Pages are read whole. A null or empty page has an empty text; null keys pass through; repeated
+    rows give repeated results; an empty table gives no rows; other columns are not read, whatever their names.
     """
     typed = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
 

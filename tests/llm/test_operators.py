@@ -1,9 +1,11 @@
 """Operators against brute force, and nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import itertools
+import math
 import random
 import re
 import textwrap
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +145,7 @@ def test_html_rows(spark):
     rows = [(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "x"), (None, None, None, None)]
     out = html_extract.with_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
     assert sorted(map(tuple, out.collect()), key=str) == [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]
+    assert html_extract.with_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_quality_on_held_out_rows(spark):
@@ -446,3 +449,64 @@ def test_decontamination_finds_excerpts_at_every_offset():
         assert {t for t, found, *_ in decontaminate.matches(texts, index) if found == k} == set(range(len(texts)))
     whole = [item for _, item in items]
     assert decontaminate.matches(whole, index) == decontaminate.matches(whole, decontaminate.index_of(items))
+
+
+def plain_density(node, share):
+    """Composite text density of an element from all that lies under it, by its definition."""
+    under, stack = [], [(p, node.tag == "a") for p in node.parts]
+    chars = links = tags = link_tags = 0
+    while stack:
+        part, in_link = stack.pop()
+        under.append(part)
+        if isinstance(part, str):
+            chars, links = chars + len(part.strip()), links + in_link * len(part.strip())
+        elif not part.dropped:
+            tags, link_tags = tags + 1, link_tags + (part.tag == "a" or in_link)
+            stack += [(p, in_link or part.tag == "a") for p in part.parts]
+    if not chars:
+        return 0.0, chars, links
+    base = math.log(chars / max(chars - links, 1) * links + share * chars + math.e)
+    return chars / max(tags, 1) * max(math.log(chars / max(links, 1) * max(tags, 1) / max(link_tags, 1)) / base, 0.0), chars, links
+
+
+def random_page(rng, depth=0):
+    out = ""
+    for _ in range(rng.randrange(1, 4)):
+        tag = rng.choice(["div", "section", "b", "i", "a", "text", "text"]) if depth < 5 else "text"
+        inside = "word " * rng.randrange(1, 30) if tag == "text" else random_page(rng, depth + 1)
+        out += inside if tag == "text" else f"<{tag}>{inside}</{tag}>"
+    return out
+
+
+def test_html_densities_against_brute_force():
+    rng = random.Random(12)
+    for _ in range(60):
+        root = html_extract.parse(f"<body>{random_page(rng)}</body>")
+        order = html_extract.densities(root)
+        body = next(n for n in order if n.tag == "body")
+        _, chars, links = plain_density(body, 0)
+        share, sums = (links / chars if chars else 0.0), {}
+        for node in order:
+            assert node.density == pytest.approx(plain_density(node, share)[0])
+            sums[id(node)] = sum(plain_density(p, share)[0] for p in node.parts if not isinstance(p, str))
+            assert node.total == pytest.approx(sums[id(node)])
+        assert body.best.total == pytest.approx(max(v for k, v in sums.items() if k != id(root)))
+
+
+def test_html_density_decides():
+    text = "word " * 60
+    teaser = "<article><h2><a href=x>Another title</a></h2><p>Tease <a href=x>more</a></p></article>"
+    assert html_extract.main_text(f"<body><article><h1>T</h1><p>{text}</p></article>{teaser}</body>") == f"T\n{text.strip()}"
+    assert html_extract.main_text(f"<body><div class='post ad-free'><h1>T</h1><p>{text}</p><div class=ad>buy</div></div>x</body>") == f"T\n{text.strip()}"
+    assert html_extract.main_text(f"<body><div class=comments><p>{text * 20}</p></div><article><p>short</p></article></body>") == "short"
+    parts = f"<section><p>{text}</p><p>{text}</p></section><section><p>Short.</p></section><section><p>{text}</p></section>"
+    wide = f"<body><div><a href=/>Logo</a></div><div><h1>T</h1>{parts}<ul><li><a>one</a><li><a>two</a><li><a>three</a></ul></div><div>Copyright</div></body>"
+    assert html_extract.main_text(wide) == "\n".join(["T", text.strip(), text.strip(), "Short.", text.strip()])
+    assert html_extract.main_text("<p title=don't>first</p><p class='x>second para is kept</p>") == "first\nsecond para is kept"
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<b>" * 100_000 + "</x>" * 100_000, "<b><div>" + "<i>" * 100_000 + "</b>" * 100_000, "<!x" * 300_000, "<a x='" * 100_000 + '<a y="' * 50_000, "<a" + " " * 1_000_000, "<div class=ad>" * 70_000, "<p>a" * 200_000])
+def test_html_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 8
