@@ -28,7 +28,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CHECKED = {"ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github", "npm_": "npm"}
 CHECKED_TAIL = re.compile(r"([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-PEM = re.compile(r"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----[\s\S]{0,8192}?-----END \1-----", re.ASCII)
+# The first and last lines of private keys in text form, and the lines between.
+PEM_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----", re.ASCII)
+PEM_END = re.compile(r"-----END ((?:[A-Z0-9]+ )*PRIVATE KEY)-----", re.ASCII)
+PEM_LINES = re.compile(r"(?:\r?\n(?:[A-Za-z0-9+/=]+|[A-Za-z-]+: [^\r\n]*|)(?=\r?\n|\Z))*+", re.ASCII)
 
 KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign", "akia": "access"}
 
@@ -45,17 +48,36 @@ def checksum(body: str) -> str:
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for word, kind in [*KEYWORDS.items(), *CHECKED.items(), ("-----begin ", "pem")]:
+    for word, kind in [*KEYWORDS.items(), *CHECKED.items(), ("-----begin ", "pem"), ("-----end ", "end")]:
         found.add_word(word, (len(word), kind))
     found.make_automaton()
     return found
 
 
+def _keys(text: str, begins: list[int], ends: list[int]) -> Iterator[tuple[str, int, int]]:
+    """Spans of private keys: up to the end line of the same kind before the next key, else up to the key's last line."""
+    heads = [m for at in begins if (m := PEM_BEGIN.match(text, at))]
+    tails = [m for at in ends if (m := PEM_END.match(text, at))]
+    tail = 0
+    for k, head in enumerate(heads):
+        limit = heads[k + 1].start() if k + 1 < len(heads) else len(text)
+        while tail < len(tails) and tails[tail].start() < head.end():
+            tail += 1
+        while tail < len(tails) and tails[tail][1] != head[1] and tails[tail].start() < limit:
+            tail += 1
+        if tail < len(tails) and tails[tail].start() < limit:
+            yield "pem", head.start(), tails[tail].end()
+        else:
+            lines = PEM_LINES.match(text, head.end(), limit)
+            yield "pem", head.start(), head.end() + len(lines[0].rstrip())
+
+
 def spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every secret of ``text``, in code points, by start and then kind.
 
     Null and empty texts have none. Spans of one kind don't overlap, leftmost first, and a
-    match that is too short is dropped after it has used up its characters.
+    match that is too short is dropped after it has used up its characters. A private key
+    may be of any length; one without an end line goes up to its last line.
     """
     if not text:
         return []
@@ -63,8 +85,9 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     low = text.encode().lower().decode()
     done = dict.fromkeys(KINDS, 0)
     hits = sorted((end + 1 - size, kind) for end, (size, kind) in _automaton().iter(low))
+    out += _keys(text, *([at for at, kind in hits if kind == wanted] for wanted in ("pem", "end")))
     for start, kind in hits:
-        if start < done[kind]:
+        if kind in ("pem", "end") or start < done[kind]:
             continue
         if kind == "assign":
             m = ASSIGN.match(text, start)
@@ -72,8 +95,6 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         elif kind == "access":
             m = ACCESS.match(text, start)
             good = m and len(m[0]) >= 20
-        elif kind == "pem":
-            m = good = PEM.match(text, start)
         else:
             m = CHECKED_TAIL.match(text, start + 4) if text[start : start + 4] in CHECKED else None
             good = m and checksum(m[1]) == m[2] and not (start and text[start - 1].isalnum())
@@ -98,7 +119,8 @@ def digest(found: list[tuple[str, int, int]]) -> dict:
 def secret_spans(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each secret: key, kind, start, end and the matched text.
 
-    Null keys pass through; repeated rows give repeated secrets; other columns are not read.
+    Null keys pass through; null and empty texts have none; repeated rows give repeated secrets; an
+    empty table gives no rows; other columns are not read.
     """
     typed = f"`{key}` {documents.schema[key].dataType.simpleString()}"
 
@@ -111,7 +133,10 @@ def secret_spans(documents: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def secret_digest(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``documents``: its counts of base kinds, their hash, and all spans."""
+    """One row for each row of ``documents``: its counts of base kinds, their hash, and all spans.
+
+    Null and empty texts have no spans; null keys pass through; repeated rows give repeated results.
+    """
     typed = f"`{key}` {documents.schema[key].dataType.simpleString()}"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

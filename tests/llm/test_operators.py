@@ -510,3 +510,29 @@ def test_html_hostile_pages_take_linear_time(page):
     began = time.process_time()
     html_extract.main_text(page)
     assert time.process_time() - began < 8
+
+
+def test_secrets_private_keys_of_any_length():
+    body = "\n".join("Ab1+" * 16 for _ in range(3000))
+    whole = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    open_ended = f"-----BEGIN PRIVATE KEY-----\r\n{'Cd2/' * 16}\r\nEf3=\r\n"
+    text = f"é {whole} then {open_ended} and words\n{whole}\n-----END EC PRIVATE KEY----- -----BEGIN CERTIFICATE-----"
+    want = [(text.index(whole), text.index(whole) + len(whole)), (text.index(open_ended), text.index(open_ended) + len(open_ended.rstrip())), (text.rindex(whole), text.rindex(whole) + len(whole))]
+    assert [s[1:] for s in secrets.spans(text) if s[0] == "pem"] == want
+    began = time.process_time()
+    assert len([s for s in secrets.spans("-----BEGIN PRIVATE KEY-----\n" * 20_000) if s[0] == "pem"]) == 20_000
+    assert time.process_time() - began < 5
+
+
+def test_secrets_checked_tokens_against_a_plain_pattern():
+    rng = random.Random(13)
+    for _ in range(300):
+        parts = []
+        for _ in range(6):
+            body = "".join(rng.choice(secrets.BASE62) for _ in range(30))
+            tail = secrets.checksum(body) if rng.random() < 0.6 else "".join(rng.choice(secrets.BASE62) for _ in range(6))
+            parts.append(rng.choice(list(secrets.CHECKED)) + body + tail + rng.choice(["", " ", "x", "_", "é"]))
+        text = rng.choice(["", " ", "q"]).join(parts)
+        plain = re.compile("(?<![0-9A-Za-z])(" + "|".join(secrets.CHECKED) + r")([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
+        want = [(secrets.CHECKED[m[1]], m.start(), m.end()) for m in plain.finditer(text) if secrets.checksum(m[2]) == m[3] and not (m.start() and text[m.start() - 1].isalnum())]
+        assert [s for s in secrets.spans(text) if s[0] in ("github", "npm")] == want
