@@ -291,28 +291,41 @@ def edit_distance_in(window, text):
     return min(row)
 
 
-def test_decontamination_against_brute_force():
+@pytest.mark.parametrize("hits", [4_000_000, 300])
+def test_decontamination_against_brute_force(hits, monkeypatch):
+    monkeypatch.setattr(decontaminate, "_HITS", hits)
     rng = random.Random(9)
     letters = "abcdefghij "
     norm = lambda t: "".join(map(chr, decontaminate.normalised([t])[0]))
-    items = [(k, "".join(rng.choice(letters) for _ in range(rng.choice([20, 40, 90, 150])))) for k in range(12)]
-    index = decontaminate.index_of(items)
+    items = [(k, "z" + "".join(rng.choice(letters) for _ in range(n - 2)) + "z") for k, n in enumerate((6, 9, 12, 25, 40, 90, 150, 200, 260, 390))]
+    index = decontaminate.index_of(items, shortest=1)
     texts = []
-    for _ in range(40):
+    for _ in range(45):
         item = list(rng.choice(items)[1])
-        for _ in range(rng.choice([0, 1, 2, 4, 9])):
+        for _ in range(rng.choice([0, 0, 1, 2, 4, 9, 16])):
             p = rng.randrange(len(item))
             item[p : p + 1] = rng.choice([[], ["k"], [item[p], "m"]])
-        texts.append("".join(rng.choice(letters) for _ in range(rng.randrange(40))) + " ? " + "".join(item).upper() + "!!" + "".join(rng.choice(letters) for _ in range(30)))
-    found = {(t, index.items[k]): d for t, k, _, _, d in decontaminate.matches(texts, index)}
-    want = {}
-    for t, text in enumerate(texts):
-        for k, item in items:
-            if len(norm(item)) >= decontaminate.LEAST:
-                edits = edit_distance_in(norm(item), norm(text))
-                if edits <= int(len(norm(item)) * decontaminate.EDITS):
-                    want[t, k] = edits
-    assert found == want and len(want) > 10
+        glue = rng.choice([" ", " ", "q"])
+        texts.append("".join(rng.choice(letters) for _ in range(rng.randrange(40))) + glue + "".join(item).upper() + glue + "!!" + "".join(rng.choice(letters) for _ in range(30)))
+    texts += [f"x {t}! y" for _, t in items] + [" ".join(texts[-12:])]
+    found = {(t, index.items[k]): (texts[t][a:b], d) for t, k, a, b, d in decontaminate.matches(texts, index)}
+    windows = {k: [norm(t)] if len(norm(t)) < decontaminate.Q else ["".join(map(chr, c)) for c, o in zip(index.codes, index.owner, strict=True) if o == k] for k, t in items}
+    want = set()
+    for t, text in enumerate(map(norm, texts)):
+        for k, own in windows.items():
+            if len(own[0]) < decontaminate.LEAST:
+                want |= {(t, k)} if f" {own[0]} " in f" {text} " else set()
+            elif any(edit_distance_in(w, text) <= int(len(w) * decontaminate.EDITS) for w in own):
+                want.add((t, k))
+    assert set(found) == want and len(want) > 25 and {k for _, k in want} == set(windows)
+    for (_, k), (stretch, edits) in found.items():
+        assert any(edit_distance_in(w.strip(), norm(stretch)) <= edits and abs(len(norm(stretch)) - len(w.strip())) <= edits + 2 for w in windows[k])
+
+
+def test_decontamination_normal_form():
+    text = "日本。語　テスト 😀 Ab-C"
+    assert "".join(map(chr, decontaminate.normalised([text])[0])) == "日本 語 テスト ab c"
+    assert decontaminate.matches(["a" * 60_000], decontaminate.index_of([(1, "a" * 400)]))[0][:2] == (0, 0)
 
 
 def test_decontamination_rows(spark, monkeypatch):
