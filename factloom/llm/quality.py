@@ -81,7 +81,7 @@ class Model:
     prior: float
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:
-        share = np.empty(counts.shape, np.float32)
+        share = np.empty(counts.shape)
         for a, b in ((0, _WORDS), (_WORDS, _WORDS + _SHAPES), (_WORDS + _SHAPES, TERMS)):
             share[:, a:b] = np.sqrt(counts[:, a:b] / np.maximum(counts[:, a:b].sum(1, keepdims=True), 1))
         return share * self.weights
@@ -91,18 +91,22 @@ class Model:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        """Votes in 0 to 1 for rows of counts; the share of good labels for rows without terms."""
+        """Votes in 0 to 1 for rows of counts; the share of good labels for rows without terms.
+
+        All neighbours as near as the last one vote, so ties don't depend on the order of the labelled rows. Cosines
+        are rounded to nine places, so equal texts have equal neighbours whatever block they come in.
+        """
         out = np.full(len(counts), self.prior)
         if not len(self.labels):
             return out
         k = min(NEIGHBOURS, len(self.labels))
         for a in range(0, len(counts), _BLOCK):
             block = counts[a : a + _BLOCK]
-            near = self.embed(block) @ self.vectors.T
-            top = np.argpartition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k :]
-            votes = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** SHARPNESS
+            near = np.round(self.embed(block) @ self.vectors.T, 9)
+            least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+            votes = np.where(near >= least, np.maximum(near, 0), 0) ** SHARPNESS
             total = votes.sum(1)
-            good = (votes * self.labels[top]).sum(1)
+            good = votes @ self.labels
             some = (total > 0) & (block.sum(1) > 0)
             out[a : a + _BLOCK][some] = good[some] / total[some]
         return np.clip(out, 0.0, 1.0)
@@ -110,16 +114,16 @@ class Model:
 
 def model_of(counts: np.ndarray, labels: np.ndarray, frequency: np.ndarray, documents: int) -> Model:
     """Fit on term counts of labelled texts, with document frequencies of the corpus."""
-    weights = np.log1p(max(documents, 1) / np.maximum(frequency, 1)).astype(np.float32)
+    weights = np.log1p(max(documents, 1) / np.maximum(frequency, 1))
     weights[_WORDS : _WORDS + _SHAPES] *= 2
     weights[_WORDS + _SHAPES :] = 3.0
-    raw = Model(weights, np.eye(TERMS, dtype=np.float32), np.zeros((0, TERMS), np.float32), labels, 0.5)
+    raw = Model(weights, np.eye(TERMS), np.zeros((0, TERMS)), labels, 0.5)
     rows = raw.weighted(counts)
-    values, vectors = np.linalg.eigh((rows.T @ rows).astype(np.float64))
-    axes = vectors[:, np.argsort(-values)[:DIMENSIONS]].astype(np.float32)
+    values, vectors = np.linalg.eigh(rows.T @ rows)
+    axes = vectors[:, np.argsort(-values)[:DIMENSIONS]]
     prior = float(labels.mean()) if len(labels) else 0.5
-    model = Model(weights, axes, np.zeros((0, DIMENSIONS), np.float32), labels, prior)
-    return Model(weights, axes, model.embed(counts).astype(np.float32), labels.astype(np.float64), prior)
+    model = Model(weights, axes, np.zeros((0, DIMENSIONS)), labels, prior)
+    return Model(weights, axes, model.embed(counts), labels.astype(np.float64), prior)
 
 
 def document_frequency(documents: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
@@ -148,7 +152,8 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """Learn from at most ``max_labelled`` labelled rows that aren't held out.
 
     The bound takes the rows that are first by a hash of the key. Rows with a null key or
-    label are not learnt from; a key with several labels has their mean.
+    label are not learnt from; a key with several labels has their mean, and of rows that
+    repeat a key no more than the bound are taken, by key and terms. Without labels every text scores 0.5.
     """
     chosen = labels.select(F.col(key).alias("_k"), F.col(label).cast("double").alias("_y")).dropna()
     chosen = chosen.where(~held_out(F.col("_k"))).groupBy("_k").agg(F.avg("_y").alias("_y"))
@@ -157,21 +162,20 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = [np.minimum(x, 65535).astype(np.uint16) for x in term_counts(batch.column(2))]
-            found = np.concatenate(blocks) if blocks else np.zeros((0, TERMS), np.uint16)
+            found = [r for block in term_counts(batch.column(2)) for r in block.astype(np.uint32)]
             yield pa.record_batch({"k": batch.column(0).cast(pa.string()), "y": batch.column(1), "x": pa.array([r.tobytes() for r in found], pa.binary())})
 
-    found = rows.mapInArrow(count, "k string, y double, x binary").toPandas().sort_values(["k", "x"])
+    found = rows.mapInArrow(count, "k string, y double, x binary").orderBy("k", "x").limit(max_labelled).toPandas()
     frequency, documents_n = document_frequency(documents, text)
-    counts = np.frombuffer(b"".join(found["x"]), np.uint16).reshape(-1, TERMS)[:max_labelled]
-    return model_of(counts, found["y"].to_numpy(float)[:max_labelled], frequency, documents_n)
+    counts = np.frombuffer(b"".join(found["x"]), np.uint32).reshape(-1, TERMS)
+    return model_of(counts, found["y"].to_numpy(float), frequency, documents_n)
 
 
 def with_score(documents: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add score (double, 0 to 1) and predicted (1 if score >= threshold, else 0) to every row.
 
-    Null and empty texts get the model's share of good labels. Equal texts get equal
-    scores up to rounding. All other columns pass through; columns of these two names are replaced.
+    Null and empty texts get the model's share of good labels. Texts are read whole;
+    equal ones get equal scores. All other columns pass through; columns of these two names are replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rest = documents.drop("score", "predicted")

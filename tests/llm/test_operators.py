@@ -207,29 +207,112 @@ def test_packing(spark):
     assert packing.packed(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def brute_best_fit(lengths, capacities):
-    sizes = sorted(capacities)
-    room = []
-    for length in sorted(lengths, reverse=True):
+def brute_best_fit(lengths, opened):
+    """Contents of the bins of a plain best fit, where ``opened`` gives a new bin's size."""
+    room, fill, since = [], [], []
+    for step, length in enumerate(sorted(lengths, reverse=True)):
         fits = [k for k, r in enumerate(room) if r >= length]
         if fits:
-            room[min(fits, key=lambda k: room[k])] -= length
+            own = min(fits, key=lambda k: (room[k], -since[k]))
         else:
-            need = min(c for c in sizes if c >= length)
-            room.append(min((c for c in sizes if c >= need), key=lambda c: (packing.cost_of(c) / c, c)) - length)
-    return sorted(room)
+            own = len(room)
+            room.append(opened(length))
+            fill.append(0)
+            since.append(step)
+        room[own], fill[own], since[own] = room[own] - length, fill[own] + length, step
+    return sorted(fill)
+
+
+def cost_of_bins(fill):
+    return sum(packing.cost_of(min(c for c in packing.CAPACITIES if c >= f)) for f in fill)
+
+
+def least_cost(lengths):
+    """Cost of the best packing of all, over every way to part the lengths."""
+    best = math.inf
+
+    def place(rest, bins):
+        nonlocal best
+        if not rest:
+            best = min(best, cost_of_bins(bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + rest[0] <= max(packing.CAPACITIES):
+                place(rest[1:], [*bins[:k], bins[k] + rest[0], *bins[k + 1 :]])
+        place(rest[1:], [*bins, rest[0]])
+
+    place(sorted(lengths, reverse=True), [])
+    return best
 
 
 def test_best_fit_against_brute_force():
     rng = random.Random(3)
-    for _ in range(30):
-        lengths = [rng.randrange(1, 2049) for _ in range(60)]
+    cheap = lambda n: min((c for c in packing.CAPACITIES if c >= n), key=lambda c: (packing.cost_of(c) / c, c))
+    fixed = lambda n: cheap(min(c for c in packing.CAPACITIES if c >= n))
+    lower = 0
+    for n in range(60):
+        lengths = [rng.choice([rng.randrange(1, 2049), rng.randrange(1, 300), rng.choice([700, 900, 1100])]) for _ in range(rng.choice([5, 60, 200]))]
+        for sizes in ((2048,), (256, 512, 1024, 2048), (512, 2048)):
+            opened = lambda length, *_, sizes=sizes: min(c for c in sizes if c >= length)
+            assert sorted(packing.best_fit(lengths, opened)[2]) == brute_best_fit(lengths, opened)
         bins, offsets, sizes = packing.pack(lengths)
         fill = [0] * len(sizes)
         for own, length in zip(bins, lengths, strict=True):
             fill[own] += length
-        assert len(sizes) == len(brute_best_fit(lengths, packing.CAPACITIES))
-        assert all(f <= s for f, s in zip(fill, sizes, strict=True))
+        assert sizes == [min(c for c in packing.CAPACITIES if c >= f) for f in fill]
+        own, table = cost_of_bins(fill), cost_of_bins(brute_best_fit(lengths, fixed))
+        assert own <= table + 1e-9
+        lower += own < table - 1e-9
+    assert lower > 10
+
+
+def test_packing_is_near_the_best_of_all_on_small_inputs():
+    rng = random.Random(5)
+    ours = best = 0
+    for _ in range(40):
+        lengths = [rng.randrange(50, 1500) for _ in range(7)]
+        found = sum(packing.cost_of(c) for c in packing.pack(lengths)[2])
+        least = least_cost(lengths)
+        assert least - 1e-9 <= found <= 1.25 * least
+        ours, best = ours + found, best + least
+    assert ours <= 1.03 * best
+    assert packing.pack([]) == ([], [], [])
+
+
+def test_packing_does_not_depend_on_splits_and_spreads_copies(spark):
+    rows = [(k % 40, " ".join(["w"] * (k % 700))) for k in range(400)] + [(7, "x y")] * 200 + [(None, "z " * 30)] * 100
+    docs = spark.createDataFrame(rows, DOCS)
+    one, two = (sorted(map(tuple, packing.packed(d, block_rows=50).collect()), key=str) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == two
+    blocks = {}
+    for r in one:
+        if r[0] == 7 and r[3] == 2:
+            blocks[r[4] >> 32] = blocks.get(r[4] >> 32, 0) + 1
+    assert sum(blocks.values()) >= 200 and max(blocks.values()) < 60
+
+
+def test_quality_ties_long_texts_and_clashing_names(spark):
+    rng = np.random.default_rng(2)
+    counts = np.repeat(rng.poisson(1, (10, quality.TERMS)), 40, 0)
+    labels = np.tile([1.0, 0.0, 0.0, 0.0], 100)
+    model = quality.model_of(counts, labels, (counts > 0).sum(0), 400)
+    order = rng.permutation(400)
+    other = quality.model_of(counts[order], labels[order], (counts > 0).sum(0), 400)
+    assert model.scores(counts[::40]) == pytest.approx([0.25] * 10) and other.scores(counts[::40]) == pytest.approx([0.25] * 10)
+    texts = [f"text number {k} with words of its own" for k in range(7)] + ["long " * 200_000, "long " * 200_000]
+    docs = spark.createDataFrame([(k, t, 9.0, "old") for k, t in enumerate(texts * 2)], "doc_id long, text string, score double, predicted string").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(18)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    out = quality.with_score(docs, model)
+    assert dict(out.dtypes)["predicted"] == "int" and out.count() == 18
+    scores = {}
+    for r in out.collect():
+        scores.setdefault(r.text, set()).add(r.score)
+    assert all(len(v) == 1 for v in scores.values())
+    long = next(quality.term_counts(pa.array(["long " * 200_000])))
+    assert long.max() > 65_535
+    repeated = docs.unionByName(docs).unionByName(docs)
+    assert len(quality.fit(repeated, labels, max_labelled=5).labels) == 5
 
 
 def brute_deleted(rows):
