@@ -3,22 +3,26 @@
 1. Every text becomes the set of its distinct 5-word shingles, as 64-bit hashes. Equal sets
    are one set from here on. A fixed-size sketch counts the shingles of all texts.
 2. Two sets of similarity t or more share one of each set's n - ceil(t * n) + 1 rarest shingles,
-   for any common order; the sketch gives the order. The inverted lists of these shingles are
+   for any common order; the sketch gives the order. However many shingles there are, one that is commoner than
+   a cell's mean load ranks behind the rare ones, and those are what would make long lists. The inverted lists of these shingles are
    built; short ones are merged by counting each pair's occurrences, and pairs whose count
-   and places can still reach the overlap they need, or that share a long list, are joined. Sets
-   joined directly or through others form a search group; the rest link with nothing.
+   and places can still reach the overlap they need are joined; so are, size band by size band, sets
+   that share a long list. Sets joined directly or through others form a search group; the rest link with nothing.
 3. In a group, inverted lists are searched with DivideSkip: of a set's lists the longest are put
-   aside, the others are merged as sorted runs, sets with enough occurrences are
+   aside, the others are merged by a heap of their heads, sets with enough occurrences are
    kept, and the long lists are probed for these by binary search.
 4. The links' connected components follow from one spanning forest a group.
 
-A group with more than ``GROUP_SHINGLES`` shingles is dealt into blocks by a hash, and each pair of
+A group with more than ``GROUP_SETS`` sets or ``GROUP_SHINGLES`` shingles is dealt into blocks by a hash, and each pair of
 blocks is searched on its own, so no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,8 @@ from factloom.llm.words import mix, shingle_sets
 WIDTH = 5
 #: Similarity from which two sets link, in hundredths.
 PERCENT = 80
-#: Shingles in a block of a search group, about.
+#: Sets and shingles in a block of a search group, about.
+GROUP_SETS = 256
 GROUP_SHINGLES = 1_000_000
 #: Longest posting list of which pairs are counted.
 SHORT_LIST = 16
@@ -137,14 +142,43 @@ def _sorted_postings(token: np.ndarray, node: np.ndarray, held: np.ndarray) -> t
     return token[fresh], node[fresh], held[fresh]
 
 
-def _long_stars(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place in its list and length of its list, for each posting; distinct (node, first node) pairs of long lists."""
-    heads, sizes = _runs(token)
-    length, first = np.repeat(sizes, sizes), np.repeat(node[heads], sizes)
-    place = np.arange(len(token)) - np.repeat(heads, sizes)
-    some = (length > SHORT_LIST) & (place > 0)
-    pairs = np.unique(np.stack([node[some], first[some]]), axis=1) if some.any() else np.zeros((2, 0), np.int64)
-    return place, length, pairs[0], pairs[1]
+@lru_cache(maxsize=8)
+def _band_starts(percent: int) -> np.ndarray:
+    """Least sizes of the bands: sets of one band may link by their sizes, those two bands apart can't."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(100 * out[-1] // percent + 1)
+    return np.array(out, np.int64)
+
+
+def _long_stars(token: np.ndarray, node: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place in its list's size band and length of its list, for each posting; distinct pairs of nodes that join the sets of long lists.
+
+    In a long list every node is joined with the first of its band, and two neighbouring bands by their first
+    nodes if the largest set of the one may link with the least of the other.
+    """
+    sizes = _runs(token)[1]
+    length = np.repeat(sizes, sizes)
+    band = np.searchsorted(_band_starts(percent), size, "right")
+    order = np.lexsort((node, band, token))
+    t, b, n, x = token[order], band[order], size[order], node[order]
+    head = np.ones(len(t), bool)
+    head[1:] = (t[1:] != t[:-1]) | (b[1:] != b[:-1])
+    heads = np.flatnonzero(head)
+    runs = np.diff(np.append(heads, len(t)))
+    place = np.empty(len(t), np.int64)
+    place[order] = np.arange(len(t)) - np.repeat(heads, runs)
+    far = length[order] > SHORT_LIST
+    first = np.repeat(x[heads], runs) if len(t) else x
+    some = far & ~head
+    pairs = [np.stack([x[some], first[some]])]
+    if len(heads) > 1:
+        most, least = np.maximum.reduceat(n, heads), np.minimum.reduceat(n, heads)
+        near = far[heads[1:]] & (t[heads[1:]] == t[heads[:-1]]) & (b[heads[1:]] == b[heads[:-1]] + 1) & (100 * most[:-1] >= percent * least[1:])
+        pairs.append(np.stack([x[heads[1:]][near], x[heads[:-1]][near]]))
+    found = np.concatenate(pairs, axis=1)
+    found = np.unique(found[:, found[0] != found[1]], axis=1)
+    return place, length, found[0], found[1]
 
 
 def search_edges(documents: DataFrame, levels: np.ndarray, text: str, width: int, percent: int) -> DataFrame:
@@ -152,7 +186,7 @@ def search_edges(documents: DataFrame, levels: np.ndarray, text: str, width: int
 
     A list of up to ``SHORT_LIST`` sets gives its pairs of fitting sizes and places, and the
     occurrences of each pair are counted over all short lists; pairs whose count and last places
-    can't reach the overlap they need are let go. A longer list gives a star.
+    can't reach the overlap they need are let go. A longer list joins its sets within their size bands.
     """
     shared = documents.sparkSession.sparkContext.broadcast(levels)
     names = ["token", "a", "held", "b"]
@@ -162,7 +196,7 @@ def search_edges(documents: DataFrame, levels: np.ndarray, text: str, width: int
         place = np.concatenate([np.arange(k) for k in lengths])
         held = np.repeat(np.array(sizes, np.int64) << 32, lengths) | place
         token, node, held = _sorted_postings(np.concatenate(tokens).view(np.int64), np.repeat(np.array(nodes, np.int64), lengths), held)
-        place, _, a, b = _long_stars(token, node)
+        place, _, a, b = _long_stars(token, node, held >> 32, percent)
         keep = place <= SHORT_LIST
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, held)] + [pa.nulls(int(keep.sum()), pa.int64())], names=names)
         if len(a):
@@ -185,7 +219,7 @@ def search_edges(documents: DataFrame, levels: np.ndarray, text: str, width: int
 
     def pairs_of(token: np.ndarray, node: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
         token, node, held = _sorted_postings(token, node, held)
-        _, length, a, b = _long_stars(token, node)
+        _, length, a, b = _long_stars(token, node, held >> 32, percent)
         found = [np.stack([a, b, *np.zeros((5, len(a)), np.int64)])]
         short = (length > 1) & (length <= SHORT_LIST)
         token, node, n, i = token[short], node[short], held[short] >> 32, held[short] & 0xFFFFFFFF
@@ -226,13 +260,11 @@ def search_edges(documents: DataFrame, levels: np.ndarray, text: str, width: int
             if last:
                 yield from pairs_of(*whole)
             if len(rest[0]) > _MEET:
-                first = rest[1][0]
-                others = np.unique(rest[1][rest[1] != first])
-                if len(others) > SHORT_LIST:
-                    zero = np.zeros(len(others), np.int64)
-                    yield pa.record_batch({"a": others, "b": np.full(len(others), first), "c": zero - 1, "i": zero, "j": zero, "n": zero, "m": zero})
-                    keep = np.isin(rest[1], [first, *others[:SHORT_LIST]])
-                    rest = list(_sorted_postings(*(x[keep] for x in rest)))
+                rest = list(_sorted_postings(*rest))
+                place, _, x, y = _long_stars(*rest[:2], rest[2] >> 32, percent)
+                zero = np.zeros(len(x), np.int64)
+                yield pa.record_batch({"a": x, "b": y, "c": zero - 1, "i": zero, "j": zero, "n": zero, "m": zero})
+                rest = [x[place <= SHORT_LIST] for x in rest]
         if len(rest[0]):
             yield from pairs_of(*rest)
 
@@ -260,53 +292,65 @@ class _Forest:
         self.up[max(a, b)] = min(a, b)
 
 
-def divide_skip(sets: list[np.ndarray], percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set in turn, the earlier sets it links with; ``sets`` are sorted by size.
+def heap_merge(lists: list[list[int]], least: int) -> tuple[list[int], list[int]]:
+    """Values that stand in ``least`` of the sorted lists or more, and in how many, from a heap of the lists' heads."""
+    heap = [(own[0], k, 0) for k, own in enumerate(lists) if own]
+    heapify(heap)
+    found, times = [], []
+    while len(heap) >= least > 0:
+        value, count = heap[0][0], 0
+        while heap and heap[0][0] == value:
+            _, k, at = heap[0]
+            count += 1
+            if at + 1 < len(lists[k]):
+                heapreplace(heap, (lists[k][at + 1], k, at + 1))
+            else:
+                heappop(heap)
+        if count >= least:
+            found.append(value)
+            times.append(count)
+    return found, times
+
+
+def divide_skip(sets: list[np.ndarray], asked: list[np.ndarray] | None = None, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
+    """For each asked set in turn, the places of the sets it links with; without ``asked`` each set is asked for earlier ones.
 
     A set of n needs T = ceil(percent / 100 * n) occurrences at least. Its L longest lists are put
     aside; the others are merged, and what occurs T - L times there is probed in the long ones.
     """
-    count = len(sets)
+    if not sets:
+        return
     sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(count), sizes)
-    _, token, lengths = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.argsort(token, kind="stable")
-    postings = token[order] * count + owner[order]
-    places = owner[order]
-    heads = np.concatenate([[0], np.cumsum(lengths)])
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    for r in range(count):
-        own = token[bounds[r] : bounds[r + 1]]
-        size = lengths[own]
-        own, size = own[size > 1], size[size > 1]
-        least = needed(int(sizes[r]), percent)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    flat = np.concatenate(sets)
+    order = np.lexsort((owner, flat))
+    flat, owner = flat[order], owner[order]
+    tokens, heads, lengths = np.unique(flat, return_index=True, return_counts=True)
+    postings = np.repeat(np.arange(len(tokens)), lengths) * len(sets) + owner
+    for r, query in enumerate(sets if asked is None else asked):
+        own = np.searchsorted(tokens, query)
+        inside = own < len(tokens)
+        own = own[inside][tokens[own[inside]] == query[inside]]
+        own = own[lengths[own] > 1] if asked is None else own
+        least = needed(len(query), percent)
         if len(own) < least or not least:
             continue
-        by = np.argsort(size, kind="stable")
-        own, size = own[by], size[by]
-        aside = min(least - 1, int(least / (_MU * np.log2(size[-1] + 1) + 1)), len(own) - 1)
+        own = own[np.argsort(lengths[own], kind="stable")]
+        aside = min(least - 1, int(least / (_MU * np.log2(lengths[own[-1]] + 1) + 1)))
         short, long = own[: len(own) - aside], own[len(own) - aside :]
-        run = lengths[short]
-        at = np.repeat(heads[short] - np.concatenate([[0], np.cumsum(run)[:-1]]), run) + np.arange(run.sum())
-        merged = places[at]
-        merged = merged[merged < r]
-        if count <= 4 * len(merged) + 64:
-            times = np.bincount(merged, minlength=count)
-            found = np.flatnonzero(times >= least - aside)
-            times = times[found]
-        else:
-            found, times = np.unique(merged, return_counts=True)
-            found, times = found[times >= least - aside], times[times >= least - aside]
-        fits = 100 * sizes[found] >= percent * sizes[r]
-        found, times = found[fits], times[fits].astype(np.int64)
+        ends = heads[short] + lengths[short]
+        lists = [owner[a:b].tolist() for a, b in zip(heads[short], ends, strict=True)]
+        if asked is None:
+            lists = [x[: bisect_left(x, r)] for x in lists]
+        found, times = (np.array(x, np.int64) for x in heap_merge(lists, least - aside))
+        fits = (100 * np.minimum(sizes[found], len(query)) >= percent * np.maximum(sizes[found], len(query))) if len(found) else np.zeros(0, bool)
+        found, times = found[fits], times[fits]
         for a in range(0, len(found), 4096):
-            some = found[a : a + 4096]
             if len(long):
-                keys = long[None] * count + some[:, None]
+                keys = long[None] * len(sets) + found[a : a + 4096, None]
                 at = np.minimum(np.searchsorted(postings, keys), len(postings) - 1)
                 times[a : a + 4096] += (postings[at] == keys).sum(1)
-        union = sizes[found] + sizes[r] - times
-        linked = found[100 * times >= percent * union]
+        linked = found[100 * times >= percent * (sizes[found] + len(query) - times)]
         if len(linked):
             yield r, linked
 
@@ -328,48 +372,51 @@ def similar(documents: DataFrame, key: str = "doc_id", text: str = "text", width
     groups = joined.select(F.col("node").alias("f"), F.col("component").alias("group"))
     kinds = written(sets.groupBy("f", "g", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "kinds")
     placed = kinds.join(groups, "f")
-    loads = placed.groupBy("group").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).alias("blocks"))
-    placed = placed.join(loads, "group")
+    loads = placed.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / GROUP_SHINGLES), F.ceil(F.count("*") / GROUP_SETS)).alias("blocks"))
+    placed = placed.join(loads, "group").select("rep", F.struct("rep", "f", "g").alias("node"), "group", "blocks", "copies")
     texts = documents.select(F.col(key).alias("rep"), F.col(text).alias("_text")).join(placed, "rep")
     id_type = documents.schema[key].dataType.simpleString()
+    node_type = f"struct<rep:{id_type},f:bigint,g:bigint>"
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(2).to_pylist()
-            found = [(k, own) for k, own in shingle_sets(batch.column(1), width) if len(own) and _prints(own)[0] == wanted[k]]
+            wanted = zip(batch.column(1).field("f").to_pylist(), batch.column(1).field("g").to_pylist(), strict=True)
+            wanted = dict(enumerate(wanted))
+            found = [(k, own) for k, own in shingle_sets(batch.column(0), width) if len(own) and _prints(own) == wanted[k]]
             at = pa.array([k for k, _ in found], pa.int64())
             arrays = pa.array([own.tobytes() for _, own in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (0, 3, 4, 5)), arrays], names=["rep", "group", "blocks", "copies", "own"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (1, 2, 3, 4)), arrays], names=["node", "group", "blocks", "copies", "own"])
 
-    spread_out = texts.select("rep", "_text", "f", "group", "blocks", "copies").mapInArrow(spread, f"rep {id_type}, group long, blocks long, copies long, own binary")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    spread_out = texts.select("_text", "node", "group", "blocks", "copies").mapInArrow(spread, f"node {node_type}, group long, blocks long, copies long, own binary")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = spread_out.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "own")
+    dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "own")
 
     def search(table: pa.Table) -> pa.Table:
-        rows = {}
-        for rep, block, copies, own in zip(*(table.column(c).to_pylist() for c in ("rep", "block", "copies")), table.column("own"), strict=True):
-            rows.setdefault((rep, own.as_buffer().size), (block, copies, np.frombuffer(own.as_buffer(), np.uint64)))
-        names = sorted(rows, key=lambda x: (x[1], x[0]))
-        sets = [rows[x][2] for x in names]
-        blocks = np.array([rows[x][0] for x in names])
-        copies = np.array([rows[x][1] for x in names], np.int64)
-        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        forest, links = _Forest(len(names)), np.zeros(len(names), np.int64)
-        for r, found in divide_skip(sets, percent):
-            if not same:
-                found = found[blocks[found] != blocks[r]]
+        rows: dict[tuple, tuple] = {}
+        nodes = table.column("node").combine_chunks()
+        for at, (f, g, block, copies, own) in enumerate(zip(nodes.field("f").to_pylist(), nodes.field("g").to_pylist(), *(table.column(c).to_pylist() for c in ("block", "copies")), table.column("own"), strict=True)):
+            rows.setdefault((f, g), (block, copies, at, np.frombuffer(own.as_buffer(), np.uint64)))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        kept = sorted(rows.values(), key=lambda x: len(x[3]))
+        if i != j:
+            kept = [x for x in kept if x[0] == i] + [x for x in kept if x[0] == j]
+        first = sum(x[0] == i for x in kept)
+        sets, copies = [x[3] for x in kept], np.array([x[1] for x in kept], np.int64)
+        forest, links = _Forest(len(kept)), np.zeros(len(kept), np.int64)
+        for r, found in divide_skip(sets, None, percent) if i == j else divide_skip(sets[:first], sets[first:], percent):
+            r += 0 if i == j else first
             links[r] += copies[found].sum()
             links[found] += copies[r]
             for s in found.tolist():
                 forest.join(r, s)
-        roots = [names[forest.root(k)][0] for k in range(len(names))]
-        return pa.table({"rep": pa.array([x[0] for x in names], table.schema.field("rep").type), "root": pa.array(roots, table.schema.field("rep").type), "size": pa.array([x[1] // 8 for x in names], pa.int32()), "links": links})
+        at = np.array([x[2] for x in kept], np.int64)
+        return pa.table({"node": nodes.take(at), "root": nodes.take(at[[forest.root(k) for k in range(len(kept))]]), "links": links})
 
-    found = written(dealt.groupBy("group", "i", "j").applyInArrow(search, f"rep {id_type}, root {id_type}, size int, links long"), "links")
-    reached = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("rep", F.col("size").alias("n")).agg(F.sum("links").alias("links"))
-    kinds = kinds.join(links, ["rep", "n"], "left").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
+    found = written(dealt.groupBy("group", "i", "j").applyInArrow(search, f"node {node_type}, root {node_type}, links long"), "links")
+    reached = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", F.col("component.rep").alias("component"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    kinds = kinds.withColumn("node", F.struct("rep", "f", "g")).join(links, "node", "left").join(reached, "node", "left")
     kinds = kinds.select("f", "g", "n", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("n_links"))
     docs = prints.where("chunk IS NULL").select(F.col(key).alias("id"), "n", "f", "g")
     known = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))

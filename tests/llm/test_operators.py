@@ -55,9 +55,10 @@ def brute_components(rows):
     return {k: (len(sets[k]), root(k), links[k]) for k in sets}
 
 
-@pytest.mark.parametrize("block", [1_000_000, 60])
-def test_ngram_join_against_brute_force(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "short"), [(1_000_000, 16), (60, 2)])
+def test_ngram_join_against_brute_force(spark, block, short, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", block)
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
     rows = corpus(block)
     out = ngram_join.similar(spark.createDataFrame(rows, DOCS).repartition(3).selectExpr("*", "1 AS f", "2 AS component"))
     assert {r[0]: tuple(r[1:]) for r in out.collect()} == brute_components(rows)
@@ -80,6 +81,40 @@ def test_divide_skip_finds_every_link():
     sets.sort(key=len)
     want = {(r, s) for r in range(120) for s in range(r) if 100 * len(np.intersect1d(sets[r], sets[s])) >= 80 * len(np.union1d(sets[r], sets[s]))}
     assert {(r, s) for r, found in ngram_join.divide_skip(sets) for s in found.tolist()} == want and want
+    found = {tuple(sorted((60 + r, s), reverse=True)) for r, own in ngram_join.divide_skip(sets[:60], sets[60:]) for s in own.tolist()}
+    assert found == {(r, s) for r, s in want if r >= 60 > s}
+
+
+def test_heap_merge_counts_occurrences():
+    rng = random.Random(14)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(20), rng.randrange(12))) for _ in range(rng.randrange(8))]
+        least = rng.randrange(1, 6)
+        counts = {v: sum(v in x for x in lists) for v in range(20)}
+        want = [(v, n) for v, n in counts.items() if n >= least]
+        assert list(zip(*ngram_join.heap_merge(lists, least), strict=True)) == want
+
+
+def test_ngram_join_repeated_keys_with_different_texts(spark):
+    rng = random.Random(15)
+    base = [f"w{k}" for k in range(40)]
+    other = base[:]
+    other[0] = "x"
+    third = other[:]
+    third[-1] = "y"
+    rows = [(1, " ".join(base)), (1, " ".join(third)), (2, " ".join(other)), (3, " ".join([*third[:-1], "z"])), (4, " ".join(rng.choices(base, k=40)))]
+    out = sorted(map(tuple, ngram_join.similar(spark.createDataFrame(rows, DOCS)).collect()))
+    links = {k: n for k, _, _, n in out if k > 1}
+    assert {(k, c) for k, _, c, _ in out} == {(1, 1), (2, 1), (3, 1), (4, 4)} and links == {2: 3, 3: 3, 4: 0}
+
+
+def test_ngram_join_bands_keep_every_pair_of_fitting_sizes():
+    for percent in (50, 80, 90):
+        starts = ngram_join._band_starts(percent)
+        for n in range(1, 400):
+            for m in range(n, 400):
+                gap = np.searchsorted(starts, m, "right") - np.searchsorted(starts, n, "right")
+                assert gap <= 1 if 100 * n >= percent * m else gap >= 1
 
 
 def test_words_and_counts():
