@@ -12,6 +12,12 @@ def _spread(values: DataFrame, edges: DataFrame, damping: float) -> DataFrame:
     return pushed.groupBy(F.col("dst").alias("node")).agg(F.max(F.col("value") * strength * damping).alias("value"))
 
 
+def _with_own(nodes: DataFrame, edges: DataFrame, damping: float) -> DataFrame:
+    """(src, dst, factor): what an edge passes on, and each node to itself, so that a round reads its values once."""
+    strength = F.lit(1) - F.lit(1) / (F.lit(1) + F.col("weight"))
+    return edges.select("src", "dst", (strength * damping).alias("factor")).unionByName(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("factor")))
+
+
 def _largest(*parts: DataFrame) -> DataFrame:
     both = parts[0]
     for part in parts[1:]:
@@ -27,8 +33,9 @@ def activate(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int =
     """
     raised = seeds.select("node").distinct().withColumn("_up", F.lit(boost))
     base = nodes.join(raised, "node", "full").select("node", (F.coalesce("value", F.lit(1.0)) + F.coalesce("_up", F.lit(0.0))).alias("value"))
+    passed = _with_own(base.select("node").union(edges.select("dst")).distinct(), edges, damping)
     for _ in range(rounds):
-        base = _largest(base, _spread(base, edges, damping))
+        base = base.join(passed, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("value") * F.col("factor")).alias("value"))
     return base
 
 

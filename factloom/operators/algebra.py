@@ -7,8 +7,9 @@ by name and stops with an audit where a Find or Filter comes back empty.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.normalize import hop_key, lookup_key
@@ -75,12 +76,20 @@ def has_all(facts: DataFrame, predicates: list[str]) -> DataFrame:
     return own.select("subject", F.size("has").cast("long").alias("n_present"), missing.alias("missing"))
 
 
-def co_attribution(pairs: DataFrame, least: int = 1) -> DataFrame:
-    """(a, b, shared): unordered pairs of subjects with ``least`` objects in common; input distinct (subject, object)."""
-    heads = Window.partitionBy("object")
-    some = pairs.withColumn("_n", F.count("*").over(heads)).where("_n >= 2").drop("_n")
-    x, y = some.select(F.col("subject").alias("a"), "object"), some.select(F.col("subject").alias("b"), "object")
-    return x.join(y, "object").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+def co_attribution(pairs: DataFrame) -> DataFrame:
+    """(object, a, b, members): of each object that two subjects or more share, its least subject with every other one.
+
+    Input is distinct (subject, object). A class of n subjects has n - 1 rows, which stand for all its pairs.
+    """
+    size = pairs.groupBy("object").agg(F.min("subject").alias("a"), F.count("*").alias("members")).where("members >= 2")
+    return pairs.join(size, "object").where("subject != a").select("object", "a", F.col("subject").alias("b"), "members")
+
+
+def co_attribution_of(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(a, b, shared): objects in common of each asked pair (a, b) of subjects that has some; input distinct (subject, object)."""
+    asked = asked.select("a", "b").distinct()
+    x = asked.join(pairs.withColumnRenamed("subject", "a"), "a")
+    return x.join(pairs.withColumnRenamed("subject", "b"), ["b", "object"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def functionality(facts: DataFrame) -> DataFrame:
@@ -92,7 +101,7 @@ def functionality(facts: DataFrame) -> DataFrame:
 def conflicts(facts: DataFrame, allowed: float = 1.34) -> DataFrame:
     """(subject, predicate, first_object, second_object) of nearly functional predicates with two objects or more."""
     many = functionality(facts).where((F.col("subjects") >= 3) & (F.col("avg_objects") <= allowed) & (F.col("max_objects") < 3)).select("predicate")
-    own = facts.join(F.broadcast(many), "predicate", "left_semi").groupBy("subject", "predicate")
+    own = facts.join(many, "predicate", "left_semi").groupBy("subject", "predicate")
     own = own.agg(F.min("object").alias("first_object"), F.max("object").alias("second_object"))
     return own.where("first_object != second_object")
 
@@ -107,8 +116,12 @@ class Step:
 
 
 def execute(plan: list[Step], facts: DataFrame) -> tuple[str, DataFrame | None]:
-    """("answer", result of the last step), or ("audit", None) once a Find or Filter is empty."""
+    """("answer", result of the last step), or ("audit", None) if a Find or Filter is empty.
+
+    All Finds and Filters are looked into in one job, by one row of each.
+    """
     done: dict[str, DataFrame] = {}
+    gates: list[DataFrame] = []
     for step in plan:
         args = {k: done[v[1:]] if isinstance(v, str) and v.startswith("$") else v for k, v in step.args.items()}
         if step.op in ("find", "traverse"):
@@ -119,7 +132,9 @@ def execute(plan: list[Step], facts: DataFrame) -> tuple[str, DataFrame | None]:
             out = args["rows"].agg(F.count("*").alias("n"))
         else:
             out = {"filter_metadata": filter_metadata, "compare": compare, "compare_size": compare_size, "aggregate": aggregate}[step.op](**args)
-        if step.op in ("find", "filter_metadata", "filter_secondary") and out.isEmpty():
-            return "audit", None
+        if step.op in ("find", "filter_metadata", "filter_secondary"):
+            gates.append(out.select(F.lit(len(gates)).alias("gate")).limit(1))
         done[step.name] = out
+    if gates and reduce(DataFrame.unionAll, gates).count() < len(gates):
+        return "audit", None
     return "answer", done[plan[-1].name]

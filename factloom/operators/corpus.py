@@ -12,19 +12,18 @@ def spans(documents: DataFrame, surfaces: DataFrame, longest: int = 3) -> DataFr
     """(doc_id, place, n, surface): known surfaces in each text, leftmost first, then longest, without overlap.
 
     ``surfaces`` is (surface), plain words with single spaces, ``longest`` words at most;
-    places count words from 0. All n-grams meet the surfaces in one join; the spans of one
+    places count words from 0. Only words that begin a surface are followed by n-grams, which meet the surfaces in one join; the spans of one
     text, fewer than its words, are chosen in order.
     """
 
-    none = F.array().cast("array<struct<place:int,n:int,surface:string>>")
-
-    def placed(n: int) -> Column:
-        gram = lambda k: F.struct(k.alias("place"), F.lit(n).alias("n"), F.array_join(F.slice("w", k + 1, F.lit(n)), " ").alias("surface"))
-        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), gram)).otherwise(none)
-
+    known = surfaces.where("surface IS NOT NULL").select("surface", F.substring_index("surface", " ", 1).alias("first")).distinct()
     rows = documents.select("doc_id", tokens(F.col("text")).alias("w"))
-    rows = rows.select("doc_id", F.explode(F.concat(*(placed(n) for n in range(1, longest + 1)))).alias("g")).select("doc_id", "g.*")
-    hits = rows.join(surfaces.where("surface IS NOT NULL").select("surface").distinct(), "surface").groupBy("doc_id", "place").agg(F.max_by(F.struct("n", "surface"), "n").alias("b"))
+    # the words from each place on, where a surface begins with the first of them
+    ahead = F.transform("w", lambda w, k: F.struct(k.alias("place"), w.alias("first"), F.slice("w", k + 1, F.lit(longest)).alias("ahead")))
+    rows = rows.select("doc_id", F.explode(ahead).alias("a")).select("doc_id", "a.*").join(known.select("first").distinct(), "first")
+    gram = lambda n: F.struct(n.alias("n"), F.array_join(F.slice("ahead", F.lit(1), n), " ").alias("surface"))
+    rows = rows.select("doc_id", "place", F.explode(F.transform(F.sequence(F.lit(1), F.size("ahead")), gram)).alias("g")).select("doc_id", "place", "g.*")
+    hits = rows.join(known.select("surface"), "surface").groupBy("doc_id", "place").agg(F.max_by(F.struct("n", "surface"), "n").alias("b"))
     in_order = F.array_sort(F.collect_list(F.struct("place", "b.n", "b.surface")))
     chosen = F.aggregate(
         in_order,

@@ -57,11 +57,20 @@ def time_typicality(rows: DataFrame) -> DataFrame:
 
 
 def diversity(rows: DataFrame, span: int = HOUR // 4) -> DataFrame:
-    """Distinct techniques of the actor in the trailing span, this one included, ties by event id."""
-    trail = Window.partitionBy("actor").orderBy("us").rangeBetween(-span, 0)
-    seen = F.collect_list(F.struct("us", "event_id", "technique")).over(trail)
-    own = F.filter(seen, lambda s: (s["us"] < F.col("us")) | (s["event_id"] <= F.col("event_id")))
-    return rows.withColumn("diversity", F.size(F.array_distinct(F.transform(own, lambda s: s["technique"]))).cast("long"))
+    """Distinct techniques of the actor in the trailing span, this one included, ties by event id.
+
+    A technique counts from its first event until the span after its last one is over, so a running sum of
+    starts and ends is enough; no row holds the events of its span.
+    """
+    same = Window.partitionBy("actor", "technique").orderBy("us", "event_id")
+    before, after = F.lag("us").over(same), F.lead("us").over(same)
+    known = F.col("technique").isNotNull()
+    rows = rows.withColumns({"_starts": (known & (before.isNull() | (F.col("us") - before > span))).cast("int"), "_ends": known & (after.isNull() | (after - F.col("us") > span))})
+    steps = rows.drop("_ends").withColumns({"_at": F.col("us"), "_kind": F.lit(0)})
+    ends = rows.where("_ends").select("actor", (F.col("us") + span).alias("_at"), F.lit(1).alias("_kind"), F.lit(-1).alias("_starts"))
+    so_far = Window.partitionBy("actor").orderBy("_at", "_kind", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = steps.unionByName(ends, allowMissingColumns=True).withColumn("diversity", F.sum("_starts").over(so_far))
+    return out.where("_kind = 0").drop("_starts", "_at", "_kind")
 
 
 def escalation(rows: DataFrame, first: str, then: tuple[str, ...], span: int = HOUR // 4) -> DataFrame:
@@ -81,11 +90,11 @@ def chronological_split(rows: DataFrame, share: float = 0.7) -> DataFrame:
 def near_incidents(rows: DataFrame, incidents: DataFrame, span: int, keep: int = 10) -> DataFrame:
     """(incident_id, event_id, gap_us): up to ``keep`` nearest rows of each incident's actor within the span.
 
-    Both sides get the bucket of their time, so the interval join is an equi-join on actor and bucket.
+    Both sides get the bucket of their time, incidents the buckets beside it, too, so the interval join is an equi-join on actor and bucket.
     """
     bucket = F.floor(F.col("us") / span)
-    left = rows.select("event_id", "actor", F.col("us").alias("_us"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
-    right = incidents.select("incident_id", "actor", "us", bucket.alias("_b"))
+    left = rows.select("event_id", "actor", F.col("us").alias("_us"), bucket.alias("_b"))
+    right = incidents.select("incident_id", "actor", "us", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
     gap = F.abs(F.col("_us") - F.col("us"))
     near = left.join(right, ["actor", "_b"]).where(gap <= span).select("incident_id", "event_id", gap.alias("gap_us"))
     order = Window.partitionBy("incident_id").orderBy("gap_us", "event_id")

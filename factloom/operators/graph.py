@@ -5,30 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.lineage import cut
+
 
 def closure(edges: DataFrame, depth: int = 6) -> DataFrame:
     """(subject, object, hops): least number of hops from each subject to each object within ``depth``.
 
-    ``edges`` has distinct (subject, object). Levels are joined one after the other; a pair
-    that is already known at fewer hops is kept at these.
+    ``edges`` has distinct (subject, object). Each level joins only the pairs that the one before found
+    new, so cycles and hubs are not walked again; the search ends with the first empty level.
     """
+    edges = cut(edges.select("subject", "object").where("subject != object"))
     step = edges.select(F.col("subject").alias("_from"), F.col("object").alias("_to"))
-    level = edges.select("subject", "object", F.lit(1).alias("hops"))
-    out = level
+    level = edges.withColumn("hops", F.lit(1))
+    known = level
     for hops in range(2, depth + 1):
-        level = level.join(step, F.col("object") == F.col("_from")).select("subject", F.col("_to").alias("object")).where("subject != object").distinct()
-        level = level.withColumn("hops", F.lit(hops))
-        out = out.unionAll(level)
-    return out.groupBy("subject", "object").agg(F.min("hops").alias("hops"))
+        found = level.join(step, F.col("object") == F.col("_from")).select("subject", F.col("_to").alias("object")).where("subject != object").distinct()
+        level = cut(found.join(known.select("subject", "object"), ["subject", "object"], "left_anti").withColumn("hops", F.lit(hops)))
+        if level.isEmpty():
+            break
+        known = known.unionAll(level)
+    return known
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     """(start, node, hops): least hops from each start over undirected edges, within ``depth``."""
     both = edges.select(F.col("subject").alias("_from"), F.col("object").alias("_to"))
     both = both.unionAll(both.select(F.col("_to"), F.col("_from"))).distinct()
-    level = starts.select("start", F.col("start").alias("node"))
-    out = level.withColumn("hops", F.lit(0))
+    both = cut(both)
+    level = cut(starts.select("start", F.col("start").alias("node")).distinct())
+    known = level.withColumn("hops", F.lit(0))
     for hops in range(1, depth + 1):
-        level = level.join(both, F.col("node") == F.col("_from")).select("start", F.col("_to").alias("node")).distinct()
-        out = out.unionAll(level.withColumn("hops", F.lit(hops)))
-    return out.groupBy("start", "node").agg(F.min("hops").alias("hops"))
+        found = level.join(both, F.col("node") == F.col("_from")).select("start", F.col("_to").alias("node")).distinct()
+        level = cut(found.join(known.select("start", "node"), ["start", "node"], "left_anti"))
+        if level.isEmpty():
+            break
+        known = known.unionAll(level.withColumn("hops", F.lit(hops)))
+    return known

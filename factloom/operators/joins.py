@@ -52,12 +52,21 @@ def connections(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("a", "c", "p.direction", F.coalesce("p.status", F.lit("audit")).alias("status"), "p.via")
 
 
+#: Parts among which the ways into one node are dealt.
+_SALTS = 64
+
+
 def through(facts: DataFrame, via: str) -> DataFrame:
-    """(subject, object): ends of safe two-hop paths through one node."""
+    """(subject, object): ends of safe two-hop paths through one node.
+
+    Every way in meets every way out; the ways in are dealt over salts, and the ways out go to each salt.
+    """
     safe = facts.where(hop_safe())
     into = safe.where(hop_key(F.col("object")) == hop_key(F.lit(via))).select("subject").distinct()
-    out = safe.where(hop_key(F.col("subject")) == hop_key(F.lit(via))).select(hop_key(F.col("subject")).alias("_k"), "object").distinct()
-    return into.withColumn("_k", hop_key(F.lit(via))).join(out, "_k").select("subject", "object")
+    out = safe.where(hop_key(F.col("subject")) == hop_key(F.lit(via))).select("object").distinct()
+    salt = F.pmod(F.xxhash64("subject"), F.lit(_SALTS))
+    spread = out.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    return into.withColumn("_k", salt).join(spread, "_k").select("subject", "object")
 
 
 def bridges(facts: DataFrame, pairs: DataFrame, priority: dict[str, int] | None = None) -> DataFrame:

@@ -53,11 +53,17 @@ def merged_frontier(parts: list[DataFrame]) -> DataFrame:
 
 
 def staleness(rows: DataFrame, key: str, when: str, today: str, windows: dict[str, int], kind: str) -> DataFrame:
-    """(key, age_days, ratio, rank): age against the window of the row's kind, stalest first."""
+    """(key, age_days, ratio, rank): age against the window of the row's kind, stalest first.
+
+    Only the distinct ratios of a kind, no more than days, are put in order.
+    """
     window = F.create_map(*(F.lit(x) for kv in windows.items() for x in kv))
     age = F.datediff(F.to_date(F.lit(today)), F.to_date(when))
     out = rows.select(key, kind, age.alias("age_days"), F.round(age / F.try_element_at(window, F.col(kind)), 6).alias("ratio"))
-    return out.withColumn("rank", F.rank().over(Window.partitionBy(kind).orderBy(F.desc("ratio"))))
+    counts = out.groupBy(kind, "ratio").agg(F.count("*").alias("_n"))
+    above = Window.partitionBy(kind).orderBy(F.desc("ratio")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.select(F.col(kind).alias("_kind"), F.col("ratio").alias("_ratio"), (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).cast("int").alias("rank"))
+    return out.join(ranks, F.col(kind).eqNullSafe(F.col("_kind")) & F.col("ratio").eqNullSafe(F.col("_ratio"))).drop("_kind", "_ratio")
 
 
 def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -83,9 +89,9 @@ def nearest_centroid(vectors: DataFrame, centres: DataFrame, threshold: float, m
     ``centres`` is (label, dim, value). Labels are few by nature; more than ``most_labels`` are refused.
     """
     table = centres.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("c"))
-    if table.count() > most_labels:
-        raise ValueError(f"more than {most_labels} labels")
-    near = table.agg(F.collect_list(F.struct("label", "c")).alias("all"))
+    table = table.limit(most_labels + 1)
+    refuse = F.raise_error(F.lit(f"more than {most_labels} labels"))
+    near = table.agg(F.collect_list(F.struct("label", "c")).alias("all")).select(F.when(F.size("all") > most_labels, refuse.cast("array<struct<label:int,c:array<double>>>")).otherwise(F.col("all")).alias("all"))
     rows = vectors.select(key, unit(F.col(vector).cast("array<double>")).alias("v")).join(F.broadcast(near), how="cross")
     scored = F.transform("all", lambda s: F.struct(F.round(dot(F.col("v"), s["c"]), 6).alias("score"), (-s["label"]).alias("minus")))
     rows = rows.withColumn("_s", F.sort_array(scored, asc=False))

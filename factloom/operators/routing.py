@@ -20,7 +20,7 @@ def positions(rows: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
     before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("_b", F.coalesce(before, F.lit(0)).alias("_at"), F.sum("_n").over(Window.partitionBy()).alias("n_rows"))
     place = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
-    return rows.withColumn("_k", place).join(F.broadcast(starts), "_b").withColumn("pos", F.col("_at") + F.col("_k")).drop("_b", "_k", "_at")
+    return rows.withColumn("_k", place).join(starts, "_b").withColumn("pos", F.col("_at") + F.col("_k")).drop("_b", "_k", "_at")
 
 
 def expanding_folds(rows: DataFrame, bucket: Column, order: list[str], folds: int) -> DataFrame:
@@ -93,7 +93,7 @@ def ranking_metrics(rows: DataFrame, buckets: int = 1024) -> DataFrame:
     every = Window.partitionBy()
     starts = totals.select("_b", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}0") for c in ("_p", "_n")), F.sum("_p").over(every).alias("_all_p"), F.sum("_n").over(every).alias("_all_n"))
     within = Window.partitionBy("_b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.withColumns({"cp": F.sum("p").over(within), "cn": F.sum("n").over(within)}).join(F.broadcast(starts), "_b")
+    run = steps.withColumns({"cp": F.sum("p").over(within), "cn": F.sum("n").over(within)}).join(starts, "_b")
     run = run.withColumns({"cp": F.col("cp") + F.col("_p0"), "cn": F.col("cn") + F.col("_n0")})
     pairs = (F.col("n") - F.col("p")) * (F.col("cp") - F.col("p") / 2)
     out = run.agg(F.coalesce(F.max("_all_n"), F.lit(0)).alias("n"), F.coalesce(F.max("_all_p"), F.lit(0)).alias("positives"), F.sum(pairs).alias("_a"), F.sum(F.col("p") * F.col("cp") / F.col("cn")).alias("_ap"))

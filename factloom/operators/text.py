@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.lineage import cut
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -24,7 +26,7 @@ def content_hash(text: Column) -> Column:
 
 def duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, hash, first_doc, is_duplicate): the first document of each content hash wins."""
-    rows = documents.select("doc_id", content_hash(F.col("text")).alias("hash"))
+    rows = cut(documents.select("doc_id", content_hash(F.col("text")).alias("hash")))
     first = rows.groupBy("hash").agg(F.min("doc_id").alias("first_doc"))
     return rows.join(first, "hash").select("doc_id", "hash", "first_doc", (F.col("doc_id") != F.col("first_doc")).cast("int").alias("is_duplicate"))
 
@@ -51,10 +53,14 @@ def ngrams(text: Column, n: int) -> Column:
 
 
 def ngram_counts(documents: DataFrame, n: int, least: int = 2) -> DataFrame:
-    """(ngram, n_occurrences, n_documents) of n-grams that occur ``least`` times or more."""
-    rows = documents.select("doc_id", F.explode(ngrams(F.col("text"), n)).alias("ngram"))
-    own = rows.groupBy("ngram", "doc_id").agg(F.count("*").alias("k"))
-    return own.groupBy("ngram").agg(F.sum("k").alias("n_occurrences"), F.count("*").alias("n_documents")).where(F.col("n_occurrences") >= least)
+    """(ngram, n_occurrences, n_documents) of n-grams that occur ``least`` times or more.
+
+    Each row is a document; its n-grams are sorted in place, so one shuffle, of counts, is enough.
+    """
+    own = documents.select(F.array_sort(ngrams(F.col("text"), n)).alias("g"))
+    each = F.transform("g", lambda g, k: F.struct(g.alias("ngram"), F.when((k > 0) & (g == F.get("g", k - 1)), 0).otherwise(1).alias("new")))
+    rows = own.select(F.explode(each).alias("r")).select("r.ngram", "r.new")
+    return rows.groupBy("ngram").agg(F.count("*").alias("n_occurrences"), F.sum("new").alias("n_documents")).where(F.col("n_occurrences") >= least)
 
 
 def cooccurrence(documents: DataFrame, window: int = 4, least: int = 5) -> DataFrame:

@@ -66,22 +66,22 @@ def inverse_merge(spark, sf_dir):
     return joins.with_inverse(mixed, "located_in", "hosts").groupBy("object").agg(F.count("*").alias("n"))
 
 
-_CANDIDATES = "SELECT l_orderkey * 10 + l_linenumber AS ord, 'supplier ' || l_suppkey AS subject, 'produces' AS predicate, 'part ' || l_partkey AS object FROM lineitem WHERE l_quantity >= 40"
-_BASE = "SELECT CASE WHEN l_linenumber > 3 THEN 'Supplier ' || l_suppkey ELSE 'part ' || l_partkey END AS subject, CASE WHEN l_linenumber > 3 THEN 'produces' ELSE 'produced_by' END AS predicate, CASE WHEN l_linenumber > 3 THEN 'part ' || l_partkey ELSE 'supplier ' || l_suppkey END AS object FROM lineitem WHERE l_quantity < 10"
+_CANDIDATES = "SELECT l_orderkey * 10 + l_linenumber AS ord, 'supplier ' || l_suppkey AS subject, 'produces' AS predicate, 'part ' || l_partkey AS object FROM lineitem WHERE l_linenumber % 2 = 1"
+_BASE = "SELECT CASE WHEN l_linenumber > 3 THEN 'Supplier ' || l_suppkey ELSE 'part ' || l_partkey END AS subject, CASE WHEN l_linenumber > 3 THEN 'produces' ELSE 'produced_by' END AS predicate, CASE WHEN l_linenumber > 3 THEN 'part ' || l_partkey ELSE 'supplier ' || l_suppkey END AS object FROM lineitem WHERE l_linenumber % 2 = 0"
 
 
-@query(f"WITH c AS ({_CANDIDATES}), b AS (SELECT 'supplier ' || l_suppkey AS subject, 'part ' || l_partkey AS object FROM lineitem WHERE l_quantity < 10) SELECT min(ord) AS ord, subject, object FROM c WHERE (subject, object) NOT IN (FROM b) GROUP BY subject, object")
+@query(f"WITH c AS ({_CANDIDATES}), b AS (SELECT 'supplier ' || l_suppkey AS subject, 'part ' || l_partkey AS object FROM lineitem WHERE l_linenumber % 2 = 0) SELECT min(ord) AS ord, subject, object FROM c WHERE (subject, object) NOT IN (FROM b) GROUP BY subject, object")
 def delta_anti_join(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     read = lambda sql: spark.sql(sql.replace("FROM lineitem", "FROM {lines}"), lines=lines)
     return joins.new_items(read(_CANDIDATES), read(_BASE), {"produced_by": "produces"}).select("ord", "subject", "object")
 
 
-@query("WITH k AS (SELECT l_partkey, min(l_returnflag) AS known FROM lineitem WHERE l_quantity = 50 GROUP BY ALL), r AS (SELECT l_orderkey, known, l_returnflag FROM lineitem LEFT JOIN k USING (l_partkey) WHERE l_quantity <= 3), bad AS (SELECT DISTINCT l_orderkey FROM r WHERE known != l_returnflag) SELECT l_orderkey AS source, CASE WHEN known != l_returnflag THEN 'conflict' WHEN l_orderkey IN (FROM bad) THEN 'tainted' WHEN known IS NOT NULL THEN 'duplicate' ELSE 'new' END AS status, count(*) AS n FROM r GROUP BY ALL")
+@query("WITH k AS (SELECT l_partkey, min(l_returnflag) AS known FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL), r AS (SELECT l_orderkey, known, l_returnflag FROM lineitem LEFT JOIN k USING (l_partkey) WHERE l_linenumber > 1), bad AS (SELECT DISTINCT l_orderkey FROM r WHERE known != l_returnflag) SELECT l_orderkey AS source, CASE WHEN known != l_returnflag THEN 'conflict' WHEN l_orderkey IN (FROM bad) THEN 'tainted' WHEN known IS NOT NULL THEN 'duplicate' ELSE 'new' END AS status, count(*) AS n FROM r GROUP BY ALL")
 def tainted_sources(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("subject"), F.lit("returned_as").alias("predicate"), F.col("l_returnflag").alias("object"), "l_quantity")
-    accepted = lines.where("l_quantity = 50").groupBy("subject", "predicate").agg(F.min("object").alias("object"))
-    out = joins.classified_delta(lines.where("l_quantity <= 3").drop("l_quantity"), accepted)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("subject"), F.lit("returned_as").alias("predicate"), F.col("l_returnflag").alias("object"), "l_linenumber")
+    accepted = lines.where("l_linenumber = 1").groupBy("subject", "predicate").agg(F.min("object").alias("object"))
+    out = joins.classified_delta(lines.where("l_linenumber > 1").drop("l_linenumber"), accepted)
     return out.groupBy("source", "status").agg(F.count("*").alias("n"))
 
 
@@ -123,10 +123,10 @@ def empty_class_labels(spark, sf_dir):
 
 # --- rules ---
 
-_RULE_FACTS = """SELECT 'line ' || l_orderkey || '-' || l_linenumber AS subject, 'owned_by' AS predicate, 'order ' || l_orderkey AS object, 'stable' AS stability FROM lineitem WHERE l_quantity >= 49
+_RULE_FACTS = """SELECT 'line ' || l_orderkey || '-' || l_linenumber AS subject, 'owned_by' AS predicate, 'order ' || l_orderkey AS object, 'stable' AS stability FROM lineitem
  UNION ALL SELECT 'order ' || o_orderkey, 'owned_by', 'customer ' || o_custkey, CASE o_orderstatus WHEN 'F' THEN 'stable' WHEN 'O' THEN 'volatile' ELSE 'semi_stable' END FROM orders
  UNION ALL SELECT 'customer ' || o_custkey, 'enables', 'order ' || o_orderkey, 'semi_stable' FROM orders
- UNION ALL SELECT DISTINCT 'order ' || l_orderkey, 'requires', 'part ' || l_partkey, 'stable' FROM lineitem WHERE l_quantity >= 49
+ UNION ALL SELECT DISTINCT 'order ' || l_orderkey, 'requires', 'part ' || l_partkey, 'stable' FROM lineitem
  UNION ALL SELECT 'part ' || p_partkey, 'is_a', p_type, 'stable' FROM part
  UNION ALL SELECT DISTINCT p_type, 'uses', p_brand, 'volatile' FROM part"""
 _RULES = tuple(r for r in rules.BASE_RULES if r.name in ("ownership_transitivity_v1", "causal_chain_v1", "activity_inheritance_v1"))

@@ -51,7 +51,7 @@ def aggregate_first_last(spark, sf_dir):
     return found.groupBy("brand").agg(F.count("*").alias("n"), F.count_distinct("object").alias("n_objects"), F.min_by("subject", "ord").alias("earliest"), F.max_by("subject", "ord").alias("latest"))
 
 
-_LINES = "WITH s AS (SELECT DISTINCT l_suppkey AS subject, l_partkey AS object FROM lineitem WHERE l_quantity >= 49) "
+_LINES = "WITH s AS (SELECT DISTINCT l_suppkey AS subject, l_partkey AS object FROM lineitem) "
 
 
 @query(_LINES + "SELECT object FROM s WHERE subject = 1 AND object IN (SELECT object FROM s WHERE subject = 2)")
@@ -93,9 +93,15 @@ def chain_query(spark, sf_dir):
     return chains.groupBy(F.col("object").alias("nation")).agg(F.count("*").alias("n"))
 
 
-@query(_LINES + "SELECT a.subject AS a, b.subject AS b, count(*) AS shared FROM s a JOIN s b ON a.object = b.object AND a.subject < b.subject GROUP BY ALL HAVING count(*) >= 2")
+@query(_LINES + "SELECT object, a, subject AS b, members FROM s JOIN (SELECT object, min(subject) AS a, count(*) AS members FROM s GROUP BY object HAVING count(*) >= 2) USING (object) WHERE subject != a")
 def co_attribution_pairs(spark, sf_dir):
-    return algebra.co_attribution(supplies(spark, sf_dir), 2)
+    return algebra.co_attribution(supplies(spark, sf_dir))
+
+
+@query(_LINES + ", q AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier) SELECT a, b, count(*) AS shared FROM q JOIN s x ON x.subject = a JOIN s y ON y.subject = b AND y.object = x.object GROUP BY a, b")
+def co_attribution_for_pair(spark, sf_dir):
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
+    return algebra.co_attribution_of(supplies(spark, sf_dir), asked)
 
 
 @query(view() + "SELECT predicate, count(*) AS subjects, round(avg(k), 6) AS avg_objects, max(k) AS max_objects FROM (SELECT predicate, subject, count(DISTINCT object) AS k FROM facts GROUP BY ALL) GROUP BY predicate")
@@ -103,7 +109,7 @@ def relation_functionality(spark, sf_dir):
     return algebra.functionality(facts(spark, sf_dir))
 
 
-_CLAIMS = "(SELECT 'part ' || l_partkey AS subject, 'returned_as' AS predicate, l_returnflag || l_linestatus AS object FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.1)"
+_CLAIMS = "(SELECT 'order ' || l_orderkey AS subject, 'has_status' AS predicate, l_linestatus AS object FROM lineitem)"
 
 
 @query(f"WITH c AS {_CLAIMS}, k AS (SELECT predicate, subject, count(DISTINCT object) AS k FROM c GROUP BY ALL), m AS (SELECT predicate FROM k GROUP BY predicate HAVING count(*) >= 3 AND round(avg(k), 6) <= 1.34 AND max(k) < 3) SELECT subject, predicate, min(object) AS first_object, max(object) AS second_object FROM c WHERE predicate IN (FROM m) GROUP BY ALL HAVING min(object) != max(object)")

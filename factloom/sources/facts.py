@@ -40,7 +40,7 @@ def facts(spark: SparkSession, sf_dir: str, *predicates: str) -> DataFrame:
     return spark.sql(text, **{t: df for t, df in tables.items() if f"{{{t}}}" in text})
 
 
-def supplies(spark: SparkSession, sf_dir: str, least_quantity: int = 49) -> DataFrame:
-    """Distinct (supplier, part) of line items of at least a quantity: the selective ``produces`` facts."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_quantity") >= least_quantity)
+def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (supplier, part) of all line items: the ``produces`` facts."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return lines.select(F.col("l_suppkey").alias("subject"), F.col("l_partkey").alias("object")).distinct()
