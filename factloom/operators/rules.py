@@ -6,8 +6,11 @@ its head one projection. Rules run once, over the stored facts, not over each ot
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,18 +41,29 @@ class Rule:
 # Predicates that a rule may name by their class.
 CLASSES = {"capability": ("develops", "produces", "manufactures", "operates", "publishes"), "activity": ("uses", "provides", "enables", "works_by")}
 
-# The base rules.
-BASE_RULES = (
-    Rule("capability_inheritance_v1", (("?a", "owned_by", "?b"), ("?b", "?p", "?c")), ("?a", "?p", "?c"), (("?a", "subsidiary_of", "?b"),), classes={"?p": "capability"}, guards={"?a": ("organization", "service"), "?b": ("organization",)}),
-    Rule("ownership_transitivity_v1", (("?a", "owned_by", "?b"), ("?b", "owned_by", "?c")), ("?a", "owned_by", "?c")),
-    Rule("founder_shared_v1", (("?a", "founded_by", "?x"), ("?b", "founded_by", "?x")), ("?a", "share_founder", "?b"), guards={"?x": ("person",)}),
-    Rule("leader_shared_v1", (("?a", "led_by", "?x"), ("?b", "led_by", "?x")), ("?a", "share_leader", "?b"), guards={"?x": ("person",)}),
-    Rule("classification_chain_v1", (("?a", "is_a", "?b"), ("?b", "is_a", "?c")), ("?a", "is_a", "?c")),
-    Rule("activity_inheritance_v1", (("?a", "is_a", "?b"), ("?b", "?p", "?c")), ("?a", "?p", "?c"), classes={"?p": "activity"}),
-    Rule("causal_chain_v1", (("?a", "enables", "?b"), ("?b", "requires", "?c")), ("?a", "indirectly_requires", "?c")),
-    Rule("expertise_inheritance_v1", (("?a", "founded_by", "?b"), ("?b", "known_for", "?c")), ("?a", "associated_with_expertise", "?c"), guards={"?b": ("person",)}),
-    Rule("competitor_detection_v1", (("?a", "?p", "?c"), ("?b", "?q", "?c")), ("?a", "competes_with", "?b"), (("?a", "same_as", "?b"), ("?b", "same_as", "?a")), classes={"?p": "capability", "?q": "capability"}, guards={"?a": ("organization",), "?b": ("organization",)}),
-)
+
+
+def parse_rule(data: dict) -> Rule:
+    """A rule from its JSON object; missing fields have the defaults of the format."""
+    own = lambda p: (str(p.get("subject") or ""), str(p.get("predicate") or ""), str(p.get("object") or ""))
+    patterns = [*data.get("if_pattern", []), *data.get("unless_pattern", [])]
+    classes = {str(p["predicate"]): p["predicate_class"] for p in patterns if p.get("predicate_class")}
+    how = {"min_stability": "min", "max_stability": "max"}.get(data.get("confidence_rule") or "min_stability", float(data.get("constant_confidence", 0.5)))
+    guards = {variable: tuple(types) for variable, types in (data.get("type_guards") or {}).items()}
+    return Rule(str(data.get("rule_id") or ""), tuple(map(own, data.get("if_pattern", []))), own(data["then_pattern"]), tuple(map(own, data.get("unless_pattern", []))), how, classes, guards)
+
+
+def parse_rules(items: Iterable[dict]) -> tuple[Rule, ...]:
+    """The enabled rules of a list of JSON objects."""
+    return tuple(parse_rule(item) for item in items if item.get("enabled", True))
+
+
+def load_rules(path: str | Path) -> tuple[Rule, ...]:
+    """The enabled rules of a JSON file; a rule added there needs no code."""
+    return parse_rules(json.loads(Path(path).read_text(encoding="utf-8")))
+
+
+BASE_RULES = load_rules(Path(__file__).resolve().parent.parent / "data" / "base_rules.json")
 
 
 def _rows(facts: DataFrame, pattern: tuple[str, str, str], n: int, classes: dict[str, str]) -> DataFrame:
@@ -60,8 +74,14 @@ def _rows(facts: DataFrame, pattern: tuple[str, str, str], n: int, classes: dict
             rows = rows.where(rule_key(F.col(name)) == rule_key(F.lit(term)))
     names = {t: c for t, c in ((s, "subject"), (p, "predicate"), (o, "object")) if t.startswith("?")}
     score = reduce(lambda w, kv: w.when(F.col("stability") == kv[0], kv[1]), STABILITY.items(), F.when(F.lit(False), 0.0)).otherwise(0.5)
-    rows = rows.where(F.col("subject") == F.col("object")) if s == o and s.startswith("?") else rows
-    return rows.select(*(F.col(c).alias(t) for t, c in names.items()), score.alias(f"_score{n}"))
+    rows = rows.where(rule_key(F.col("subject")) == rule_key(F.col("object"))) if s == o and s.startswith("?") else rows
+    keys = [(F.col(c) if c == "predicate" else rule_key(F.col(c))).alias(_key(t)) for t, c in names.items()]
+    return rows.select(*(F.col(c).alias(t) for t, c in names.items()), *keys, score.alias(f"_score{n}"))
+
+
+def _key(variable: str) -> str:
+    """Name of the column by which a variable's values are compared."""
+    return f"~{variable}"
 
 
 def infer(facts: DataFrame, rule: Rule, types: DataFrame | None = None) -> DataFrame:
@@ -74,11 +94,17 @@ def infer(facts: DataFrame, rule: Rule, types: DataFrame | None = None) -> DataF
         if types is None:
             raise ValueError(f"{rule.name} needs the types of entities")
         good = types.where(F.col("type").isin(*allowed)).select(rule_key(F.col("entity")).alias("_e")).distinct()
-        parts = [p.join(good, rule_key(F.col(f"`{variable}`")) == F.col("_e"), "left_semi") if variable in p.columns else p for p in parts]
-    joined = reduce(lambda a, b: a.join(b, [c for c in b.columns if c.startswith("?") and c in a.columns]), parts)
+        parts = [p.join(good, F.col(f"`{_key(variable)}`") == F.col("_e"), "left_semi") if variable in p.columns else p for p in parts]
+
+    def joined_with(a: DataFrame, b: DataFrame) -> DataFrame:
+        shared = [c for c in b.columns if c.startswith("~") and c in a.columns]
+        return a.join(b.drop(*(c[1:] for c in shared)), shared)
+
+    joined = reduce(joined_with, parts)
     for n, pattern in enumerate(rule.unless):
-        other = _rows(facts, pattern, 100 + n, rule.classes).drop(f"_score{100 + n}").distinct()
-        joined = joined.join(other, [c for c in other.columns if c in joined.columns], "left_anti")
+        other = _rows(facts, pattern, 100 + n, rule.classes)
+        shared = [c for c in other.columns if c.startswith("~") and c in joined.columns]
+        joined = joined.join(other.select(*(F.col(f"`{c}`") for c in shared)).distinct(), shared, "left_anti")
     scores = [F.col(f"_score{n}") for n in range(len(rule.body))]
     if isinstance(rule.confidence, float):
         score = F.lit(rule.confidence)
@@ -119,8 +145,60 @@ def class_implications(members: DataFrame, facts: DataFrame, min_support: int =
     return out.where(F.col("confidence") >= min_confidence)
 
 
-def lost_without(facts: DataFrame, rule: Rule, removed: DataFrame) -> DataFrame:
+def lost_without(facts: DataFrame, rule: Rule, removed: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """Inferences of a rule that go when the facts in ``removed`` (subject, predicate, object) are taken out."""
     keys = ["subject", "predicate", "object"]
     left = facts.join(removed.select(*keys), keys, "left_anti")
-    return infer(facts, rule).join(infer(left, rule).select(*keys), keys, "left_anti")
+    return infer(facts, rule, types).join(infer(left, rule, types).select(*keys), keys, "left_anti")
+
+
+# Predicates that have an inverse twin, and the phrases of a definition that name a maker or an owner.
+INVERSES = {"founded": "founded_by", "leader_of": "led_by"}
+MAKER = r"(?i)\b(?:developed|operated|made|created|produced|built)\s+by\s+([A-Z][A-Za-z0-9 ]*)"
+OWNER = r"(?i)\b(?:division|subsidiary|unit)\s+of\s+([A-Z][A-Za-z0-9 ]*)"
+
+
+def normalized(relations: DataFrame, definitions: DataFrame, labels: DataFrame) -> DataFrame:
+    """(subject, predicate, object, stability): relations, their inverse twins, classes of definitions, and owners that definitions name.
+
+    ``relations`` is (subject, predicate, object, stability), ``definitions`` (subject, definition, stability),
+    ``labels`` (label); an owner counts if it is a label, and not the subject itself.
+    """
+    own = relations.where("subject != '' AND predicate != '' AND object != ''").select("subject", "predicate", "object", "stability")
+    twin = reduce(lambda w, kv: w.when(F.col("predicate") == kv[0], kv[1]), INVERSES.items(), F.when(F.lit(False), ""))
+    turned = own.select(F.col("object").alias("subject"), twin.alias("predicate"), F.col("subject").alias("object"), "stability").where("predicate IS NOT NULL")
+    told = definitions.where("subject != '' AND definition != ''")
+    classes = told.select("subject", F.lit("is_a").alias("predicate"), F.col("definition").alias("object"), "stability")
+    owner = F.regexp_extract("definition", OWNER, 1)
+    named = told.select("subject", "stability", F.trim(F.when(owner != "", owner).otherwise(F.regexp_extract("definition", MAKER, 1))).alias("_owner"), (owner != "").alias("_part"))
+    known = labels.select("label").distinct()
+    named = named.join(known, rule_key(F.col("_owner")) == rule_key(F.col("label"))).where(rule_key(F.col("label")) != rule_key(F.col("subject")))
+    predicates = F.when(F.col("_part"), F.array(F.lit("owned_by"), F.lit("subsidiary_of"))).otherwise(F.array(F.lit("owned_by")))
+    owned = named.select("subject", F.explode(predicates).alias("predicate"), F.col("label").alias("object"), "stability")
+    return own.unionByName(turned).unionByName(classes).unionByName(owned)
+
+
+def shared_object_class(facts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(subject, predicate, class): the first class, in order, that every object of a subject's predicate belongs to; null if there is none.
+
+    ``facts`` and ``classes`` (object, class) are distinct.
+    """
+    size = facts.groupBy("subject", "predicate").agg(F.count("*").alias("_n"))
+    held = facts.join(classes, "object").groupBy("subject", "predicate", "class").agg(F.count("*").alias("_k"))
+    common = held.join(size, ["subject", "predicate"]).where("_k = _n").groupBy("subject", "predicate").agg(F.min("class").alias("class"))
+    return size.select("subject", "predicate").join(common, ["subject", "predicate"], "left")
+
+
+def ranked_patterns(patterns: DataFrame, id: str, top: int = 200) -> DataFrame:
+    """The best patterns, surest first, then with most support, then by id, with their rank."""
+    best = patterns.orderBy(F.desc("confidence"), F.desc("support"), id).limit(top)
+    order = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.col(id).alias("i"))
+    # no more than ``top`` rows are numbered
+    return best.agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*best.columns).alias("r")))).alias("a")).select(F.posexplode("a").alias("rank", "x")).select((F.col("rank") + 1).alias("rank"), "x.r.*")
+
+
+def relevant_patterns(patterns: DataFrame, members: DataFrame, entities: DataFrame, top: int = 3) -> DataFrame:
+    """(entity, rank, pattern_id): the best ranked patterns whose members (pattern_id, entity) hold each entity."""
+    hits = entities.select("entity").distinct().join(members.select("pattern_id", "entity").distinct(), "entity").join(patterns.select("pattern_id", F.col("rank").alias("_r")), "pattern_id")
+    best = hits.groupBy("entity").agg(F.slice(F.array_sort(F.collect_list(F.struct("_r", "pattern_id"))), 1, top).alias("b"))
+    return best.select("entity", F.posexplode("b").alias("rank", "x")).select("entity", (F.col("rank") + 1).alias("rank"), "x.pattern_id")

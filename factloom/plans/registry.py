@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.policy import answerable, hop_reason, hop_safe
 from factloom.operators import algebra, events, graph, measures, rules, text
-from factloom.plans import derived, knowledge, records  # noqa: F401 - they register their queries
+from factloom.plans import derived, inference, knowledge, records  # noqa: F401 - they register their queries
 from factloom.plans.shared import ALERTS, PLAIN, QUERIES, REASON, SQL, TOKENS, Query, query, table, view
 from factloom.sources.facts import facts, supplies
 
@@ -138,7 +138,6 @@ def shortest_path_bounded(spark, sf_dir):
 
 
 CHAIN = rules.Rule("classification_chain", (("?a", "is_a", "?b"), ("?b", "is_a", "?c")), ("?a", "is_a", "?c"))
-COMPETITORS = rules.Rule("competitor_detection", (("?a", "produces", "?c"), ("?b", "produces", "?c")), ("?a", "competes_with", "?b"), (("?a", "same_as", "?b"), ("?b", "same_as", "?a")))
 ORIGIN = rules.Rule("order_origin", (("?a", "owned_by", "?b"), ("?b", "located_in", "?c")), ("?a", "originates_in", "?c"))
 _SCORE = "CASE {0}.stability WHEN 'stable' THEN 1.0 WHEN 'semi_stable' THEN 0.7 WHEN 'volatile' THEN 0.3 ELSE 0.5 END::DOUBLE"
 
@@ -154,26 +153,6 @@ def rule_order_origin(spark, sf_dir):
     return found.groupBy("object", "predicate", "confidence").agg(F.count("*").alias("n"))
 
 
-_BIG = "WITH s AS (SELECT DISTINCT 's' || l_suppkey AS subject, 'p' || l_partkey AS object FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09) "
-
-
-def _producers(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.09")
-    own = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("subject"), F.concat(F.lit("p"), "l_partkey").alias("object")).distinct()
-    return own.select("subject", F.lit("produces").alias("predicate"), "object", F.lit("stable").alias("stability"))
-
-
-@query(_BIG + "SELECT a.subject, 'competes_with' AS predicate, b.subject AS object, 1.0::DOUBLE AS confidence, 'competitor_detection' AS rule FROM s a JOIN s b ON a.object = b.object AND a.subject != b.subject GROUP BY a.subject, b.subject")
-def rule_competitor(spark, sf_dir):
-    return rules.infer(_producers(spark, sf_dir), COMPETITORS)
-
-
-@query(_BIG + ", gone AS (SELECT * FROM s WHERE object LIKE '%7'), rest AS (SELECT * FROM s EXCEPT SELECT * FROM gone), x AS (SELECT DISTINCT a.subject, b.subject AS object FROM s a JOIN s b ON a.object = b.object AND a.subject != b.subject), y AS (SELECT DISTINCT a.subject, b.subject AS object FROM rest a JOIN rest b ON a.object = b.object AND a.subject != b.subject) SELECT * FROM x EXCEPT SELECT * FROM y")
-def counterfactual_lost_inferences(spark, sf_dir):
-    own = _producers(spark, sf_dir)
-    return rules.lost_without(own, COMPETITORS, own.where("object LIKE '%7'")).select("subject", "object")
-
-
 @query(view("is_a", "published_by") + ", m AS (SELECT DISTINCT subject, object AS class FROM facts WHERE predicate = 'is_a' AND subject LIKE 'part %'), z AS (SELECT class, count(*) AS population FROM m GROUP BY class) SELECT class, predicate, object, count(*) AS support, population, round(count(*) / population, 6) AS confidence FROM m JOIN (SELECT DISTINCT subject, predicate, object FROM facts WHERE predicate = 'published_by') USING (subject) JOIN z USING (class) GROUP BY class, predicate, object, population HAVING count(*) >= 2 AND round(count(*) / population, 6) >= 0.04")
 def pattern_class_implication(spark, sf_dir):
     own = facts(spark, sf_dir, "is_a", "published_by")

@@ -140,3 +140,18 @@ def test_centroid_margin_abstains(spark):
     centres = measures.centroids(vectors.where("vec_id < 3"))
     found = {r.vec_id: (r.best_label, r.decision) for r in measures.nearest_centroid(vectors, centres, 0.5, 0.1).collect()}
     assert found[1] == (0, "match") and found[2] == (1, "match") and found[3] == (0, "abstain")
+
+
+def test_a_rule_added_as_json_fires(spark, tmp_path):
+    import json
+
+    data = [
+        {"rule_id": "supply", "if_pattern": [{"subject": "?A", "predicate": "buys_from", "object": "?B"}, {"subject": "?B", "predicate": "?P", "object": "?C", "predicate_class": "capability"}],
+         "then_pattern": {"subject": "?A", "predicate": "depends_on", "object": "?C"}, "confidence_rule": "constant", "constant_confidence": 0.8},
+        {"rule_id": "off", "if_pattern": [{"subject": "?A", "predicate": "buys_from", "object": "?B"}], "then_pattern": {"subject": "?B", "predicate": "sells_to", "object": "?A"}, "enabled": False},
+    ]
+    (tmp_path / "rules.json").write_text(json.dumps(data))
+    found = rules.load_rules(tmp_path / "rules.json")
+    assert [r.name for r in found] == ["supply"] and len(rules.BASE_RULES) == 9
+    facts = spark.createDataFrame([("Acme", "buys_from", "Bolts Inc", "stable"), ("bolts  inc", "produces", "bolts", "volatile"), ("Other", "produces", "nuts", "stable")], "subject string, predicate string, object string, stability string")
+    assert [tuple(r) for r in rules.infer_all(facts, found).collect()] == [("Acme", "depends_on", "bolts", 0.8, "supply")]
