@@ -10,7 +10,7 @@ them in exact blocked cosine products.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -112,18 +112,31 @@ class Model:
         return np.clip(out, 0.0, 1.0)
 
 
-def model_of(counts: np.ndarray, labels: np.ndarray, frequency: np.ndarray, documents: int) -> Model:
-    """Fit on term counts of labelled texts, with document frequencies of the corpus."""
+def model_of(counts: Sequence[np.ndarray], labels: np.ndarray, frequency: np.ndarray, documents: int) -> Model:
+    """Fit on term counts of labelled texts, with document frequencies of the corpus; a block of rows is laid out at a time."""
     weights = np.log1p(max(documents, 1) / np.maximum(frequency, 1))
     weights[_WORDS : _WORDS + _SHAPES] *= 2
     weights[_WORDS + _SHAPES :] = 3.0
     raw = Model(weights, np.eye(TERMS), np.zeros((0, TERMS)), labels, 0.5)
-    rows = raw.weighted(counts)
-    values, vectors = np.linalg.eigh(rows.T @ rows)
+    gram = np.zeros((TERMS, TERMS))
+    for a in range(0, len(counts), _BLOCK):
+        rows = raw.weighted(np.stack(counts[a : a + _BLOCK]))
+        gram += rows.T @ rows
+    values, vectors = np.linalg.eigh(gram)
     axes = vectors[:, np.argsort(-values)[:DIMENSIONS]]
     prior = float(labels.mean()) if len(labels) else 0.5
     model = Model(weights, axes, np.zeros((0, DIMENSIONS)), labels, prior)
-    return Model(weights, axes, model.embed(counts), labels.astype(np.float64), prior)
+    vectors = [model.embed(np.stack(counts[a : a + _BLOCK])) for a in range(0, len(counts), _BLOCK)]
+    return Model(weights, axes, np.concatenate(vectors) if vectors else np.zeros((0, DIMENSIONS)), labels.astype(np.float64), prior)
+
+
+def _packed(row: np.ndarray) -> bytes:
+    """A row of counts in the least number of bytes for each."""
+    return row.astype(np.uint8 if row.max(initial=0) < 1 << 8 else np.uint16 if row.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _unpacked(row: bytes) -> np.ndarray:
+    return np.frombuffer(row, f"u{len(row) // TERMS}")
 
 
 def document_frequency(documents: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
@@ -162,13 +175,12 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [r for block in term_counts(batch.column(2)) for r in block.astype(np.uint32)]
-            yield pa.record_batch({"k": batch.column(0).cast(pa.string()), "y": batch.column(1), "x": pa.array([r.tobytes() for r in found], pa.binary())})
+            found = [_packed(r) for block in term_counts(batch.column(2)) for r in block]
+            yield pa.record_batch({"k": batch.column(0).cast(pa.string()), "y": batch.column(1), "x": pa.array(found, pa.binary())})
 
     found = rows.mapInArrow(count, "k string, y double, x binary").orderBy("k", "x").limit(max_labelled).toPandas()
     frequency, documents_n = document_frequency(documents, text)
-    counts = np.frombuffer(b"".join(found["x"]), np.uint32).reshape(-1, TERMS)
-    return model_of(counts, found["y"].to_numpy(float), frequency, documents_n)
+    return model_of([_unpacked(x) for x in found["x"]], found["y"].to_numpy(float), frequency, documents_n)
 
 
 def with_score(documents: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
