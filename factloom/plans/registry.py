@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.policy import answerable, hop_reason, hop_safe
 from factloom.operators import algebra, events, graph, measures, rules, text
-from factloom.plans import derived, extracted, inference, knowledge, lookups, records  # noqa: F401 - they register their queries
+from factloom.plans import acquisition, derived, extracted, inference, knowledge, lookups, records  # noqa: F401 - they register their queries
 from factloom.plans.shared import ALERTS, PLAIN, QUERIES, REASON, SQL, TOKENS, Query, query, table, view
 from factloom.sources.facts import facts, supplies
 
