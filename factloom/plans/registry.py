@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from factloom.functions.policy import answerable, hop_reason, hop_safe
 from factloom.operators import algebra, events, graph, measures, rules, text
-from factloom.plans import acquisition, derived, extracted, inference, knowledge, lookups, records  # noqa: F401 - they register their queries
+from factloom.plans import acquisition, derived, extracted, inference, knowledge, lookups, records, retrieval  # noqa: F401 - they register their queries
 from factloom.plans.shared import ALERTS, PLAIN, QUERIES, REASON, SQL, TOKENS, Query, query, table, view
 from factloom.sources.facts import facts, supplies
+from factloom.streaming.features import streamed_frequencies
 
 # --- algebra ---
 
@@ -218,6 +219,12 @@ def event_frequencies(spark, sf_dir):
     return events.frequencies(_alerts(spark, sf_dir)).select("event_id", "freq_24h", "freq_7d")
 
 
+@query(SQL["event_frequencies"])
+def stream_frequencies(spark, sf_dir):
+    """The trailing counts of the event stream, by its stateful twin: all that is there now, file by file."""
+    return streamed_frequencies(spark, f"{sf_dir}/events.parquet")
+
+
 _FIRST = "(row_number() OVER (PARTITION BY {0} ORDER BY us, event_id) = 1)::INT"
 
 
@@ -338,3 +345,13 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+# --- all causal features of an event ---
+
+
+@query("SELECT event_id, freq_24h, freq_7d, diversity, escalation, chain_novel FROM (" + SQL["event_frequencies"] + ") JOIN (" + SQL["tactic_diversity_15m"] + ") USING (event_id) JOIN (" + SQL["escalation_chain"] + ") USING (event_id) JOIN (" + SQL["process_chain_novelty"] + ") USING (event_id)")
+def causal_features(spark, sf_dir):
+    """Trailing counts, diversity, escalation and chain novelty of each event, from one pass over an actor's windows."""
+    rows = events.escalation(events.diversity(events.frequencies(_alerts(spark, sf_dir))), "view", ("purchase", "error"))
+    return rows.select("event_id", "freq_24h", "freq_7d", "diversity", "escalation").join(QUERIES["process_chain_novelty"](spark, sf_dir), "event_id")
