@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from factloom.operators.events import HOUR, alerts
 OUTPUT = "event_id long, actor long, host long, technique string, us long, freq_24h long, freq_7d long"
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, expire: bool = False) -> Iterator[pd.DataFrame]:
     day, week = 24 * HOUR, 168 * HOUR
     if state.hasTimedOut:
         state.remove()
@@ -40,15 +41,17 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         yield pd.DataFrame(found, columns=[c.split()[0] for c in OUTPUT.split(", ")])
     past = sorted((us, host, kind) for kind, own in by_kind.items() for us, host in own)
     state.update(tuple(list(x) for x in zip(*past, strict=True)) if past else ([], [], []))
-    state.setTimeoutDuration(7 * 24 * 3600 * 1000)
+    if expire:
+        state.setTimeoutDuration(7 * 24 * 3600 * 1000)
 
 
-def stream_frequencies(rows: DataFrame) -> DataFrame:
+def stream_frequencies(rows: DataFrame, expire: bool = False) -> DataFrame:
     """Trailing counts of a stream of (event_id, us, actor, host, technique), in time order across batches.
 
-    State holds an actor's last seven days and goes after seven days without a row of the actor. Feed each batch in order; the counts then equal the batch windows.
+    State holds an actor's last seven days; with ``expire``, for streams that don't end, it goes after
+    seven days without a row of the actor. Feed each batch in order; the counts then equal the batch windows.
     """
-    return rows.groupBy("actor").applyInPandasWithState(_fold, OUTPUT, "times array<long>, hosts array<long>, kinds array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("actor").applyInPandasWithState(partial(_fold, expire=expire), OUTPUT, "times array<long>, hosts array<long>, kinds array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def streamed_frequencies(spark: SparkSession, path: str) -> DataFrame:
