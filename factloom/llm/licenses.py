@@ -150,9 +150,12 @@ def sentences(text: Column) -> Column:
 
 
 def license_ids(text: Column, known: dict[str, str] = SENTENCES) -> Column:
-    """Identifiers of the known sentences of a text, in order; none for a null text."""
+    """Identifiers of the known sentences of a text, in order; none for a null text.
+
+    A sentence is first looked up in a hash set, so only a known one is searched for in the map.
+    """
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    ids = F.transform(sentences(F.coalesce(text, F.lit(""))), lambda s: F.try_element_at(table, s))
+    ids = F.transform(sentences(F.coalesce(text, F.lit(""))), lambda s: F.when(s.isin(*known), F.try_element_at(table, s)))
     return F.filter(ids, lambda i: i.isNotNull())
 
 

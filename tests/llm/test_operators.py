@@ -667,3 +667,16 @@ def test_secrets_checked_tokens_against_a_plain_pattern():
         plain = re.compile("(?<![0-9A-Za-z])(" + "|".join(secrets.CHECKED) + r")([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
         want = [(secrets.CHECKED[m[1]], m.start(), m.end()) for m in plain.finditer(text) if secrets.checksum(m[2]) == m[3] and not (m.start() and text[m.start() - 1].isalnum())]
         assert [s for s in secrets.spans(text) if s[0] in ("github", "npm")] == want
+
+
+def test_url_vocabulary_from_text_and_table_with_weights(spark):
+    assert url_filter.parse_vocabulary("# x\n\nPorn\t1\nads\t0.25\nads\t0.5\n") == {"porn": 1.0, "ads": 0.5}
+    table = spark.createDataFrame([("Ads", 0.5), ("bet", 0.2), ("win", 0.4), ("bad", 2.0), (None, 1.0)], "term string, weight double")
+    own = url_filter.vocabulary_of(table)
+    urls = ["http://x.net/ads-bet", "http://x.net/ads-bet-win", "http://x.net/bad", "http://x.net/ads/ads/ads", "http://x.net/" + "a/" * 200_000 + "bad", None, ""]
+    rows = spark.createDataFrame(list(enumerate(urls * 2)), "page_id int, url string")
+    out = [r.verdict for r in url_filter.with_verdict(rows.coalesce(1), vocabulary=own).orderBy("page_id").collect()]
+    assert out == ["allow", "block", "block", "allow", "block", "allow", "allow"] * 2
+    assert {r.verdict for r in url_filter.with_verdict(rows, vocabulary={}).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        url_filter.vocabulary_of(table, most=3)
