@@ -239,11 +239,13 @@ def without_common_lines(documents: DataFrame, key: str = "doc_id", text: str =
     texts are ordered by a hash of the text. Empty tables give empty results. Other columns
     pass through; columns of the two names are replaced.
     """
-    gone = deleted_lines(documents, key, text, block_words).select(F.col(key).alias("_key"), F.col("tag").alias("_tag"), F.col("places").alias("_places"))
-    rest = documents.drop("n_lines", "n_deleted")
-    out = rest.withColumn("_hash", F.xxhash64(text)).join(gone, (F.col(key) == F.col("_key")) & (F.col("_hash") == F.col("_tag")), "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda _, k: ~F.array_contains("_places", k))
-    count = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"))) + 1).cast("long")
-    new = {text: F.when(F.col("_places").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")), "n_lines": count}
-    new["n_deleted"] = F.when(F.col("_places").isNull(), 0).otherwise(F.size("_places")).cast("long")
-    return out.withColumns(new).select(*rest.columns, "n_lines", "n_deleted")
+    gone = deleted_lines(documents, key, text, block_words).select(F.col(key).alias("k"), F.col("tag").alias("t"), "places")
+    kept = [c for c in documents.columns if c not in ("n_lines", "n_deleted")]
+    # the row stays a struct until the end, so no column of it can clash with those of the join
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(key).alias("k"), F.xxhash64(text).alias("t"))
+    out, own = rows.join(gone, ["k", "t"], "left"), F.col("row")[text]
+    lines = F.filter(F.split(own, "\n"), lambda _, k: ~F.array_contains("places", k))
+    new = F.when(F.col("places").isNull(), own).otherwise(F.array_join(lines, "\n"))
+    count = F.when(own.isNull(), 0).otherwise(F.length(own) - F.length(F.replace(own, F.lit("\n"))) + 1).cast("long")
+    deleted = F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long")
+    return out.select(*(new.alias(c) if c == text else F.col("row")[c].alias(c) for c in kept), count.alias("n_lines"), deleted.alias("n_deleted"))

@@ -69,3 +69,21 @@ def test_packing_stage_and_run(spark, sf_dir, steps):
     assert found == words
     run = corpus_pipeline.run(spark, sf_dir)
     assert run.columns == steps[5].columns and {r.doc_id for r in run.select("doc_id").collect()} == set(words)
+
+
+def test_stages_take_nulls_empty_and_repeated_rows_and_other_columns(spark, sf_dir):
+    good = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' AND n_chars BETWEEN 400 AND 4000").orderBy("doc_id").limit(12).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in good]
+    rows += [(None, rows[0][1], "en", None, None), (9001, None, None, None, None), (9002, "", "en", "s", 0), rows[3], (9003, "a b\n\n" * 3, None, "s", 12)]
+    extra = ", ".join(f"'x' AS {c}" for c in ("score", "predicted", "n_lines", "component", "bin", "capacity", "item_id", "_places", "node"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *extra.split(", "))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        if name != "best-fit packing":
+            assert out.columns == COLUMNS
+            found = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect())
+            assert set(found) <= {(k is None, k or 0, t or "") for k, t, *_ in rows} | set(found) and len(found) <= len(rows), name
+            assert (True, 0, rows[0][1]) in found or name == "quality classifier", name
+        else:
+            assert sum(r.n_words for r in out.collect()) == sum(len((t or "").split()) for _, t, *_ in rows)
