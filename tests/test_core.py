@@ -155,3 +155,21 @@ def test_a_rule_added_as_json_fires(spark, tmp_path):
     assert [r.name for r in found] == ["supply"] and len(rules.BASE_RULES) == 9
     facts = spark.createDataFrame([("Acme", "buys_from", "Bolts Inc", "stable"), ("bolts  inc", "produces", "bolts", "volatile"), ("Other", "produces", "nuts", "stable")], "subject string, predicate string, object string, stability string")
     assert [tuple(r) for r in rules.infer_all(facts, found).collect()] == [("Acme", "depends_on", "bolts", 0.8, "supply")]
+
+
+def test_most_similar_relation_against_brute_force(spark):
+    from factloom.operators import retrieval
+
+    rng = random.Random(3)
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    vectors = [unit([rng.gauss(0, 1) for _ in range(5)]) for _ in range(60)]
+    keys = [(f"r{k % 4}", vectors[k]) for k in range(12)]
+    out = retrieval.most_similar_relation(spark.createDataFrame(list(enumerate(vectors)), "phrase_id int, v array<double>"), spark.createDataFrame(keys, "relation string, v array<double>"), 0.6, 0.05).collect()
+    for r in out:
+        best = {}
+        for name, v in keys:
+            best[name] = max(best.get(name, -2.0), round(sum(a * b for a, b in zip(vectors[r.phrase_id], v, strict=True)), 6))
+        top = sorted(best.items(), key=lambda kv: (-kv[1], kv[0]))
+        sure = top[0][1] >= 0.6 and top[0][1] - top[1][1] >= 0.05
+        assert (r.relation, r.best, r.second) == (top[0][0] if sure else None, pytest.approx(top[0][1]), pytest.approx(top[1][1]))
+    assert any(r.relation for r in out) and not all(r.relation for r in out)
