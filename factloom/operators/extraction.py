@@ -114,7 +114,9 @@ def candidates(sentences: DataFrame) -> DataFrame:
     def matched(k: int, pattern: str, first: int) -> Column:
         subject, object_ = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (first, 3 - first))
         both = F.zip_with(subject, object_, lambda s, o: F.struct(s.alias("s"), o.alias("o")))
-        return F.transform(both, lambda m, at: F.struct(F.lit(k).alias("k"), at.alias("place"), m["s"].alias("s"), m["o"].alias("o")))
+        found = F.transform(both, lambda m, at: F.struct(F.lit(k).alias("k"), at.alias("place"), m["s"].alias("s"), m["o"].alias("o")))
+        # what follows the first name must be there; only then the name before it is looked for
+        return F.when(text.rlike(pattern.replace(rf"\b({NAME})", "", 1)), found).otherwise(F.array().cast("array<struct<k:int,place:int,s:string,o:string>>"))
 
     found = F.concat(*(matched(k, p[2], p[3]) for k, p in enumerate(PATTERNS)))
     rows = sentences.where(text.isNotNull()).select("doc_id", "sent", "sentence", F.explode(found).alias("m"))
