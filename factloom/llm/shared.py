@@ -33,14 +33,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back; this cuts the lineage.
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back; this cuts the lineage. It has a folder for each value of the columns ``by``.
 
     The table goes with the driver, or sooner by ``dropped``.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/factloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
