@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, decontaminate, html_extract, licenses, line_dedup, ngram_join, packing, prefix_trie, quality, secrets, url_filter
+from factloom.llm import ann, collocations, decontaminate, html_extract, licenses, line_dedup, ngram_join, packing, prefix_trie, quality, secrets, url_filter
 from factloom.llm.shared import small_batches
 
 
@@ -87,6 +87,11 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.with_shared_heads(turns))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of every language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of the corpus pipeline, applied to documents."""
     import corpus_pipeline
@@ -95,9 +100,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_join, op2_url_filter, op3_decontamination, op4_html_extraction, op5_quality, op6_packing, op7_secrets, op8_line_dedup, op9_ann, op10_licenses, op10_licenses_wrapped, op12_conversation_trie, pipeline)
+    found = (op1_ngram_join, op2_url_filter, op3_decontamination, op4_html_extraction, op5_quality, op6_packing, op7_secrets, op8_line_dedup, op9_ann, op10_licenses, op10_licenses_wrapped, op12_conversation_trie, op13_collocations, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.oracle(), "op10_licenses": licenses.oracle(), "op12_conversation_trie": prefix_trie.oracle()}
+    return {"op2_url_filter": url_filter.oracle(), "op10_licenses": licenses.oracle(), "op12_conversation_trie": prefix_trie.oracle(), "op13_collocations": collocations.oracle()}

@@ -50,9 +50,9 @@ def row_chunks(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int,
         first = last
 
 
-def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def word_starts(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> np.ndarray:
     """Places of the first bytes of all words; a row's first byte begins a word if it is within one."""
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -60,10 +60,10 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and for each row the index of its first word (with the end)."""
+def hash_words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and for each row the index of its first word (with the end); bytes in ``space`` part words."""
     global _POWERS
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -82,6 +82,17 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER)
     return mix(np.add.reduceat(terms, first) + sizes.astype(np.uint64)), bounds
 
 
+def words_at(data: np.ndarray, starts: np.ndarray, some: np.ndarray, space: np.ndarray = _SPACE) -> pa.Array:
+    """Lower-cased texts of the words ``some`` (indexes into ``starts``, the first bytes of all words)."""
+    if not len(some):
+        return pa.array([], pa.string())
+    sizes = np.add.reduceat(~space[data], starts, dtype=np.int64)[some]
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1]) + np.repeat(starts[some] - (ends - sizes), sizes)
+    out = _LOWER.astype(np.uint8)[data[at]]
+    return pa.StringArray.from_buffers(len(some), pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(out))
+
+
 def line_hashes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Bounds of rows in lines, hashes of lines by their words, and words of lines, for one part of ``column`` after the other."""
     powers = _POWERS
