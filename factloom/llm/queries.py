@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, collocations, decontaminate, html_extract, licenses, line_dedup, ngram_join, packing, prefix_trie, quality, secrets, url_filter
+from factloom.llm import ann, collocations, decontaminate, html_extract, language_model, licenses, line_dedup, ngram_join, packing, prefix_trie, quality, secrets, url_filter
 from factloom.llm.shared import small_batches
 
 
@@ -81,6 +81,13 @@ def op10_licenses_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", ids.alias("sentence_ids"), names.alias("licenses"), F.size("sentence_ids").cast("long").alias("n_sentences"))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document by a model of those that aren't held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    out = language_model.scored(_table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of all rebuilt conversations."""
     turns = prefix_trie.turns_of(_table(spark, sf_dir, "conversations"))
@@ -100,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_join, op2_url_filter, op3_decontamination, op4_html_extraction, op5_quality, op6_packing, op7_secrets, op8_line_dedup, op9_ann, op10_licenses, op10_licenses_wrapped, op12_conversation_trie, op13_collocations, pipeline)
+    found = (op1_ngram_join, op2_url_filter, op3_decontamination, op4_html_extraction, op5_quality, op6_packing, op7_secrets, op8_line_dedup, op9_ann, op10_licenses, op10_licenses_wrapped, op11_lm_scores, op12_conversation_trie, op13_collocations, pipeline)
     return {f.__name__: f for f in found}
 
 
