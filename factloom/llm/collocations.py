@@ -16,7 +16,6 @@ other columns are let go. Equal scores and counts are ranked by phrase. Scores a
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.llm.bits import bit_filter, cells, has, salts
 from factloom.llm.shared import written
 from factloom.llm.words import byte_rows, hash_words, mix, row_chunks, word_starts, words_at
 
@@ -32,10 +32,8 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _APART = _BREAK.copy()
 _APART[[0x20, 0x09]] = True
-#: log2 of the bits of a filter.
-_BITS = 26
 #: Occurrences that a task sums at once.
-_FLUSH = 1 << 21
+_FLUSH = 1 << 20
 #: Multiples of the wanted rows whose pairs of words set the thresholds; after the last one everything is grown.
 _ROUNDS = (2, 16)
 _SALTS = 32
@@ -43,39 +41,6 @@ _UND = "und"
 #: The score of a share of 1.
 _UNIT = 2_000_000
 
-def _cells(salt: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    """Bit of a filter, for each phrase."""
-    out = salt.astype(np.uint64)
-    for w in words:
-        out = mix(out ^ w.view(np.uint64))
-    return (out >> np.uint64(64 - _BITS)).astype(np.int64)
-
-
-def _salts(langs: list[str]) -> np.ndarray:
-    return np.array([zlib.crc32(x.encode()) for x in langs], np.uint64)
-
-
-def _filter(phrases: DataFrame, n: int) -> np.ndarray:
-    """A filter of the phrases of ``n`` words (lang, w1, …): 64-bit words of 2**26 bits."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            salt = _salts(langs.dictionary.to_pylist())[langs.indices.to_numpy()] if len(batch) else np.zeros(0, np.uint64)
-            cell = np.unique(_cells(salt, [batch.column(k + 1).to_numpy() for k in range(n)]))
-            yield pa.record_batch({"at": cell >> 6, "bit": cell & 63})
-
-    rows = phrases.select("lang", *_names(n)).mapInArrow(mark, "at long, bit long").groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS int))")).alias("bits"))
-    found = rows.toPandas()  # one row for each 64 bits at most
-    out = np.zeros(1 << (_BITS - 6), np.uint64)
-    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def _has(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    return (bits[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) != 0
-
-
 def _names(n: int, first: int = 1) -> list[str]:
     return [f"w{k}" for k in range(first, first + n)]
 
@@ -111,7 +76,7 @@ def _words(batch: pa.RecordBatch, langs: _Langs) -> Iterator[tuple[np.ndarray, .
     """Bytes, first bytes of words, their hashes, languages and pieces, for one part of the batch after the other."""
     codes = langs.codes(batch.column(0))
     data, offsets = byte_rows(batch.column(1))
-    for first, last in row_chunks(offsets, 4 << 20):
+    for first, last in row_chunks(offsets):
         own = offsets[first : last + 1] - offsets[first]
         text = data[offsets[first] : offsets[last]]
         hashes, bounds = hash_words(text, own, space=_APART)
@@ -156,10 +121,10 @@ def count_phrases(documents: DataFrame, n: int, asked: list[tuple[int, int, np.n
         for batch in batches:
             for _, _, w, lang, piece in _words(batch, langs):
                 at = np.flatnonzero(piece[n - 1 :] == piece[: len(piece) - n + 1]) if len(piece) >= n else np.zeros(0, np.int64)
-                salt = _salts(list(langs.known))[lang[at]]
+                salt = salts(list(langs.known))[lang[at]]
                 keep = np.full(len(at), every)
                 for start, width, bits in shared.value:
-                    met = _has(bits, _cells(salt, [w[at + start + k] for k in range(width)]))
+                    met = has(bits, cells(salt, [w[at + start + k] for k in range(width)]))
                     keep = keep & met if every else keep | met
                 at = at[keep]
                 held.append([lang[at], *(w[at + k] for k in range(n))])
@@ -234,7 +199,7 @@ def collocations(documents: DataFrame, text: str = "text", lang: str = "lang", t
     known = words.where(F.col("word").isNotNull())
     totals = words.where(F.col("word").isNull()).select("lang", F.col("a").alias("n"))
     counts = {1: known.select("lang", "w1", "a")}
-    common = _filter(known, 1)
+    common = bit_filter(known, "lang", _names(1))
     # by length: all phrases counted so far with their scores; pairs are all counted, longer ones as they are asked for
     grams = {2: written(scored(count_phrases(docs, 2, [(0, 1, common), (1, 1, common)], least, every=True), 2, counts), "phrases")}
     counts[2] = grams[2].select("lang", "w1", "w2", "a")
@@ -246,7 +211,7 @@ def collocations(documents: DataFrame, text: str = "text", lang: str = "lang", t
         for n in range(3, longest + 1):
             shorter = grams[n - 1].join(steps, "lang")
             between = lambda c: (F.col(c) >= F.col("low")) & (F.col(c) < F.col("high"))
-            right, left = _filter(shorter.where(between("bound")), n - 1), _filter(shorter.where(between("score")), n - 1)
+            right, left = (bit_filter(shorter.where(between(c)), "lang", _names(n - 1)) for c in ("bound", "score"))
             found = _joined(grams.get(n), count_phrases(docs, n, [(0, n - 1, right), (1, n - 1, left)], least), n)
             if n > 3:
                 # the last words of what may yet reach the threshold are counted, too
@@ -254,7 +219,7 @@ def collocations(documents: DataFrame, text: str = "text", lang: str = "lang", t
                 counts[n - 1] = grams[n - 1].select("lang", *_names(n - 1), "a")
                 open_ = scored(found, n, counts).join(steps, "lang").where(F.col("score").isNull() & (F.col("most") >= F.col("low")))
                 ends = open_.select("lang", *(F.col(f"w{k + 1}").alias(f"w{k}") for k in range(1, n)))
-                more = _joined(grams[n - 1], count_phrases(docs, n - 1, [(0, n - 1, _filter(ends, n - 1))], least), n - 1)
+                more = _joined(grams[n - 1], count_phrases(docs, n - 1, [(0, n - 1, bit_filter(ends, "lang", _names(n - 1)))], least), n - 1)
                 grams[n - 1] = written(scored(more, n - 1, counts), "phrases")
             counts[n - 1] = grams[n - 1].select("lang", *_names(n - 1), "a")
             grams[n] = written(scored(found, n, counts), "phrases")
