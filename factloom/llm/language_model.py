@@ -1,10 +1,10 @@
 """Language-model scoring by Elias-Fano n-gram tries of three words, one for each shard of contexts.
 
-Every text is read once into parts: its words as 64-bit hashes, numbered within the part. Counts of words over all
-training texts are joined to the words of each part. Then each token goes to the shard of its two preceding words
+Every text is read once into parts: its words as 64-bit hashes, numbered within the part. Shards of words sum their counts
+over all training texts and number them, frequent ones low; each part gets the numbers and counts of its own words. Then each token goes to the shard of its two preceding words
 (w1, w2); a shard has all that follows w2, builds its trie from the training tokens and scores all of them.
 
-Levels of a trie, each one monotone sequence in Elias-Fano form: word hashes; (w2, w3), with pointers to
+Levels of a trie, each one monotone sequence in Elias-Fano form: words by number; (w2, w3), with pointers to
 the first successor of each w2; (w2, w1); and (context, place of w3 among the successors of w2), so the last level is relative to
 the shorter context. A lookup is a search for the successor of a value in its sequence. With the words that follow go
 their discounted probabilities, with the contexts what is left for the shorter context, as 16-bit
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,29 +41,32 @@ from factloom.llm.words import byte_rows, hash_words, mix, row_chunks
 DISCOUNT = 0.75
 #: Tokens of a part and of a shard, about, and tokens of one word or pair that stay together.
 PART = 1 << 21
-SHARD = 1 << 21
+SHARD = 1 << 22
 LIMIT = 1 << 20
-#: Least number of shards.
+#: Words of all parts in a shard of words, about; least numbers of shards.
+WORDS = 1 << 20
 SHARDS = 24
-#: Hashes that stand for the begin and the end of a text.
-START, END = np.uint64(1), np.uint64(2)
+#: Numbers that stand for the begin and the end of a text; those of words follow.
+START, END = 0, 1
 #: Steps of a quantised binary logarithm, and of a summed decimal one.
 STEPS, FIXED = 2048, 1 << 20
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Non-negative integers as planes of bytes, lowest first, so that what is zero lies together."""
+    """Non-negative integers as compressed planes of bytes, lowest first."""
     x = np.ascontiguousarray(x, np.uint64)
     planes = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([planes]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+    body = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :planes].T)
+    return bytes([planes]) + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def unpack(data: bytes | None) -> np.ndarray:
     if not data:
         return np.zeros(0, np.int64)
-    own = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    own = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
     out = np.zeros((own.shape[1], 8), np.uint8)
-    out[:, : data[0]] = own.T
+    for k in range(data[0]):
+        out[:, k] = own[k]
     return out.view(np.int64).ravel()
 
 
@@ -114,6 +118,9 @@ class EliasFano:
 
     def _before(self, bucket: np.ndarray) -> np.ndarray:
         """Number of values in the buckets before each given one: what stands before the zero that opens it."""
+        if 16 * len(bucket) > self.n:  # many are asked for, so all bounds are laid out at once
+            zeros = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little") == 0)
+            return np.where(bucket > 0, zeros[np.maximum(bucket, 1) - 1] - bucket + 1, 0)
         out = np.zeros(len(bucket), np.int64)
         some = np.flatnonzero(bucket > 0)
         out[some] = self._select(bucket[some] - 1, 0) - (bucket[some] - 1)
@@ -127,8 +134,7 @@ class EliasFano:
         bucket = (x >> self.shift).astype(np.int64)
         inside = bucket < self.buckets
         bucket = np.minimum(bucket, self.buckets - 1)
-        near, back = np.unique(bucket, return_inverse=True)
-        lo, hi = self._before(near)[back], self._before(near + 1)[back]
+        lo, hi = np.split(self._before(np.concatenate([bucket, bucket + 1])), 2)
         end, low = hi.copy(), x & self.mask
         while (rest := np.flatnonzero(lo < hi)).size:
             mid = (lo[rest] + hi[rest]) >> 1
@@ -155,30 +161,49 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(head)
 
 
+def _counted(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of numbers below ``size``, sorted, and how often each occurs."""
+    bits = max(1, (size - 1).bit_length())
+    if bits * len(columns) > 63:
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        at = _runs(*columns)
+        return [c[at] for c in columns], np.diff(np.append(at, len(columns[0])))
+    key = columns[0]
+    for c in columns[1:]:
+        key = key << bits | c
+    key = np.sort(key)
+    at = _runs(key)
+    n, key, out = np.diff(np.append(at, len(key))), key[at], []
+    for _ in columns:
+        out.append(key & ((1 << bits) - 1))
+        key = key >> bits
+    return out[::-1], n
+
+
 class Trie:
     """The trie of one shard.
 
-    ``words`` has its sorted hashes; ``w1, w2, w3`` are the places there of training tokens with their contexts. ``followers``
+    ``words`` has its sorted words; ``w1, w2, w3`` are the places there of training tokens with their contexts. ``followers``
     (w2, w3, n) has the counts of the words of which the shard doesn't have all; ``pairs`` (w1, w2, total, distinct)
     those of such pairs.
     """
 
     def __init__(self, words: np.ndarray, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, followers: np.ndarray, pairs: np.ndarray) -> None:
-        self.words = EliasFano(words, 1 << 64)
+        self.words = EliasFano(words, int(words.max(initial=0)) + 1)
         self.size = max(1, len(words))
-        order = np.lexsort((w3, w1, w2))
-        w1, w2, w3 = w1[order], w2[order], w3[order]
-        at = _runs(w1, w2, w3)
-        c3 = np.diff(np.append(at, len(w1)))
-        w1, w2, w3 = w1[at], w2[at], w3[at]
+        (w2, w1, w3), c3 = _counted([w2, w1, w3], self.size)
         # successors of w2: summed here, or given
         f2, f3, fn = followers
-        own = ~np.isin(w2, np.unique(f2))
+        own = np.ones(len(w2), bool)
+        if len(f2):
+            own = ~np.isin(w2, np.unique(f2))
         a, b, n = np.concatenate([w2[own], f2]), np.concatenate([w3[own], f3]), np.concatenate([c3[own], fn])
-        order = np.lexsort((b, a))
-        a, b, n = a[order], b[order], n[order]
-        at = _runs(a, b)
-        n, a, b = np.add.reduceat(n, at) if len(at) else n, a[at], b[at]
+        key = a * self.size + b
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        at = _runs(key)
+        n, a, b = np.add.reduceat(n, at) if len(at) else n, *np.divmod(key[at], self.size)
         at = _runs(a)
         sizes, totals = np.diff(np.append(at, len(a))), np.add.reduceat(n, at) if len(at) else n
         self.heads = EliasFano(a[at], self.size)
@@ -256,7 +281,7 @@ class Trie:
 
 def _parts(documents: DataFrame, kind: str, most: int) -> DataFrame:
     """(part, ids, train, sizes, words, counts, trained, tokens, …): texts in parts of about ``most`` words, words numbered by frequency."""
-    names = ["part", "ids", "train", "sizes", "words", "counts", "trained", "tokens", "n_docs", "n_train"]
+    names = ["part", "ids", "train", "sizes", "words", "counts", "trained", "tokens", "n_docs", "n_train", "n_words"]
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, train, hashes, sizes, held = TaskContext.get().partitionId() << 32, [], [], [], [], 0
@@ -272,7 +297,7 @@ def _parts(documents: DataFrame, kind: str, most: int) -> DataFrame:
             own = pa.concat_arrays(ids)
             lists = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
             binary = [pa.array([x], pa.binary()) for x in (flags.tobytes(), pack(size), words[order].tobytes(), pack(counts[order]), pack(trained[order]), pack(rank[tokens]))]
-            return pa.RecordBatch.from_arrays([pa.array([number]), lists, *binary, pa.array([len(own)]), pa.array([int(flags.sum())])], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([number]), lists, *binary, pa.array([len(own)]), pa.array([int(flags.sum())]), pa.array([len(words)])], names=names)
 
         for batch in batches:
             data, offsets = byte_rows(batch.column(2))
@@ -290,51 +315,90 @@ def _parts(documents: DataFrame, kind: str, most: int) -> DataFrame:
         if ids:
             yield part()
 
-    typed = f"part long, ids array<{kind}>, train binary, sizes binary, words binary, counts binary, trained binary, tokens binary, n_docs long, n_train long"
+    typed = f"part long, ids array<{kind}>, train binary, sizes binary, words binary, counts binary, trained binary, tokens binary, n_docs long, n_train long, n_words long"
     return documents.mapInArrow(lay_out, typed)
 
 
-def _with_counts(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parts with the counts of their words in all training texts and in all texts; the table of words."""
+def _by_shard(words: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a part's words by their shards, and the shards in that order."""
+    shard = (mix(words) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+    return order, shard[order]
+
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts_of(parts: DataFrame, shards: int, limit: int) -> DataFrame:
+    """Numbers and counts of each part's words, for one shard of words after the other; for each shard its sums, and its words with over ``limit`` tokens."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words, counts, trained in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                w = np.frombuffer(words, np.int64)
-                yield pa.record_batch({"part": np.full(len(w), part), "place": np.arange(len(w)), "w": w, "n": unpack(counts)[: len(w)], "c": unpack(trained)[: len(w)]})
-
-    def aligned(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("place").to_numpy())
-        columns = [pa.array([pack(table.column(k).to_numpy()[order])], pa.binary()) for k in ("c", "n")]
-        return pa.Table.from_arrays([table.column("part")[:1].combine_chunks(), *columns], names=["part", "c", "n"])
+                h = np.frombuffer(words, np.uint64)
+                order, shard = _by_shard(h, shards)
+                h, n, c = h[order], unpack(counts)[order], unpack(trained)[order]
+                at = np.append(_runs(shard), len(shard))
+                for a, b in zip(at[:-1], at[1:], strict=True):
+                    columns = [h[a:b].tobytes(), pack(n[a:b]), pack(c[a:b])]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])]), pa.array([part]), *(pa.array([x], pa.binary()) for x in columns)], names=["shard", "part", "words", "n", "c"])
+
+    def sum_up(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        hashes = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
+        words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        n, c = (np.bincount(at, np.concatenate([unpack(x) for x in table.column(k).to_pylist()])).astype(np.int64) for k in ("n", "c"))
+        order = np.argsort(-n, kind="stable")
+        number = np.empty(len(words), np.int64)
+        number[order] = np.arange(len(words)) * shards + shard + 2
+        ends = np.cumsum([len(h) for h in hashes])
+        own = [at[e - len(h) : e] for e, h in zip(ends, hashes, strict=True)]
+        hot = np.flatnonzero(n > limit)
+        null = [None] * len(own)
+        rows = {
+            "part": [*table.column("part").to_pylist(), None, *[None] * len(hot)], "shard": [shard] * (len(own) + 1 + len(hot)),
+            "numbers": [*(pack(number[x]) for x in own), None, *[None] * len(hot)], "c": [*(pack(c[x]) for x in own), None, *[None] * len(hot)], "n": [*(pack(n[x]) for x in own), None, *[None] * len(hot)],
+            "known": [*null, int(c.sum()), *[None] * len(hot)], "tokens": [*null, int(n.sum()), *[None] * len(hot)], "distinct": [*null, int((c > 0).sum()), *[None] * len(hot)],
+            "hot": [*null, None, *number[hot].tolist()], "hot_n": [*null, None, *n[hot].tolist()],
+        }
+        return pa.table({k: pa.array(v, pa.binary() if k in ("numbers", "c", "n") else pa.int64()) for k, v in rows.items()})
+
+    dealt = parts.select("part", "words", "counts", "trained").mapInArrow(deal, "shard long, part long, words binary, n binary, c binary")
+    return written(dealt.groupBy("shard").applyInArrow(sum_up, "part long, shard long, numbers binary, c binary, n binary, known long, tokens long, distinct long, hot long, hot_n long"), "words")
+
+
+def _with_counts(parts: DataFrame, counts: DataFrame, shards: int, kind: str) -> DataFrame:
+    """Parts whose words are numbers, with their counts in training texts and in all texts."""
+
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        order, _ = _by_shard(np.frombuffer(left.column("words")[0].as_py(), np.uint64), shards)
+        rows = np.argsort(right.column("shard").to_numpy(), kind="stable")
+        columns = []
+        for name in ("numbers", "c", "n"):
+            own = right.column(name).to_pylist()
+            out = np.empty(len(order), np.int64)
+            out[order] = np.concatenate([unpack(own[k]) for k in rows] or [np.zeros(0, np.int64)])
+            columns.append(pa.array([pack(out)], pa.binary()))
+        return pa.Table.from_arrays([left.column(k) for k in ("part", "ids", "train", "sizes", "tokens")] + columns, names=["part", "ids", "train", "sizes", "tokens", "numbers", "c", "n"])
 
-    own = parts.select("part", "words", "counts", "trained").mapInArrow(each, "part long, place long, w long, n long, c long")
-    words = written(own.groupBy("w").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
-    sums = own.select("part", "place", "w").join(words, "w").groupBy("part").applyInArrow(aligned, "part long, c binary, n binary")
     kept = parts.select("part", "ids", "train", "sizes", "words", "tokens")
-    return written(kept.join(sums, "part", "left"), "counted"), words
+    own = counts.where("part IS NOT NULL").select("part", "shard", "numbers", "c", "n")
+    both = kept.groupBy("part").cogroup(own.groupBy("part"))
+    return written(both.applyInArrow(assemble, f"part long, ids array<{kind}>, train binary, sizes binary, tokens binary, numbers binary, c binary, n binary"), "counted")
 
 
 def _context(row: dict) -> dict:
-    """Tokens of a part with their contexts: numbers w1, w2, w3, where 0 is the begin and 1 the end of a text; documents; hashes, counts."""
-    sizes, tokens = unpack(row["sizes"]), unpack(row["tokens"])
-    docs = len(row["ids"])
-    sizes, tokens = sizes[:docs], tokens[: int(sizes[:docs].sum())] + 2
+    """Tokens of a part with their contexts: places w1, w2, w3 in the part's table of words, where 0 is the begin and 1 the end of a text; documents; numbers, counts."""
+    sizes, docs = unpack(row["sizes"]), len(row["ids"])
     ends = np.cumsum(sizes + 1)
     w3 = np.ones(int(ends[-1]) if docs else 0, np.int64)
     inside = np.ones(len(w3), bool)
     inside[ends - 1] = False
-    w3[inside] = tokens
+    w3[inside] = unpack(row["tokens"]) + 2
     doc = np.repeat(np.arange(docs), sizes + 1)
     w2, w1 = np.zeros_like(w3), np.zeros_like(w3)
     w2[1:], w1[2:] = w3[:-1], w3[:-2]
     starts = ends - sizes - 1
     w2[starts], w1[starts] = 0, 0
-    second = starts[sizes > 0] + 1
-    w1[second] = 0
-    hashes = np.concatenate([[START, END], np.frombuffer(row["words"], np.uint64)])
-    c, n = (unpack(row[k])[: len(hashes) - 2] for k in ("c", "n"))
-    return {"w": (w1, w2, w3), "doc": doc, "train": np.frombuffer(row["train"], bool), "hashes": hashes, "c": c, "n": n}
+    w1[starts[sizes > 0] + 1] = 0
+    return {"w": (w1, w2, w3), "doc": doc, "train": np.frombuffer(row["train"], bool), "numbers": np.append([START, END], unpack(row["numbers"])), "c": unpack(row["c"]), "n": unpack(row["n"])}
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -342,30 +406,26 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
 
 
-def _summed(columns: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    at = _runs(*columns)
-    return [c[at] for c in columns] + [np.add.reduceat(c[order], at) if len(at) else c for c in counts]
-
-
 def _spread(n: np.ndarray, limit: int) -> np.ndarray:
     """Number of shards over which what follows a word or pair with n tokens is dealt."""
     return np.maximum(1, -(-n // limit))
 
 
 def _shard(w2: np.ndarray, sub: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(mix(w2) + sub.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    return (mix(mix(w2.view(np.uint64)) + sub.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
 
 def _route(part: dict, n_docs: int, pairs: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """For each token the part of w2's shards it goes to, and whether it follows a common pair."""
-    (w1, w2, w3), hashes = part["w"], part["hashes"]
-    spread = _spread(np.concatenate([[n_docs, 0], part["n"]]), limit)[w2]
-    common = has(pairs, cells(np.zeros(len(w2), np.uint64), [hashes[w1], hashes[w2]])) & (spread > 1)
-    key = mix(hashes[w1])
-    key = np.where(common, mix(key ^ hashes[w3]), key)
-    return (key % spread.astype(np.uint64)).astype(np.int64), common
+    (w1, w2, w3), numbers = part["w"], part["numbers"]
+    spread = _spread(np.append([n_docs, 0], part["n"]), limit)
+    sub, common = np.zeros(len(w2), np.int64), np.zeros(len(w2), bool)
+    some = np.flatnonzero((spread > 1)[w2])
+    a, b, c = (numbers[x[some]].view(np.uint64) for x in (w1, w2, w3))
+    common[some] = has(pairs, cells(np.zeros(len(some), np.uint64), [a, b]))
+    key = mix(a)
+    sub[some] = (np.where(common[some], mix(key ^ c), key) % spread[w2[some]].astype(np.uint64)).astype(np.int64)
+    return sub, common
 
 
 def scored(documents: DataFrame, train: Column, key: str = "doc_id", text: str = "text", part: int = PART, limit: int = LIMIT) -> DataFrame:
@@ -374,12 +434,15 @@ def scored(documents: DataFrame, train: Column, key: str = "doc_id", text: str =
     ``part`` and ``limit`` are numbers of tokens: of a part, and of a word or pair whose successors stay together.
     """
     kind = documents.schema[key].dataType.simpleString()
+    spark = documents.sparkSession
     rows = documents.select(F.col(key).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
     parts = written(_parts(rows, kind, part), "parts")
-    n_docs, n_train = (x or 0 for x in parts.agg(F.sum("n_docs"), F.sum("n_train")).first())
-    counted, words = _with_counts(parts)
+    n_docs, n_train, n_words = (x or 0 for x in parts.agg(F.sum("n_docs"), F.sum("n_train"), F.sum("n_words")).first())
+    word_shards = max(SHARDS, -(-n_words // WORDS))
+    words = _counts_of(parts, word_shards, limit)
+    counted = _with_counts(parts, words, word_shards, kind)
     dropped(parts)
-    known, all_, distinct = (x or 0 for x in words.agg(F.sum("c"), F.sum("n"), F.count_if(F.col("c") > 0)).first())
+    known, all_, distinct = (x or 0 for x in words.agg(F.sum("known"), F.sum("tokens"), F.sum("distinct")).first())
     total, size = known + n_train, distinct + (n_train > 0)
     shards = max(SHARDS, -(-(all_ + n_docs) // SHARD))
     scale = total + 0.5 * (size + 1)
@@ -387,60 +450,61 @@ def scored(documents: DataFrame, train: Column, key: str = "doc_id", text: str =
     def successors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                part = _context(row)
-                _, w2, w3 = part["w"]
-                some = np.flatnonzero((_spread(np.concatenate([[n_docs, 0], part["n"]]), limit) > 1)[w2])
-                h = part["hashes"]
-                a, b, n, c = _summed([w2[some], w3[some]], [np.ones(len(some), np.int64), part["train"][part["doc"][some]].astype(np.int64)])
-                yield pa.record_batch({"w2": h[a].view(np.int64), "w3": h[b].view(np.int64), "n": n, "c": c})
+                own = _context(row)
+                _, w2, w3 = own["w"]
+                some = (_spread(np.append([n_docs, 0], own["n"]), limit) > 1)[w2]
+                trained = some & own["train"][own["doc"]]
+                for kept, name in ((some, "n"), (trained, "c")):
+                    (a, b), n = _counted([w2[kept], w3[kept]], len(own["numbers"]))
+                    yield pa.record_batch({"w2": own["numbers"][a], "w3": own["numbers"][b], "n": n if name == "n" else n * 0, "c": n if name == "c" else n * 0})
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                part = _context(row)
-                some = np.flatnonzero(_route(part, n_docs, shared.value, limit)[1] & part["train"][part["doc"]])
-                h = part["hashes"]
-                *w, n = _summed([x[some] for x in part["w"]], [np.ones(len(some), np.int64)])
-                yield pa.record_batch({f"w{k + 1}": h[x].view(np.int64) for k, x in enumerate(w)} | {"n": n})
+                own = _context(row)
+                some = _route(own, n_docs, pair_bits.value, limit)[1] & own["train"][own["doc"]]
+                w, n = _counted([x[some] for x in own["w"]], len(own["numbers"]))
+                yield pa.record_batch({f"w{k + 1}": own["numbers"][x] for k, x in enumerate(w)} | {"n": n})
 
     # words with more tokens than stay together: all shards that have a part of what follows them get the counts of their successors
-    hot = words.where(F.col("n") > limit).select(F.col("w").alias("w2"), "n")
+    hot = words.where("hot IS NOT NULL").select(F.col("hot").alias("w2"), F.col("hot_n").alias("n"))
     if n_docs > limit:
-        hot = hot.unionByName(words.sparkSession.createDataFrame([(int(START), n_docs)], "w2 long, n long"))
-    given = None
-    pair_bits = empty_filter()
+        hot = hot.unionByName(spark.createDataFrame([(START, n_docs)], "w2 long, n long"))
+    given, pair_bits = None, spark.sparkContext.broadcast(empty_filter())
     if not hot.isEmpty():
         spread = hot.select("w2", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / limit).cast("long") - 1)).alias("sub"))
-        follow = counted.mapInArrow(successors, "w2 long, w3 long, n long, c long").groupBy("w2", "w3").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-        follow = written(follow, "followers")
+        follow = written(counted.mapInArrow(successors, "w2 long, w3 long, n long, c long").groupBy("w2", "w3").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "followers")
         common = follow.where(F.col("n") > limit).select(F.col("w2").alias("w1"), F.col("w3").alias("w2"))
         if n_docs > limit:
-            common = common.unionByName(words.sparkSession.createDataFrame([(int(START), int(START))], "w1 long, w2 long"))
-        pair_bits = bit_filter(common.withColumn("kind", F.lit("")), "kind", ["w1", "w2"])
-        shared = words.sparkSession.sparkContext.broadcast(pair_bits)
+            common = common.unionByName(spark.createDataFrame([(START, START)], "w1 long, w2 long"))
+        pair_bits = spark.sparkContext.broadcast(bit_filter(common.withColumn("kind", F.lit("")), "kind", ["w1", "w2"]))
         given = follow.where("c > 0").join(spread, "w2").select("w2", "sub", "w3", F.col("c").alias("total"), F.lit(None).cast("long").alias("w1"), F.lit(None).cast("long").alias("kinds"))
         if not common.isEmpty():
             three = counted.mapInArrow(triples, "w1 long, w2 long, w3 long, n long").groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n"))
             two = three.groupBy("w1", "w2").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
             given = given.unionByName(two.join(spread, "w2").select("w2", "sub", F.lit(None).cast("long").alias("w3"), "total", "w1", "kinds"))
-    shared = words.sparkSession.sparkContext.broadcast(pair_bits)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                part = _context(row)
-                w1, w2, w3 = part["w"]
-                h = part["hashes"]
-                c = np.concatenate([[0, n_train], part["c"]])
-                shard = _shard(h[w2], _route(part, n_docs, shared.value, limit)[0], shards)
-                order = np.lexsort((w3, w1, w2)) if len(h) >= 1 << 21 else np.argsort((w2 << 42) | (w1 << 21) | w3, kind="stable")
-                order = order[np.argsort(shard[order], kind="stable")]
-                shard, own = shard[order], [x[order] for x in (w1, w2, w3)]
-                doc = part["doc"][order] * 2 + part["train"][part["doc"][order]]
+                own = _context(row)
+                numbers, c = own["numbers"], np.append([0, n_train], own["c"])
+                shard = _shard(numbers[own["w"][1]], _route(own, n_docs, pair_bits.value, limit)[0], shards)
+                w1, w2, w3 = own["w"]
+                order = np.lexsort((w3, w1, w2)) if len(numbers) >= 1 << 21 else np.argsort((w2 << 42) | (w1 << 21) | w3, kind="stable")
+                order = order[np.argsort(shard[order].astype(np.uint16) if shards < 1 << 16 else shard[order], kind="stable")]
+                shard, tokens = shard[order], [x[order] for x in own["w"]]
+                doc = own["doc"][order] * 2 + own["train"][own["doc"][order]]
                 at = np.append(_runs(shard), len(shard))
+                place = np.zeros(len(numbers), np.int64)
                 for a, b in zip(at[:-1], at[1:], strict=True):
-                    used, numbers = np.unique(np.concatenate([x[a:b] for x in own]), return_inverse=True)
-                    columns = [h[used].tobytes(), pack(c[used]), *(pack(x) for x in numbers.reshape(3, -1)), pack(doc[a:b])]
+                    used = np.zeros(len(numbers), bool)
+                    for x in tokens:
+                        used[x[a:b]] = True
+                    used = np.flatnonzero(used)
+                    used = used[np.argsort(numbers[used])]
+                    place[used] = np.arange(len(used))
+                    columns = [pack(np.diff(numbers[used], prepend=0)), pack(c[used]), *(pack(place[x[a:b]]) for x in tokens), pack(doc[a:b])]
                     yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])]), pa.array([row["part"]]), *(pa.array([x], pa.binary()) for x in columns)], names=["shard", "part", "words", "c", "w1", "w2", "w3", "doc"])
 
     def search(table: pa.Table) -> pa.Table:
@@ -448,40 +512,40 @@ def scored(documents: DataFrame, train: Column, key: str = "doc_id", text: str =
         extra = table.select(["g1", "g2", "g3", "total", "kinds"]).filter(pc.is_null(table.column("part")))
         g1, g2, g3, totals, kinds = (c.fill_null(0).to_numpy().astype(np.int64) for c in extra.columns)
         pair = pc.is_valid(extra.column("g1")).to_numpy()
-        hashes = [np.frombuffer(x, np.uint64) for x in here.column("words").to_pylist()]
+        numbers = [np.cumsum(unpack(x)) for x in here.column("words").to_pylist()]
         counts = [unpack(x) for x in here.column("c").to_pylist()]
-        trained = [h[(c > 0) | (h == START)] for h, c in zip(hashes, counts, strict=True)]
-        words = np.unique(np.concatenate([*trained, *(x.view(np.uint64) for x in (g1[pair], g2, g3[~pair]))]))
-        ids = lambda h: np.searchsorted(words, h.view(np.uint64)).astype(np.int64)
+        trained = [h[(c > 0) | (h == START)] for h, c in zip(numbers, counts, strict=True)]
+        words = np.unique(np.concatenate([*trained, g1[pair], g2, g3[~pair]]))
+        ids = lambda h: np.searchsorted(words, h).astype(np.int64)
         # a shard may have several parts of a word, each with the same totals
         follow = np.unique(np.stack([ids(g2[~pair]), ids(g3[~pair]), totals[~pair]]), axis=1)
         pairs = np.unique(np.stack([ids(g1[pair]), ids(g2[pair]), totals[pair], kinds[pair]]), axis=1)
-        blocks = [([unpack(here.column(f"w{i}")[k].as_py()) for i in (1, 2, 3)], unpack(here.column("doc")[k].as_py())) for k in range(len(hashes))]
-        learnt = [np.concatenate([ids(h)[w[i][(doc & 1) > 0]] for h, (w, doc) in zip(hashes, blocks, strict=True)] or [np.zeros(0, np.int64)]) for i in range(3)]
+        blocks = [([unpack(here.column(f"w{i}")[k].as_py()) for i in (1, 2, 3)], unpack(here.column("doc")[k].as_py())) for k in range(len(numbers))]
+        learnt = [np.concatenate([ids(h)[w[i][(doc & 1) > 0]] for h, (w, doc) in zip(numbers, blocks, strict=True)] or [np.zeros(0, np.int64)]) for i in range(3)]
         trie = Trie(words, *learnt, follow, pairs)
         out = []
-        for number, h, c, (w, doc) in zip(here.column("part").to_pylist(), hashes, counts, blocks, strict=True):
+        for number, h, c, (w, doc) in zip(here.column("part").to_pylist(), numbers, counts, blocks, strict=True):
             place = trie.words.find(h)
             w1, w2, w3 = (place[x] for x in w)
             c, doc = c[w[2]], doc >> 1
             at = _runs(*w)  # a block is sorted by its words
             p = trie.probabilities(w1[at], w2[at], w3[at], (c[at] + 0.5) / scale)
             fixed = np.repeat(np.rint(np.log10(p) * -FIXED), np.diff(np.append(at, len(w1))))
-            docs, at = np.unique(doc, return_inverse=True)
-            out.append((number, pack(docs), pack(np.bincount(at, fixed).astype(np.int64))))
+            docs = np.flatnonzero(np.bincount(doc))
+            out.append((number, pack(np.diff(docs, prepend=0)), pack(np.bincount(doc, fixed)[docs].astype(np.int64))))
         columns = list(zip(*out, strict=True)) if out else ([], [], [])
         return pa.Table.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["part", "doc", "sum"])
 
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                part = _context(row)
-                c = np.concatenate([[0, n_train], part["c"]])[part["w"][2]]
+                own = _context(row)
+                c = np.append([0, n_train], own["c"])[own["w"][2]]
                 docs = len(row["ids"])
-                at = np.searchsorted(part["doc"], np.arange(docs))
-                own = [np.add.reduceat(x, at) if docs else x for x in (np.ones(len(c), np.int64), (c > 0).astype(np.int64), np.log10((c + 0.5) / scale))]
+                at = np.searchsorted(own["doc"], np.arange(docs))
+                sums = [np.add.reduceat(x, at) if docs else x for x in (np.ones(len(c), np.int64), (c > 0).astype(np.int64), np.log10((c + 0.5) / scale))]
                 lists = pa.ListArray.from_arrays(pa.array([0, docs], pa.int32()), batch_ids(batch, row["part"]))
-                columns = [row["train"], pack(own[0]), pack(own[1]), own[2].tobytes()]
+                columns = [row["train"], pack(sums[0]), pack(sums[1]), sums[2].tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([row["part"]]), lists, *(pa.array([x], pa.binary()) for x in columns)], names=["part", "ids", "train", "n_tokens", "n_known", "base"])
 
     def batch_ids(batch: pa.RecordBatch, number: int) -> pa.Array:
@@ -495,10 +559,8 @@ def scored(documents: DataFrame, train: Column, key: str = "doc_id", text: str =
         sums = np.zeros(len(ids), np.int64)
         for doc, value in zip(table.column("doc").to_pylist(), table.column("sum").to_pylist(), strict=True):
             if doc is not None:
-                at = unpack(doc)
-                sums[at] += unpack(value)[: len(at)]
-        n = len(ids)
-        columns = [ids, pa.array(np.frombuffer(get("train"), bool)), pa.array(unpack(get("n_tokens"))[:n]), pa.array(unpack(get("n_known"))[:n]), pa.array(np.full(n, total)), pa.array(np.frombuffer(get("base"), float)), pa.array(-sums / FIXED)]
+                sums[np.cumsum(unpack(doc))] += unpack(value)
+        columns = [ids, pa.array(np.frombuffer(get("train"), bool)), pa.array(unpack(get("n_tokens"))), pa.array(unpack(get("n_known"))), pa.array(np.full(len(ids), total)), pa.array(np.frombuffer(get("base"), float)), pa.array(-sums / FIXED)]
         return pa.Table.from_arrays(columns, names=[key, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     columns = ["shard", "part", "words", "c", "w1", "w2", "w3", "doc"]

@@ -111,7 +111,7 @@ def test_probabilities_of_a_context_sum_to_one():
     rng = np.random.default_rng(3)
     own = rng.integers(0, 6, (3, 400))
     nothing = np.zeros((3, 0), np.int64)
-    trie = lm.Trie(np.arange(6, dtype=np.uint64) * 7, *own, nothing, np.zeros((4, 0), np.int64))
+    trie = lm.Trie(np.arange(6) * 7, *own, nothing, np.zeros((4, 0), np.int64))
     every = np.arange(6)
     for a, b in ((0, 0), (3, 5), (-1, 2), (2, -1)):
         p = trie.probabilities(np.full(6, a), np.full(6, b), every, np.full(6, 1 / 6))
