@@ -41,7 +41,7 @@ from factloom.llm.words import byte_rows, hash_words, mix, row_chunks
 DISCOUNT = 0.75
 #: Tokens of a part and of a shard, about, and tokens of one word or pair that stay together.
 PART = 1 << 21
-SHARD = 1 << 22
+SHARD = 1 << 21
 LIMIT = 1 << 20
 #: Words of all parts in a shard of words, about; least numbers of shards.
 WORDS = 1 << 20
@@ -520,11 +520,20 @@ def scored(documents: DataFrame, train: Column, key: str = "doc_id", text: str =
         # a shard may have several parts of a word, each with the same totals
         follow = np.unique(np.stack([ids(g2[~pair]), ids(g3[~pair]), totals[~pair]]), axis=1)
         pairs = np.unique(np.stack([ids(g1[pair]), ids(g2[pair]), totals[pair], kinds[pair]]), axis=1)
-        blocks = [([unpack(here.column(f"w{i}")[k].as_py()) for i in (1, 2, 3)], unpack(here.column("doc")[k].as_py())) for k in range(len(numbers))]
-        learnt = [np.concatenate([ids(h)[w[i][(doc & 1) > 0]] for h, (w, doc) in zip(numbers, blocks, strict=True)] or [np.zeros(0, np.int64)]) for i in range(3)]
-        trie = Trie(words, *learnt, follow, pairs)
+        def tokens(k: int) -> tuple[list[np.ndarray], np.ndarray]:
+            return [unpack(here.column(f"w{i}")[k].as_py()) for i in (1, 2, 3)], unpack(here.column("doc")[k].as_py())
+
+        learnt: list[list[np.ndarray]] = [[np.zeros(0, np.int32)] for _ in range(3)]
+        for k, h in enumerate(numbers):
+            w, doc = tokens(k)
+            place, some = ids(h).astype(np.int32), (doc & 1) > 0
+            for own, x in zip(learnt, w, strict=True):
+                own.append(place[x[some]])
+        trie = Trie(words, *(np.concatenate(x).astype(np.int64) for x in learnt), follow, pairs)
+        del learnt
         out = []
-        for number, h, c, (w, doc) in zip(here.column("part").to_pylist(), numbers, counts, blocks, strict=True):
+        for k, (number, h, c) in enumerate(zip(here.column("part").to_pylist(), numbers, counts, strict=True)):
+            w, doc = tokens(k)
             place = trie.words.find(h)
             w1, w2, w3 = (place[x] for x in w)
             c, doc = c[w[2]], doc >> 1
