@@ -75,7 +75,7 @@ class EliasFano:
 
     def __init__(self, values: np.ndarray, universe: int) -> None:
         values = np.asarray(values).astype(np.uint64)
-        self.n = len(values)
+        self.n, self.bounds = len(values), None
         self.low_bits = min(63, max(0, (universe // max(self.n, 1)).bit_length() - 1))
         self.shift, self.mask = np.uint64(self.low_bits), np.uint64((1 << self.low_bits) - 1)
         self.buckets = ((universe - 1) >> self.low_bits) + 1
@@ -118,9 +118,11 @@ class EliasFano:
 
     def _before(self, bucket: np.ndarray) -> np.ndarray:
         """Number of values in the buckets before each given one: what stands before the zero that opens it."""
-        if 16 * len(bucket) > self.n:  # many are asked for, so all bounds are laid out at once
-            zeros = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little") == 0)
-            return np.where(bucket > 0, zeros[np.maximum(bucket, 1) - 1] - bucket + 1, 0)
+        if self.bounds is None and 16 * len(bucket) > self.n:  # many are asked for, so all bounds are laid out, once
+            zeros = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little")[: self.n + self.buckets] == 0)
+            self.bounds = np.append(0, zeros - np.arange(len(zeros))).astype(np.int32 if self.n < 1 << 31 else np.int64)
+        if self.bounds is not None:
+            return self.bounds[bucket].astype(np.int64)
         out = np.zeros(len(bucket), np.int64)
         some = np.flatnonzero(bucket > 0)
         out[some] = self._select(bucket[some] - 1, 0) - (bucket[some] - 1)
@@ -168,8 +170,8 @@ def _counted(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np
         order = np.lexsort(columns[::-1])
         columns = [c[order] for c in columns]
         at = _runs(*columns)
-        return [c[at] for c in columns], np.diff(np.append(at, len(columns[0])))
-    key = columns[0]
+        return [c[at].astype(np.int64) for c in columns], np.diff(np.append(at, len(columns[0])))
+    key = columns[0].astype(np.int64)
     for c in columns[1:]:
         key = key << bits | c
     key = np.sort(key)
@@ -388,11 +390,11 @@ def _context(row: dict) -> dict:
     """Tokens of a part with their contexts: places w1, w2, w3 in the part's table of words, where 0 is the begin and 1 the end of a text; documents; numbers, counts."""
     sizes, docs = unpack(row["sizes"]), len(row["ids"])
     ends = np.cumsum(sizes + 1)
-    w3 = np.ones(int(ends[-1]) if docs else 0, np.int64)
+    w3 = np.ones(int(ends[-1]) if docs else 0, np.int32)
     inside = np.ones(len(w3), bool)
     inside[ends - 1] = False
     w3[inside] = unpack(row["tokens"]) + 2
-    doc = np.repeat(np.arange(docs), sizes + 1)
+    doc = np.repeat(np.arange(docs, dtype=np.int32), sizes + 1)
     w2, w1 = np.zeros_like(w3), np.zeros_like(w3)
     w2[1:], w1[2:] = w3[:-1], w3[:-2]
     starts = ends - sizes - 1
@@ -489,9 +491,13 @@ def scored(documents: DataFrame, train: Column, key: str = "doc_id", text: str =
             for row in _rows(batch):
                 own = _context(row)
                 numbers, c = own["numbers"], np.append([0, n_train], own["c"])
-                shard = _shard(numbers[own["w"][1]], _route(own, n_docs, pair_bits.value, limit)[0], shards)
                 w1, w2, w3 = own["w"]
-                order = np.lexsort((w3, w1, w2)) if len(numbers) >= 1 << 21 else np.argsort((w2 << 42) | (w1 << 21) | w3, kind="stable")
+                shard = _shard(numbers, np.zeros(len(numbers), np.int64), shards)[w2].astype(np.int32)
+                sub = _route(own, n_docs, pair_bits.value, limit)[0]
+                some = np.flatnonzero(sub)
+                shard[some] = _shard(numbers[w2[some]], sub[some], shards)
+                del sub, some
+                order = np.lexsort((w3, w1, w2)) if len(numbers) >= 1 << 21 else np.argsort((w2.astype(np.int64) << 42) | (w1.astype(np.int64) << 21) | w3, kind="stable")
                 order = order[np.argsort(shard[order].astype(np.uint16) if shards < 1 << 16 else shard[order], kind="stable")]
                 shard, tokens = shard[order], [x[order] for x in own["w"]]
                 doc = own["doc"][order] * 2 + own["train"][own["doc"][order]]
@@ -518,8 +524,8 @@ def scored(documents: DataFrame, train: Column, key: str = "doc_id", text: str =
         words = np.unique(np.concatenate([*trained, g1[pair], g2, g3[~pair]]))
         ids = lambda h: np.searchsorted(words, h).astype(np.int64)
         # a shard may have several parts of a word, each with the same totals
-        follow = np.unique(np.stack([ids(g2[~pair]), ids(g3[~pair]), totals[~pair]]), axis=1)
-        pairs = np.unique(np.stack([ids(g1[pair]), ids(g2[pair]), totals[pair], kinds[pair]]), axis=1)
+        follow, pairs = np.stack([ids(g2[~pair]), ids(g3[~pair]), totals[~pair]]), np.stack([ids(g1[pair]), ids(g2[pair]), totals[pair], kinds[pair]])
+        follow, pairs = (x[:, np.unique(x[0] * max(1, len(words)) + x[1], return_index=True)[1]] for x in (follow, pairs))
         def tokens(k: int) -> tuple[list[np.ndarray], np.ndarray]:
             return [unpack(here.column(f"w{i}")[k].as_py()) for i in (1, 2, 3)], unpack(here.column("doc")[k].as_py())
 
@@ -529,7 +535,7 @@ def scored(documents: DataFrame, train: Column, key: str = "doc_id", text: str =
             place, some = ids(h).astype(np.int32), (doc & 1) > 0
             for own, x in zip(learnt, w, strict=True):
                 own.append(place[x[some]])
-        trie = Trie(words, *(np.concatenate(x).astype(np.int64) for x in learnt), follow, pairs)
+        trie = Trie(words, *map(np.concatenate, learnt), follow, pairs)
         del learnt
         out = []
         for k, (number, h, c) in enumerate(zip(here.column("part").to_pylist(), numbers, counts, strict=True)):
