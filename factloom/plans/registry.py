@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions.policy import answerable, hop_reason, hop_safe
-from factloom.operators import algebra, events, graph, measures, rules, text
-from factloom.plans import acquisition, derived, extracted, inference, knowledge, lookups, records, retrieval  # noqa: F401 - they register their queries
+from factloom.operators import algebra, causal, events, graph, measures, out_of_fold, routing, rules, text
+from factloom.plans import acquisition, derived, extracted, inference, knowledge, lookups, pages, records, retrieval  # noqa: F401 - they register their queries
 from factloom.plans.shared import ALERTS, PLAIN, QUERIES, REASON, SQL, TOKENS, Query, query, table, view
 from factloom.sources.facts import facts, supplies
+from factloom.functions.lineage import shared_path
+from factloom.streaming import audit
+from factloom.streaming import causal as causal_stream
 from factloom.streaming.features import streamed_frequencies
 
 # --- algebra ---
@@ -355,3 +358,99 @@ def causal_features(spark, sf_dir):
     """Trailing counts, diversity, escalation and chain novelty of each event, from one pass over an actor's windows."""
     rows = events.escalation(events.diversity(events.frequencies(_alerts(spark, sf_dir))), "view", ("purchase", "error"))
     return rows.select("event_id", "freq_24h", "freq_7d", "diversity", "escalation").join(QUERIES["process_chain_novelty"](spark, sf_dir), "event_id")
+
+
+# --- alerts with actors, techniques and processes, derived from the events; their features in batch and as a stream ---
+
+_TECHNIQUE = {"view": "Discovery", "signup": "Discovery", "click": "Execution", "purchase": "Credential Access", "error": "Lateral Movement"}
+_ALERTED = "element_at(array('view', 'click', 'signup', 'purchase', 'error'), CAST(k % 5 AS INT) + 1)"
+
+
+def _security_alerts(rows):
+    """Alerts of event rows; a row without an id stays one without an id."""
+    rows = rows.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    of = lambda c: F.create_map(*(F.lit(x) for kv in _TECHNIQUE.items() for x in kv))[c]
+    second = F.expr(_ALERTED)
+    user = F.col("user_id")
+    return rows.select(
+        "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.when(user % 50 == 49, "collector").otherwise("main").alias("node"),
+        F.when(F.coalesce(F.col("value") < 1, F.lit(False)), "other").otherwise("process_creation").alias("category"),
+        F.when(user % 4 == 0, F.concat(F.lit("u"), user)).when(user % 4 == 1, "  ").alias("subject_user"), F.when(user % 8 == 0, "D").alias("subject_domain"),
+        F.when((user % 4).isin(1, 2), F.concat(F.lit("CORP\\u"), user)).when(user % 12 == 3, "CORP\\").when(user % 12 == 7, F.concat(F.lit("v"), user)).alias("event_user"),
+        F.concat(F.lit("h"), F.col("k") % 5).alias("host"),
+        F.when(F.col("k") % 10 == 7, F.lit(None)).when(F.col("k") % 3 == 0, F.array("event_type", second)).otherwise(F.array("event_type")).alias("techniques"),
+        F.when(F.col("k") % 3 == 0, F.array(of(F.col("event_type")), of(second))).otherwise(F.array(of(F.col("event_type")))).alias("tactics"),
+        F.concat(F.lit("p"), F.col("k") % 7).alias("parent"), F.when(F.col("k") % 13 != 0, F.concat(F.lit("i"), F.col("k") % 11)).alias("image"),
+    )
+
+
+def _features_sql(mode: str) -> str:
+    """Joins of each alert with the alerts before it."""
+    pair = {"Discovery": ("view", "signup"), "Execution": ("click",), "Credential Access": ("purchase",), "Lateral Movement": ("error",)}
+    of = lambda c: "CASE " + " ".join(f"WHEN {c} = '{t}' THEN '{k}'" for k, ts in pair.items() for t in ts) + " END"
+    second = "['view', 'click', 'signup', 'purchase', 'error'][k % 5 + 1]"
+    kept, read = ("[:1]", "[:1]") if mode == "first_only" else ("", "" if mode == "aggregate" else "[:1]")
+    names = causal.feature_names(mode)
+    return f"""WITH e AS (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events),
+ b AS (SELECT event_id, epoch_us(ts) AS us, ts, 'h' || k % 5 AS host, CASE WHEN user_id % 4 = 0 THEN 'u' || user_id || '|' || CASE WHEN user_id % 8 = 0 THEN 'D' ELSE '' END WHEN user_id % 4 IN (1, 2) THEN 'u' || user_id || '|CORP' WHEN user_id % 12 = 7 THEN 'v' || user_id || '|' ELSE '(host:h' || k % 5 || ')|' END AS actor,
+  (user_id % 4 != 0)::INT AS missing, (user_id % 4 = 3 AND user_id % 12 != 7)::INT AS fallback, CASE WHEN k % 10 = 7 THEN [NULL] WHEN k % 3 = 0 THEN list_distinct_ordered(event_type, {second}) ELSE [event_type] END AS t,
+  CASE WHEN k % 3 = 0 THEN list_distinct_ordered({of('event_type')}, {of(second)}) ELSE [{of('event_type')}] END AS c, 'p' || k % 7 AS parent, CASE WHEN k % 13 != 0 THEN 'i' || k % 11 ELSE '{causal.NO_IMAGE}' END AS image,
+  hour(ts) // 6 + CASE WHEN dayofweek(ts) IN (0, 6) THEN 4 ELSE 0 END AS band FROM e WHERE user_id % 50 != 49 AND value >= 1),
+ a AS (SELECT *, row_number() OVER (ORDER BY us, event_id) AS n FROM b),
+ ft AS (SELECT n, us, actor, host, unnest(t{kept}) AS t FROM a), rt AS (SELECT n, us, actor, host, unnest(t{read}) AS t FROM a),
+ f1 AS (SELECT r.n, r.t, count(f.n) FILTER (f.host = r.host AND r.us - f.us <= {causal.DAY}) AS d, count(f.n) FILTER (r.us - f.us <= {causal.WEEK}) AS w, count(f.n) FILTER (f.host = r.host) = 0 AS new FROM rt r LEFT JOIN ft f ON f.actor = r.actor AND f.t IS NOT DISTINCT FROM r.t AND f.n < r.n GROUP BY r.n, r.t),
+ f2 AS (SELECT n, min(d) AS d, min(w) AS w, max(new::INT) AS new FROM f1 GROUP BY n),
+ p AS (SELECT x.n, count(y.n) AS total, count(y.n) FILTER (y.band = x.band) AS same, count(y.n) FILTER (y.host = x.host) = 0 AS new_host, coalesce(flatten(list(y.c{kept}) FILTER (y.host = x.host AND x.us - y.us <= {causal.CHAIN})), []) AS live FROM a x LEFT JOIN a y ON y.actor = x.actor AND y.n < x.n GROUP BY x.n)
+SELECT event_id, d AS {names[0]}, w AS {names[1]}, new::INT AS {names[2]}, new_host::INT AS {names[3]}, (total = 0)::INT AS {names[4]}, round((same + 1) / (total + 8), 6) AS {names[5]}, (same = 0)::INT AS {names[6]}, len(list_distinct(live || c{read}))::BIGINT AS {names[7]},
+ (list_contains(live, 'Discovery') AND list_has_any(c{read}, ['Credential Access', 'Lateral Movement']))::INT AS {names[8]}, (row_number() OVER (PARTITION BY host, parent, image ORDER BY n) = 1)::INT AS {names[9]}, missing AS {names[10]}, fallback AS {names[11]}{', len(t)::BIGINT AS ' + names[12] if len(names) > 12 else ''}
+FROM a JOIN f2 USING (n) JOIN p USING (n)""".replace("list_distinct_ordered(event_type, " + second + ")", f"CASE WHEN event_type = {second} THEN [event_type] ELSE [event_type, {second}] END").replace(f"list_distinct_ordered({of('event_type')}, {of(second)})", f"CASE WHEN {of('event_type')} = {of(second)} THEN [{of('event_type')}] ELSE [{of('event_type')}, {of(second)}] END")
+
+
+def _own_alerts(spark, sf_dir):
+    return causal.guarded(_security_alerts(table(spark, sf_dir, "events")).where("node != 'collector'"), ["collector"])
+
+
+@query(_features_sql("aggregate"))
+def alert_features(spark, sf_dir):
+    """All features of each alert, all techniques read."""
+    return causal.features(_own_alerts(spark, sf_dir), "aggregate")
+
+
+@query(_features_sql("primary_plus_count"))
+def alert_features_primary(spark, sf_dir):
+    """All features of each alert, the first technique read and all kept."""
+    return causal.features(_own_alerts(spark, sf_dir), "primary_plus_count")
+
+
+@query(_features_sql("aggregate"))
+def stream_alert_features(spark, sf_dir):
+    """The same features of the event stream, from keyed state in order of event time."""
+    return causal_stream.replayed(spark, f"{sf_dir}/events.parquet", lambda rows: _security_alerts(rows).where("node != 'collector' OR event_id IS NULL"), excluded=["collector"])
+
+
+@query()
+def out_of_fold_scores(spark, sf_dir):
+    """Scores of each fold of the alerts by a model of the folds before, tested against plain fits."""
+    rows = causal.features(_own_alerts(spark, sf_dir), "aggregate").join(table(spark, sf_dir, "events").select("event_id", "ts", (F.col("value") >= 50).cast("int").alias("label")), "event_id")
+    rows = routing.expanding_folds(rows, F.to_date("ts"), ["ts", "event_id"], 4)
+    return out_of_fold.out_of_fold_scores(rows, list(causal.FEATURES), 4).select("event_id", "fold", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, 'what of ' || event_type || '?' AS question, CASE WHEN user_id % 3 = 0 THEN '' ELSE 'user ' || user_id END AS entity, '' AS relation_hint, 'audit' AS support_kind,
+ CASE user_id % 4 WHEN 0 THEN 'no supported answer exists' WHEN 1 THEN 'Snapshot_missing_as_of: ' || event_type WHEN 2 THEN 'a stale snapshot' ELSE 'not known' END AS reason, 'events' AS source, user_id % 4 IN (1, 2) OR event_type = 'signup' AS temporal_mismatch FROM events WHERE event_type IN ('error', 'signup')""")
+def audit_log_stream(spark, sf_dir):
+    """Audit events of the event stream, appended by a stream and read back from its log."""
+    folder, path = shared_path(spark, "audit"), f"{sf_dir}/events.parquet"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    rows = source.parquet(path) if whole else source.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    user = F.col("user_id")
+    answers = rows.select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.concat(F.lit("what of "), "event_type", F.lit("?")).alias("question"), F.when(user % 3 != 0, F.concat(F.lit(" user "), user)).alias("entity"),
+        F.lit(None).cast("string").alias("relation_hint"), F.lit("audit").alias("support_kind"), F.when(F.col("event_type").isin("error", "signup"), "audit").otherwise("answer").alias("decision"),
+        F.when(user % 4 == 0, " ").when(user % 4 == 1, F.concat(F.lit("Snapshot_missing_as_of: "), "event_type")).when(user % 4 == 2, "a stale snapshot").otherwise("not known").alias("answer"),
+        F.when(F.col("event_type") == "signup", F.array(F.lit("temporal_mismatch"))).alias("flags"),
+    )
+    audit.append_stream(audit.audit_events(answers, "events"), f"{folder}/log", f"{folder}/state").awaitTermination()
+    return audit.read_log(spark, f"{folder}/log")

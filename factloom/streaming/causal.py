@@ -104,7 +104,7 @@ class ActorHistory(StatefulProcessor):
             live = [(x, t) for x, t in zip(*chain, strict=True) if us - x <= CHAIN] if chain else []
             total, same = (sum(counts), counts[band]) if counts else (0, 0)
             up = any(t in ESCALATION for t in tactics[read]) and any(t == DISCOVERY for _, t in live)
-            values = [min(days), min(weeks), max(new), entry(self.hosts, (host,)) is None, counts is None, round((same + 1) / (total + BANDS), 6), same == 0, len({t for _, t in live} | set(tactics[read])), up, missing, fallback, len(techniques)]
+            values = [min(days), min(weeks), max(new), entry(self.hosts, (host,)) is None, counts is None, (same + 1) / (total + BANDS), same == 0, len({t for _, t in live} | set(tactics[read])), up, missing, fallback, len(techniques)]
             out.append((event, us, host, parent, image, [float(v) for v in values]))
             for t in techniques[keep]:
                 near, wide = entry(self.here, (host, t)), entry(self.anywhere, (t,))
@@ -155,8 +155,8 @@ def stream_features(alerts: DataFrame, mode: str = "aggregate", delay: str = "10
     rows = rows.select("event_id", "us", "host", "techniques", "tactics", "parent", "image", "band", F.col("actor_identity_missing_subject").alias("missing"), F.col("actor_identity_host_fallback").alias("fallback"), "ts", "actor")
     between = rows.groupBy("actor").transformWithStateInPandas(ActorHistory(mode, ttl), _BETWEEN, "Append", "EventTime")
     out = between.groupBy("host").transformWithStateInPandas(HostHistory(), _OUT, "Append", "None")
-    whole = {"actor_time_typicality"}
-    return out.select("event_id", *(F.element_at("values", k + 1).cast("double" if n in whole else "long").alias(n) for k, n in enumerate(names)))
+    value = lambda k, n: F.round(F.element_at("values", k + 1), 6) if n == "actor_time_typicality" else F.element_at("values", k + 1).cast("long")
+    return out.select("event_id", *(value(k, n).alias(n) for k, n in enumerate(names)))
 
 
 def replayed(spark: SparkSession, path: str, alerts_of, mode: str = "aggregate", delay: str = "10 minutes", excluded: list[str] | None = None) -> DataFrame:
@@ -168,7 +168,7 @@ def replayed(spark: SparkSession, path: str, alerts_of, mode: str = "aggregate",
     schema = spark.read.parquet(path).schema
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
-    end = spark.range(1).select(*(F.lit("9000-01-01").cast(f.dataType).alias(f.name) if f.dataType.typeName().startswith("timestamp") else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+    end = spark.range(1).select(*(F.lit("2200-01-01").cast(f.dataType).alias(f.name) if f.dataType.typeName().startswith("timestamp") else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
     end.where("false").write.parquet(f"{folder}/end")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)

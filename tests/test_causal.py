@@ -49,7 +49,7 @@ def brute(rows, mode):
         new = [not any(p["host"] == host and t in p["techniques"] for p in mine) for t in techniques[read]]
         live = {t for p in near for t in p["tactics"]}
         same = sum(p["band"] == band for p in mine)
-        values = [min(days), min(weeks), max(new), not any(p["host"] == host for p in mine), not mine, round((same + 1) / (len(mine) + 8), 6), same == 0, len(live | set(tactics[read])), "Discovery" in live and any(t in causal.ESCALATION for t in tactics[read]), not any(p["host"] == host and (p["parent"], p["image"]) == (parent, image) for p in past), missing, missing and not second, len(techniques)]
+        values = [min(days), min(weeks), max(new), not any(p["host"] == host for p in mine), not mine, int((same + 1) / (len(mine) + 8) * 1e6 + 0.5) / 1e6, same == 0, len(live | set(tactics[read])), "Discovery" in live and any(t in causal.ESCALATION for t in tactics[read]), not any(p["host"] == host and (p["parent"], p["image"]) == (parent, image) for p in past), missing, missing and not second, len(techniques)]
         out[event] = [float(v) for v in values][: len(causal.feature_names(mode))]
         past.append({"us": us, "actor": actor, "host": host, "techniques": techniques[keep], "tactics": tactics[keep], "band": band, "parent": parent, "image": image})
     return out
