@@ -190,3 +190,90 @@ SELECT page, subject, definition, s AS sentence FROM d WHERE definition IS NOT N
 def lead_definitions(spark, sf_dir):
     """What the first sentences of every page say that it is."""
     return pages.lead_definitions(_pages(spark, sf_dir), "page")
+
+
+# --- claims of wiki pages, from their markup; braces are put in by translate, as they would be taken for parameters ---
+
+from factloom.operators import claims  # noqa: E402
+
+_MARKUP = (
+    "{t} is a [[Maker|maker]] of [[{b}]] known for oil. It develops the lamps, an oil and heat.", "{t} was the founder, based in [[Rome]]. He is known for his leadership of {b} and the Works of {c}.",
+    "{t} are the {t}. They manufactures cloth; wool.", "Of {t} little is known. It is known for its heat, and the light.", "{t} is an estate. Its net worth was estimated by Forbes at US$1.5 billion. Fortune ranked number 7 of all.",
+    "{t} was the richest man in [[{b}|the town]] by Bloomberg. The current president of it is {c}.", "{t} is a town founded in 1900. Its population is a count of 5000. The share price was US$3. A market cap of 9 was said.",
+    "{t} publishes the Daily {b}. Net worth estimates vary. It produces {c}.<ref name=\"x\">no claim</ref>",
+)
+_BOXES = ("'««Infobox works' || chr(10) || '| founder = Ann ' || b || ' and Bob ' || c || chr(10) || '| Products = lamps, the oil; ' || b || '.' || chr(10) || '»»' || chr(10)", "'««Infobox' || chr(10) || '|known_for = heat' || chr(10) || '|known_for=light and heat' || chr(10) || '| size =' || chr(10) || '»»' || chr(10)", "'««Other|x=1»»' || chr(10)", "''")
+_WIKI = f"""SELECT o_orderkey AS page, t AS title, translate({pick('o_custkey % 4', _BOXES)}, '«»', chr(123) || chr(125)) || {pick(f'o_orderkey % {len(_MARKUP)}', [_filled(f, t="t", b="b", c="c") for f in _MARKUP])} || chr(10) || chr(10) || 'More of [[Part ' || c || '|it]].' AS text,
+ CASE WHEN o_custkey % 3 = 0 THEN '2021-05-06T00:00' WHEN o_custkey % 3 = 1 THEN 'May' END AS retrieved_at
+ FROM (SELECT *, 'Order ' || {name_of('o_orderkey')} AS t, 'Line ' || {name_of('o_custkey')} AS b, 'Z' || lower({name_of('o_custkey')}) AS c FROM orders) AS o"""
+_TIDY = lambda x: f"trim(regexp_replace(trim({x}), '\\.+$', ''))"
+_THINGS = lambda x: f"list_filter(list_transform(regexp_split_to_array({x}, '{claims.OBJECTS}'), lambda p: regexp_replace({_TIDY('p')}, '(?i)^(?:the|a|an)\\s+', '')), lambda p: p != '')"
+_VOLATILE = f"((regexp_matches(s, '{claims.NET_WORTH}') AND (regexp_matches(s, '{claims.AMOUNT}') OR regexp_matches(s, '(?i)\\bestimat'))) OR " + " OR ".join(f"regexp_matches(s, '{p}')" for p in claims.VOLATILE) + ")"
+_EMPTY = "'' AS source_name, '' AS claim_type, 'semi_stable' AS stability, 'medium' AS risk"
+
+
+def _related(predicate: str, things: str, evidence: str, source: str, where: str, order: str) -> str:
+    snapshot = predicate in claims.SNAPSHOTS
+    return f"SELECT page, {order} AS o, 'relation' AS kind, title AS subject, '{predicate}' AS predicate, unnest({_THINGS(things)}) AS object, unnest(range(len({_THINGS(things)}))) AS n, {evidence} AS evidence, {_EMPTY}, '{'snapshot' if snapshot else 'historical'}' AS temporal_class, {'as_of' if snapshot else chr(39) * 2} AS as_of FROM {source} WHERE {where}"
+
+
+def _claims_sql() -> str:
+    part = lambda p, g: f"regexp_extract(s, '{p}', {g})"
+    calm, leads = f"NOT {_VOLATILE}", f"regexp_matches(s, '{claims.LEADERSHIP}')"
+    rows = [_related("leader_of", part(claims.LEADERSHIP, 2), f"trim({part(claims.LEADERSHIP, 1)})", "ss", f"{calm} AND {leads}", "[1, i, 0]")]
+    rows.append(_related("known_for", part(claims.KNOWN_FOR, 1), f"trim({part(claims.KNOWN_FOR, 0)})", "ss", f"{calm} AND NOT {leads} AND regexp_matches(s, '{claims.KNOWN_FOR}')", "[1, i, 1]"))
+    for k, (verb, predicate) in enumerate(claims.VERBS):
+        p = rf"(?i)\b{verb}\b\s+(.+?)(?:\.|$)"
+        rows.append(_related(predicate, part(p, 1), f"trim({part(p, 0)})", "ss", f"{calm} AND NOT {leads} AND regexp_matches(s, '{p}')", f"[1, i, {2 + k}]"))
+    value = lambda key: f"list_filter(box, lambda x: x.k = '{key}')[-1].v"
+    rows += [_related(p, value(k), f"'{k}: ' || {value(k)}", "pp", f"{value(k)} IS NOT NULL", f"[2, {n}, 0]") for n, (k, p) in enumerate(claims.BOX)]
+    rows += [f"SELECT page, [3, {n}, 0] AS o, 'relation' AS kind, f AS subject, 'founded' AS predicate, title AS object, n, f || ' founded ' || title AS evidence, {_EMPTY}, 'historical' AS temporal_class, '' AS as_of FROM (SELECT *, unnest({_THINGS(value(k))}) AS f, unnest(range(len({_THINGS(value(k))}))) AS n FROM pp WHERE {value(k)} IS NOT NULL)" for n, k in enumerate(claims.FOUNDERS)]
+    rows.append("SELECT page, [4, 0, 0] AS o, 'context_link' AS kind, title AS subject, 'mentioned_with' AS predicate, x.target AS object, n, x.surface AS evidence, '' AS source_name, '' AS claim_type, '' AS stability, '' AS risk, '' AS temporal_class, '' AS as_of FROM (SELECT *, unnest(links) AS x, unnest(range(len(links))) AS n FROM pp)")
+    amount = f"trim({part(claims.AMOUNT, 1)})"
+    cases = [
+        (f"regexp_matches(s, '{claims.NET_WORTH}') AND (contains(lower(s), 'estimat') OR {amount} != '')", "estimated_net_worth", f"CASE WHEN {amount} != '' THEN {amount} ELSE '{claims.NO_AMOUNT}' END", "estimate"),
+        (f"regexp_matches(s, '{claims.WEALTHIEST}')", "wealth_rank", "s", "ranking"), (f"regexp_matches(s, '{claims.RANKED}')", "ranking", f"'rank ' || {part(claims.RANKED, 1)}", "ranking"),
+        ("contains(lower(s), 'current') AND (" + " OR ".join(f"contains(lower(s), '{o}')" for o in claims.OFFICES) + ")", "current_office_holder", "s", "office"),
+        ("contains(lower(s), 'market cap')", "market_capitalization", "s", "estimate"), ("contains(lower(s), 'price')", "current_price", "s", "estimate"), ("contains(lower(s), 'population')", "current_population", "s", "estimate"), ("true", "current_estimate", "s", "estimate"),
+    ]
+    which = lambda f: "CASE " + " ".join(f"WHEN {c[0]} THEN {f(c)}" for c in cases) + " END"
+    source = "CASE " + " ".join(f"WHEN contains(lower(s), '{x.lower()}') THEN '{x}'" for x in claims.SOURCES) + " ELSE 'unknown_source' END"
+    kind, claim = which(lambda c: f"'{c[1]}'"), which(lambda c: f"'time_sensitive_{c[3]}'")
+    rows.append(f"SELECT page, [5, i, 0] AS o, 'source_fact' AS kind, title AS subject, {kind} AS predicate, {which(lambda c: c[2])} AS object, 0 AS n, s AS evidence, {source} AS source_name, {claim} AS claim_type, 'volatile' AS stability, 'high' AS risk, 'snapshot' AS temporal_class, as_of FROM ss WHERE {_VOLATILE}")
+    define = _TIDY(f"regexp_extract(trim(regexp_extract(s, '{claims.COPULA}', 1)), '{claims.DEFINITION}', 1)")
+    plain = lambda x: f"trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'))"
+    rows.insert(0, f"SELECT page, [0, 0, 0] AS o, 'definition' AS kind, title AS subject, 'is_a' AS predicate, d AS object, 0 AS n, s AS evidence, '' AS source_name, '' AS claim_type, 'stable' AS stability, 'low' AS risk, 'historical' AS temporal_class, '' AS as_of FROM (SELECT *, {define} AS d FROM ss WHERE i = 0) WHERE d != '' AND {plain('title')} != {plain('d')}")
+    field, link = "'(?m)^\\s*\\|\\s*([^=|\\n]+?)\\s*=[ \\t]*([^\\n]*?)\\s*$'", "'\\[\\[([^\\]|]+)(?:\\|([^\\]]+))?\\]\\]'"
+    lead = "regexp_replace(regexp_replace(regexp_split_to_array(trim(regexp_replace(regexp_replace(text, '\\{\\{[^{}]*\\}\\}', '', 'g'), '<ref[^>]*/>|<ref[^>]*>.*?</ref>', '', 'g'), chr(10) || ' '), '\\n\\s*\\n')[1], '\\[\\[(?:[^\\]|]+\\|)?([^\\]]+)\\]\\]', '\\1', 'g'), '''{2,}', '', 'g')"
+    return f"""WITH w AS ({_WIKI.replace('AS STRING', 'AS VARCHAR')}), b AS (SELECT *, regexp_extract(text, '(?i)\\{{\\{{Infobox([^{{}}]*)\\}}\\}}', 1) AS bt FROM w),
+ pp AS (SELECT page, title, list_transform(list_zip(regexp_extract_all(bt, {field}, 1), regexp_extract_all(bt, {field}, 2)), lambda x: {{'k': lower(x[1]), 'v': x[2]}}) AS box,
+  list_transform(list_zip(regexp_extract_all(text, {link}, 1), regexp_extract_all(text, {link}, 2)), lambda x: {{'target': trim(x[1]), 'surface': trim(CASE WHEN x[2] != '' THEN x[2] ELSE x[1] END)}}) AS links,
+  CASE WHEN regexp_matches(retrieved_at, '^\\d{{4}}-\\d{{2}}') THEN retrieved_at[:7] ELSE coalesce(retrieved_at, '') END AS as_of, trim(regexp_replace({lead}, '\\s+', ' ', 'g')) AS lead FROM b),
+ ss AS (SELECT page, title, as_of, unnest(l) AS s, unnest(range(len(l))) AS i FROM (SELECT *, list_filter(list_transform(string_split(regexp_replace(lead, '([.!?])\\s+', '\\1' || chr(2), 'g'), chr(2)), lambda s: trim(s)), lambda s: s != '') AS l FROM pp)),
+ c AS ({' UNION ALL '.join(rows)})
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY o, n) - 1 AS place, kind, subject, predicate, object, evidence, source_name, claim_type, stability, risk, temporal_class, as_of FROM c"""
+
+
+@query(_claims_sql())
+def page_claims(spark, sf_dir):
+    """Definitions, relations, links and facts with sources of every page, from one scan."""
+    return claims.claims(read(spark, sf_dir, _WIKI, "orders"))
+
+
+_TEMPLATES = ("«subject» moved", "«subject» was found in «location»", "«subject» came", "«subject» caused «object» to «action»")
+_CANDIDATES = f"""SELECT 'src' || p_size AS source_id, p_brand AS term, p_type AS sense, {pick('p_partkey % 2', ["'action'", "'location'"])} AS pattern_type, {pick('p_partkey % 3', ["'mechanical_device'", "'bird_behavior'", "p_name"])} AS frame, translate({pick('p_partkey % 4', [f"'{t}'" for t in _TEMPLATES])}, '«»', chr(123) || chr(125)) AS template FROM part"""
+_SLOTS = "regexp_extract_all(template, '\\{(\\w+)\\}', 1)"
+_GENERIC = "lower(trim(template)) IN (" + ", ".join(f"'{t}'" for t in claims.GENERIC_TEMPLATES) + ")"
+_FRAMED = "frame IN (" + ", ".join(f"'{f}'" for f in claims.FRAMES) + ")"
+
+
+@query(f"""WITH c AS ({_CANDIDATES.replace('AS STRING', 'AS VARCHAR')}), j AS (SELECT 'pat-' || sha256(concat_ws('|', source_id, term, sense, pattern_type, template))[:12] AS pattern_id, min(array_to_string({_SLOTS}, ',')) AS slots, template FROM c GROUP BY ALL),
+ f AS (SELECT 'pat-' || sha256(concat_ws('|', source_id, term, sense, pattern_type, template))[:12] AS pattern_id, min(frame) AS frame FROM c GROUP BY ALL)
+SELECT pattern_id, slots, CASE WHEN {_GENERIC} OR len(list_filter(string_split(slots, ','), lambda x: x NOT IN ('subject', ''))) = 0 THEN 'rejected_auto' WHEN NOT {_FRAMED} THEN 'needs_review' ELSE 'accepted_auto' END AS decision,
+ CASE WHEN {_GENERIC} THEN 'generic_template' WHEN len(list_filter(string_split(slots, ','), lambda x: x NOT IN ('subject', ''))) = 0 THEN 'no_concrete_slots' WHEN NOT {_FRAMED} THEN 'unknown_semantic_frame:' || frame ELSE 'concrete_slots_known_frame' END AS reason FROM j JOIN f USING (pattern_id)""")
+def sentence_patterns(spark, sf_dir):
+    """Candidate sentence patterns, each once, with their decision."""
+    from pyspark.sql import functions as F
+
+    rows = read(spark, sf_dir, _CANDIDATES, "part").groupBy("source_id", "term", "sense", "pattern_type", "template").agg(F.min("frame").alias("frame"))
+    return claims.judged_patterns(rows).select("pattern_id", "slots", "decision", "reason")
