@@ -40,7 +40,7 @@ from factloom.llm.words import byte_rows, hash_words, mix, row_chunks
 
 DISCOUNT = 0.75
 #: Tokens of a part and of a shard, about, and tokens of one word or pair that stay together.
-PART = 1 << 21
+PART = 1 << 20
 SHARD = 1 << 21
 LIMIT = 1 << 20
 #: Words of all parts in a shard of words, about; least numbers of shards.
