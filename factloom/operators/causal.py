@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.words import domain_user
-from factloom.operators.events import HOUR, hour_band
+from factloom.operators.events import HOUR, hour_band, with_firsts
 
 #: Fixed values of the features: windows, tactics, the image of alerts without one, buckets of time.
 DAY, WEEK, CHAIN = 24 * HOUR, 168 * HOUR, HOUR // 4
@@ -81,11 +81,6 @@ def trailing(rows: DataFrame, keys: list[str], span: int, name: str) -> DataFram
     return rows.withColumn(name, F.count("*").over(near) - later).where("_own").select("event_id", *keys, name)
 
 
-def firsts(rows: DataFrame, *keys: str) -> DataFrame:
-    """(event_id): events that are the first of their keys."""
-    return rows.groupBy(*keys).agg(F.min(F.struct(*_ORDER)).alias("m")).select("m.event_id").distinct()
-
-
 def counted_before(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """(event_id, name): all rows of the keys before this one: of the days before, summed by day, and of its day."""
     day = F.floor(F.col("us") / DAY)
@@ -145,7 +140,7 @@ def features(alerts: DataFrame, mode: str = "aggregate") -> DataFrame:
     merged = both.groupBy("r.event_id").agg(F.min("_day").alias(names[0]), F.min("_week").alias(names[1]), F.coalesce(F.max("_new"), F.lit(0)).alias(names[2]))
     out = rows.join(merged, "event_id")
     for name, keys in (("novel_host_for_actor", ("actor", "host")), ("novel_actor", ("actor",)), ("process_chain_novel_for_host", ("host", "parent", "image"))):
-        out = out.join(firsts(rows, *keys).withColumn(name, F.lit(1)), "event_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+        out = with_firsts(out, name, *keys)
     out = out.join(counted_before(rows, ["actor", "band"], "_same"), "event_id").join(counted_before(rows, ["actor"], "_all"), "event_id")
     out = out.withColumns({"actor_time_typicality": F.round((F.col("_same") + 1) / (F.col("_all") + BANDS), 6), "actor_never_active_this_bucket": (F.col("_same") == 0).cast("int"), "technique_multiplicity": F.size("techniques").cast("long")})
     return out.join(chains(rows, mode), "event_id").select("event_id", *names)

@@ -34,13 +34,25 @@ def first_of(*keys: str) -> Column:
     return (F.row_number().over(Window.partitionBy(*keys).orderBy("us", "event_id")) == 1).cast("int")
 
 
+def firsts(rows: DataFrame, *keys: str) -> DataFrame:
+    """(event_id): events that are the first of their keys; minima by key, so no task holds a key's rows."""
+    return rows.groupBy(*keys).agg(F.min(F.struct("us", "event_id")).alias("m")).select("m.event_id").distinct()
+
+
+def with_firsts(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Adds ``name``: 1 for the first row of the keys, by time and event id, else 0; ids are distinct."""
+    out = rows.join(firsts(rows, *keys).withColumn(name, F.lit(1)), "event_id", "left")
+    return out.withColumn(name, F.coalesce(name, F.lit(0)))
+
+
 def frequencies(rows: DataFrame) -> DataFrame:
     """Trailing counts over a day and a week."""
     return rows.withColumns({"freq_24h": strictly_before(["actor", "host", "technique"], 24 * HOUR), "freq_7d": strictly_before(["actor", "technique"], 168 * HOUR)})
 
 
 def novelty(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({"novel_actor": first_of("actor"), "novel_host_for_actor": first_of("actor", "host"), "novel_actor_host_technique": first_of("actor", "host", "technique")})
+    rows = with_firsts(rows, "novel_actor", "actor")
+    return with_firsts(with_firsts(rows, "novel_host_for_actor", "actor", "host"), "novel_actor_host_technique", "actor", "host", "technique")
 
 
 def hour_band() -> Column:

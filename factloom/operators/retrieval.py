@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.text import tokens
@@ -24,9 +24,9 @@ def content(text: Column, least: int = 3) -> Column:
 
 
 def best_of(rows: DataFrame, key: str, top: int, *order: Column, columns: tuple[str, ...]) -> DataFrame:
-    """The best rows of each key with their rank; a key's rows are cut to ``top`` as they are merged."""
-    struct = F.struct(*(o.alias(f"_{n}") for n, o in enumerate(order)), *columns)
-    return rows.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(struct)), 1, top).alias("_b")).select(key, F.posexplode("_b").alias("_n", "_x")).select(key, (F.col("_n") + 1).alias("rank"), *(F.col(f"_x.{c}") for c in columns))
+    """The best rows of each key with their rank, ties by ``columns``; Spark cuts a key's rows to ``top`` in each task before they are shuffled."""
+    best = Window.partitionBy(key).orderBy(*order, *columns)
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select(key, "rank", *columns)
 
 
 def pattern_events(items: DataFrame) -> DataFrame:

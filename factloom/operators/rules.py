@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.normalize import rule_key
@@ -200,5 +200,5 @@ def ranked_patterns(patterns: DataFrame, id: str, top: int = 200) -> DataFrame:
 def relevant_patterns(patterns: DataFrame, members: DataFrame, entities: DataFrame, top: int = 3) -> DataFrame:
     """(entity, rank, pattern_id): the best ranked patterns whose members (pattern_id, entity) hold each entity."""
     hits = entities.select("entity").distinct().join(members.select("pattern_id", "entity").distinct(), "entity").join(patterns.select("pattern_id", F.col("rank").alias("_r")), "pattern_id")
-    best = hits.groupBy("entity").agg(F.slice(F.array_sort(F.collect_list(F.struct("_r", "pattern_id"))), 1, top).alias("b"))
-    return best.select("entity", F.posexplode("b").alias("rank", "x")).select("entity", (F.col("rank") + 1).alias("rank"), "x.pattern_id")
+    best = Window.partitionBy("entity").orderBy("_r", "pattern_id")
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("entity", "rank", "pattern_id")

@@ -76,7 +76,7 @@ def anchored_resolution(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(anchors, "o_custkey", "left_semi").select("o_orderkey")
 
 
-_CLAIMS = "SELECT 'order ' || l_orderkey AS subject, CASE l_returnflag WHEN 'R' THEN 'meta' ELSE 'has_' || l_returnflag END AS predicate, 'part ' || l_partkey AS object FROM lineitem WHERE l_linenumber = 1"
+_CLAIMS = "SELECT 'order ' || l_orderkey AS subject, CASE l_returnflag WHEN 'R' THEN 'meta' ELSE 'has_' || l_returnflag END AS predicate, 'part ' || l_partkey AS object FROM lineitem"
 
 
 @query(f"WITH c AS ({_CLAIMS}), s AS (SELECT DISTINCT 'order ' || o_orderkey AS subject FROM orders) SELECT subject, predicate, object, '' AS reason FROM c JOIN s USING (subject) WHERE predicate IN ('has_A', 'has_N') UNION ALL SELECT subject, NULL, NULL, CASE WHEN subject NOT IN (SELECT subject FROM c) THEN 'no_claims' ELSE 'no_content_properties' END FROM s WHERE subject NOT IN (SELECT subject FROM c WHERE predicate IN ('has_A', 'has_N'))")

@@ -127,7 +127,7 @@ def normalized_overlay(spark, sf_dir):
     return rules.normalized(read(spark, sf_dir, _LED), read(spark, sf_dir, _TOLD), read(spark, sf_dir, _LABELS))
 
 
-_SOLD = "SELECT DISTINCT l_suppkey AS subject, l_returnflag AS predicate, l_partkey AS object FROM lineitem WHERE l_linenumber = 1"
+_SOLD = "SELECT DISTINCT l_suppkey AS subject, l_returnflag AS predicate, l_partkey AS object FROM lineitem"
 
 
 @query(f"WITH f AS ({_SOLD}), c AS (SELECT p_partkey AS object, p_type AS class FROM part UNION SELECT p_partkey, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END FROM part), z AS (SELECT subject, predicate, count(*) AS n FROM f GROUP BY ALL), h AS (SELECT subject, predicate, class, count(*) AS k FROM f JOIN c USING (object) GROUP BY ALL) SELECT z.subject, z.predicate, min(class) AS class FROM z LEFT JOIN h ON h.subject = z.subject AND h.predicate = z.predicate AND k = n GROUP BY ALL")

@@ -225,7 +225,7 @@ def process_chain_novelty(spark, sf_dir):
 
     rows = events.alerts(table(spark, sf_dir, "events"))
     rows = rows.withColumn("parent", F.coalesce(F.lag("technique").over(Window.partitionBy("actor").orderBy("us", "event_id")), F.lit("-")))
-    return rows.select("event_id", events.first_of("host", "parent", "technique").alias("chain_novel"))
+    return events.with_firsts(rows, "chain_novel", "host", "parent", "technique").select("event_id", "chain_novel")
 
 
 @query("SELECT CASE WHEN user_id % 10 = 3 THEN 'recurring' ELSE 'other' END AS kind, count(*) AS n, round(avg((value >= 100)::INT), 6) AS share FROM events WHERE event_type != 'error' GROUP BY 1")
