@@ -53,8 +53,8 @@ def hypothesis_scores(spark, sf_dir):
     return plans.hypothesis_scores(read(spark, sf_dir, _STATES, "orders"), read(spark, sf_dir, _HYPOTHESES, "lineitem"))
 
 
-@query(f"{_WITH}, {', '.join(_level(k) for k in range(_STEPS))}, e AS (" + " UNION ALL ".join([f"SELECT state_id, path, score, {k} AS blocked_at FROM b{k} WHERE state_id NOT IN (SELECT state_id FROM b{k + 1})" for k in range(_STEPS)] + [f"SELECT state_id, path, score, NULL FROM b{_STEPS}"]) + ") SELECT state_id, array_to_string(path, ' ') AS path, round(score, 6) AS score, len(path)::BIGINT AS n_steps, blocked_at::BIGINT AS blocked_at FROM e QUALIFY row_number() OVER (PARTITION BY state_id ORDER BY e.score DESC, e.path) = 1")
+@query(f"{_WITH}, {', '.join(_level(k) for k in range(_STEPS))}, e AS (" + " UNION ALL ".join([f"SELECT state_id, path, score, {k} AS blocked_at FROM b{k} WHERE state_id NOT IN (SELECT state_id FROM b{k + 1})" for k in range(_STEPS)] + [f"SELECT state_id, path, score, NULL FROM b{_STEPS}"]) + ") SELECT state_id, array_to_string(path, ' ') AS path, round(score, 6) AS score, len(path)::BIGINT AS n_steps, coalesce(blocked_at, -1)::BIGINT AS blocked_at FROM e QUALIFY row_number() OVER (PARTITION BY state_id ORDER BY e.score DESC, e.path) = 1")
 def beam_plans(spark, sf_dir):
-    """The best plan of every order."""
+    """The best plan of every order; blocked_at is -1 where no step was blocked."""
     found = plans.beam_search(read(spark, sf_dir, _STATES, "orders"), read(spark, sf_dir, _HYPOTHESES, "lineitem"), _STEPS, _WIDTH)
-    return found.withColumn("path", F.array_join("path", " "))
+    return found.withColumns({"path": F.array_join("path", " "), "blocked_at": F.coalesce("blocked_at", F.lit(-1).cast("long"))})
