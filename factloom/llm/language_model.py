@@ -75,7 +75,7 @@ class EliasFano:
 
     def __init__(self, values: np.ndarray, universe: int) -> None:
         values = np.asarray(values).astype(np.uint64)
-        self.n, self.bounds = len(values), None
+        self.n, self.asked, self.bounds = len(values), 0, None
         self.low_bits = min(63, max(0, (universe // max(self.n, 1)).bit_length() - 1))
         self.shift, self.mask = np.uint64(self.low_bits), np.uint64((1 << self.low_bits) - 1)
         self.buckets = ((universe - 1) >> self.low_bits) + 1
@@ -118,7 +118,8 @@ class EliasFano:
 
     def _before(self, bucket: np.ndarray) -> np.ndarray:
         """Number of values in the buckets before each given one: what stands before the zero that opens it."""
-        if self.bounds is None and 16 * len(bucket) > self.n:  # many are asked for, so all bounds are laid out, once
+        self.asked += len(bucket)
+        if self.bounds is None and 16 * self.asked > self.n:  # many are asked for in all, so all bounds are laid out, once
             zeros = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little")[: self.n + self.buckets] == 0)
             self.bounds = np.append(0, zeros - np.arange(len(zeros))).astype(np.int32 if self.n < 1 << 31 else np.int64)
         if self.bounds is not None:
