@@ -70,6 +70,10 @@ def unpack(data: bytes | None) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
+#: Lookups that are made at once.
+_AT_ONCE = 1 << 17
+
+
 class EliasFano:
     """An increasing sequence of integers below ``universe``: high parts in unary, low parts in as few bits as they need."""
 
@@ -121,7 +125,9 @@ class EliasFano:
         self.asked += len(bucket)
         if self.bounds is None and 16 * self.asked > self.n:  # many are asked for in all, so all bounds are laid out, once
             zeros = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little")[: self.n + self.buckets] == 0)
-            self.bounds = np.append(0, zeros - np.arange(len(zeros))).astype(np.int32 if self.n < 1 << 31 else np.int64)
+            zeros -= np.arange(len(zeros))
+            self.bounds = np.zeros(len(zeros) + 1, np.int32 if self.n < 1 << 31 else np.int64)
+            self.bounds[1:] = zeros
         if self.bounds is not None:
             return self.bounds[bucket].astype(np.int64)
         out = np.zeros(len(bucket), np.int64)
@@ -130,10 +136,12 @@ class EliasFano:
         return out
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each x in the sequence, or -1: the successor of x is searched within its bucket."""
-        x = np.asarray(x).astype(np.uint64)
+        """Index of each x in the sequence, or -1: the successor of x is searched within its bucket, for so many at once."""
         if not self.n:
             return np.full(len(x), -1, np.int64)
+        if len(x) > _AT_ONCE:
+            return np.concatenate([self.find(x[k : k + _AT_ONCE]) for k in range(0, len(x), _AT_ONCE)])
+        x = np.asarray(x).astype(np.uint64)
         bucket = (x >> self.shift).astype(np.int64)
         inside = bucket < self.buckets
         bucket = np.minimum(bucket, self.buckets - 1)
@@ -214,6 +222,7 @@ class Trie:
         self.successors = EliasFano(np.repeat(np.arange(len(at)), sizes).astype(np.uint64) * np.uint64(self.size) + b.astype(np.uint64), max(1, len(at)) * self.size)
         self.p2 = quantised((n - DISCOUNT) / np.repeat(totals, sizes))
         self.left2 = quantised(DISCOUNT * sizes / totals)
+        del a, b, n, key, order, own, sizes, totals
         # contexts of two words, and their successors by place among those of w2
         heads = at
         at = _runs(w1, w2)
