@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.policy import answerable, hop_reason, hop_safe
 from factloom.operators import algebra, causal, events, graph, measures, out_of_fold, routing, rules, text
-from factloom.plans import acquisition, beams, derived, extracted, inference, knowledge, lookups, pages, records, retrieval, styles  # noqa: F401 - they register their queries
+from factloom.plans import acquisition, beams, contexts, derived, extracted, inference, knowledge, lookups, pages, records, retrieval, styles  # noqa: F401 - they register their queries
 from factloom.plans.shared import ALERTS, PLAIN, QUERIES, REASON, SQL, TOKENS, Query, query, table, view
 from factloom.sources.facts import facts, supplies
 from factloom.functions.lineage import shared_path
