@@ -71,6 +71,15 @@ def pattern_regex(form: str) -> str:
 
 #: (pattern, relation, regular expression, group of the subject, confidence, stability, risk)
 PATTERNS = tuple((name, relation, pattern_regex(form), 2 if name == "headquartered_in_city" else 1, *rest) for name, relation, form, *rest in _FORMS)
+# What stands in every match of a pattern, in lower case; a pattern is looked for only where it stands.
+STEMS = {
+    "founded_by_passive": "founded", "founded_by_passive_in_year": "founded", "founded_active": "founded", "is_founded_by": "founded", "founded_by_reduced_company_clause": "founded", "developed_by_passive": "developed",
+    "develops_active": "develop", "designed_and_manufactured_by": "manufactured", "manufactured_by_passive": "manufactured", "manufactures_active": "manufacture", "designs_manufactures_sells": "sell", "produces_active": "produce",
+    "is_product_of": "of", "is_service_of": "of", "is_platform_of": "platform", "is_subsidiary_of": "subsidiary", "subsidiary_clause": "subsidiary", "is_owned_by": "owned", "acquired_by": "acquired", "parent_company_of": "parent",
+    "headquartered_in": "headquartered", "headquartered_in_city": "headquartered", "is_operated_by": "operated", "operates_active": "operate", "created_by_passive": "created", "published_by_passive": "published", "is_part_of": "part",
+    "uses_active": "use", "provides_active": "provide", "enables_active": "enable", "used_for_passive": "used", "works_by_mechanism": "work", "is_a_type": "is", "is_ceo_of": "of", "serves_as_ceo_of": "serve", "leads_active": "a",
+    "valued_at_passive": "valued", "has_valuation_of": "valuation",
+}
 # Sentences that are never trusted, by reason.
 SCREENS = (
     ("current_or_live_claim", r"(?i)\b(current\s+(?:ceo|president|chairman|chief|leader|stock\s+price|price|valuation|market\s+cap)|stock\s+price|share\s+price|market\s+cap(?:italization)?|net\s+worth|latest\s+(?:revenue|ranking|quarterly)|quarterly\s+revenue|right\s+now|as\s+of\s+today|currently\s+(?:serves?|is\s+the|holds?)|today'?s|live\s+(?:market|price|data))\b"),
@@ -109,18 +118,19 @@ def candidates(sentences: DataFrame) -> DataFrame:
     triples of a document the first stays, by sentence number, pattern, place and sentence. A screened
     sentence gives candidates of low confidence. Null sentences give none.
     """
-    text = F.col("sentence")
+    text, low = F.col("sentence"), F.col("_low")
 
-    def matched(k: int, pattern: str, first: int) -> Column:
-        subject, object_ = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (first, 3 - first))
-        both = F.zip_with(subject, object_, lambda s, o: F.struct(s.alias("s"), o.alias("o")))
-        found = F.transform(both, lambda m, at: F.struct(F.lit(k).alias("k"), at.alias("place"), m["s"].alias("s"), m["o"].alias("o")))
+    def matched(k: int, name: str, pattern: str, first: int) -> Column:
+        # names are taken from the few characters of a match, and cleaned there, so each is cleaned once however many filters follow
+        part = lambda m, group: cleaned(F.regexp_extract(m, pattern, group))
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, at: F.struct(F.lit(k).alias("k"), at.alias("place"), part(m, first).alias("subject"), part(m, 3 - first).alias("object")))
         # what follows the first name must be there; only then the name before it is looked for
-        return F.when(text.rlike(pattern.replace(rf"\b({NAME})", "", 1)), found).otherwise(F.array().cast("array<struct<k:int,place:int,s:string,o:string>>"))
+        there = low.contains(STEMS[name]) & text.rlike(pattern.replace(rf"\b({NAME})", "", 1))
+        return F.when(there, found).otherwise(F.array().cast("array<struct<k:int,place:int,subject:string,object:string>>"))
 
-    found = F.concat(*(matched(k, p[2], p[3]) for k, p in enumerate(PATTERNS)))
-    rows = sentences.where(text.isNotNull()).select("doc_id", "sent", "sentence", F.explode(found).alias("m"))
-    rows = rows.select("doc_id", "sent", "m.place", "sentence", "m.k", cleaned(F.col("m.s")).alias("subject"), cleaned(F.col("m.o")).alias("object"))
+    found = F.concat(*(matched(k, p[0], p[2], p[3]) for k, p in enumerate(PATTERNS)))
+    rows = sentences.where(text.isNotNull()).select("doc_id", "sent", "sentence", F.lower("sentence").alias("_low"))
+    rows = rows.select("doc_id", "sent", "sentence", F.explode(found).alias("m")).select("doc_id", "sent", "m.place", "sentence", "m.k", "m.subject", "m.object")
     for name in ("subject", "object"):
         rows = rows.where((F.col(name) != "") & ~too_generic(F.col(name)) & (F.size(F.split(name, r"\s+")) <= MOST_WORDS))
     of = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("pattern_id", "relation", "confidence", "stability", "risk"), (p[0], p[1], *p[4:]), strict=True))) for p in PATTERNS))
@@ -159,6 +169,17 @@ def _plain_name(name: Column, known: Column, most: int) -> Column:
     return known | (_is_capital(name) & ~name.rlike(r"[0-9,]") & (F.size(F.split(name, r"\s+")) <= most))
 
 
+def _hits(existing: DataFrame) -> DataFrame:
+    """(_s, relation, _o, _hit): the candidates that known triples make duplicates or conflicts; each triple is turned into those it meets, so candidates are read once."""
+    s, p, o = F.col("s"), F.col("p"), F.col("o")
+    met = lambda relation, what, subject, object_: F.struct(subject.alias("_s"), relation.alias("relation"), object_.alias("_o"), F.lit(what).alias("_hit"))
+    meets = [F.when(~p.isin(*SAME), met(p, "duplicate", s, o))]
+    meets += [F.when(p == q, met(F.lit(r), "duplicate", s, o)) for r, same in SAME.items() for q in same]
+    meets += [F.when(p == q, met(F.lit(r), what, o, s)) for pairs, what in ((TWIN, "duplicate"), (OPPOSITE, "conflict")) for r, q in pairs.items()]
+    own = existing.select(F.lower("subject").alias("s"), F.lower("predicate").alias("p"), F.lower("object").alias("o"))
+    return own.select(F.explode(F.array_compact(F.array(*meets))).alias("m")).select("m.*").groupBy("_s", "relation", "_o").agg(F.max("_hit").alias("_hit"))
+
+
 def validated(found: DataFrame, surfaces: DataFrame, existing: DataFrame) -> DataFrame:
     """Candidates with subject and object resolved, ``verdict`` (safe, quarantine, duplicate or conflict) and all ``reasons``, in order of name.
 
@@ -192,16 +213,7 @@ def validated(found: DataFrame, surfaces: DataFrame, existing: DataFrame) -> Dat
     reasons = F.array_union(reasons, F.filter(F.split("screens", ";"), lambda s: s != ""))
     reasons = F.when((F.size(reasons) == 0) & (F.col("confidence") == "low"), F.array(F.lit("low_confidence"))).otherwise(F.array_sort(reasons))
     found = found.withColumns({"_s": F.lower("subject"), "_o": F.lower("object"), "_reasons": reasons})
-    own = existing.select(F.lower("subject").alias("s"), F.lower("predicate").alias("p"), F.lower("object").alias("o")).distinct()
-    flag = lambda pairs: reduce(lambda w, kv: w.when(F.col("relation") == kv[0], kv[1]), pairs.items(), F.when(F.lit(False), F.lit("")))
-    same = reduce(lambda w, kv: w.when(relation == kv[0], F.array(*map(F.lit, kv[1]))), SAME.items(), F.when(F.lit(False), F.array(F.lit("")))).otherwise(F.array(relation))
-    keys = F.concat(
-        F.transform(same, lambda p: F.struct(F.lit("duplicate").alias("what"), F.col("_s").alias("s"), p.alias("p"), F.col("_o").alias("o"))),
-        F.array(F.struct(F.lit("duplicate").alias("what"), F.col("_o").alias("s"), flag(TWIN).alias("p"), F.col("_s").alias("o")), F.struct(F.lit("conflict").alias("what"), F.col("_o").alias("s"), flag(OPPOSITE).alias("p"), F.col("_s").alias("o"))),
-    )
-    asked = found.select("_s", "relation", "_o").distinct().select("_s", "relation", "_o", F.explode(keys).alias("key")).select("_s", "relation", "_o", "key.*").where("p IS NOT NULL")
-    hits = asked.join(own, ["s", "p", "o"]).groupBy("_s", "relation", "_o").agg(F.max("what").alias("_hit"))
-    out = found.join(hits, ["_s", "relation", "_o"], "left")
+    out = found.join(_hits(existing), ["_s", "relation", "_o"], "left")
     verdict = F.coalesce("_hit", F.when(F.size("_reasons") > 0, "quarantine").otherwise("safe"))
     return out.select("doc_id", "sent", "pattern_id", "subject", "relation", "object", "confidence", verdict.alias("verdict"), F.array_join("_reasons", ";").alias("reasons"))
 
