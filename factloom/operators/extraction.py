@@ -76,7 +76,7 @@ STEMS = {
     "founded_by_passive": "founded", "founded_by_passive_in_year": "founded", "founded_active": "founded", "is_founded_by": "founded", "founded_by_reduced_company_clause": "founded", "developed_by_passive": "developed",
     "develops_active": "develop", "designed_and_manufactured_by": "manufactured", "manufactured_by_passive": "manufactured", "manufactures_active": "manufacture", "designs_manufactures_sells": "sell", "produces_active": "produce",
     "is_product_of": "of", "is_service_of": "of", "is_platform_of": "platform", "is_subsidiary_of": "subsidiary", "subsidiary_clause": "subsidiary", "is_owned_by": "owned", "acquired_by": "acquired", "parent_company_of": "parent",
-    "headquartered_in": "headquartered", "headquartered_in_city": "headquartered", "is_operated_by": "operated", "operates_active": "operate", "created_by_passive": "created", "published_by_passive": "published", "is_part_of": "part",
+    "headquartered_in": "headquartered", "headquartered_in_city": "eadquartered", "is_operated_by": "operated", "operates_active": "operate", "created_by_passive": "created", "published_by_passive": "published", "is_part_of": "part",
     "uses_active": "use", "provides_active": "provide", "enables_active": "enable", "used_for_passive": "used", "works_by_mechanism": "work", "is_a_type": "is", "is_ceo_of": "of", "serves_as_ceo_of": "serve", "leads_active": "a",
     "valued_at_passive": "valued", "has_valuation_of": "valuation",
 }

@@ -160,36 +160,51 @@ LEAP = {"exact": 0.0, "contained": 0.15, "soft": 0.30}
 SHARED_WORDS, SHARED_RATIO = 2, 0.75
 
 
+def _words(text: Column) -> Column:
+    """Distinct words of three letters or more, in order of the alphabet."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(rule_key(text), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) > 2)))
+
+
+def _shared_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(*left, *right, k): pairs of distinct texts that share two words or more, and how many.
+
+    Both sides have an array of words, ``_nw`` and ``_sw``, in order. Pairs meet by two words, not by one, so a word that all texts
+    hold forms no pairs by itself; each pair counts where its first two shared words meet.
+    """
+    pairs = lambda w: F.flatten(F.transform(w, lambda a, i: F.transform(F.slice(w, i + 2, F.greatest(F.size(w), F.lit(1))), lambda b: F.concat_ws(" ", a, b))))
+    own = left.withColumn("_two", F.explode(pairs(F.col("_nw"))))
+    met = own.join(right.withColumn("_two", F.explode(pairs(F.col("_sw")))), "_two").withColumn("_both", F.array_intersect("_nw", "_sw"))
+    return met.where(F.col("_two") == F.array_join(F.slice("_both", 1, 2), " ")).withColumn("k", F.size("_both")).drop("_two", "_both")
+
+
 def attachments(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, edge_id, mode, ratio): edges at a node: its exact name, its name of several words contained in a side, or enough shared words.
 
-    ``nodes`` is (node), ``edges`` (edge_id, subject, object). Sides meet nodes through shared words only,
-    a posting for each distinct word, so no pair without a common word is formed; exact names of one word meet by name.
+    ``nodes`` is (node), ``edges`` (edge_id, subject, object). Names meet names, each distinct side once however many edges have it;
+    edges join the few (node, side) that hold at the end. Exact names of one word meet by name.
     """
-    words = lambda text: F.array_distinct(F.filter(F.split(F.regexp_replace(rule_key(text), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) > 2))
-    node = nodes.select(rule_key(F.col("node")).alias("node")).distinct().withColumn("_nw", words(F.col("node")))
+    node = nodes.select(rule_key(F.col("node")).alias("node")).distinct()
     sides = F.array(*(rule_key(F.col(c)) for c in ("subject", "object")))
-    side = edges.select("edge_id", F.explode(F.array_distinct(sides)).alias("side")).withColumn("_sw", words(F.col("side")))
-    exact = side.join(node, F.col("side") == F.col("node")).select("node", "edge_id", F.lit("exact").alias("mode"), F.lit(1.0).alias("ratio"))
-    left = node.select("node", F.size("_nw").alias("_n"), F.explode("_nw").alias("w"))
-    right = side.select("edge_id", "side", F.size("_sw").alias("_m"), F.explode("_sw").alias("w"))
-    shared = left.join(right, "w").groupBy("node", "edge_id", "side", "_n", "_m").agg(F.count("*").alias("k")).where(F.col("k") >= SHARED_WORDS)
-    ratio = F.round(F.col("k") / F.least("_n", "_m"), 6)
+    edge = edges.select("edge_id", F.explode(F.array_distinct(sides)).alias("side"))
+    side = edge.select("side").distinct()
+    exact = side.join(node, F.col("side") == F.col("node")).select("node", "side", F.lit("exact").alias("mode"), F.lit(1.0).alias("ratio"))
+    shared = _shared_words(node.withColumn("_nw", _words(F.col("node"))), side.withColumn("_sw", _words(F.col("side"))))
+    ratio = F.round(F.col("k") / F.least(F.size("_nw"), F.size("_sw")), 6)
     inside = F.contains(F.concat(F.lit(" "), F.col("side"), F.lit(" ")), F.concat(F.lit(" "), F.col("node"), F.lit(" ")))
     mode = F.when(inside, "contained").when(ratio >= SHARED_RATIO, "soft")
-    other = shared.select("node", "edge_id", mode.alias("mode"), ratio.alias("ratio")).where("mode IS NOT NULL")
+    other = shared.select("node", "side", mode.alias("mode"), ratio.alias("ratio")).where("mode IS NOT NULL")
     rank = F.element_at(F.create_map(*(F.lit(x) for kv in CONNECTIVITY.items() for x in kv)), F.col("mode"))
-    both = exact.unionByName(other)
-    return both.groupBy("node", "edge_id").agg(F.max_by(F.struct("mode", "ratio"), F.struct(rank, "ratio")).alias("b")).select("node", "edge_id", "b.mode", "b.ratio")
+    found = edge.join(exact.unionByName(other), "side")
+    return found.groupBy("node", "edge_id").agg(F.max_by(F.struct("mode", "ratio"), F.struct(rank, "ratio")).alias("b")).select("node", "edge_id", "b.mode", "b.ratio")
 
 
 def posting_frontier(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, n_edges): edges that share two words or more with a node, from an inverted index of words."""
-    words = lambda text: F.array_distinct(F.filter(F.split(F.regexp_replace(rule_key(text), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) > 2))
-    postings = edges.select("edge_id", F.explode(words(F.concat_ws(" ", "subject", "object"))).alias("w"))
-    asked = nodes.select("node").distinct().select("node", F.explode(words(F.col("node"))).alias("w"))
-    hits = asked.join(postings, "w").groupBy("node", "edge_id").agg(F.count("*").alias("k")).where("k >= 2")
-    return hits.groupBy("node").agg(F.count("*").alias("n_edges"))
+    """(node, n_edges): edges that share two words or more with a node; edges of the same words are one row with their number."""
+    told = edges.select("edge_id", _words(F.concat_ws(" ", "subject", "object")).alias("_sw"))
+    # an edge of several rows has the words of all of them
+    told = told.groupBy("edge_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_sw")))).alias("_sw")).groupBy("_sw").agg(F.count("*").alias("_edges"))
+    hits = _shared_words(nodes.select("node").distinct().withColumn("_nw", _words(F.col("node"))), told)
+    return hits.groupBy("node").agg(F.sum("_edges").alias("n_edges"))
 
 
 # Weights of a candidate's score, and the qualities of a fact.

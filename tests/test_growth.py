@@ -1,6 +1,6 @@
 """What must not grow faster than the input: plans that read a table once, hot words, long runs of one key."""
 
-from factloom.operators import extraction
+from factloom.operators import extraction, lookups
 
 
 def test_validation_reads_candidates_once(spark):
@@ -19,3 +19,11 @@ def test_stems_are_parts_of_their_forms():
     assert all(extraction.STEMS[name] in pattern.lower() for name, _, pattern, *_ in extraction.PATTERNS)
     # both alternatives of the one form that is a choice of words only
     assert all(extraction.STEMS["leads_active"] in w for w in ("lead", "chair"))
+
+
+def test_edges_of_equal_words_are_met_once(spark):
+    edges = spark.range(4000).selectExpr("id AS edge_id", "CASE WHEN id % 2 = 0 THEN 'Red iron wheel' ELSE 'red wheel of tin' END AS subject", "CASE WHEN id = 7 THEN 'oil lamp' END AS object")
+    nodes = spark.createDataFrame([("red wheel",), ("lamp oil red",), ("wheel",), (None,)], "node string")
+    met = lookups._shared_words(nodes.withColumn("_nw", lookups._words("node")), edges.select("subject").distinct().withColumn("_sw", lookups._words("subject")))
+    assert {(r.node, r.subject): r.k for r in met.collect()} == {("red wheel", "Red iron wheel"): 2, ("red wheel", "red wheel of tin"): 2}
+    assert {r.node: r.n_edges for r in lookups.posting_frontier(nodes, edges).collect()} == {"red wheel": 4000, "lamp oil red": 1}
