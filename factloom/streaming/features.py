@@ -27,18 +27,19 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, expire
     for us, host, kind in zip(*(state.get if state.exists else ([], [], [])), strict=True):
         by_kind[kind].append((us, host))
         by_host[kind, host].append(us)
-    for batch in batches:
-        found = []
-        for row in batch.sort_values(["us", "event_id"]).itertuples(index=False):
-            kind, host = by_kind[row.technique], by_host[row.technique, row.host]
-            while kind and row.us - kind[0][0] > week:
-                kind.popleft()
-            while host and row.us - host[0] > day:
-                host.popleft()
-            found.append((row.event_id, key[0], row.host, row.technique, row.us, len(host), len(kind)))
-            kind.append((row.us, row.host))
-            host.append(row.us)
-        yield pd.DataFrame(found, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+    # Spark cuts an actor's rows into several batches, which are in no order among themselves
+    rows = pd.concat([*batches]).sort_values(["us", "event_id"])
+    found = []
+    for row in rows.itertuples(index=False):
+        kind, host = by_kind[row.technique], by_host[row.technique, row.host]
+        while kind and row.us - kind[0][0] > week:
+            kind.popleft()
+        while host and row.us - host[0] > day:
+            host.popleft()
+        found.append((row.event_id, key[0], row.host, row.technique, row.us, len(host), len(kind)))
+        kind.append((row.us, row.host))
+        host.append(row.us)
+    yield pd.DataFrame(found, columns=[c.split()[0] for c in OUTPUT.split(", ")])
     past = sorted((us, host, kind) for kind, own in by_kind.items() for us, host in own)
     state.update(tuple(list(x) for x in zip(*past, strict=True)) if past else ([], [], []))
     if expire:

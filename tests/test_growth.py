@@ -1,6 +1,7 @@
 """What must not grow faster than the input: plans that read a table once, hot words, long runs of one key."""
 
-from factloom.operators import extraction, lookups
+from factloom.operators import events, extraction, lookups
+from factloom.streaming.features import streamed_frequencies
 
 
 def test_validation_reads_candidates_once(spark):
@@ -27,3 +28,16 @@ def test_edges_of_equal_words_are_met_once(spark):
     met = lookups._shared_words(nodes.withColumn("_nw", lookups._words("node")), edges.select("subject").distinct().withColumn("_sw", lookups._words("subject")))
     assert {(r.node, r.subject): r.k for r in met.collect()} == {("red wheel", "Red iron wheel"): 2, ("red wheel", "red wheel of tin"): 2}
     assert {r.node: r.n_edges for r in lookups.posting_frontier(nodes, edges).collect()} == {"red wheel": 4000, "lamp oil red": 1}
+
+
+def test_stream_counts_an_actor_in_many_batches(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id AS event_id", "timestamp_seconds((id * 7919) % 400 * 900) AS ts", "id % 2 AS user_id", "'view' AS event_type", "1.0D AS value", "'{\"k\": 5}' AS props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "16")
+    try:
+        got = {tuple(r) for r in streamed_frequencies(spark, f"{tmp_path}/events.parquet").collect()}
+    finally:
+        spark.conf.unset(name)
+    want = events.frequencies(events.alerts(spark.read.parquet(f"{tmp_path}/events.parquet"))).select("event_id", "freq_24h", "freq_7d")
+    assert got == {tuple(r) for r in want.collect()} and max(r[1] for r in got) > 40
