@@ -1,6 +1,8 @@
 """What must not grow faster than the input: plans that read a table once, hot words, long runs of one key."""
 
-from factloom.operators import events, extraction, lookups
+import re
+
+from factloom.operators import context, events, extraction, lookups
 from factloom.streaming.features import streamed_frequencies
 
 
@@ -41,3 +43,14 @@ def test_stream_counts_an_actor_in_many_batches(spark, tmp_path):
         spark.conf.unset(name)
     want = events.frequencies(events.alerts(spark.read.parquet(f"{tmp_path}/events.parquet"))).select("event_id", "freq_24h", "freq_7d")
     assert got == {tuple(r) for r in want.collect()} and max(r[1] for r in got) > 40
+
+
+def test_packs_are_grouped_and_ordered_in_one_exchange(spark):
+    form = "entity string, subject string, predicate string, object string, stability string"
+    relations = spark.createDataFrame([("a", "a", "has", f"b{k}", "stable") for k in range(8)] + [("c", "c", "has", "d", "stable"), ("d", "d", "has", "e", "stable")], form)
+    none = spark.createDataFrame([], form)
+    weak = spark.createDataFrame([("a", "a", "near", "x", ""), ("c", "c", "near", "d", "")], form)
+    out = context.context_packs(spark.createDataFrame([(1, "a"), (2, "c"), (3, "z")], "question_id long, entity string"), none, relations, weak, 8, 24)
+    packs = {q: [(r.kind, r.object) for r in sorted(out.collect(), key=lambda r: r.place) if r.question_id == q] for q in (1, 2, 3)}
+    assert packs == {1: [("direct", f"b{k}") for k in range(8)], 2: [("direct", "d"), ("one_hop", "e"), ("weak_link", "d")], 3: []}
+    assert "hashpartitioning(question_id#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and not re.search(r"hashpartitioning\(question_id#\d+L?, subject", plan)
