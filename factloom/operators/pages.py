@@ -42,7 +42,7 @@ def paragraphs(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Array of a paragraph's sentences: split after a mark before a capital or a quote, not after abbreviations; short ones go."""
-    held = F.regexp_replace(text, rf"(?i)\b({ABBREVIATIONS})\.", f"$1{_HELD}")
+    held = F.regexp_replace(text, rf"(?i)\b(?=[a-z.]{{2,6}}\.)({ABBREVIATIONS})\.", f"$1{_HELD}")
     parts = F.transform(F.split(held, r'(?<=[.!?])\s+(?=[A-Z"])'), lambda s: F.trim(F.translate(s, _HELD, ".")))
     return F.filter(parts, lambda s: F.length(s) >= LEAST_SENTENCE)
 
@@ -136,6 +136,6 @@ def lead_definitions(pages: DataFrame, key: str, text: str = "text") -> DataFram
     opened = F.length(F.regexp_replace(one, r"[^(]", "")) > F.length(F.regexp_replace(one, r"[^)]", ""))
     joined = F.when((F.size("s") >= 2) & (opened | two.rlike(r"""^\s*["']""")), F.array(F.concat_ws(" ", one, two))).otherwise(F.array().cast("array<string>"))
     tried = rows.select(key, "subject", F.posexplode(F.concat(joined, F.slice("s", 1, 3))).alias("_n", "sentence"))
-    found = with_definition(tried).where("definition IS NOT NULL")
-    best = found.groupBy(key, "subject").agg(F.min(F.struct("_n", "definition", "sentence")).alias("d"))
+    # a filter on definitions would be moved below their steps and repeat each once for each use
+    best = with_definition(tried).groupBy(key, "subject").agg(F.min(F.when(F.col("definition").isNotNull(), F.struct("_n", "definition", "sentence"))).alias("d")).where("d IS NOT NULL")
     return best.select(key, "subject", "d.definition", "d.sentence")

@@ -2,7 +2,7 @@
 
 import re
 
-from factloom.operators import context, events, extraction, lookups
+from factloom.operators import context, events, extraction, lookups, pages
 from factloom.streaming.features import streamed_frequencies
 
 
@@ -54,3 +54,9 @@ def test_packs_are_grouped_and_ordered_in_one_exchange(spark):
     packs = {q: [(r.kind, r.object) for r in sorted(out.collect(), key=lambda r: r.place) if r.question_id == q] for q in (1, 2, 3)}
     assert packs == {1: [("direct", f"b{k}") for k in range(8)], 2: [("direct", "d"), ("one_hop", "e"), ("weak_link", "d")], 3: []}
     assert "hashpartitioning(question_id#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and not re.search(r"hashpartitioning\(question_id#\d+L?, subject", plan)
+
+
+def test_steps_of_definitions_are_not_repeated_in_filters(spark):
+    out = pages.lead_definitions(spark.createDataFrame([(1, "# Ada\n\nAda is a town of note.")], "page long, text string"), "page")
+    assert out.first().definition == "town of note"
+    assert not re.search(r"Filter .*regexp", out._jdf.queryExecution().optimizedPlan().toString())
