@@ -19,7 +19,7 @@ _OR_IT = rf"\b({_NAME}|it)"
 
 
 class Pattern(NamedTuple):
-    """``word`` must stand in the sentence; groups: subject, object. ``names`` tells how objects are found in the clause."""
+    """One of the words in ``word``, parted by bars, must stand in the sentence in lower case; groups: subject, object. ``names`` tells how objects are found in the clause."""
 
     id: str
     predicate: str
@@ -36,12 +36,12 @@ class Pattern(NamedTuple):
 PATTERNS = (
     Pattern("founded_by_v2", "founded_by", "founded", rf"(?i)\b({_NAME})\s+was\s+founded\s+(?:in\s+\d{{4}}\s+)?by\s+([A-Za-z][^.!?\n]{{0,120}}?){_BY_END}", "persons"),
     Pattern("subsidiary_of_v2", "subsidiary_of", "subsidiary", rf"\b({_NAME})\s+is\s+a\s+(?:[a-z][A-Za-z0-9 ,]{{0,80}}?\s+)?subsidiary\s+of\s+({_NAME})(?=[,. ]|$)", "capital"),
-    Pattern("service_of_v2", "service_of", " of ", rf"\b({_NAME})\s+is\s+a\s+(?:[a-z][A-Za-z0-9 ,]{{0,80}}?\s+)?(?:division|service|arm|unit|branch)\s+of\s+({_NAME})(?=[,. ]|$)", "capital"),
-    Pattern("lead_definition_v2", "is_a", " ", rf"(?:Sir|Dame|Dr\.?|Professor|Prof\.?)?\s*({_LONG})(?:\s*\([^)]{{0,80}}\))?(?:,\s+also\s+known\s+as\s+[^,]{{1,60}},)?\s+(?:is|are|was|were)\s+(?:a|an|the)\s+([A-Za-z][A-Za-z0-9 \-']{{2,80}}?)(?=[,.]|\s+(?:and\b|that\b|which\b|who\b|founded\b|based\b|best\s+known\b|known\b|located\b|headquartered\b|serving\b|formerly\b|also\b)|$)", "definition", risk="low", stability="stable"),
+    Pattern("service_of_v2", "service_of", "division|service|arm|unit|branch", rf"\b({_NAME})\s+is\s+a\s+(?:[a-z][A-Za-z0-9 ,]{{0,80}}?\s+)?(?:division|service|arm|unit|branch)\s+of\s+({_NAME})(?=[,. ]|$)", "capital"),
+    Pattern("lead_definition_v2", "is_a", " is | are | was | were ", rf"(?:Sir|Dame|Dr\.?|Professor|Prof\.?)?\s*({_LONG})(?:\s*\([^)]{{0,80}}\))?(?:,\s+also\s+known\s+as\s+[^,]{{1,60}},)?\s+(?:is|are|was|were)\s+(?:a|an|the)\s+([A-Za-z][A-Za-z0-9 \-']{{2,80}}?)(?=[,.]|\s+(?:and\b|that\b|which\b|who\b|founded\b|based\b|best\s+known\b|known\b|located\b|headquartered\b|serving\b|formerly\b|also\b)|$)", "definition", risk="low", stability="stable"),
     Pattern("publishes_named_v2", "publishes", "including", rf"(?i)\b({_NAME})\s+publishes?\s+.{{0,120}}?including\s+the\s+(?:[a-z]+\s+)?([A-Z][A-Za-z0-9 ]{{1,59}}?)(?=[,.]|$)", "capital"),
     Pattern("publishes_direct_v2", "publishes", "publish", rf"\b({_NAME})\s+publishes?\s+(?:the\s+)?(?:[a-z]+\s+){{0,2}}([A-Z][A-Za-z0-9 ]{{1,59}}?)(?=[,.]|$)", "work"),
-    Pattern("developed_by_v2", "developed_by", " by ", rf"(?i)\b({_NAME})\s+(?:was|is|were)\s+(?:developed|created|built|designed)\s+by\s+([A-Za-z][^.!?\n]{{0,120}}?){_BY_END}", "entities"),
-    Pattern("develops_inverse_v2", "develops", " by ", rf"(?i)\b({_NAME})\s+(?:was|is|were)\s+(?:developed|created|built|designed)\s+by\s+([A-Za-z][^.!?\n]{{0,120}}?){_BY_END}", "entities", inverse=True),
+    Pattern("developed_by_v2", "developed_by", "developed|created|built|designed", rf"(?i)\b({_NAME})\s+(?:was|is|were)\s+(?:developed|created|built|designed)\s+by\s+([A-Za-z][^.!?\n]{{0,120}}?){_BY_END}", "entities"),
+    Pattern("develops_inverse_v2", "develops", "developed|created|built|designed", rf"(?i)\b({_NAME})\s+(?:was|is|were)\s+(?:developed|created|built|designed)\s+by\s+([A-Za-z][^.!?\n]{{0,120}}?){_BY_END}", "entities", inverse=True),
     Pattern("manufactured_by_v2", "produces", "manufactured", rf"(?i)\b({_NAME})\s+(?:was|is|were)\s+manufactured\s+by\s+([A-Za-z][^.!?\n]{{0,120}}?){_BY_END}", "entities", inverse=True),
     Pattern("operated_by_v2", "operated_by", "operated", rf"(?i)\b({_NAME})\s+(?:was|is|were)\s+operated\s+by\s+([A-Za-z][^.!?\n]{{0,120}}?){_BY_END}", "entities"),
     Pattern("owned_by_v2", "owned_by", "owned", rf"(?i)\b({_NAME})\s+(?:was|is|were)\s+owned\s+by\s+([A-Za-z][^.!?\n]{{0,120}}?){_BY_END}", "entities"),
@@ -49,7 +49,7 @@ PATTERNS = (
     Pattern("acquired_active_v2", "owned_by", "acquired", rf"\b({_NAME})\s+acquired\s+({_NAME}){_BY_END}", "name", inverse=True),
     Pattern("headquartered_in_v2", "headquartered_in", "headquartered", rf"\b({_NAME})\s+(?:is\s+)?headquartered\s+(?:in|at)\s+([A-Z][A-Za-z, ]{{1,59}}?)(?=[,.]|$)", "capital", risk="low"),
     Pattern("marketed_as_v2", "marketed_as", "marketed", rf"(?i)\b({_NAME})(?:\s*\([^)]{{0,120}}\))?,?\s+(?:also\s+)?marketed\s+as\s+([^.;]{{1,160}}?)(?=,?\s+(?:is|was)\b|[.;]|$)", "aliases", "or_page", "low"),
-    Pattern("alias_v2", "alias", "n", rf"(?i)\b({_NAME})(?:\s*\([^)]{{0,120}}\))?,?\s+(?:also\s+known\s+as|formerly\s+known\s+as|nicknamed)\s+([^.;]{{1,160}}?)(?=,?\s+(?:is|was)\b|[.;]|$)", "aliases", "or_page", "low"),
+    Pattern("alias_v2", "alias", "known|nicknamed", rf"(?i)\b({_NAME})(?:\s*\([^)]{{0,120}}\))?,?\s+(?:also\s+known\s+as|formerly\s+known\s+as|nicknamed)\s+([^.;]{{1,160}}?)(?=,?\s+(?:is|was)\b|[.;]|$)", "aliases", "or_page", "low"),
     Pattern("funded_by_v2", "funded_by", "funded", rf"\b({_LONG}|Design\s+of\s+this\s+version)\s+(?:was|were)\s+funded\s+by\s+({_NAME})(?=\s+with\b|[,.]|$)", "whole", "or_page", "low", "stable"),
     Pattern("located_in_v2", "located_in", " in ", rf"\b({_NAME})(?:\s*\([^)]{{0,120}}\))?\s+(?:is|was)\s+(?:an?\s+|the\s+)?.{{0,140}}?\s+in\s+((?:unincorporated\s+)?[A-Z][A-Za-z ,.'\-]{{1,80}}?)(?=,\s+(?:just|near|and|which)\b|[.;]|$)", "whole", "or_page", "low"),
     Pattern("based_at_v2", "based_at", "based", rf"\b({_NAME})\s+(?:was|is)\s+[^.]{{0,80}}?\bbased\s+at\s+(?:the\s+)?({_LONG})(?=,\s+|[.;]|$)", "whole", "or_page", "low"),
@@ -63,9 +63,9 @@ PATTERNS = (
     Pattern("provides_v2", "provides", "provides", rf"(?i){_OR_IT}\s+provides\s+([^.;]{{1,120}}?)(?=,\s+(?:including|using|through|by)\b|[.;]|$)", "whole", "or_page", "low"),
     Pattern("uses_v2", "uses", "uses", rf"(?i){_OR_IT}\s+uses\s+([^.;]{{1,120}}?)(?=\s+to\b|,\s+(?:including|for|and)\b|[.;]|$)", "whole", "or_page", "low"),
     Pattern("enables_v2", "enables", "enables", rf"(?i){_OR_IT}\s+enables\s+([^.;]{{1,120}}?)(?=,\s+(?:including|by|through)\b|[.;]|$)", "whole", "or_page", "low"),
-    Pattern("used_for_v2", "used_for", "used for", rf"(?i){_OR_IT}\s+(?:is|are|was|were)\s+used\s+for\s+([^.;]{{1,120}}?)(?=,\s+(?:including|by|through)\b|[.;]|$)", "whole", "or_page", "low"),
+    Pattern("used_for_v2", "used_for", "used", rf"(?i){_OR_IT}\s+(?:is|are|was|were)\s+used\s+for\s+([^.;]{{1,120}}?)(?=,\s+(?:including|by|through)\b|[.;]|$)", "whole", "or_page", "low"),
     Pattern("works_by_v2", "works_by", "works", rf"(?i){_OR_IT}\s+works\s+(?:by|through)\s+([^.;]{{1,120}}?)(?=,\s+(?:including|and)\b|[.;]|$)", "whole", "or_page", "low"),
-    Pattern("runs_on_v2", "runs_on", "runs on", rf"(?i){_OR_IT}\s+runs\s+on\s+([^.;]{{1,160}})", "platforms", "or_page", "low"),
+    Pattern("runs_on_v2", "runs_on", "runs", rf"(?i){_OR_IT}\s+runs\s+on\s+([^.;]{{1,160}})", "platforms", "or_page", "low"),
     Pattern("offers_v2", "offers", "offered", rf"(?i){_OR_IT}\s+is\s+also\s+offered\s+(?:inside|on)\s+([^.;]{{1,160}})", "entities", "or_page", "low"),
     Pattern("hosted_flight_to_v2", "hosted_flight_to", "cargo", rf"\b({_NAME})\s+flew\s+\d+\s+cargo\s+missions\s+to\s+(?:the\s+)?([A-Z][A-Za-z0-9 ()]{{1,59}}?)(?=\s+between\b|[.;]|$)", "whole", "or_page", "low", "stable"),
     Pattern("has_facility_v2", "has_facility", "customs", r"\b([Aa]n?\s+[a-z][A-Za-z0-9 \-]{1,59})\s+is\s+[^.]{0,80}?\bwith\s+(customs\s+and\s+border\s+control\s+facilities)\b", "whole", "page", "low"),
@@ -79,6 +79,8 @@ UNSAFE = (
     r"|\b(?:phone\s+number|home\s+address|private\s+email|date\s+of\s+birth|social\s+security|passport\s+number)\b"
     r"|\b(?:all\s+\w+\s+are\b|is\s+every\b|are\s+all\b|every\s+\w+\s+is\b)\b|\b(?:202[3-9])\b"
 )
+#: In lower case one of these stands wherever the screens above match.
+STEMS = ("not", "never", "longer", "n't", "currently", "today", "right", "current", "price", "market", "worth", "latest", "quarterly", "live", "phone", "address", "email", "birth", "security", "passport", "all", "every", "202")
 # Words that begin a piece of a sentence, nouns that name nothing, prefixes of pieces, subjects that stand for the page.
 STARTERS = (
     "in", "on", "at", "from", "when", "what", "while", "with", "after", "before", "during", "following", "therefore", "although", "however", "since", "is", "are", "was", "were", "they", "this", "that",
@@ -114,9 +116,13 @@ HANGING = (
 )
 
 
-def passes(sentence: Column) -> Column:
-    """Whether a sentence is safe to learn from."""
-    return ~F.regexp_replace(sentence, ASIDE, ",").rlike(NEGATED) & ~sentence.rlike(UNSAFE)
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+
+
+def passes(sentence: Column, low: Column | None = None) -> Column:
+    """Whether a sentence is safe to learn from; ``low`` is it in lower case, where that is at hand. Screens are tried where a word of theirs stands."""
+    return ~_any(F.lower(sentence) if low is None else low, STEMS) | (~F.regexp_replace(sentence, ASIDE, ",").rlike(NEGATED) & ~sentence.rlike(UNSAFE))
 
 
 def canonical(name: Column) -> Column:
@@ -131,8 +137,10 @@ def names_something(name: Column) -> Column:
 
 
 def unhung(text: Column) -> Column:
-    """A text without what hangs at its end; a word at least goes in each round, so there are as many rounds as words."""
-    return F.aggregate(F.split(text, r"\s+"), F.trim(text), lambda t, _: reduce(lambda x, p: F.trim(F.regexp_replace(x, p, "")), HANGING, t))
+    """A text without what hangs at its end; a word at least goes in each round, so there are as many rounds as words, none where nothing hangs."""
+    hangs = F.trim(text).rlike("|".join(HANGING))
+    cut = F.aggregate(F.split(text, r"\s+"), F.trim(text), lambda t, _: reduce(lambda x, p: F.trim(F.regexp_replace(x, p, "")), HANGING, t))
+    return F.when(hangs, cut).otherwise(F.trim(text))
 
 
 def _clause(raw: Column) -> Column:
@@ -180,7 +188,7 @@ def _objects(kind: str, raw: Column) -> Column:
 
 def _parted(k: int, regex: str):
     """A function of a match and its place that makes a row of them, the pattern's number and both groups."""
-    return lambda m, at: F.struct(F.lit(k).alias("k"), at.alias("at"), m.alias("m"), F.regexp_extract(m, regex, 1).alias("left"), F.regexp_extract(m, regex, 2).alias("right"))
+    return lambda m, at: F.struct(F.lit(k).alias("k"), at.alias("at"), m.alias("m"), canonical(F.regexp_extract(m, regex, 1)).alias("left"), F.regexp_extract(m, regex, 2).alias("right"))
 
 
 def yielded(sentences: DataFrame) -> DataFrame:
@@ -189,15 +197,17 @@ def yielded(sentences: DataFrame) -> DataFrame:
     Of equal facts of a page the first stays, by sentence, pattern and place; a page defines a subject once. Definitions
     come from lead sentences only, near their beginning.
     """
-    text = F.col("sentence")
+    # a filter would be moved below the steps that it reads and repeat them once for each use, so conditions stand within what is exploded
+    text, low = F.col("sentence"), F.col("low")
+    none = F.array().cast("array<struct<k:int,at:int,m:string,left:string,right:string>>")
     matches = []
     for k, p in enumerate(PATTERNS):
-        there = text.contains(p.word) & F.col("lead") if p.names == "definition" else text.contains(p.word)
+        there = _any(low, tuple(p.word.split("|")))
         all_ = F.transform(F.regexp_extract_all(text, F.lit(p.regex), F.lit(0)), _parted(k, p.regex))
-        matches.append(F.when(there, all_).otherwise(F.array().cast("array<struct<k:int,at:int,m:string,left:string,right:string>>")))
-    rows = sentences.where(text.isNotNull() & passes(text)).withColumn("page_name", F.trim(F.translate("title", "_", " ")))
-    rows = rows.select("page", "page_name", "place", "sentence", F.explode(F.concat(*matches)).alias("x")).select("*", "x.*").drop("x")
-    rows = rows.withColumn("left", canonical(F.col("left")))
+        matches.append(F.when(there & F.col("lead") if p.names == "definition" else there, all_).otherwise(none))
+    spaced = F.when(text.rlike(r"[\t\n\x0b\f\r]"), F.regexp_replace(text, r"\s", " ")).otherwise(text)
+    rows = sentences.select("page", F.trim(F.translate("title", "_", " ")).alias("page_name"), "place", "sentence", "lead", F.lower(spaced).alias("low"))
+    rows = rows.select("page", "page_name", "place", "sentence", F.explode(F.when(text.isNotNull() & passes(text, low), F.concat(*matches)).otherwise(none)).alias("x")).select("*", "x.*").drop("x")
     kinds = {n: [k for k, p in enumerate(PATTERNS) if p.names == n] for n in dict.fromkeys(p.names for p in PATTERNS)}
     objects = reduce(lambda w, kv: w.when(F.col("k").isin(*kv[1]), _objects(kv[0], F.col("right"))), kinds.items(), F)
     low = F.lower("left")
@@ -206,9 +216,9 @@ def yielded(sentences: DataFrame) -> DataFrame:
     subject = F.when(of("page") | (of("or_page") & stands), F.col("page_name")).otherwise(F.col("left"))
     definition = F.col("k").isin(*kinds["definition"])
     # a single word of a longer title doesn't say which of its things it is; a definition stands at the beginning
-    single = ~subject.rlike(r"\s") & canonical(F.col("page_name")).rlike(r"\s") & F.array_contains(F.split(F.lower(canonical(F.col("page_name"))), r"\s+"), F.lower(subject))
-    rows = rows.withColumn("subject", subject).where(F.when(of("page"), F.col("subject").rlike(r"^\p{Lu}")).otherwise(names_something(F.col("subject"))))
-    rows = rows.where(~definition | ((F.instr("sentence", F.col("m")) <= 11) & ~single)).withColumn("object", F.explode(objects)).where("object != ''")
+    single = ~F.col("subject").rlike(r"\s") & canonical(F.col("page_name")).rlike(r"\s") & F.array_contains(F.split(F.lower(canonical(F.col("page_name"))), r"\s+"), F.lower("subject"))
+    good = F.when(of("page"), F.col("subject").rlike(r"^\p{Lu}")).otherwise(names_something(F.col("subject"))) & (~definition | ((F.instr("sentence", F.col("m")) <= 11) & ~single))
+    rows = rows.withColumn("subject", subject).withColumn("object", F.explode(F.when(good, objects).otherwise(F.array().cast("array<string>")))).where("object != ''")
     table = F.array(*(F.struct(*(F.lit(getattr(p, c)).alias(c) for c in ("id", "predicate", "risk", "stability", "inverse"))) for p in PATTERNS))
     rows = rows.withColumn("p", F.try_element_at(table, F.col("k") + 1))
     left, right = (F.when(F.col("p.inverse"), F.col(b)).otherwise(F.col(a)) for a, b in (("subject", "object"), ("object", "subject")))

@@ -2,7 +2,7 @@
 
 import re
 
-from factloom.operators import context, events, extraction, lookups, pages
+from factloom.operators import context, events, extraction, lookups, pages, yields
 from factloom.streaming.features import streamed_frequencies
 
 
@@ -56,6 +56,13 @@ def test_packs_are_grouped_and_ordered_in_one_exchange(spark):
     assert "hashpartitioning(question_id#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and not re.search(r"hashpartitioning\(question_id#\d+L?, subject", plan)
 
 
+def test_steps_of_facts_are_not_repeated_in_filters(spark):
+    rows = spark.createDataFrame([(1, "Ada", 0, "Ada Works WAS FOUNDED BY Ann Lee.", False)], "page long, title string, place long, sentence string, lead boolean")
+    out = yields.yielded(rows)
+    assert [(r.subject, r.object) for r in out.collect()] == [("Ada Works", "Ann Lee")]  # words are met in any case, as in SQL
+    assert not re.search(r"Filter .*regexp", out._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_steps_of_definitions_are_not_repeated_in_filters(spark):
     out = pages.lead_definitions(spark.createDataFrame([(1, "# Ada\n\nAda is a town of note.")], "page long, text string"), "page")
     assert out.first().definition == "town of note"
