@@ -229,8 +229,6 @@ def yielded(sentences: DataFrame) -> DataFrame:
 
 
 def across_pages(facts: DataFrame) -> DataFrame:
-    """Facts of which no earlier page has the same: equal triples, or definitions of the same subject; minima by key, so no task holds a key's rows."""
-    same = [F.lower("subject").alias("_s"), "predicate", F.when(F.col("predicate") != "is_a", F.lower("object")).otherwise("").alias("_o")]
-    first = facts.groupBy(*same).agg(F.min("page").alias("_page"))
-    keyed = facts.withColumns({"_s": F.lower("subject"), "_o": F.when(F.col("predicate") != "is_a", F.lower("object")).otherwise("")})
-    return keyed.join(first, ["_s", "predicate", "_o"]).where("page = _page").select(facts.columns)
+    """Facts of which no earlier page has the same: equal triples, or definitions of the same subject; each task sends on the first pages that it has only."""
+    same = [F.lower("subject"), "predicate", F.when(F.col("predicate") != "is_a", F.lower("object"))]
+    return facts.withColumn("_r", F.rank().over(Window.partitionBy(*same).orderBy("page"))).where("_r = 1").drop("_r")

@@ -56,6 +56,14 @@ def test_packs_are_grouped_and_ordered_in_one_exchange(spark):
     assert "hashpartitioning(question_id#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and not re.search(r"hashpartitioning\(question_id#\d+L?, subject", plan)
 
 
+def test_facts_of_pages_are_found_once(spark):
+    form = "page long, place long, pattern_id string, subject string, predicate string, object string, risk string, stability string, sentence string"
+    facts = spark.createDataFrame([(k, 0, "x", s, "uses", "oil", "low", "stable", "s") for k, s in ((2, "A"), (1, "a"), (1, "A"), (3, "b"))], form)
+    out = yields.across_pages(facts)
+    assert sorted((r.page, r.subject) for r in out.collect()) == [(1, "A"), (1, "a"), (3, "b")]
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
 def test_steps_of_facts_are_not_repeated_in_filters(spark):
     rows = spark.createDataFrame([(1, "Ada", 0, "Ada Works WAS FOUNDED BY Ann Lee.", False)], "page long, title string, place long, sentence string, lead boolean")
     out = yields.yielded(rows)
