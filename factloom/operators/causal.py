@@ -8,11 +8,14 @@ rows are minima by key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.lineage import cut
 from factloom.functions.words import domain_user
-from factloom.operators.events import HOUR, hour_band, with_firsts
+from factloom.operators.events import HOUR, firsts, hour_band
 
 #: Fixed values of the features: windows, tactics, the image of alerts without one, buckets of time.
 DAY, WEEK, CHAIN = 24 * HOUR, 168 * HOUR, HOUR // 4
@@ -72,13 +75,19 @@ def _near(rows: DataFrame, span: int) -> DataFrame:
     return rows.withColumn("_b", F.explode(F.array(bucket, bucket + 1))).withColumn("_own", F.col("_b") == bucket)
 
 
-def trailing(rows: DataFrame, keys: list[str], span: int, name: str) -> DataFrame:
-    """(event_id, *keys, name): rows of the same keys before this one, not more than ``span`` back; a key has one row for each event."""
-    rows = _near(rows.select("event_id", "us", *keys), span)
-    near = Window.partitionBy(*keys, "_b").orderBy("us").rangeBetween(-span, 0)
-    peers = Window.partitionBy(*keys, "_b", "us").orderBy("event_id")
-    later = F.count("*").over(peers.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumn(name, F.count("*").over(near) - later).where("_own").select("event_id", *keys, name)
+def trailing(rows: DataFrame, keys: list[str], span: int, name: str, *carried: str) -> DataFrame:
+    """(event_id, *keys, *carried, name): rows of the same keys before this one, not more than ``span`` back; a key has one row for each event.
+
+    That is the number of all rows before it less those before its span, both from one running sum, so a hot key takes
+    time in proportion to its rows.
+    """
+    rows = _near(rows.select("event_id", "us", *keys, *carried), span)
+    own = F.struct(F.col("us").alias("at"), F.lit(1).alias("kind"))
+    limit = F.struct((F.col("us") - span).alias("at"), F.lit(0).alias("kind"))
+    steps = rows.withColumn("_p", F.explode(F.when(F.col("_own"), F.array(own, limit)).otherwise(F.array(own)))).select("*", "_p.at", "_p.kind").drop("_p")
+    so_far = F.sum("kind").over(Window.partitionBy(*keys, "_b").orderBy("at", "kind", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    found = steps.withColumn(name, F.when(F.col("kind") == 1, so_far - 1).otherwise(-so_far)).where("_own")
+    return found.groupBy("event_id", *keys, *carried).agg(F.sum(name).alias(name))
 
 
 def counted_before(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -91,8 +100,8 @@ def counted_before(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.withColumn("_p", place).join(days.withColumn("_past", past), [*keys, "_d"]).select("event_id", (F.col("_past") + F.col("_p")).alias(name))
 
 
-def chains(alerts: DataFrame, mode: str) -> DataFrame:
-    """(event_id, diversity, escalation) within the trailing quarter of an hour of an actor on a host.
+def chains(alerts: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
+    """(event_id, diversity) and (event_id, escalation) within the trailing quarter of an hour of an actor on a host.
 
     A tactic lives from one of its alerts until the span after it is over, so running sums of starts and ends tell how
     many live before an alert; those of its own that don't yet live come on top.
@@ -118,29 +127,34 @@ def chains(alerts: DataFrame, mode: str) -> DataFrame:
     last = F.max(F.when(F.col("_found"), F.col("us"))).over(Window.partitionBy(*keys).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1))
     hit = F.coalesce(F.col("_up") & (F.col("us") - last <= CHAIN), F.lit(False))
     escalation = found.withColumn("chain_discovery_to_escalation_15m", hit.cast("int")).where("_own").select("event_id", "chain_discovery_to_escalation_15m")
-    return diversity.join(escalation, "event_id")
+    return diversity, escalation
 
 
 def features(alerts: DataFrame, mode: str = "aggregate") -> DataFrame:
     """(event_id, features) of each alert; ids are distinct.
 
-    Values of several techniques meet at their least explained end: the least count, any novelty.
+    Values of several techniques meet at their least explained end: the least count, any novelty. Alerts are read once
+    into the shared folder; all features of an alert meet in one grouping.
     """
     names = feature_names(mode)
-    rows = listed(identified(alerts))
+    rows = cut(listed(identified(alerts)).select("event_id", "us", "actor", "host", "band", "parent", "image", "techniques", "tactics", *FEATURES[-2:]))
     kept = F.slice("techniques", 1, 1) if mode == "first_only" else F.col("techniques")
     each = rows.select("event_id", "us", "actor", "host", F.posexplode(kept).alias("_i", "technique"))
+    each = each.withColumn("_read", F.lit(True) if mode == "aggregate" else F.col("_i") == 0).drop("_i")
     here, anywhere = ["actor", "host", "technique"], ["actor", "technique"]
-    new = each.groupBy(*here).agg(F.min(F.struct(*_ORDER)).alias("m")).select(F.col("m.event_id").alias("event_id"), "technique", F.lit(1).alias("_new"))
-    counts = trailing(each, here, DAY, "_day")
-    weeks = trailing(each, anywhere, WEEK, "_week")
-    match = lambda a, b: (F.col(f"{a}.event_id") == F.col(f"{b}.event_id")) & F.col(f"{a}.technique").eqNullSafe(F.col(f"{b}.technique"))
-    read = each if mode == "aggregate" else each.where("_i = 0")
-    both = read.alias("r").join(counts.alias("c"), match("r", "c")).join(weeks.alias("w"), match("r", "w")).join(new.alias("n"), match("r", "n"), "left")
-    merged = both.groupBy("r.event_id").agg(F.min("_day").alias(names[0]), F.min("_week").alias(names[1]), F.coalesce(F.max("_new"), F.lit(0)).alias(names[2]))
-    out = rows.join(merged, "event_id")
-    for name, keys in (("novel_host_for_actor", ("actor", "host")), ("novel_actor", ("actor",)), ("process_chain_novel_for_host", ("host", "parent", "image"))):
-        out = with_firsts(out, name, *keys)
-    out = out.join(counted_before(rows, ["actor", "band"], "_same"), "event_id").join(counted_before(rows, ["actor"], "_all"), "event_id")
-    out = out.withColumns({"actor_time_typicality": F.round((F.col("_same") + 1) / (F.col("_all") + BANDS), 6), "actor_never_active_this_bucket": (F.col("_same") == 0).cast("int"), "technique_multiplicity": F.size("techniques").cast("long")})
-    return out.join(chains(rows, mode), "event_id").select("event_id", *names)
+    new = each.groupBy(*here).agg(F.min(F.struct(*_ORDER, "_read")).alias("m")).where("m._read").select("m.event_id", F.lit(1).alias(names[2]))
+    parts = [
+        rows.select("event_id", *FEATURES[-2:], F.size("techniques").cast("long").alias("technique_multiplicity")),
+        *(trailing(each, keys, span, name, "_read").where("_read").select("event_id", name) for keys, span, name in ((here, DAY, names[0]), (anywhere, WEEK, names[1]))),
+        new,
+        *(firsts(rows, *keys).withColumn(name, F.lit(1)) for name, keys in (("novel_host_for_actor", ("actor", "host")), ("novel_actor", ("actor",)), ("process_chain_novel_for_host", ("host", "parent", "image")))),
+        counted_before(rows, ["actor", "band"], "_same"),
+        counted_before(rows, ["actor"], "_all"),
+        *chains(rows, mode),
+    ]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    out = whole.groupBy("event_id").agg(*((F.min if c in names[:2] else F.max)(c).alias(c) for c in whole.columns if c != "event_id"))
+    out = out.dropna(subset=["event_id", *names[:2], "_same", "_all", *names[7:9], "technique_multiplicity"])
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in (names[2], names[3], names[4], names[9])})
+    out = out.withColumns({"actor_time_typicality": F.round((F.col("_same") + 1) / (F.col("_all") + BANDS), 6), "actor_never_active_this_bucket": (F.col("_same") == 0).cast("int")})
+    return out.select("event_id", *names)

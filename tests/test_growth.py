@@ -2,7 +2,7 @@
 
 import re
 
-from factloom.operators import context, events, extraction, lookups, pages, yields
+from factloom.operators import causal, context, events, extraction, lookups, pages, yields
 from factloom.streaming.features import streamed_frequencies
 
 
@@ -75,3 +75,10 @@ def test_steps_of_definitions_are_not_repeated_in_filters(spark):
     out = pages.lead_definitions(spark.createDataFrame([(1, "# Ada\n\nAda is a town of note.")], "page long, text string"), "page")
     assert out.first().definition == "town of note"
     assert not re.search(r"Filter .*regexp", out._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_trailing_counts_of_a_hot_key_are_differences_of_running_sums(spark):
+    rows = spark.range(2000).selectExpr("id AS event_id", "id DIV 2 * 10 AS us", "CASE WHEN id >= 0 THEN 'a' END AS actor")
+    out = causal.trailing(rows, ["actor"], 1000, "n")
+    assert {r.event_id: r.n for r in out.collect()} == {k: min(k, 200 + k % 2) for k in range(2000)}
+    assert not re.search(r"RangeFrame, -", out._jdf.queryExecution().optimizedPlan().toString())
