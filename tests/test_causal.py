@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from factloom.operators import causal
-from factloom.streaming.causal import _ROCKS, stream_features
+from factloom.streaming.causal import _ROCKS, ActorHistory, stream_features
 
 SCHEMA = "event_id long, us long, node string, category string, subject_user string, subject_domain string, event_user string, host string, techniques array<string>, tactics array<string>, parent string, image string"
 TACTICS = ("Discovery", "Execution", "Credential Access", None)
@@ -88,6 +88,34 @@ def test_stream_in_any_order_with_repeats_and_a_restart(spark, tmp_path):
     assert out.count() == len(rows) and collected(out) == brute(rows, "aggregate")
 
 
+class Steps(int):
+    """A time that counts how often it is compared or subtracted from."""
+
+    taken = 0
+
+    def __sub__(self, other):
+        Steps.taken += 1
+        return int(self) - int(other)
+
+    def __lt__(self, other):
+        Steps.taken += 1
+        return int(self) < int(other)
+
+
+def test_a_hot_actor_takes_time_in_proportion_to_its_alerts():
+    class Fresh:
+        exists = containsKey = lambda self, *key: False
+        updateValue = update = lambda self, *value: None
+
+    history = ActorHistory("aggregate")
+    for name in ("here", "anywhere", "hosts", "chain", "bands"):
+        setattr(history, name, Fresh())
+    n = 1500
+    out = history._folded([(k, Steps(START + k), "h", ["T1", "T2"], ["Discovery"], "p", "i", 0, 0, 0) for k in range(n)])
+    assert [r[5][:2] for r in out] == [[k, k] for k in range(n)]
+    assert Steps.taken < 20 * n
+
+
 def test_excluded_nodes_raise_and_unknown_modes(spark):
     row = [(1, START, "collector", "process_creation", *[None] * 3, "h", None, None, None, None)]
     with pytest.raises(PySparkException, match="excluded node"):
