@@ -2,7 +2,7 @@
 
 import re
 
-from factloom.operators import causal, context, events, extraction, lookups, pages, yields
+from factloom.operators import causal, context, events, extraction, lookups, pages, rules, yields
 from factloom.streaming.features import streamed_frequencies
 
 
@@ -82,3 +82,16 @@ def test_trailing_counts_of_a_hot_key_are_differences_of_running_sums(spark):
     out = causal.trailing(rows, ["actor"], 1000, "n")
     assert {r.event_id: r.n for r in out.collect()} == {k: min(k, 200 + k % 2) for k in range(2000)}
     assert not re.search(r"RangeFrame, -", out._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_chains_are_grouped_by_triple_only_where_a_subject_has_several_ways(spark):
+    rows = [("a", "is_a", "K", "stable"), ("A ", "is_a", "k", "volatile"), ("b", "is_a", "k", "volatile"), ("b", "is_a", "K", "stable"), ("b", "is_a", "l", "semi_stable"), ("k", "uses", "x", "semi_stable"), ("K", "uses", "x", "volatile"), ("k", "uses", "B", "stable"), ("l", "uses", "x", "stable"), ("l", "enables", "y", "odd"), (None, "is_a", "k", "stable"), ("k", "uses", None, "stable")]
+    facts = spark.createDataFrame(rows, "subject string, predicate string, object string, stability string")
+    rule = next(r for r in rules.BASE_RULES if r.name == "activity_inheritance_v1")
+    out = rules.infer(facts, rule)
+    got = [(r.subject, r.predicate, r.object, r.confidence) for r in out.collect()]
+    assert sorted(got) == sorted([("a", "uses", "x", 0.7), ("a", "uses", "B", 1.0), ("A ", "uses", "x", 0.3), ("A ", "uses", "B", 0.3), ("b", "uses", "x", 0.7), ("b", "enables", "y", 0.5)])
+    # the triples of subjects with one way stream from the join
+    union = out._jdf.queryExecution().optimizedPlan().toString().split("Union")[1]
+    assert union.index("Join") < union.index("Aggregate")
+    assert {r.name for r in rules.BASE_RULES if rules._is_chain(r)} == {"capability_inheritance_v1", "activity_inheritance_v1"}
