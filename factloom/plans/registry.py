@@ -9,7 +9,7 @@ from factloom.operators import algebra, causal, events, graph, measures, out_of_
 from factloom.plans import acquisition, beams, contexts, derived, extracted, inference, knowledge, lookups, pages, records, retrieval, styles  # noqa: F401 - they register their queries
 from factloom.plans.shared import ALERTS, PLAIN, QUERIES, REASON, SQL, TOKENS, Query, query, table, view
 from factloom.sources.facts import facts, supplies
-from factloom.functions.lineage import shared_path
+from factloom.functions.lineage import cut, shared_path
 from factloom.streaming import audit
 from factloom.streaming import causal as causal_stream
 from factloom.streaming.features import streamed_frequencies
@@ -432,6 +432,8 @@ def stream_alert_features(spark, sf_dir):
 def out_of_fold_scores(spark, sf_dir):
     """Scores of each fold of the alerts by a model of the folds before, tested against plain fits."""
     rows = causal.features(_own_alerts(spark, sf_dir), "aggregate").join(table(spark, sf_dir, "events").select("event_id", "ts", (F.col("value") >= 50).cast("int").alias("label")), "event_id")
+    # folds read their rows twice, for the sizes of days and for the places in them
+    rows = cut(rows)
     rows = routing.expanding_folds(rows, F.to_date("ts"), ["ts", "event_id"], 4)
     return out_of_fold.out_of_fold_scores(rows, list(causal.FEATURES), 4).select("event_id", "fold", F.round("score", 6).alias("score"))
 

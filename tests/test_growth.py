@@ -2,7 +2,8 @@
 
 import re
 
-from factloom.operators import causal, context, events, extraction, lookups, pages, rules, yields
+from factloom.operators import causal, context, events, extraction, lookups, pages, routing, rules, yields
+from factloom.plans.registry import QUERIES
 from factloom.streaming.features import streamed_frequencies
 
 
@@ -95,3 +96,15 @@ def test_chains_are_grouped_by_triple_only_where_a_subject_has_several_ways(spar
     union = out._jdf.queryExecution().optimizedPlan().toString().split("Union")[1]
     assert union.index("Join") < union.index("Aggregate")
     assert {r.name for r in rules.BASE_RULES if rules._is_chain(r)} == {"capability_inheritance_v1", "activity_inheritance_v1"}
+
+
+def test_features_are_found_once_before_their_folds(spark, sf_dir, monkeypatch):
+    own, leaves = routing.expanding_folds, []
+
+    def folds(rows, *more):
+        leaves.append(rows._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return own(rows, *more)
+
+    monkeypatch.setattr(routing, "expanding_folds", folds)
+    assert QUERIES["out_of_fold_scores"](spark, sf_dir).count() > 0
+    assert leaves == [1]
