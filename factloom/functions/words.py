@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -111,14 +112,20 @@ def wiki_links(text: Column) -> Column:
 def intents(text: Column, keywords: dict[str, str]) -> Column:
     """Sorted relations that a text names by keywords; a keyword within a longer one that was found doesn't count.
 
-    Keywords are taken longest first, each found one is blanked out, so a shorter one meets only what is left.
+    Keywords are taken longest first, each found one is blanked out, so a shorter one meets only what is left. Patterns are made only
+    of those whose letters stand in the text; blanks make no new ones. A keyword that isn't plain words is a pattern and always tried.
     """
-    table = F.array(*(F.struct(F.lit(rf"(?<![a-z0-9_]){k}(?![a-z0-9_])").alias("p"), F.lit(v).alias("v")) for k, v in sorted(keywords.items(), key=lambda kv: (-len(kv[0]), kv[0]))))
-    start = F.struct(rule_key(F.coalesce(text, F.lit(""))).alias("left"), F.array().cast("array<string>").alias("found"))
+    ordered = sorted(keywords.items(), key=lambda kv: (-len(kv[0]), kv[0]))
+    table = F.array(*(F.struct(F.lit(rf"(?<![a-z0-9_]){k}(?![a-z0-9_])").alias("p"), F.lit(v).alias("v"), F.lit(k if re.fullmatch("[a-z0-9_ ]+", k) else "").alias("stem")) for k, v in ordered))
 
     def step(state: Column, row: Column) -> Column:
         hit = F.regexp_like(state["left"], row["p"])
         return F.struct(F.when(hit, F.regexp_replace(state["left"], row["p"], F.lit("#"))).otherwise(state["left"]).alias("left"), F.when(hit, F.array_append(state["found"], row["v"])).otherwise(state["found"]).alias("found"))
 
-    found = F.array_sort(F.array_distinct(F.aggregate(table, start, step, lambda s: s["found"])))
-    return F.when(F.array_contains(found, "headquartered_in"), F.array_remove(found, "located_in")).otherwise(found)
+    def named(key: Column) -> Column:
+        start = F.struct(key.alias("left"), F.array().cast("array<string>").alias("found"))
+        return F.aggregate(F.filter(table, lambda r: key.contains(r["stem"])), start, step, lambda s: F.array_sort(F.array_distinct(s["found"])))
+
+    # a variable of a transform is computed once, however often it is used
+    found = F.transform(F.transform(F.array(rule_key(F.coalesce(text, F.lit("")))), named), lambda f: F.when(F.array_contains(f, "headquartered_in"), F.array_remove(f, "located_in")).otherwise(f))
+    return F.get(found, F.lit(0))

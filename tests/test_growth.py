@@ -2,6 +2,9 @@
 
 import re
 
+from pyspark.sql import functions as F
+
+from factloom.functions import words
 from factloom.operators import causal, context, events, extraction, lookups, pages, routing, rules, yields
 from factloom.plans.registry import QUERIES
 from factloom.streaming.features import streamed_frequencies
@@ -108,3 +111,12 @@ def test_features_are_found_once_before_their_folds(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(routing, "expanding_folds", folds)
     assert QUERIES["out_of_fold_scores"](spark, sf_dir).count() > 0
     assert leaves == [1]
+
+
+def test_intents_are_found_once_and_patterns_tried_where_they_stand(spark):
+    rows = spark.createDataFrame([("Who FOUNDED it, founded  by whom; head office?",), ("a_head, heads.located where is it#head",), ("headquarters located",), ("",), (None,), ("c3 cx",)], "q string")
+    keywords = {"founded by": "founded_by", "founded": "founded", "head office": "headquartered_in", "head": "leader_of", "headquarters": "headquartered_in", "located": "located_in", "where is": "located_in", "c[0-9]": "coded"}
+    out = rows.select("q", words.intents(F.col("q"), keywords).alias("r"))
+    assert [r.r for r in out.collect()] == [["founded", "founded_by", "headquartered_in"], ["leader_of", "located_in"], ["headquartered_in"], [], [], ["coded"]]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"aggregate\(", plan)) == 1 and "contains(" in plan.lower()
