@@ -121,15 +121,23 @@ def phrase_predicates(questions: DataFrame, phrases: DataFrame, longest: int = 4
 
     ``phrases`` is (phrase, predicate), of plain words.
     """
-    rows = questions.select("question_id", F.posexplode(tokens(F.col("question"))).alias("place", "_w"), tokens(F.col("question")).alias("t"))
-    gram = lambda n: F.struct(n.alias("n"), F.array_join(F.slice("t", F.col("place") + 1, n), " ").alias("phrase"))
-    ahead = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("t") - F.col("place"))), gram)
-    hits = rows.select("question_id", "place", F.explode(ahead).alias("g")).select("question_id", "place", "g.*").join(phrases.distinct(), "phrase")
-    spans = hits.groupBy("question_id").agg(F.array_sort(F.collect_set(F.struct((-F.col("n")).alias("m"), "place", "n"))).alias("s"))
-    free = lambda kept, s: ~F.exists(kept, lambda k: (s["place"] < k["place"] + k["n"]) & (k["place"] < s["place"] + s["n"]))
-    kept = F.aggregate("s", F.array().cast("array<struct<m:int,place:int,n:int>>"), lambda kept, s: F.when(free(kept, s), F.array_append(kept, s)).otherwise(kept))
-    chosen = spans.select("question_id", F.explode(kept).alias("k")).select("question_id", "k.place", "k.n")
-    return hits.join(chosen, ["question_id", "place", "n"]).groupBy("question_id", "predicate").agg(F.min("place").alias("place"))
+    known = phrases.where("phrase IS NOT NULL").distinct()
+    rows = questions.where("question_id IS NOT NULL").select("question_id", tokens(F.col("question")).alias("t"))
+    # the words from each place on, where a phrase begins with the first of them
+    ahead = F.transform("t", lambda w, k: F.struct(k.alias("place"), w.alias("_first"), F.slice("t", k + 1, F.lit(longest)).alias("ahead")))
+    firsts = known.select(F.substring_index("phrase", " ", 1).alias("_first")).distinct()
+    rows = rows.select("question_id", F.explode(ahead).alias("a")).select("question_id", "a.*").join(firsts, "_first")
+    gram = lambda n: F.struct(n.alias("n"), F.array_join(F.slice("ahead", F.lit(1), n), " ").alias("phrase"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("ahead")), gram)
+    hits = rows.select("question_id", "place", F.explode(grams).alias("g")).select("question_id", "place", "g.*").join(known, "phrase")
+    # a question's hits meet once; a span of several predicates keeps them all
+    spans = hits.groupBy("question_id").agg(F.array_sort(F.collect_set(F.struct((-F.col("n")).alias("m"), "place", "n", "predicate"))).alias("s"))
+    meets = lambda s, k: (s["place"] < k["place"] + k["n"]) & (k["place"] < s["place"] + s["n"]) & ~((s["place"] == k["place"]) & (s["n"] == k["n"]))
+    add = lambda kept, s: F.when(F.exists(kept, lambda k: meets(s, k)), kept).otherwise(F.array_append(kept, s))
+    kept = F.aggregate("s", F.array().cast("array<struct<m:int,place:int,n:int,predicate:string>>"), add)
+    by_place = spans.select("question_id", F.array_sort(F.transform(kept, lambda k: F.struct(k["place"].alias("place"), k["predicate"].alias("predicate")))).alias("k"))
+    first = F.filter("k", lambda r, i: ~F.exists(F.slice("k", F.lit(1), i), lambda e: e["predicate"].eqNullSafe(r["predicate"])))
+    return by_place.select("question_id", F.explode(first).alias("r")).select("question_id", "r.predicate", "r.place")
 
 
 def baseline_features(rows: DataFrame, techniques: tuple[str, ...]) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from factloom.functions import words
-from factloom.operators import causal, context, events, extraction, lookups, pages, routing, rules, yields
+from factloom.operators import causal, context, events, extraction, lookups, pages, retrieval, routing, rules, yields
 from factloom.plans.registry import QUERIES
 from factloom.streaming.features import streamed_frequencies
 
@@ -120,3 +120,12 @@ def test_intents_are_found_once_and_patterns_tried_where_they_stand(spark):
     assert [r.r for r in out.collect()] == [["founded", "founded_by", "headquartered_in"], ["leader_of", "located_in"], ["headquartered_in"], [], [], ["coded"]]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"aggregate\(", plan)) == 1 and "contains(" in plan.lower()
+
+
+def test_phrases_of_a_question_meet_once(spark):
+    phrases = spark.createDataFrame([("head", "leader_of"), ("head office", "in"), ("head office", "at"), ("office of", "seat"), ("of", "part_of"), ("of", None), (None, "x")], "phrase string, predicate string")
+    questions = spark.createDataFrame([(1, "Head office of head, head"), (2, "of  OF"), (3, ""), (4, None), (5, "a office of")], "question_id long, question string")
+    out = retrieval.phrase_predicates(questions, phrases)
+    assert sorted((r.question_id, r.predicate or "", r.place) for r in out.collect()) == [(1, "", 2), (1, "at", 0), (1, "in", 0), (1, "leader_of", 3), (1, "part_of", 2), (2, "", 0), (2, "part_of", 0), (5, "seat", 1)]
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 3 and "posexplode" not in plan.toString()  # questions, phrases and their first words
