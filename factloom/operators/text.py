@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,33 +51,98 @@ def gate(text: Column) -> Column:
 
 
 def ngrams(text: Column, n: int) -> Column:
-    """All n-grams of a text's tokens, in order: the tokens zipped with themselves, shifted."""
-    own = tokens(text)
-    out = own
-    for k in range(2, n + 1):
-        out = F.zip_with(out, F.slice(own, F.lit(k), F.size(own)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.filter(out, lambda g: g.isNotNull())
+    """All n-grams of a text's tokens, in order; the text is split once, as a variable of a transform."""
 
+    def grams(own: Column) -> Column:
+        starts = F.slice(own, F.lit(1), F.greatest(F.size(own) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda w, k: w if n == 1 else F.array_join(F.slice(own, k + 1, F.lit(n)), " "))
 
-def ngram_counts(documents: DataFrame, n: int, least: int = 2) -> DataFrame:
-    """(ngram, n_occurrences, n_documents) of n-grams that occur ``least`` times or more.
+    return F.flatten(F.transform(F.array(tokens(text)), grams))
+
+
+# Words of whole texts that are counted at once in a task; what is equal in them leaves it as one row.
+_BLOCK = 1 << 20
+_WORD, _TABLE = re.compile("[a-z0-9]+"), str.maketrans(_UPPER, _LOWER)
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], pieces: Callable[[str], list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """(codes of words in order, number of the piece of each, words in order of code): blocks of whole texts."""
+
+    def block() -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        codes, names = pd.factorize(np.array(words, dtype=object), sort=True)
+        return codes.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), pa.array(names, pa.string())
+
+    words, sizes = [], []
+    for batch in batches:
+        for text in batch.column(0):
+            for piece in pieces((text.as_py() or "").translate(_TABLE)):
+                own = _WORD.findall(piece)
+                words += own
+                sizes.append(len(own))
+            if len(words) >= _BLOCK:
+                yield block()
+                words, sizes = [], []
+    if words:
+        yield block()
+
+
+def _gram_counts(n: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(ngram, n_occurrences, n_documents) of each block of texts."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, text, names in _blocks(batches, lambda t: [t]):
+            at = np.flatnonzero(text[: max(len(codes) - n + 1, 0)] == text[n - 1 :])
+            gram = codes[at]
+            for k in range(1, n):
+                gram = pd.factorize(gram * len(names) + codes[at + k])[0]
+            if not len(at):
+                continue
+            gram = pd.factorize(gram)[0]
+            first = np.empty(gram.max() + 1, np.int64)
+            first[gram[::-1]] = at[::-1]
+            texts = int(text[-1]) + 1
+            once = pd.unique(gram * texts + text[at]) // texts
+            parts = [names.take(pa.array(codes[first + k])) for k in range(n)]
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(*parts, " "), pa.array(np.bincount(gram)), pa.array(np.bincount(once))], ["ngram", "n_occurrences", "n_documents"])
 
-    Each row is a document; its n-grams are sorted in place, so one shuffle, of counts, is enough.
+    return count
+
+
+def _pair_counts(window: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b, weight) of each block of texts: unordered pairs of words within ``window`` places of a line."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, line, names in _blocks(batches, lambda t: t.split("\n")):
+            keys = []
+            for lag in range(1, min(window, len(codes) - 1) + 1):
+                a, b = codes[:-lag], codes[lag:]
+                meet = (line[:-lag] == line[lag:]) & (a != b)
+                a, b = a[meet], b[meet]
+                keys.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
+            key, weight = np.unique(np.concatenate(keys or [codes[:0]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(key // len(names))), names.take(pa.array(key % len(names))), pa.array(weight)], ["a", "b", "weight"])
+
+    return count
+
+
+def grams_of_blocks(documents: DataFrame, n: int) -> DataFrame:
+    """(ngram, n_occurrences, n_documents): n-grams counted within blocks of texts, so one n-gram may have several rows.
+
+    They are dealt by n-gram, so a grouping by it needs no map of a whole split's n-grams in one task.
     """
-    own = documents.select(F.array_sort(ngrams(F.col("text"), n)).alias("g"))
-    each = F.transform("g", lambda g, k: F.struct(g.alias("ngram"), F.when((k > 0) & (g == F.get("g", k - 1)), 0).otherwise(1).alias("new")))
-    rows = own.select(F.explode(each).alias("r")).select("r.ngram", "r.new")
-    return rows.groupBy("ngram").agg(F.count("*").alias("n_occurrences"), F.sum("new").alias("n_documents")).where(F.col("n_occurrences") >= least)
+    return documents.select("text").mapInArrow(_gram_counts(n), "ngram string, n_occurrences long, n_documents long").repartition("ngram")
+
+
+def ngram_counts(documents: DataFrame, n: int, least: int = 2) -> DataFrame:
+    """(ngram, n_occurrences, n_documents) of n-grams that occur ``least`` times or more; each row is a document."""
+    found = grams_of_blocks(documents, n).groupBy("ngram").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_documents").alias("n_documents"))
+    return found.where(F.col("n_occurrences") >= least)
 
 
 def cooccurrence(documents: DataFrame, window: int = 4, least: int = 5) -> DataFrame:
-    """(a, b, weight): unordered word pairs within ``window`` places of one line, of ``least`` or more."""
-    lines = documents.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select(tokens(F.col("line")).alias("t"))
-    pair = lambda k, lag: F.struct(F.least(F.get("t", k), F.get("t", k + lag)).alias("a"), F.greatest(F.get("t", k), F.get("t", k + lag)).alias("b"))
-    places = F.sequence(F.lit(0), F.greatest(F.size("t") - 1, F.lit(0)))
-    every = F.flatten(F.transform(places, lambda k: F.transform(F.sequence(F.lit(1), F.lit(window)), lambda lag: pair(k, lag))))
-    rows = lines.select(F.explode(every).alias("p")).select("p.a", "p.b").where("a IS NOT NULL AND b IS NOT NULL AND a != b")
-    return rows.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    """(a, b, weight): unordered word pairs within ``window`` places of one line, of ``least`` or more; counted within blocks of texts first."""
+    rows = documents.select("text").mapInArrow(_pair_counts(window), "a string, b string, weight long").repartition("a", "b")
+    return rows.groupBy("a", "b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= least)
 
 
 def overlap(documents: DataFrame, benchmark: DataFrame, n: int = 4) -> DataFrame:

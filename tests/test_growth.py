@@ -2,10 +2,11 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from factloom.functions import words
-from factloom.operators import causal, context, events, extraction, lookups, pages, retrieval, routing, rules, yields
+from factloom.operators import causal, context, corpus, events, extraction, lookups, pages, retrieval, routing, rules, text, yields
 from factloom.plans.registry import QUERIES
 from factloom.streaming.features import streamed_frequencies
 
@@ -129,3 +130,35 @@ def test_phrases_of_a_question_meet_once(spark):
     assert sorted((r.question_id, r.predicate or "", r.place) for r in out.collect()) == [(1, "", 2), (1, "at", 0), (1, "in", 0), (1, "leader_of", 3), (1, "part_of", 2), (2, "", 0), (2, "part_of", 0), (5, "seat", 1)]
     plan = out._jdf.queryExecution().optimizedPlan()
     assert plan.collectLeaves().size() == 3 and "posexplode" not in plan.toString()  # questions, phrases and their first words
+
+
+def test_grams_and_pairs_are_counted_in_blocks(monkeypatch):
+    texts = ["A b a-B a", None, "", "a\nb a", "b b b c", "é A,B"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["text"]) for part in (texts[:3], texts[3:], [])]
+    want = {"a b": (3, 2), "b a": (3, 2), "b b": (2, 1), "b c": (1, 1)}
+    # within a line: places 1 and 2 apart
+    pairs = {("a", "b"): 6, ("b", "c"): 2}
+    for size in (1 << 20, 1, 4):
+        monkeypatch.setattr(text, "_BLOCK", size)
+        got, met = {}, {}
+        for block in text._gram_counts(2)(iter(batches)):
+            for g, n, d in zip(*(c.to_pylist() for c in block.columns), strict=True):
+                got[g] = (got.get(g, (0, 0))[0] + n, got.get(g, (0, 0))[1] + d)
+        for block in text._pair_counts(2)(iter(batches)):
+            for a, b, n in zip(*(c.to_pylist() for c in block.columns), strict=True):
+                met[a, b] = met.get((a, b), 0) + n
+        assert got == {"a b": (4, 3), **{k: want[k] for k in want if k != "a b"}} and met == pairs
+    monkeypatch.setattr(text, "_BLOCK", 1 << 20)
+    assert [sorted(b.column(0).to_pylist()) for b in text._gram_counts(4)(iter(batches))] == [["a b a b", "b a b a", "b b b c"]]
+
+
+def test_texts_are_split_once_for_their_grams(spark):
+    docs = spark.createDataFrame([(1, "One two, three one two"), (2, "two"), (3, None)], "doc_id long, text string")
+    own = docs.select("doc_id", *(text.ngrams(F.col("text"), n).alias(f"g{n}") for n in (1, 2, 3)))
+    assert [tuple(r)[1:] for r in own.orderBy("doc_id").collect()] == [(["one", "two", "three", "one", "two"], ["one two", "two three", "three one", "one two"], ["one two three", "two three one", "three one two"]), (["two"], [], []), ([], [], [])]
+    plan = text.overlap(docs, docs, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # documents and benchmark, once each
+    pairs = spark.createDataFrame([("one", "two"), ("two", "one"), ("x", None)], "a string, b string")
+    out = corpus.link_scores(docs, pairs)
+    assert sorted(tuple(r) for r in out.collect()) == [("one", "two", 8), ("two", "one", 1)]
+    assert "regexp_replace" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "mapInArrow" not in plan.replace("MapInArrow", "mapInArrow")
