@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.text import ngrams, tokens
+from factloom.functions.lineage import cut
+from factloom.operators.text import grams_of_blocks, ngrams, tokens
 
 
 def spans(documents: DataFrame, surfaces: DataFrame, longest: int = 3) -> DataFrame:
@@ -54,15 +55,16 @@ def community_search(documents: DataFrame, questions: DataFrame, top: int = 5, s
 
 def fluency(turns: DataFrame, corpus: DataFrame, n: int = 3) -> DataFrame:
     """(conv_id, turn, n_grams, share): the share of a turn's n-grams that the corpus has; null for shorter turns."""
-    known = corpus.select(F.explode(ngrams(F.col("text"), n)).alias("gram")).distinct().withColumn("_known", F.lit(1))
+    known = grams_of_blocks(corpus, n).select(F.col("ngram").alias("gram")).distinct().withColumn("_known", F.lit(1))
     rows = turns.select("conv_id", "turn", F.explode_outer(ngrams(F.col("text"), n)).alias("gram"))
     return rows.join(known, "gram", "left").groupBy("conv_id", "turn").agg(F.count("gram").alias("n_grams"), F.round(F.sum(F.when(F.col("gram").isNotNull(), F.coalesce("_known", F.lit(0)))) / F.count("gram"), 6).alias("share"))
 
 
 def link_scores(corpus: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, score) of asked pairs: 4 a direct step, and over each word between, least(steps to it, 3) times steps from it."""
-    steps = corpus.select(F.explode(ngrams(F.col("text"), 2)).alias("g")).groupBy("g").count()
-    steps = steps.select(F.element_at(F.split("g", " "), 1).alias("x"), F.element_at(F.split("g", " "), 2).alias("y"), F.col("count").alias("n"))
+    steps = grams_of_blocks(corpus, 2).groupBy("ngram").agg(F.sum("n_occurrences").alias("n"))
+    # written once: direct steps, first ones and last ones all read it
+    steps = cut(steps.select(F.element_at(F.split("ngram", " "), 1).alias("x"), F.element_at(F.split("ngram", " "), 2).alias("y"), "n"))
     pairs = pairs.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct()
     direct = pairs.join(steps, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).select("a", "b", (F.col("n") * 4).alias("part"))
     first = steps.join(pairs.select("a").distinct(), F.col("x") == F.col("a"), "left_semi").select(F.col("x").alias("a"), F.col("y").alias("m"), F.least("n", F.lit(3)).alias("n1"))
