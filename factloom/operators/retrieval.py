@@ -43,7 +43,10 @@ def pattern_search(events: DataFrame, questions: DataFrame, top: int = 5) -> Dat
     words = content(F.translate(F.concat_ws(" ", "kind", "topic", "pattern"), "_", " "))
     rows = events.select("*", F.explode(words).alias("w"))
     asked = questions.select("question_id", F.explode(content(F.col("question"))).alias("w"))
-    hits = asked.join(rows, "w").groupBy("question_id", "kind", "topic", "pattern", "signal_count", "confidence").agg(F.count("*").alias("k"))
+    # hits are dealt by question before they are counted: many questions share few words, and those of a word meet in one task
+    parts = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hits = asked.join(rows, "w").repartition(parts, "question_id")
+    hits = hits.groupBy("question_id", "kind", "topic", "pattern", "signal_count", "confidence").agg(F.count("*").alias("k"))
     bonus = F.when(F.col("confidence") == "high", 5.0).when(F.col("confidence") == "low", -2.0).otherwise(0.0)
     scored = hits.withColumn("score", F.col("k") * 12.0 + F.col("signal_count") * 3.0 + bonus)
     return best_of(scored, "question_id", top, -F.col("score"), F.col("kind"), F.col("pattern"), F.col("topic"), columns=("kind", "topic", "pattern", "score"))

@@ -162,3 +162,12 @@ def test_texts_are_split_once_for_their_grams(spark):
     out = corpus.link_scores(docs, pairs)
     assert sorted(tuple(r) for r in out.collect()) == [("one", "two", 8), ("two", "one", 1)]
     assert "regexp_replace" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "mapInArrow" not in plan.replace("MapInArrow", "mapInArrow")
+
+
+def test_hits_of_questions_are_dealt_before_they_are_counted(spark):
+    events = spark.createDataFrame([("caution", "topic one", "hedge_claim", 2, "low"), ("caution", "topic two", "hedge_claim", 5, "high")], "kind string, topic string, pattern string, signal_count long, confidence string")
+    questions = spark.createDataFrame([(1, "Topic two, hedge"), (2, "none")], "question_id long, question string")
+    out = retrieval.pattern_search(events, questions)
+    assert [tuple(r) for r in out.orderBy("rank").collect()] == [(1, 1, "caution", "topic two", "hedge_claim", 56.0), (1, 2, "caution", "topic one", "hedge_claim", 28.0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(question_id" in plan and not re.search(r"hashpartitioning\(question_id#\d+L?, kind", plan)
