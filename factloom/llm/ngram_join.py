@@ -13,6 +13,9 @@
    kept, and the long lists are probed for these by binary search.
 4. The links' connected components follow from one spanning forest a group.
 
+What is shuffled is kept small: postings travel in compressed blocks, one for each bucket of shingles, only texts that may be in a
+search group are dealt by their key, and a step's shuffle files go when the step ends.
+
 A group with more than ``GROUP_SETS`` sets or ``GROUP_SHINGLES`` shingles is dealt into blocks by a hash, and each pair of
 blocks is searched on its own, so no task holds more than two blocks.
 """
@@ -27,11 +30,11 @@ from heapq import heapify, heappop, heapreplace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
-from factloom.llm.shared import written
+from factloom.llm.shared import dropped, shuffles_freed, written
 from factloom.llm.words import mix, shingle_sets
 
 WIDTH = 5
@@ -47,6 +50,13 @@ _CHUNKS = 16
 #: Posting lists held in a task before they are passed on.
 _FLUSH = 1_000_000
 _MEET = 200_000
+#: Postings in a bucket, about; at least and at most so many bits number the buckets.
+_BUCKET = 50_000
+_BUCKET_BITS = (8, 16)
+#: Pairs in a block of pairs that is dealt as one row.
+_STARS = 4096
+#: Slots of the filter of keys, by which texts that have no search group are passed over before a shuffle.
+_SLOTS = 1 << 24
 #: Chunks of the sketch that one task sums in the first of two rounds.
 _SUMMED = 256
 #: Weight of a probe against a step of the merge, in DivideSkip's choice of the long lists.
@@ -63,6 +73,19 @@ def _prints(own: np.ndarray) -> tuple[int, int]:
     return (int(mix(own).sum(dtype=np.uint64).astype(np.int64)), int(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Compressed planes of the first, second, ... bytes of all values."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes | pa.Buffer, size: int, kind: type) -> np.ndarray:
+    """The ``size`` values of ``_packed``."""
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, size * width, codec="zstd"), np.uint8).reshape(width, size)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def shingle_prints(documents: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(key, n, f, g) for each row, and the sketch of its shingles as rows with a chunk number and counts."""
     typed = f"`{key}` {documents.schema[key].dataType.simpleString()}, n int, f long, g long, chunk int, counts binary"
@@ -80,7 +103,7 @@ def shingle_prints(documents: DataFrame, key: str, text: str, width: int) -> Dat
             nulls = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), n, f, g, nulls.cast(pa.int32()), nulls.cast(pa.binary())], names=[key, "n", "f", "g", "chunk", "counts"])
         if cells.any():
-            parts = [x.tobytes() for x in np.split(cells, _CHUNKS)]
+            parts = [_packed(x) for x in np.split(cells, _CHUNKS)]
             empty = pa.nulls(_CHUNKS)
             yield pa.RecordBatch.from_arrays([empty.cast(kind), *(empty.cast(t) for t in (pa.int32(), pa.int64(), pa.int64())), pa.array(range(_CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=[key, "n", "f", "g", "chunk", "counts"])
 
@@ -96,13 +119,13 @@ def rarity(prints: DataFrame) -> np.ndarray:
         total, seen = np.zeros((_CHUNKS, cells), np.int64), set()
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[chunk] += np.frombuffer(counts.as_buffer(), kind)
+                total[chunk] += _unpacked(counts.as_buffer(), cells, kind)
                 seen.add(chunk)
         return total, seen
 
     def chunks(total: np.ndarray, seen: set[int], kind: type) -> Iterator[pa.RecordBatch]:
         own = sorted(seen)
-        yield pa.record_batch({"chunk": pa.array(own, pa.int32()), "counts": pa.array([np.minimum(total[c], np.iinfo(kind).max).astype(kind).tobytes() for c in own], pa.binary())})
+        yield pa.record_batch({"chunk": pa.array(own, pa.int32()), "counts": pa.array([_packed(np.minimum(total[c], np.iinfo(kind).max).astype(kind)) for c in own], pa.binary())})
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from chunks(*added(batches, np.uint8), np.uint32)
@@ -115,7 +138,7 @@ def rarity(prints: DataFrame) -> np.ndarray:
     found = parts.repartition(_CHUNKS, "chunk").mapInArrow(whole, typed).collect()
     if not found:
         return np.zeros(1 << _CELL_BITS, np.uint16)
-    return np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in sorted(found, key=lambda r: r["chunk"])])
+    return np.concatenate([_unpacked(r["counts"], cells, np.uint16) for r in sorted(found, key=lambda r: r["chunk"])])
 
 
 def prefix(own: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -181,26 +204,50 @@ def _long_stars(token: np.ndarray, node: np.ndarray, size: np.ndarray, percent:
     return place, length, found[0], found[1]
 
 
-def search_edges(documents: DataFrame, levels: np.ndarray, text: str, width: int, percent: int) -> DataFrame:
+def _blocks(token: np.ndarray, node: np.ndarray, held: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Postings in ascending order of their tokens as a row for each bucket of tokens: its number, its size, the tokens' gaps, the nodes and what is held."""
+    bucket = (token.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+    heads, sizes = _runs(bucket)
+    gaps = token.copy()
+    gaps[1:] -= token[:-1]
+    gaps[heads] = token[heads]
+    packed = [_packed(np.concatenate([x[at : at + k] for x in (gaps, node, held)])) for at, k in zip(heads.tolist(), sizes.tolist(), strict=True)]
+    return pa.record_batch({"bucket": bucket[heads], "size": sizes.astype(np.int32), "postings": pa.array(packed, pa.binary()), "stars": pa.nulls(len(heads), pa.binary())})
+
+
+def _postings(packed: pa.Buffer, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, nodes and what is held of a block."""
+    gaps, node, held = np.split(_unpacked(packed, 3 * size, np.int64), 3)
+    return np.cumsum(gaps), node, held
+
+
+def search_edges(documents: DataFrame, levels: np.ndarray, text: str, width: int, percent: int, shingles: int) -> DataFrame:
     """(a, b): fingerprints of sets that may link, or that a chain of such pairs joins.
 
     A list of up to ``SHORT_LIST`` sets gives its pairs of fitting sizes and places, and the
     occurrences of each pair are counted over all short lists; pairs whose count and last places
     can't reach the overlap they need are let go. A longer list joins its sets within their size bands.
+    ``shingles`` is the number in all sets, about; by it postings are dealt into buckets.
     """
     shared = documents.sparkSession.sparkContext.broadcast(levels)
-    names = ["token", "a", "held", "b"]
+    bits = min(max((shingles * (100 - percent) // 100 // _BUCKET).bit_length(), _BUCKET_BITS[0]), _BUCKET_BITS[1])
+
+    def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        zero = np.zeros(len(a), np.int64)
+        return pa.record_batch({"a": a, "b": b, "c": zero - 1, "i": zero, "j": zero, "n": zero, "m": zero})
 
     def emit(tokens: list[np.ndarray], nodes: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
         lengths = [len(t) for t in tokens]
         place = np.concatenate([np.arange(k) for k in lengths])
         held = np.repeat(np.array(sizes, np.int64) << 32, lengths) | place
-        token, node, held = _sorted_postings(np.concatenate(tokens).view(np.int64), np.repeat(np.array(nodes, np.int64), lengths), held)
+        token, node, held = _sorted_postings(np.concatenate(tokens), np.repeat(np.array(nodes, np.int64), lengths), held)
         place, _, a, b = _long_stars(token, node, held >> 32, percent)
         keep = place <= SHORT_LIST
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, held)] + [pa.nulls(int(keep.sum()), pa.int64())], names=names)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mix(a.view(np.uint64)).view(np.int64), a, np.zeros(len(a), np.int64), b)], names=names)
+        yield _blocks(*(x[keep] for x in (token.view(np.int64), node, held)), bits)
+        for at in range(0, len(a), _STARS):
+            x, y = a[at : at + _STARS], b[at : at + _STARS]
+            bucket = (mix(x[:1].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
+            yield pa.record_batch({"bucket": bucket, "size": np.array([len(x)], np.int32), "postings": pa.nulls(1, pa.binary()), "stars": pa.array([np.concatenate([x, y]).tobytes()], pa.binary())})
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, nodes, sizes, size = [], [], [], 0
@@ -244,32 +291,28 @@ def search_edges(documents: DataFrame, levels: np.ndarray, text: str, width: int
         yield pa.record_batch(dict(zip(("a", "b", "c", "i", "j", "n", "m"), counted, strict=True)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 3
+        parts, size, most, last = [], 0, _MEET, None
         for batch in batches:
-            edge = batch.column(3).is_valid()
-            if edge.true_count:
-                ready = batch.filter(edge)
-                zero = np.zeros(len(ready), np.int64)
-                yield pa.record_batch({"a": ready.column(1), "b": ready.column(3), "c": zero - 1, "i": zero, "j": zero, "n": zero, "m": zero})
-                batch = batch.filter(pc.invert(edge))
-            rest = [np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate(rest)]
-            if len(rest[0]) < _MEET:
-                continue
-            last = int(np.searchsorted(rest[0], rest[0][-1]))
-            whole, rest = [x[:last] for x in rest], [x[last:] for x in rest]
-            if last:
-                yield from pairs_of(*whole)
-            if len(rest[0]) > _MEET:
-                rest = list(_sorted_postings(*rest))
-                place, _, x, y = _long_stars(*rest[:2], rest[2] >> 32, percent)
-                zero = np.zeros(len(x), np.int64)
-                yield pa.record_batch({"a": x, "b": y, "c": zero - 1, "i": zero, "j": zero, "n": zero, "m": zero})
-                rest = [x[place <= SHORT_LIST] for x in rest]
-        if len(rest[0]):
-            yield from pairs_of(*rest)
-
-    posted = documents.select(text).mapInArrow(post, "token long, a long, held long, b long")
-    met = posted.repartition("token").sortWithinPartitions("token", "a").mapInArrow(meet, "a long, b long, c long, i long, j long, n long, m long")
+            for bucket, k, postings, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if pairs.is_valid:
+                    yield stars(*np.split(np.frombuffer(pairs.as_buffer(), np.int64), 2))
+                    continue
+                if bucket != last and size >= _MEET:
+                    yield from pairs_of(*map(np.concatenate, zip(*parts, strict=True)))
+                    parts, size, most = [], 0, _MEET
+                elif size >= 2 * most:
+                    held = _sorted_postings(*map(np.concatenate, zip(*parts, strict=True)))
+                    place, _, a, b = _long_stars(*held[:2], held[2] >> 32, percent)
+                    yield stars(a, b)
+                    parts = [tuple(x[place <= SHORT_LIST] for x in held)]
+                    size = most = len(parts[0][0])
+                parts.append(_postings(postings.as_buffer(), k))
+                size, last = size + k, bucket
+        if parts:
+            yield from pairs_of(*map(np.concatenate, zip(*parts, strict=True)))
+
+    posted = documents.select(text).mapInArrow(post, "bucket int, size int, postings binary, stars binary")
+    met = posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, c long, i long, j long, n long, m long")
     pairs = met.groupBy("a", "b").agg(F.min("c").alias("least"), F.sum("c").alias("c"), *(F.max(x).alias(x) for x in ("i", "j", "n", "m")))
     need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
     suffix = lambda x: F.ceil(percent * F.col(x) / 100) - 1
@@ -355,6 +398,28 @@ def divide_skip(sets: list[np.ndarray], asked: list[np.ndarray] | None = None, p
             yield r, linked
 
 
+def _slot(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(_SLOTS)).cast("int")
+
+
+def texts_of(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(rep, _text): rows of ``documents`` whose key is a ``rep`` of ``wanted``, and some more; nothing is shuffled but slots of the keys."""
+    slots = np.zeros(_SLOTS, bool)
+    slots[wanted.select(_slot("rep").alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
+    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(slots))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            found = batch.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1))
+            if len(found):
+                yield pa.RecordBatch.from_arrays(found.columns[1:], names=["rep", "_text"])
+
+    kinds = [documents.schema[x].dataType.simpleString() for x in (key, text)]
+    rows = documents.where(F.col(key).isNotNull()).select(_slot(key).alias("slot"), F.col(key).alias("rep"), F.col(text).alias("_text"))
+    return rows.mapInArrow(some, f"rep {kinds[0]}, _text {kinds[1]}")
+
+
 def similar(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component, n_links) for every row of ``documents``.
 
@@ -365,16 +430,22 @@ def similar(documents: DataFrame, key: str = "doc_id", text: str = "text", width
     that repeat link with each other; rows of one key count as one document in components.
     Other columns are not read.
     """
+    with shuffles_freed(documents.sparkSession):
+        return _similar(documents, key, text, width, percent)
+
+
+def _similar(documents: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     prints = written(shingle_prints(documents, key, text, width), "shingles")
     sets = prints.where(f"chunk IS NULL AND `{key}` IS NOT NULL AND n > 0").select(F.col(key).alias("id"), "n", "f", "g")
     levels = rarity(prints)
-    joined = components(search_edges(documents.where(F.col(key).isNotNull()), levels, text, width, percent))
+    shingles = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    joined = components(search_edges(documents.where(F.col(key).isNotNull()), levels, text, width, percent, shingles))
     groups = joined.select(F.col("node").alias("f"), F.col("component").alias("group"))
     kinds = written(sets.groupBy("f", "g", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "kinds")
     placed = kinds.join(groups, "f")
     loads = placed.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / GROUP_SHINGLES), F.ceil(F.count("*") / GROUP_SETS)).alias("blocks"))
-    placed = placed.join(loads, "group").select("rep", F.struct("rep", "f", "g").alias("node"), "group", "blocks", "copies")
-    texts = documents.select(F.col(key).alias("rep"), F.col(text).alias("_text")).join(placed, "rep")
+    placed = written(placed.join(loads, "group").select("rep", F.struct("rep", "f", "g").alias("node"), "group", "blocks", "copies"), "placed")
+    texts = texts_of(documents, placed, key, text).join(placed, "rep")
     id_type = documents.schema[key].dataType.simpleString()
     node_type = f"struct<rep:{id_type},f:bigint,g:bigint>"
 
@@ -414,6 +485,7 @@ def similar(documents: DataFrame, key: str = "doc_id", text: str = "text", width
         return pa.table({"node": nodes.take(at), "root": nodes.take(at[[forest.root(k) for k in range(len(kept))]]), "links": links})
 
     found = written(dealt.groupBy("group", "i", "j").applyInArrow(search, f"node {node_type}, root {node_type}, links long"), "links")
+    dropped(placed)
     reached = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", F.col("component.rep").alias("component"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     kinds = kinds.withColumn("node", F.struct("rep", "f", "g")).join(links, "node", "left").join(reached, "node", "left")

@@ -6,6 +6,7 @@ import random
 import re
 import textwrap
 import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,36 @@ def test_ngram_join_null_keys_repeats_and_empty(spark):
     assert ngram_join.similar(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_ngram_join_against_brute_force_in_many_small_blocks(spark, monkeypatch):
+    for name, value in (("_MEET", 4), ("_FLUSH", 50), ("_STARS", 2), ("_BUCKET_BITS", (1, 1)), ("_SLOTS", 8)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = corpus(61)
+    out = ngram_join.similar(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert {r[0]: tuple(r[1:]) for r in out.collect()} == brute_components(rows)
+
+
+def stages_after(spark, last=-1):
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {x.stageId(): x.shuffleWriteBytes() for x in map(found.apply, range(found.size())) if x.stageId() > last}
+
+
+def test_ngram_join_moves_little_and_leaves_no_shuffle_files(spark):
+    rng = random.Random(62)
+    rows = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))) for k in range(4000)]
+    rows += [(4000 + k, rows[k][1] + " more") for k in range(40)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4).localCheckpoint()
+    files = lambda: {str(p) for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+    left, last = files(), max(stages_after(spark))
+    out = ngram_join.similar(docs)
+    for _ in range(50):
+        if not files() - left:
+            break
+        time.sleep(0.1)
+    assert not files() - left
+    assert sum(stages_after(spark, last).values()) < sum(len(t) for _, t in rows)
+    assert out.where("n_links = 1").count() == 80
+
+
 def test_divide_skip_finds_every_link():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(1, 2**60, 300).astype(np.uint64))
