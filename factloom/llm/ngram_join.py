@@ -16,8 +16,8 @@
 What is shuffled is kept small: postings travel in compressed blocks, one for each bucket of shingles, only texts that may be in a
 search group are dealt by their key, and a step's shuffle files go when the step ends.
 
-A group with more than ``GROUP_SETS`` sets or ``GROUP_SHINGLES`` shingles is dealt into blocks by a hash, and each pair of
-blocks is searched on its own, so no task holds more than two blocks.
+A group with more than ``GROUP_SETS`` sets or ``GROUP_SHINGLES`` shingles is dealt into blocks by size band and by a hash, and each pair of
+blocks of one band or of two neighbouring ones is searched on its own, so no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -398,6 +398,26 @@ def divide_skip(sets: list[np.ndarray], asked: list[np.ndarray] | None = None, p
             yield r, linked
 
 
+def dealt_blocks(placed: DataFrame, percent: int) -> DataFrame:
+    """``placed`` (group, node, n) with the block of each set and those it meets, its own among them.
+
+    A small group is block 0. A larger one has blocks of its own in each size band, and sets of
+    two bands meet only if the bands are neighbours, since others can't link.
+    """
+    load = lambda n, k: F.greatest(F.ceil(n / GROUP_SHINGLES), F.ceil(k / GROUP_SETS))
+    place = lambda band, k: F.shiftleft(band.cast("long"), 32) + k
+    placed = placed.withColumn("band", F.size(F.filter(F.lit(_band_starts(percent).tolist()), lambda x: x <= F.col("n"))))
+    bands = placed.groupBy("group", "band").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+    bands = bands.groupBy("group").agg(load(F.sum("n"), F.sum("k")).alias("whole"), F.map_from_entries(F.collect_list(F.struct("band", load(F.col("n"), F.col("k"))))).alias("blocks"))
+    placed = placed.join(bands.select("group", F.when(F.col("whole") > 1, F.col("blocks")).alias("blocks")), "group")
+    blocks, band, zero = F.col("blocks"), F.col("band"), F.lit(0).cast("long")
+    near = F.filter(F.array(band - 1, band, band + 1), lambda b: F.map_contains_key(blocks, b))
+    others = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(zero, F.try_element_at(blocks, b) - 1), lambda k: place(b, k))))
+    block = place(band, F.pmod(F.xxhash64("node"), F.try_element_at(blocks, band)))
+    small = blocks.isNull()
+    return placed.withColumn("block", F.when(small, zero).otherwise(block)).withColumn("others", F.when(small, F.array(zero)).otherwise(others))
+
+
 def _slot(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(_SLOTS)).cast("int")
 
@@ -442,9 +462,8 @@ def _similar(documents: DataFrame, key: str, text: str, width: int, percent: int
     joined = components(search_edges(documents.where(F.col(key).isNotNull()), levels, text, width, percent, shingles))
     groups = joined.select(F.col("node").alias("f"), F.col("component").alias("group"))
     kinds = written(sets.groupBy("f", "g", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "kinds")
-    placed = kinds.join(groups, "f")
-    loads = placed.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / GROUP_SHINGLES), F.ceil(F.count("*") / GROUP_SETS)).alias("blocks"))
-    placed = written(placed.join(loads, "group").select("rep", F.struct("rep", "f", "g").alias("node"), "group", "blocks", "copies"), "placed")
+    placed = dealt_blocks(kinds.join(groups, "f").withColumn("node", F.struct("rep", "f", "g")), percent)
+    placed = written(placed.select("rep", "node", "group", "block", "others", "copies"), "placed")
     texts = texts_of(documents, placed, key, text).join(placed, "rep")
     id_type = documents.schema[key].dataType.simpleString()
     node_type = f"struct<rep:{id_type},f:bigint,g:bigint>"
@@ -456,11 +475,10 @@ def _similar(documents: DataFrame, key: str, text: str, width: int, percent: int
             found = [(k, own) for k, own in shingle_sets(batch.column(0), width) if len(own) and _prints(own) == wanted[k]]
             at = pa.array([k for k, _ in found], pa.int64())
             arrays = pa.array([own.tobytes() for _, own in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (1, 2, 3, 4)), arrays], names=["node", "group", "blocks", "copies", "own"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (1, 2, 3, 4, 5)), arrays], names=["node", "group", "block", "others", "copies", "own"])
 
-    spread_out = texts.select("_text", "node", "group", "blocks", "copies").mapInArrow(spread, f"node {node_type}, group long, blocks long, copies long, own binary")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = spread_out.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread_out = texts.select("_text", "node", "group", "block", "others", "copies").mapInArrow(spread, f"node {node_type}, group long, block long, others array<long>, copies long, own binary")
+    dealt = spread_out.withColumn("other", F.explode("others"))
     dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "own")
 
     def search(table: pa.Table) -> pa.Table:

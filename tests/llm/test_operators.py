@@ -80,6 +80,22 @@ def test_ngram_join_against_brute_force_in_many_small_blocks(spark, monkeypatch)
     assert {r[0]: tuple(r[1:]) for r in out.collect()} == brute_components(rows)
 
 
+def test_ngram_join_blocks_meet_only_where_sizes_fit(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP_SETS", 4)
+    rng = random.Random(63)
+    rows = [(k, k % 2, 20 * 3 ** rng.randrange(5) + rng.randrange(12)) for k in range(60)] + [(60, 2, 9), (61, 2, 900)]
+    got = ngram_join.dealt_blocks(spark.createDataFrame(rows, "node long, group long, n int"), 80).collect()
+    for x, y in itertools.product(got, got):
+        if x.group == y.group:
+            assert (x.block in y.others) == (y.block in x.others) and x.block in x.others
+            if 100 * min(x.n, y.n) >= 80 * max(x.n, y.n):
+                assert y.block in x.others
+            if x.group < 2 and max(x.n, y.n) > 2 * min(x.n, y.n):
+                assert y.block not in x.others
+    assert {(x.block, *x.others) for x in got if x.group == 2} == {(0, 0)}
+    assert max(len(x.others) for x in got) < 60 // 2 // 4
+
+
 def stages_after(spark, last=-1):
     found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
     return {x.stageId(): x.shuffleWriteBytes() for x in map(found.apply, range(found.size())) if x.stageId() > last}
